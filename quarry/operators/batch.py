@@ -179,7 +179,7 @@ def import_frames(records: DataFrame, params: DataFrame, base: int = 1, import_t
     ided, offsets = with_ids(scored, base=base)
     questions = questions_from(ided)
     links = category_links(questions)
-    errors = row_errors(scored)
+    errors = row_errors(ided)  # above the id window, so the filter is not pushed into the scan
     logs = log_rows(params, ided, offsets, base=base, import_time=import_time)
     return {"scored": ided, "questions": questions, "links": links, "row_errors": errors,
             "logs": logs, "offsets": offsets}

@@ -42,9 +42,8 @@ def collapse_keys(folded: Column) -> Column:
 
 
 def fold_keys(df: DataFrame, col: str = "cells") -> DataFrame:
-    """F08 + F09 as two projections (the folded array is referenced, not copied)."""
-    return (df.withColumn("_folded", fold_key_case(F.col(col)))
-              .withColumn(col, collapse_keys(F.col("_folded"))).drop("_folded"))
+    """F08 + F09 on a records frame."""
+    return df.withColumn(col, normalized_cells(F.col(col)))
 
 
 def cell(cells: Column, key: str) -> Column:
@@ -87,15 +86,6 @@ def options_prefixed(cells: Column) -> Column:
     return F.transform(cand, lambda c: T.sanitize_text_field(T.php_trim(c["value"])))
 
 
-def with_options(df: DataFrame, cells: str = "cells", out: str = "opts") -> DataFrame:
-    """F13 numbered options compacted 1..n, else F14 prefix keys in cell order
-    (F15 is unreachable). Staged so no array expression is copied."""
-    df = df.withColumn("_num", numbered_candidates(F.col(cells)))
-    df = df.withColumn("_opts_num", compact_numbered(F.col("_num")))
-    return df.withColumn(out, F.when(F.size("_opts_num") > 0, F.col("_opts_num"))
-                         .otherwise(options_prefixed(F.col(cells)))).drop("_num", "_opts_num")
-
-
 # ---------------------------------------------------------------------------
 # Correct answer
 # ---------------------------------------------------------------------------
@@ -144,46 +134,91 @@ def correct_ladder(opts: Column, raw: Column, rt: Column | None = None) -> tuple
 # ---------------------------------------------------------------------------
 # The whole row projection
 # ---------------------------------------------------------------------------
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(value)``: ``transform(array(v), x -> body)[0]``.
+
+    Later references are lambda-variable field accesses, which the optimizer cannot
+    inline, so a value used many times is computed once and the plan stays linear.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def normalized_cells(cells: Column) -> Column:
+    """F08 + F09 with the folded array bound once."""
+    return let(fold_key_case(cells), collapse_keys)
+
+
+def options_of(cells: Column) -> Column:
+    """F13 numbered options compacted 1..n, else F14 prefix keys in cell order
+    (F15 is unreachable)."""
+    return let(numbered_candidates(cells), lambda n: let(
+        compact_numbered(n),
+        lambda on: F.when(F.size(on) > 0, on).otherwise(options_prefixed(cells))))
+
+
+def with_options(df: DataFrame, cells: str = "cells", out: str = "opts") -> DataFrame:
+    return df.withColumn(out, options_of(F.col(cells)))
+
+
+def row_fields(cells: Column, orig_row: Column) -> Column:
+    """Everything one record decides, as one struct (no shuffles, no copies)."""
+    def body(e):
+        opts = e["opts"]
+        raw = e["correct_raw"]
+        qt = e["question_text"]
+
+        def with_rt(rt):
+            idx, method = correct_ladder(opts, raw, rt)
+            status = (F.when(qt == "", F.lit("missing_question"))
+                      .when(F.size(opts) == 0, F.lit("no_options"))
+                      .otherwise(F.lit("ok")))
+            return F.struct(status.alias("row_status"), idx.alias("correct_index"),
+                            method.alias("match_method"))
+
+        def finish(lad):
+            st = lad["row_status"]
+            mm = F.when(st == "ok", lad["match_method"])
+            row = orig_row
+            message = (F.when(st == "missing_question", F.format_string(MSG_MISSING_QUESTION, row))
+                       .when(st == "no_options", F.format_string(MSG_NO_OPTIONS, row))
+                       .when(mm == "none",
+                             F.format_string(MSG_UNMATCHED, row, T.sanitize_text_field(raw))))
+            severity = F.when(st != "ok", F.lit("error")).when(mm == "none", F.lit("warning"))
+            code = (F.when(st == "missing_question", F.lit("E1")).when(st == "no_options", F.lit("E2"))
+                    .when(mm == "none", F.lit("E3")))
+            return F.struct(
+                e["question_text"].alias("question_text"), e["explanation"].alias("explanation"),
+                opts.alias("opts"), raw.alias("correct_raw"), st.alias("row_status"),
+                F.when(st == "ok", lad["correct_index"]).otherwise(F.lit(0)).alias("correct_index"),
+                mm.alias("match_method"), message.alias("message"), severity.alias("severity"),
+                code.alias("code"))
+
+        return let(let(T.php_trim(raw), with_rt), finish)
+
+    def first(c):
+        return F.struct(
+            T.php_trim(F.coalesce(cell(c, "question"), F.lit(""))).alias("question_text"),
+            T.php_trim(F.coalesce(cell(c, "explanation"), F.lit(""))).alias("explanation"),
+            options_of(c).alias("opts"),
+            correct_source(c).alias("correct_raw"))
+    return let(let(cells, first), body)
+
+
 def evaluate_rows(records: DataFrame, keep_blank: bool = False) -> DataFrame:
     """Fold keys, drop blank rows (F04) and evaluate every row rule.
 
     Output adds: question_text, explanation, opts, correct_raw, correct_index,
     match_method, row_status ('ok' | 'missing_question' | 'no_options'), and the
-    row message (E1 / E2 / E3) with its severity.
+    row message (E1 / E2 / E3) with its severity and code.
     """
-    df = fold_keys(records)
-    df = df.withColumn("is_blank", ~has_content(F.col("cells")))
+    df = records.withColumn("cells", normalized_cells(F.col("cells")))
+    df = df.withColumn("is_blank", ~let(F.col("cells"), has_content))
     if not keep_blank:
         df = df.filter(~F.col("is_blank")).drop("is_blank")
-    cells = F.col("cells")
-    q = cell(cells, "question")
-    df = df.withColumns({
-        "question_text": T.php_trim(F.coalesce(q, F.lit(""))),
-        "explanation": T.php_trim(F.coalesce(cell(cells, "explanation"), F.lit(""))),
-        "correct_raw": correct_source(cells),
-    })
-    df = with_options(df)
-    df = df.withColumn("_rt", T.php_trim(F.col("correct_raw")))
-    idx, method = correct_ladder(F.col("opts"), F.col("correct_raw"), F.col("_rt"))
-    df = df.withColumns({"correct_index": idx, "match_method": method}).drop("_rt")
-    status = (F.when(F.col("question_text") == "", F.lit("missing_question"))
-              .when(F.size("opts") == 0, F.lit("no_options"))
-              .otherwise(F.lit("ok")))
-    df = df.withColumn("row_status", status)
-    ok = F.col("row_status") == "ok"
-    df = df.withColumns({"correct_index": F.when(ok, F.col("correct_index")).otherwise(F.lit(0)),
-                         "match_method": F.when(ok, F.col("match_method"))})
-    row = F.col("orig_row")
-    message = (F.when(F.col("row_status") == "missing_question", F.format_string(MSG_MISSING_QUESTION, row))
-               .when(F.col("row_status") == "no_options", F.format_string(MSG_NO_OPTIONS, row))
-               .when(F.col("match_method") == "none",
-                     F.format_string(MSG_UNMATCHED, row, T.sanitize_text_field(F.col("correct_raw")))))
-    severity = (F.when(F.col("row_status") != "ok", F.lit("error"))
-                .when(F.col("match_method") == "none", F.lit("warning")))
-    code = (F.when(F.col("row_status") == "missing_question", F.lit("E1"))
-            .when(F.col("row_status") == "no_options", F.lit("E2"))
-            .when(F.col("match_method") == "none", F.lit("E3")))
-    return df.withColumns({"message": message, "severity": severity, "code": code})
+    df = df.withColumn("_ev", row_fields(F.col("cells"), F.col("orig_row")))
+    names = ["question_text", "explanation", "opts", "correct_raw", "row_status", "correct_index",
+             "match_method", "message", "severity", "code"]
+    return df.select(*[c for c in df.columns if c != "_ev"], *[F.col("_ev")[n].alias(n) for n in names])
 
 
 def score_answers(opts: Column, index: Column, correct_mark: Column, incorrect_mark: Column) -> Column:

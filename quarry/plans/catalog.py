@@ -46,3 +46,181 @@ def import_log_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: F04 F10 F13 F16-F19 W01 A02-A05 F34 F35 per import."""
     logs = _frames(spark, sf)["logs"]
     return logs.join(B.notices(logs), "id").drop("import_time")
+
+
+# ---------------------------------------------------------------------------
+# Row rules on the qrows fixture
+# ---------------------------------------------------------------------------
+from ..functions import text as T  # noqa: E402
+from ..functions.constants import ANSWER_COLUMNS  # noqa: E402
+from ..operators import rows as R  # noqa: E402
+from ..operators import lookups as L  # noqa: E402
+from pyspark.sql.window import Window  # noqa: E402
+
+
+@register("blank_rows", duck.blank_rows)
+def blank_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """F02 + F04: records dropped as blank after normalization."""
+    df = R.fold_keys(D.qrows(spark, sf))
+    return df.filter(~R.has_content(F.col("cells"))).select("import_id", "rec_no", "orig_row")
+
+
+@register("blank_rows_trim_only", duck.blank_rows_trim_only)
+def blank_rows_trim_only(spark: SparkSession, sf: str) -> DataFrame:
+    """F06 + W02 (parser form): records kept under plain trim, densely re-indexed per file."""
+    df = R.fold_keys(D.qrows(spark, sf)).filter(R.has_content_trim_only(F.col("cells")))
+    return df.select("import_id", "rec_no",
+                     F.row_number().over(Window.partitionBy("import_id").orderBy("rec_no"))
+                     .cast("long").alias("parser_row"))
+
+
+@register("parse_meta", duck.parse_meta)
+def parse_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """Records per file before / after the trim-only filter and after F04."""
+    df = R.fold_keys(D.qrows(spark, sf))
+    return df.groupBy("import_id").agg(
+        F.count("*").alias("total_before_filter"),
+        F.count_if(R.has_content_trim_only(F.col("cells"))).alias("total_after_filter"),
+        F.count_if(R.has_content(F.col("cells"))).alias("effective_rows"))
+
+
+@register("options_compacted", duck.options_compacted)
+def options_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """numbered options, blanks dropped, compacted 1..n (long form)."""
+    ev = R.evaluate_rows(D.qrows(spark, sf))
+    return ev.select("import_id", "orig_row", F.posexplode("opts").alias("pos", "opt_text")) \
+        .select("import_id", "orig_row", (F.col("pos") + 1).cast("long").alias("opt_no"), "opt_text")
+
+
+@register("options_prefix_fallback", duck.options_compacted)
+def options_prefix_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """option_a..option_d keys taken in cell order when no numbered key exists."""
+    ev = R.evaluate_rows(D.qrows(spark, sf, "prefix"))
+    return ev.select("import_id", "orig_row", F.posexplode("opts").alias("pos", "opt_text")) \
+        .select("import_id", "orig_row", (F.col("pos") + 1).cast("long").alias("opt_no"), "opt_text")
+
+
+@register("correct_source", duck.correct_source)
+def correct_source(spark: SparkSession, sf: str) -> DataFrame:
+    """F08 F09 F17 F18 on the alias variant: which cell feeds the answer, and its index."""
+    ev = R.evaluate_rows(D.qrows(spark, sf, "alias"))
+    return ev.select("import_id", "orig_row", "correct_raw", "row_status", "correct_index", "match_method",
+                     F.array_join("opts", "|").alias("opts_text"))
+
+
+@register("correct_index", duck.correct_index)
+def correct_index(spark: SparkSession, sf: str) -> DataFrame:
+    """exact -> number/letter -> substring ladder per effective row."""
+    ev = R.evaluate_rows(D.qrows(spark, sf))
+    return ev.select("import_id", "orig_row", "row_status", "correct_index", "match_method")
+
+
+@register("match_method_counts", duck.match_method_counts)
+def match_method_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome counts per branch."""
+    ev = R.evaluate_rows(D.qrows(spark, sf))
+    return ev.groupBy("row_status", "match_method").agg(F.count("*").alias("n"))
+
+
+@register("answers_scored_long", duck.answers_scored_long)
+def answers_scored_long(spark: SparkSession, sf: str) -> DataFrame:
+    """F19 + J08: every option of every accepted row with its points."""
+    q = _frames(spark, sf)["questions"]
+    return q.select("question_id", "import_id", "orig_row",
+                    F.posexplode("answer_array").alias("pos", "a")).select(
+        "question_id", "import_id", "orig_row", (F.col("pos") + 1).cast("long").alias("opt_no"),
+        F.col("a.text").alias("text"), F.col("a.points").alias("points"),
+        F.col("a.is_correct").alias("is_correct"))
+
+
+@register("questions_final", duck.questions_final)
+def questions_final(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows written to the questions table."""
+    q = _frames(spark, sf)["questions"]
+    wide = []
+    for name in ANSWER_COLUMNS:
+        wide += [name, name + "_points"]
+    return q.select("question_id", "import_id", "orig_row", "quiz_id", "question_name", *wide,
+                    "correct_answer", "question_answer_info", "comments", "hints", "question_order",
+                    "question_type", "question_type_new",
+                    F.col("question_settings.question_title").alias("question_title"),
+                    F.col("question_settings.isPublished").alias("is_published"),
+                    F.col("question_settings.required").alias("required"),
+                    "category", "linked_question", "deleted", "deleted_question_bank")
+
+
+@register("row_errors", duck.row_errors)
+def row_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """long-form row messages (E1, E2 errors; E3 warnings)."""
+    return _frames(spark, sf)["row_errors"]
+
+
+@register("errors_by_import", duck.errors_by_import)
+def errors_by_import(spark: SparkSession, sf: str) -> DataFrame:
+    """A06 without collecting: counts plus first / last message in row order."""
+    e = _frames(spark, sf)["row_errors"]
+    return e.groupBy("import_id").agg(
+        F.count_if(F.col("severity") == "error").alias("n_errors"),
+        F.count_if(F.col("severity") == "warning").alias("n_warnings"),
+        F.min("orig_row").alias("first_row"),
+        F.min_by("message", "orig_row").alias("first_message"),
+        F.max_by("message", "orig_row").alias("last_message"))
+
+
+@register("dry_run_report", duck.dry_run_report)
+def dry_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Validate only; nothing is written."""
+    return B.dry_run(D.qrows(spark, sf), _params(spark, sf))
+
+
+@register("params_resolved", duck.params_resolved_q)
+def params_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """F28 F29 J01 J02 on the manifest."""
+    return _params(spark, sf).select("import_id", "quiz_id", "quiz_name", "category_input",
+                                     "category_is_numeric", "question_type", "correct_mark",
+                                     "incorrect_mark")
+
+
+@register("category_links", duck.category_links)
+def category_links(spark: SparkSession, sf: str) -> DataFrame:
+    """F20 + K02: question -> term links."""
+    return _frames(spark, sf)["links"]
+
+
+@register("quiz_id_by_name", duck.quiz_id_by_name)
+def quiz_id_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Quiz names (nation names; region names never match) -> smallest quiz id."""
+    names = (D.table(spark, sf, "nation").select(F.col("n_name").alias("quiz_name"))
+             .unionByName(D.table(spark, sf, "region").select(F.col("r_name").alias("quiz_name"))))
+    return P.quiz_lookup_by_name(names, D.quizzes(spark, sf))
+
+
+@register("quiz_name_lookup", duck.quiz_name_lookup)
+def quiz_name_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Quiz id -> name ('' when id <= 0 or unknown) for every order's custkey % 30."""
+    ids = D.table(spark, sf, "orders").select((F.col("o_custkey") % 30).cast("long").alias("quiz_id")).distinct()
+    return L.quiz_names(ids, D.quizzes(spark, sf))
+
+
+@register("quizzes_ordered", duck.quizzes_ordered)
+def quizzes_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """S10 + L03: quiz dropdown source ordered by id."""
+    return P.ordered_quizzes(D.quizzes(spark, sf))
+
+
+@register("category_choices", duck.category_choices)
+def category_choices(spark: SparkSession, sf: str) -> DataFrame:
+    """S11 + U-S2: taxonomy terms when any exist, else distinct category text (A10)."""
+    return L.category_choices(D.terms(spark, sf), L.part_questions(D.table(spark, sf, "part")))
+
+
+@register("distinct_categories", duck.distinct_categories)
+def distinct_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """A10 + F33 + L05: non-blank distinct categories, first 200 in order."""
+    return L.distinct_categories(L.part_questions(D.table(spark, sf, "part")))
+
+
+@register("question_types", duck.question_types)
+def question_types(spark: SparkSession, sf: str) -> DataFrame:
+    """A11 + J09 + U-S1: default types merged with types discovered in the table."""
+    return L.question_types(L.part_questions(D.table(spark, sf, "part")))

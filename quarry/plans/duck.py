@@ -120,16 +120,18 @@ def opts_of(cols: list[str]) -> str:
 
 
 def evaluated(qf: str = QF, opts_cols=("option1", "option2", "option3", "option4"),
-              raw: str | None = None) -> str:
+              raw: str | None = None, blank_cols=None, extra_content: str = "false",
+              opts: str | None = None) -> str:
     """CTEs ``qf``, ``ev0`` (non-blank rows with opts / raw) and ``ev`` (+ ladder, status)."""
-    cols = ["question"] + list(opts_cols) + ["correct_answer"]
+    cols = blank_cols or (["question"] + list(opts_cols) + ["correct_answer"])
     blank = " AND ".join(f"{normalize(c)} = ''" for c in cols)
     raw = raw or f"CASE WHEN {php_trim('correct_answer')} <> '' THEN correct_answer ELSE '' END"
+    opts = opts or opts_of(list(opts_cols))
     return f"""
 qf AS ({qf}),
 ev0 AS (
-  SELECT *, {php_trim('question')} AS question_text, {opts_of(list(opts_cols))} AS opts, {raw} AS correct_raw
-  FROM qf WHERE NOT ({blank})
+  SELECT *, {php_trim('question')} AS question_text, {opts} AS opts, {raw} AS correct_raw
+  FROM qf WHERE NOT ({blank}) OR {extra_content}
 ),
 ev1 AS (
   SELECT *, CASE WHEN question_text = '' THEN 'missing_question' WHEN len(opts) = 0 THEN 'no_options'
@@ -151,6 +153,13 @@ ev AS (
 )"""
 
 
+QA = f"""
+SELECT * REPLACE (CASE WHEN k % 4 = 1 THEN p_type ELSE option1 END AS option1),
+       CASE WHEN k % 5 = 0 THEN 'note' END AS note, k % 7 AS km7
+FROM ({QF})
+"""
+
+
 QUIZ_KEYS_SQL = None  # documented in constants; the manifest below only fills qsm_* keys
 
 MANIFEST = """
@@ -231,3 +240,184 @@ SELECT p.import_id AS id, p.file_name, p.uploader_id, p.quiz_id, p.quiz_name,
        printf({lit(MSG_NOTICE)}, coalesce(c.success_rows, 0), coalesce(c.failed_rows, 0),
               CAST(p.import_id AS VARCHAR)) AS notice
 FROM params p LEFT JOIN cnt c ON c.import_id = p.import_id"""
+
+
+def _base_cols() -> list[str]:
+    return ["question", "option1", "option2", "option3", "option4", "correct_answer"]
+
+
+def blank_rows() -> str:
+    blank = " AND ".join(f"{normalize(c)} = ''" for c in _base_cols())
+    return f"SELECT import_id, rec_no, orig_row FROM ({QF}) WHERE {blank}"
+
+
+def blank_rows_trim_only() -> str:
+    nonblank = " OR ".join(f"{php_trim(c)} <> ''" for c in _base_cols())
+    return f"""SELECT import_id, rec_no,
+       CAST(row_number() OVER (PARTITION BY import_id ORDER BY rec_no) AS BIGINT) AS parser_row
+FROM ({QF}) WHERE {nonblank}"""
+
+
+def parse_meta() -> str:
+    trim_ok = " OR ".join(f"{php_trim(c)} <> ''" for c in _base_cols())
+    norm_ok = " OR ".join(f"{normalize(c)} <> ''" for c in _base_cols())
+    return f"""SELECT import_id, count(*) AS total_before_filter,
+       count(*) FILTER (WHERE {trim_ok}) AS total_after_filter,
+       count(*) FILTER (WHERE {norm_ok}) AS effective_rows
+FROM ({QF}) GROUP BY import_id"""
+
+
+def options_compacted() -> str:
+    return f"""WITH {evaluated()}
+SELECT import_id, orig_row, CAST(opt_no AS BIGINT) AS opt_no, opt_text FROM (
+  SELECT import_id, orig_row, unnest(opts) AS opt_text, unnest(range(1, len(opts) + 1)) AS opt_no FROM ev)"""
+
+
+def correct_source() -> str:
+    raw = (f"CASE WHEN km7 <> 6 AND {php_trim('correct_answer')} <> '' THEN correct_answer "
+           f"WHEN note IS NOT NULL THEN note "
+           f"WHEN {php_trim('correct_answer')} <> '' THEN correct_answer ELSE '' END")
+    numbered = opts_of(["option1", "option2", "option3", "option4"])
+    # Without numbered options the prefix fallback (F14) also takes ``answer_correct``.
+    opts = f"CASE WHEN len({numbered}) = 0 AND km7 = 2 THEN {opts_of(['correct_answer'])} ELSE {numbered} END"
+    return f"""WITH {evaluated(QA, raw=raw, extra_content='note IS NOT NULL', opts=opts)}
+SELECT import_id, orig_row, correct_raw, row_status, correct_index, match_method,
+       array_to_string(opts, '|') AS opts_text FROM ev"""
+
+
+def correct_index() -> str:
+    return f"""WITH {evaluated()}
+SELECT import_id, orig_row, row_status, correct_index, match_method FROM ev"""
+
+
+def match_method_counts() -> str:
+    return f"""WITH {evaluated()}
+SELECT row_status, match_method, count(*) AS n FROM ev GROUP BY ALL"""
+
+
+def answers_scored_long() -> str:
+    return f"""WITH {scored()}
+SELECT question_id, import_id, orig_row, CAST(opt_no AS BIGINT) AS opt_no, text,
+       CAST(CASE WHEN opt_no = correct_index THEN correct_mark ELSE incorrect_mark END AS DOUBLE) AS points,
+       CAST(CASE WHEN opt_no = correct_index THEN 1 ELSE 0 END AS INTEGER) AS is_correct
+FROM (SELECT *, unnest(opts) AS text, unnest(range(1, len(opts) + 1)) AS opt_no FROM sc WHERE row_status = 'ok')"""
+
+
+def _category_text() -> str:
+    return ("CASE WHEN category_input = '' THEN '' "
+            "WHEN coalesce(has_taxonomy, false) AND category_is_numeric THEN '' ELSE category_input END")
+
+
+def questions_final() -> str:
+    names = ["answer_one", "answer_two", "answer_three", "answer_four", "answer_five", "answer_six"]
+    wide = []
+    for i, n in enumerate(names, start=1):
+        wide.append(f"opts[{i}] AS {n}")
+        wide.append(f"CAST(CASE WHEN len(opts) >= {i} THEN CASE WHEN correct_index = {i} THEN correct_mark "
+                    f"ELSE incorrect_mark END END AS DOUBLE) AS {n}_points")
+    return f"""WITH {scored()}
+SELECT CAST(question_id AS BIGINT) AS question_id, import_id, orig_row, CAST(quiz_id AS BIGINT) AS quiz_id,
+       '' AS question_name, {", ".join(wide)},
+       CAST(correct_index AS BIGINT) AS correct_answer, '' AS question_answer_info,
+       CAST(1 AS INTEGER) AS comments, '' AS hints, CAST(0 AS INTEGER) AS question_order,
+       CAST(question_type AS BIGINT) AS question_type, CAST(question_type AS VARCHAR) AS question_type_new,
+       question_text AS question_title, '1' AS is_published, CAST(1 AS INTEGER) AS required,
+       {_category_text()} AS category, CAST(0 AS BIGINT) AS linked_question,
+       CAST(0 AS INTEGER) AS deleted, CAST(0 AS INTEGER) AS deleted_question_bank
+FROM sc WHERE row_status = 'ok'"""
+
+
+def row_errors() -> str:
+    return f"""WITH {evaluated()}
+SELECT import_id, orig_row, CAST(1 AS INTEGER) AS seq, severity, code, message FROM ev WHERE message IS NOT NULL"""
+
+
+def errors_by_import() -> str:
+    return f"""WITH {evaluated()}
+SELECT import_id, count(*) FILTER (WHERE severity = 'error') AS n_errors,
+       count(*) FILTER (WHERE severity = 'warning') AS n_warnings,
+       min(orig_row) AS first_row, arg_min(message, orig_row) AS first_message,
+       arg_max(message, orig_row) AS last_message
+FROM ev WHERE message IS NOT NULL GROUP BY import_id"""
+
+
+def dry_run_report() -> str:
+    return f"""WITH {evaluated()},
+{params_resolved()},
+agg AS (SELECT import_id, count(*) AS total_rows, count(*) FILTER (WHERE row_status = 'ok') AS valid_rows,
+               count(*) FILTER (WHERE row_status <> 'ok') AS invalid_rows,
+               count(*) FILTER (WHERE severity = 'warning') AS warning_rows
+        FROM ev GROUP BY import_id)
+SELECT p.import_id, CAST(coalesce(total_rows, 0) AS BIGINT) AS total_rows,
+       CAST(coalesce(valid_rows, 0) AS BIGINT) AS valid_rows,
+       CAST(coalesce(invalid_rows, 0) AS BIGINT) AS invalid_rows,
+       CAST(coalesce(warning_rows, 0) AS BIGINT) AS warning_rows,
+       CASE WHEN coalesce(invalid_rows, 0) > 0 THEN 'Partial' ELSE 'Success' END AS would_status
+FROM params p LEFT JOIN agg a ON a.import_id = p.import_id"""
+
+
+def params_resolved_q() -> str:
+    return f"""WITH {params_resolved()}
+SELECT import_id, quiz_id, quiz_name, category_input, category_is_numeric, question_type, correct_mark,
+       incorrect_mark FROM params"""
+
+
+def category_links() -> str:
+    return f"""WITH {scored()}
+SELECT CAST(question_id AS BIGINT) AS question_id, CAST(quiz_id AS BIGINT) AS quiz_id,
+       {intval('category_input')} AS term_id, 'qsm_category' AS taxonomy, import_id
+FROM sc WHERE row_status = 'ok' AND coalesce(has_taxonomy, false) AND category_is_numeric
+  AND {intval('category_input')} > 0"""
+
+
+def quiz_id_by_name() -> str:
+    return """WITH names AS (SELECT n_name AS quiz_name FROM nation UNION ALL SELECT r_name FROM region),
+byname AS (SELECT n_name AS quiz_name, min(CAST(n_nationkey AS BIGINT)) AS quiz_id FROM nation GROUP BY n_name)
+SELECT n.quiz_name, b.quiz_id FROM names n LEFT JOIN byname b ON b.quiz_name = n.quiz_name"""
+
+
+def quiz_name_lookup() -> str:
+    return """WITH ids AS (SELECT DISTINCT CAST(o_custkey % 30 AS BIGINT) AS quiz_id FROM orders),
+byid AS (SELECT CAST(n_nationkey AS BIGINT) AS quiz_id, min(n_name) AS quiz_name FROM nation GROUP BY 1)
+SELECT i.quiz_id, CASE WHEN i.quiz_id > 0 THEN coalesce(b.quiz_name, '') ELSE '' END AS quiz_name
+FROM ids i LEFT JOIN byid b ON b.quiz_id = i.quiz_id"""
+
+
+def quizzes_ordered() -> str:
+    return "SELECT CAST(n_nationkey AS BIGINT) AS quiz_id, n_name AS quiz_name FROM nation ORDER BY 1"
+
+
+PQ = """SELECT p_partkey AS question_id,
+       CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 11 = 0 THEN '  ' ELSE p_type END AS category,
+       CAST(p_size % 5 AS BIGINT) AS question_type,
+       CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS question_type_new
+FROM part"""
+
+
+def _distinct_categories_sql() -> str:
+    return f"""SELECT DISTINCT {sanitize('category')} AS category FROM (
+  SELECT DISTINCT category FROM ({PQ}) WHERE category <> '' ORDER BY category LIMIT 200)
+WHERE {php_trim('category')} <> ''"""
+
+
+def distinct_categories() -> str:
+    return _distinct_categories_sql()
+
+
+def category_choices() -> str:
+    return f"""SELECT CAST(r_regionkey + 1 AS VARCHAR) AS choice_key, r_name AS label FROM region
+UNION ALL
+SELECT category AS choice_key, category AS label FROM ({_distinct_categories_sql()})
+WHERE NOT EXISTS (SELECT 1 FROM region)"""
+
+
+def question_types() -> str:
+    return f"""WITH pairs AS (SELECT DISTINCT question_type, question_type_new FROM ({PQ})
+                ORDER BY question_type, question_type_new LIMIT 20),
+disc AS (SELECT CAST(question_type AS VARCHAR) AS type_key, {sanitize('min(question_type_new)')} AS label
+         FROM pairs WHERE length(question_type_new) > 0 GROUP BY 1),
+defaults AS (SELECT * FROM (VALUES ('0', 'Multiple Choice (single answer)'),
+                                   ('1', 'Multiple Choice (multiple answers)'),
+                                   ('2', 'True/False')) t(type_key, label))
+SELECT type_key, label FROM defaults
+UNION ALL SELECT type_key, label FROM disc WHERE type_key NOT IN (SELECT type_key FROM defaults)"""
