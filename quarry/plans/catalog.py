@@ -224,3 +224,85 @@ def distinct_categories(spark: SparkSession, sf: str) -> DataFrame:
 def question_types(spark: SparkSession, sf: str) -> DataFrame:
     """A11 + J09 + U-S1: default types merged with types discovered in the table."""
     return L.question_types(L.part_questions(D.table(spark, sf, "part")))
+
+
+# ---------------------------------------------------------------------------
+# History and rollback on the logs fixture (orders / lineitem)
+# ---------------------------------------------------------------------------
+from ..operators import history as H  # noqa: E402
+
+
+def _logs(spark: SparkSession, sf: str) -> DataFrame:
+    return D.logs(spark, sf)
+
+
+def _rollback(spark: SparkSession, sf: str) -> dict:
+    qs = D.question_ids_of_logs(spark, sf)
+    return H.rollback_plan(D.rollback_requests(spark, sf), _logs(spark, sf), qs, qs)
+
+
+@register("recent_imports_page", duck.recent_imports_page)
+def recent_imports_page(spark: SparkSession, sf: str) -> DataFrame:
+    """L01 + F31 + F40: page 2 of the recent-imports list (top-k, no full sort)."""
+    return H.recent_page(_logs(spark, sf), page=2)
+
+
+@register("import_page_count", duck.import_page_count)
+def import_page_count(spark: SparkSession, sf: str) -> DataFrame:
+    """A01 + A12: log count and page count."""
+    return H.page_count(_logs(spark, sf))
+
+
+@register("import_detail", duck.import_detail)
+def import_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """F30 + J03 + F40: display fields of every log."""
+    return H.import_detail(_logs(spark, sf), D.quizzes(spark, sf))
+
+
+@register("rollback_outcome", duck.rollback_outcome)
+def rollback_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """F32 + A09: outcome and counts per rollback request."""
+    return _rollback(spark, sf)["outcomes"]
+
+
+@register("rollback_survivors", duck.rollback_survivors)
+def rollback_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions left after the rollbacks (anti join on question_id)."""
+    r = _rollback(spark, sf)
+    return H.without_ids(D.question_ids_of_logs(spark, sf), r["ids"])
+
+
+@register("rollback_removed", duck.rollback_removed)
+def rollback_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions the rollbacks remove (semi join)."""
+    return _rollback(spark, sf)["removed"]
+
+
+@register("rollback_links", duck.rollback_links)
+def rollback_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Category links left after the rollbacks."""
+    r = _rollback(spark, sf)
+    return H.without_ids(D.link_rows(spark, sf), r["ids"])
+
+
+@register("rollback_status", duck.rollback_status)
+def rollback_status(spark: SparkSession, sf: str) -> DataFrame:
+    """K05 + W03: every log's status after appending the rollback events."""
+    ev = _rollback(spark, sf)["events"].withColumn("event_seq", F.lit(1))
+    return H.current_status(_logs(spark, sf), ev).select("id", "status")
+
+
+@register("safe_delete", duck.safe_delete)
+def safe_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Delete pending urgent orders; the survivors plus the deleted count."""
+    remaining, deleted = H.safe_delete(D.table(spark, sf, "orders"),
+                                       {"o_orderstatus": "P", "o_orderpriority": "1-URGENT"})
+    return remaining.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@register("safe_delete_count", duck.safe_delete_count)
+def safe_delete_count(spark: SparkSession, sf: str) -> DataFrame:
+    """K08 return value: number of rows the delete removes."""
+    _, deleted = H.safe_delete(D.table(spark, sf, "orders"),
+                               {"o_orderstatus": "P", "o_orderpriority": "1-URGENT"})
+    return deleted.select(F.col("deleted").cast("long").alias("deleted"))

@@ -421,3 +421,119 @@ defaults AS (SELECT * FROM (VALUES ('0', 'Multiple Choice (single answer)'),
                                    ('2', 'True/False')) t(type_key, label))
 SELECT type_key, label FROM defaults
 UNION ALL SELECT type_key, label FROM disc WHERE type_key NOT IN (SELECT type_key FROM defaults)"""
+
+
+LOGS = """
+WITH ids AS (SELECT DISTINCT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS question_id,
+                             CAST(l_orderkey AS BIGINT) AS import_id FROM lineitem),
+nids AS (SELECT import_id, count(*) AS n FROM ids GROUP BY 1)
+SELECT CAST(o_orderkey AS BIGINT) AS id, 'file_' || CAST(o_orderkey AS VARCHAR) AS file_name,
+       CAST(o_custkey AS BIGINT) AS uploader_id, CAST(o_custkey % 25 AS BIGINT) AS quiz_id,
+       CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE coalesce(nt.n_name, '') END AS quiz_name,
+       o_orderdate AS import_time,
+       CASE o_orderstatus WHEN 'F' THEN 'Success' WHEN 'O' THEN 'Partial' ELSE 'RolledBack' END AS status,
+       CAST(coalesce(nids.n, 0) + o_orderkey % 3 AS BIGINT) AS total_rows,
+       CAST(coalesce(nids.n, 0) AS BIGINT) AS success_rows, CAST(o_orderkey % 3 AS BIGINT) AS failed_rows,
+       CAST(coalesce(nids.n, 0) AS BIGINT) AS n_question_ids
+FROM orders LEFT JOIN nation nt ON nt.n_nationkey = o_custkey % 25
+LEFT JOIN nids ON nids.import_id = o_orderkey
+"""
+
+QIDS = """SELECT DISTINCT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS question_id,
+       CAST(l_orderkey AS BIGINT) AS import_id FROM lineitem"""
+
+REQUESTS = """SELECT CAST(o_orderkey AS BIGINT) AS log_id FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT CAST(max(o_orderkey) + 1 AS BIGINT) FROM orders
+UNION ALL SELECT CAST(0 AS BIGINT) UNION ALL SELECT CAST(-1 AS BIGINT)"""
+
+
+def _counts_text(s: str, f: str) -> str:
+    return f"printf('%d imported / %d failed', coalesce({s}, 0), coalesce({f}, 0))"
+
+
+def _eligible() -> str:
+    return "(coalesce(n_question_ids, 0) > 0 AND lower(coalesce(status, '')) <> 'rolledback')"
+
+
+def recent_imports_page() -> str:
+    return f"""SELECT id, file_name, quiz_name, strftime(import_time, '%Y-%m-%d %H:%M:%S') AS import_time,
+       {_counts_text('success_rows', 'failed_rows')} AS counts, status, {_eligible()} AS can_rollback
+FROM ({LOGS}) ORDER BY import_time DESC, id DESC LIMIT 20 OFFSET 20"""
+
+
+def import_page_count() -> str:
+    return f"""SELECT count(*) AS total, CAST(20 AS BIGINT) AS per_page, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages
+FROM ({LOGS})"""
+
+
+def import_detail() -> str:
+    name = (f"CASE WHEN {php_trim('l.quiz_name')} <> '' THEN {php_trim('l.quiz_name')} "
+            "WHEN l.quiz_id > 0 THEN coalesce(q.quiz_name, '') ELSE '' END")
+    return f"""WITH l AS ({LOGS}),
+q AS (SELECT CAST(n_nationkey AS BIGINT) AS quiz_id, min(n_name) AS quiz_name FROM nation GROUP BY 1)
+SELECT l.id, l.file_name,
+       CASE WHEN ({name}) = '' THEN '— (not set) —' ELSE ({name}) END AS display_quiz_name,
+       strftime(l.import_time, '%Y-%m-%d %H:%M:%S') AS import_time,
+       {_counts_text('l.success_rows', 'l.failed_rows')} AS counts, l.total_rows, l.status,
+       {_eligible().replace('n_question_ids', 'l.n_question_ids').replace('status', 'l.status')} AS can_rollback
+FROM l LEFT JOIN q ON q.quiz_id = l.quiz_id"""
+
+
+def _rollback_ctes() -> str:
+    return f"""lg AS ({LOGS}),
+qids AS ({QIDS}),
+req AS (SELECT r.log_id, lg.status AS _status, lg.n_question_ids AS _n, lg.id IS NOT NULL AS _found
+        FROM ({REQUESTS}) r LEFT JOIN lg ON lg.id = r.log_id),
+req2 AS (SELECT *, CASE WHEN log_id = 0 THEN 'invalid_id' WHEN NOT _found THEN 'not_found'
+                         WHEN coalesce(_n, 0) <= 0 THEN 'no_ids' ELSE 'rolled_back' END AS outcome FROM req),
+okreq AS (SELECT DISTINCT log_id FROM req2 WHERE outcome = 'rolled_back'),
+rm AS (SELECT q.import_id AS log_id, q.question_id FROM qids q WHERE q.question_id > 0
+       AND q.import_id IN (SELECT log_id FROM okreq))"""
+
+
+def rollback_outcome() -> str:
+    return f"""WITH {_rollback_ctes()},
+att AS (SELECT log_id, count(*) AS attempted FROM rm GROUP BY 1),
+rem AS (SELECT rm.log_id, count(*) AS removed FROM qids JOIN rm ON rm.question_id = qids.question_id
+        WHERE qids.question_id IN (SELECT question_id FROM rm) GROUP BY 1)
+SELECT r.log_id, r.outcome, lower(coalesce(r._status, '')) = 'rolledback' AS was_rolled_back,
+       CAST(CASE WHEN r.outcome = 'rolled_back' THEN coalesce(att.attempted, 0) ELSE 0 END AS BIGINT) AS attempted,
+       CAST(CASE WHEN r.outcome = 'rolled_back' THEN coalesce(rem.removed, 0) ELSE 0 END AS BIGINT) AS removed,
+       CASE r.outcome WHEN 'invalid_id' THEN 'Invalid log id for rollback.'
+                      WHEN 'not_found' THEN 'Log entry not found.'
+                      WHEN 'no_ids' THEN 'No question IDs found for rollback.'
+                      ELSE printf('Rollback complete. %d questions removed.', coalesce(att.attempted, 0)) END
+       AS message
+FROM req2 r LEFT JOIN att ON att.log_id = r.log_id LEFT JOIN rem ON rem.log_id = r.log_id"""
+
+
+def rollback_survivors() -> str:
+    return f"""WITH {_rollback_ctes()}
+SELECT question_id, import_id FROM qids WHERE question_id NOT IN (SELECT question_id FROM rm)"""
+
+
+def rollback_removed() -> str:
+    return f"""WITH {_rollback_ctes()}
+SELECT question_id, import_id FROM qids WHERE question_id IN (SELECT question_id FROM rm)"""
+
+
+def rollback_links() -> str:
+    return f"""WITH {_rollback_ctes()},
+links AS (SELECT question_id, import_id AS quiz_id, CAST(question_id % 5 + 1 AS BIGINT) AS term_id,
+                 'qsm_category' AS taxonomy FROM qids WHERE question_id % 2 = 1)
+SELECT question_id, quiz_id, term_id, taxonomy FROM links WHERE question_id NOT IN (SELECT question_id FROM rm)"""
+
+
+def rollback_status() -> str:
+    return f"""WITH {_rollback_ctes()}
+SELECT id, CASE WHEN id IN (SELECT log_id FROM okreq) THEN 'RolledBack' ELSE status END AS status FROM lg"""
+
+
+def safe_delete() -> str:
+    return """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders
+WHERE NOT coalesce(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT', false)"""
+
+
+def safe_delete_count() -> str:
+    return """SELECT CAST(count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AS BIGINT)
+       AS deleted FROM orders"""

@@ -190,5 +190,5 @@ def rollback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     urgent = o.filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").cast("long").alias("log_id"))
     beyond = o.agg((F.max("o_orderkey") + 1).cast("long").alias("log_id"))
-    fixed = spark.range(1).select(F.explode(F.array(F.lit(0), F.lit(-1))).cast("long").alias("log_id"))
+    fixed = spark.createDataFrame([(0,), (-1,)], "log_id long")
     return urgent.unionByName(beyond).unionByName(fixed)
