@@ -199,3 +199,46 @@ def basename(c) -> Column:
 def extension(c) -> Column:
     """``strtolower(pathinfo(name, PATHINFO_EXTENSION))``."""
     return ascii_lower(F.regexp_extract(basename(c), r"\.([^.]*)$", 1))
+
+
+# ---------------------------------------------------------------------------
+# F22 / F23 helpers
+# ---------------------------------------------------------------------------
+UTF8_2_RE = r"[\x{80}-\x{7FF}]"
+UTF8_3_RE = r"[\x{800}-\x{FFFF}]"
+UTF8_4_RE = r"[\x{10000}-\x{10FFFF}]"
+
+
+def byte_sample(c, n_bytes: int) -> Column:
+    """Text whose characters stand for the first ``n_bytes`` UTF-8 bytes of ``c``:
+    each non-ASCII character is widened to as many placeholder characters as it has
+    bytes, so ASCII delimiter counts match a byte-prefix sample."""
+    s = F.substring(F.coalesce(_c(c), F.lit("")), 1, n_bytes)
+    s = F.regexp_replace(s, UTF8_4_RE, "\x01\x01\x01\x01")
+    s = F.regexp_replace(s, UTF8_3_RE, "\x01\x01\x01")
+    s = F.regexp_replace(s, UTF8_2_RE, "\x01\x01")
+    return F.substring(s, 1, n_bytes)
+
+
+def count_char(c, ch: str) -> Column:
+    c = _c(c)
+    return (F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))).cast("long")
+
+
+def detect_delimiter(c, n_bytes: int = 4096) -> Column:
+    """tab if more tabs than max(commas, semicolons); else ';' if more than
+    commas; else ','. Counted over the first ``n_bytes`` bytes."""
+    s = byte_sample(c, n_bytes)
+    comma, semi, tab = count_char(s, ","), count_char(s, ";"), count_char(s, "\t")
+    return (F.when(tab > F.greatest(comma, semi), F.lit("\t"))
+            .when(semi > comma, F.lit(";")).otherwise(F.lit(",")))
+
+
+def text_like_ratio(cells: Column) -> Column:
+    """Share of cells that hold a letter or non-numeric text; blank cells
+    count in the denominator only."""
+    def text_like(x):
+        t = php_trim(F.coalesce(x, F.lit("")))
+        return (t != "") & (t.rlike("[A-Za-z]") | ~is_numeric(t))
+    n_text = F.size(F.filter(cells, text_like))
+    return F.when(F.size(cells) > 0, n_text / F.size(cells)).otherwise(F.lit(0.0))

@@ -41,7 +41,9 @@ def assign_ids(rows: DataFrame, base: int = 1, id_col: str = "question_id",
     keep = F.lit(True) if keep is None else keep
     rows = rows.withColumns({"_bkt": F.floor(F.col(ordcol) / F.lit(bucket_rows)).cast("long"),
                              "_keep": keep.cast("int")})
-    w = (Window.partitionBy(grp, "_bkt").orderBy(ordcol)
+    # rec_no breaks ties between equal source rows, so the order is total (deterministic).
+    order_cols = [ordcol] + (["rec_no"] if "rec_no" in rows.columns and ordcol != "rec_no" else [])
+    w = (Window.partitionBy(grp, "_bkt").orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = rows.withColumn("_rk", F.sum("_keep").over(w))
     buckets = ranked.groupBy(grp, "_bkt").agg(F.sum("_keep").alias("_n"))

@@ -306,3 +306,55 @@ def safe_delete_count(spark: SparkSession, sf: str) -> DataFrame:
     _, deleted = H.safe_delete(D.table(spark, sf, "orders"),
                                {"o_orderstatus": "P", "o_orderpriority": "1-URGENT"})
     return deleted.select(F.col("deleted").cast("long").alias("deleted"))
+
+
+# ---------------------------------------------------------------------------
+# Text normalization, cleaning and detection over whole texts
+# ---------------------------------------------------------------------------
+@register("normalize_text", duck.normalize_text)
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    """F02 (+F24 invisible entities) over every document, whole text."""
+    d = D.documents_text(spark, sf).withColumn("normalized", T.normalize_text(F.col("text")))
+    return d.select("doc_id", "normalized", (F.col("normalized") == "").alias("is_blank"))
+
+
+@register("entity_and_tag_clean", duck.entity_and_tag_clean)
+def entity_and_tag_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """F24-F26 over every page: text field sanitizing, tag stripping, rich-text cleaning."""
+    p = D.pages_html(spark, sf)
+    return p.select("page_id", T.sanitize_text_field(F.col("html")).alias("text_clean"),
+                    T.strip_all_tags(F.col("html")).alias("stripped"),
+                    T.kses_post(F.col("html")).alias("safe_html")) \
+        .withColumn("is_blank", T.normalize_text(F.col("stripped")) == "")
+
+
+@register("delimiter_detect", duck.delimiter_detect)
+def delimiter_detect(spark: SparkSession, sf: str) -> DataFrame:
+    """delimiter of each document's first 4096 bytes."""
+    d = D.delimited_text(spark, sf).withColumn("_s", T.byte_sample(F.col("text"), 4096))
+    return d.select("doc_id", T.count_char(F.col("_s"), ",").alias("n_comma"),
+                    T.count_char(F.col("_s"), ";").alias("n_semicolon"),
+                    T.count_char(F.col("_s"), "\t").alias("n_tab"),
+                    T.detect_delimiter(F.col("text")).alias("delimiter"))
+
+
+@register("header_detect", duck.header_detect)
+def header_detect(spark: SparkSession, sf: str) -> DataFrame:
+    """F23 + A13: header heuristic on candidate first records."""
+    h = D.header_candidates(spark, sf)
+    def text_like(x):
+        t = T.php_trim(F.coalesce(x, F.lit("")))
+        return (t != "") & (t.rlike("[A-Za-z]") | ~T.is_numeric(t))
+    ratio = T.text_like_ratio(F.col("cells"))
+    return h.select("k", F.size("cells").alias("n_cells"),
+                    F.size(F.filter("cells", text_like)).alias("n_text"),
+                    ratio.cast("double").alias("ratio"), (ratio >= 0.5).alias("is_header"))
+
+
+@register("bulk_import_lineitem", duck.bulk_import_lineitem)
+def bulk_import_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole import over one question per lineitem row; import 0 holds a third of
+    all rows (skew path of W01 / A04)."""
+    logs = B.import_frames(D.bulk_records(spark, sf), _params(spark, sf),
+                           import_time=F.lit(PINNED_TIME).cast("timestamp_ntz"))["logs"]
+    return logs.join(B.notices(logs), "id").drop("import_time")

@@ -204,21 +204,21 @@ params AS (
 )"""
 
 
-def scored() -> str:
+def scored(qf: str = QF) -> str:
     """CTEs for evaluated rows joined to params, with ids for accepted rows."""
-    return f"""{evaluated()},
+    return f"""{evaluated(qf)},
 {params_resolved()},
 sc AS (
   SELECT ev.*, p.quiz_id, p.quiz_name, p.category_input, p.category_is_numeric, p.question_type,
          p.correct_mark, p.incorrect_mark, p.has_taxonomy,
          CASE WHEN row_status = 'ok' THEN row_number() OVER (PARTITION BY row_status = 'ok'
-                                                            ORDER BY ev.import_id, orig_row) END AS question_id
+                                                            ORDER BY ev.import_id, orig_row, rec_no) END AS question_id
   FROM ev LEFT JOIN params p ON p.import_id = ev.import_id
 )"""
 
 
-def import_log_summary() -> str:
-    return f"""WITH {scored()},
+def import_log_summary(qf: str = QF) -> str:
+    return f"""WITH {scored(qf)},
 cnt AS (
   SELECT import_id, count(*) AS total_rows, count(*) FILTER (WHERE row_status <> 'ok') AS failed_rows,
          count(*) FILTER (WHERE row_status = 'ok') AS success_rows,
@@ -537,3 +537,75 @@ WHERE NOT coalesce(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT', false)"
 def safe_delete_count() -> str:
     return """SELECT CAST(count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AS BIGINT)
        AS deleted FROM orders"""
+
+
+def _text_fixture() -> str:
+    tail = ("CASE doc_id % 5 WHEN 0 THEN " + INV + " WHEN 1 THEN chr(9) WHEN 2 THEN chr(65279) "
+            "WHEN 3 THEN '&nbsp;' ELSE '' END")
+    blank = INV + " || '&zwj;' || chr(9) || '&#160;'"
+    return f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN {blank} ELSE text || {tail} END AS text FROM documents"
+
+
+def normalize_text() -> str:
+    return f"""SELECT doc_id, {normalize('text')} AS normalized, {normalize('text')} = '' AS is_blank
+FROM ({_text_fixture()})"""
+
+
+def entity_and_tag_clean() -> str:
+    html = "html || CASE WHEN page_id % 3 = 0 THEN '&nbsp;' ELSE '' END"
+    return f"""SELECT page_id, {sanitize('h')} AS text_clean, {strip_all_tags('h')} AS stripped,
+       {kses('h')} AS safe_html, {normalize(strip_all_tags('h'))} = '' AS is_blank
+FROM (SELECT page_id, {html} AS h FROM pages)"""
+
+
+def byte_sample(x: str, n: int) -> str:
+    c = f"substring(coalesce({x}, ''), 1, {n})"
+    c = f"regexp_replace({c}, {lit(T.UTF8_4_RE)}, repeat(chr(1), 4), 'g')"
+    c = f"regexp_replace({c}, {lit(T.UTF8_3_RE)}, repeat(chr(1), 3), 'g')"
+    c = f"regexp_replace({c}, {lit(T.UTF8_2_RE)}, repeat(chr(1), 2), 'g')"
+    return f"substring({c}, 1, {n})"
+
+
+def delimiter_detect() -> str:
+    t = ("CASE WHEN doc_id % 3 = 1 THEN replace(text, ', ', ';') "
+         "WHEN doc_id % 3 = 2 THEN replace(text, ', ', chr(9)) ELSE text END")
+    cnt = lambda ch: f"CAST(length(s) - length(replace(s, {ch}, '')) AS BIGINT)"
+    return f"""SELECT doc_id, n_comma, n_semicolon, n_tab,
+       CASE WHEN n_tab > greatest(n_comma, n_semicolon) THEN chr(9) WHEN n_semicolon > n_comma THEN ';'
+            ELSE ',' END AS delimiter
+FROM (SELECT doc_id, {cnt("','")} AS n_comma, {cnt("';'")} AS n_semicolon, {cnt('chr(9)')} AS n_tab
+      FROM (SELECT doc_id, {byte_sample(t, 4096)} AS s FROM documents))"""
+
+
+def header_detect() -> str:
+    size, price = "CAST(p_size AS VARCHAR)", "CAST(p_retailprice AS VARCHAR)"
+    cells = (f"CASE p_partkey % 4 WHEN 0 THEN [p_name, {size}, {price}, p_brand] "
+             f"WHEN 1 THEN [{size}, {price}, ''] WHEN 2 THEN [p_name, {size}, {price}] "
+             f"ELSE [p_type, p_brand, '', {price}] END")
+    t = php_trim("coalesce(x, '')")
+    like = f"({t} <> '' AND (regexp_matches({t}, '[A-Za-z]') OR NOT {is_numeric(t)}))"
+    return f"""SELECT k, CAST(len(cells) AS INTEGER) AS n_cells,
+       CAST(len(list_filter(cells, lambda x: {like})) AS INTEGER) AS n_text,
+       CASE WHEN len(cells) > 0 THEN len(list_filter(cells, lambda x: {like})) / len(cells) ELSE 0.0 END AS ratio,
+       CASE WHEN len(cells) > 0 THEN len(list_filter(cells, lambda x: {like})) / len(cells) ELSE 0.0 END >= 0.5
+       AS is_header
+FROM (SELECT CAST(p_partkey AS BIGINT) AS k, {cells} AS cells FROM part)"""
+
+
+BULK_QF = """
+SELECT l_orderkey AS k,
+       CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey % 25 END AS BIGINT) AS import_id,
+       CAST(l_partkey * 4294967296 + l_suppkey AS BIGINT) AS rec_no,
+       CAST(l_orderkey * 8 + l_linenumber + 2 AS BIGINT) AS orig_row,
+       CASE WHEN l_orderkey % 29 = 0 THEN '' ELSE p_name || ' #' || CAST(l_linenumber AS VARCHAR) END AS question,
+       p_brand AS option1, p_type AS option2,
+       CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE CAST(l_quantity AS VARCHAR) END AS option3,
+       l_returnflag AS option4,
+       CASE l_linenumber % 5 WHEN 0 THEN 'B' WHEN 1 THEN lower(p_type) WHEN 2 THEN '3' WHEN 3 THEN 'zzz'
+            ELSE l_returnflag END AS correct_answer
+FROM lineitem JOIN part ON p_partkey = l_partkey
+"""
+
+
+def bulk_import_lineitem() -> str:
+    return import_log_summary(BULK_QF)

@@ -192,3 +192,75 @@ def rollback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     beyond = o.agg((F.max("o_orderkey") + 1).cast("long").alias("log_id"))
     fixed = spark.createDataFrame([(0,), (-1,)], "log_id long")
     return urgent.unionByName(beyond).unionByName(fixed)
+
+
+def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents.text with an invisible tail by doc_id % 5 (INV, tab, BOM, &nbsp;, none);
+    every 11th document is replaced by invisible characters only."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    tail = (F.when(i % 5 == 0, F.lit(INV)).when(i % 5 == 1, F.lit("\t"))
+            .when(i % 5 == 2, F.lit("\ufeff")).when(i % 5 == 3, F.lit("&nbsp;")).otherwise(F.lit("")))
+    blank = F.lit(INV + "&zwj;\t&#160;")
+    return d.select("doc_id", F.when(i % 11 == 0, blank).otherwise(F.concat(F.col("text"), tail)).alias("text"))
+
+
+def pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages.html with '&nbsp;' appended when page_id % 3 = 0."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    return p.select("page_id", F.concat(F.col("html"), F.when(F.col("page_id") % 3 == 0, F.lit("&nbsp;"))
+                                        .otherwise(F.lit(""))).alias("html"))
+
+
+def delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents.text with ', ' turned into ';' (doc_id % 3 = 1) or a tab (= 2)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    t = (F.when(i % 3 == 1, F.replace(F.col("text"), F.lit(", "), F.lit(";")))
+         .when(i % 3 == 2, F.replace(F.col("text"), F.lit(", "), F.lit("\t"))).otherwise(F.col("text")))
+    return d.select("doc_id", t.alias("text"))
+
+
+def header_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-record candidates built from part rows (four shapes by key % 4)."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    size, price = F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")
+    cells = (F.when(k % 4 == 0, F.array(F.col("p_name"), size, price, F.col("p_brand")))
+             .when(k % 4 == 1, F.array(size, price, F.lit("")))
+             .when(k % 4 == 2, F.array(F.col("p_name"), size, price))
+             .otherwise(F.array(F.col("p_type"), F.col("p_brand"), F.lit(""), price)))
+    return p.select(k.cast("long").alias("k"), cells.alias("cells"))
+
+
+def bulk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question record per lineitem row (joined to its part): the large fixture.
+
+    import_id puts every order with key % 3 = 0 into import 0 (a third of all rows,
+    the skewed import); the rest spread over imports 1..24. orig_row follows the
+    order / line number; rec_no breaks the ties of repeated (order, line) pairs.
+    """
+    from ..operators.joins import join_small
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_quantity", "l_returnflag")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    j = join_small(li, part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", "inner")
+    ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    r = ln % 5
+    correct = (F.when(r == 0, F.lit("B")).when(r == 1, F.lower(F.col("p_type"))).when(r == 2, F.lit("3"))
+               .when(r == 3, F.lit("zzz")).otherwise(F.col("l_returnflag")))
+    cells = F.array(
+        _cell(0, "question", F.when(ok % 29 == 0, F.lit("")).otherwise(
+            F.concat(F.col("p_name"), F.lit(" #"), ln.cast("string")))),
+        _cell(1, "option1", F.col("p_brand")),
+        _cell(2, "option2", F.col("p_type")),
+        _cell(3, "option3", F.when(ln % 2 == 0, F.lit("")).otherwise(F.col("l_quantity").cast("string"))),
+        _cell(4, "option4", F.col("l_returnflag")),
+        _cell(5, "correct_answer", correct),
+    )
+    return j.select(
+        F.when(ok % 3 == 0, F.lit(0)).otherwise(ok % 25).cast("long").alias("import_id"),
+        (F.col("l_partkey") * F.lit(4294967296) + F.col("l_suppkey")).cast("long").alias("rec_no"),
+        (ok * 8 + ln + 2).cast("long").alias("orig_row"),
+        cells.alias("cells"))
