@@ -162,6 +162,23 @@ def strip_all_tags(c, remove_breaks: bool = False) -> Column:
     return php_trim(c)
 
 
+SANITIZE_SLOW_RE = r"[<%\r\n\t]|  "
+
+
+def sanitize_text_field_fast(c) -> Column:
+    """``sanitize_text_field`` for a cheap input expression (e.g. a lambda variable):
+    text without '<', '%', CR, LF, tab or a double space only needs the trim."""
+    c = F.coalesce(_c(c), F.lit(""))
+    return F.when(c.rlike(SANITIZE_SLOW_RE), sanitize_text_field(c)).otherwise(php_trim(c))
+
+
+def has_visible_text(c) -> Column:
+    """Exact fast path of ``normalize_text(c) != ''`` for cheap inputs: an ASCII
+    letter or digit always survives normalization; otherwise normalize."""
+    c = F.coalesce(_c(c), F.lit(""))
+    return c.rlike("[0-9A-Za-z]") | (normalize_text(c) != F.lit(""))
+
+
 def sanitize_text_field(c) -> Column:
     """Tags stripped, whitespace runs -> one space, trim, percent-encoded octets removed
     (three passes) and spaces squeezed again.

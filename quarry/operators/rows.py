@@ -53,7 +53,7 @@ def cell(cells: Column, key: str) -> Column:
 
 def has_content(cells: Column) -> Column:
     """some cell is non-empty after F02 normalization."""
-    return F.exists(cells, lambda c: T.normalize_text(c["value"]) != F.lit(""))
+    return F.exists(cells, lambda c: T.has_visible_text(c["value"]))
 
 
 def has_content_trim_only(cells: Column) -> Column:
@@ -71,19 +71,21 @@ def numbered_candidates(cells: Column) -> Column:
         F.coalesce(F.regexp_extract(c["key"], OPTION_NUMBERED_RE, 2).try_cast("long"),
                    F.lit(MAX_LONG)).alias("n"),
         c["pos"].alias("p"),
-        T.sanitize_text_field(T.php_trim(c["value"])).alias("v")))
+        T.sanitize_text_field_fast(T.php_trim(c["value"])).alias("v")))
 
 
 def compact_numbered(numbered: Column) -> Column:
-    """Same number twice -> the later key wins; sort by number; compact to 1..n."""
+    """Same number twice -> the later key wins; sort by number; compact to 1..n.
+    The quadratic duplicate check runs only when a number repeats."""
     kept = F.filter(numbered, lambda x: ~F.exists(
         numbered, lambda y: (y["n"] == x["n"]) & (y["p"] > x["p"])))
-    return F.transform(F.array_sort(kept), lambda x: x["v"])
+    unique = F.size(F.array_distinct(F.transform(numbered, lambda x: x["n"]))) == F.size(numbered)
+    return F.transform(F.array_sort(F.when(unique, numbered).otherwise(kept)), lambda x: x["v"])
 
 
 def options_prefixed(cells: Column) -> Column:
     cand = F.filter(cells, lambda c: c["key"].rlike(OPTION_PREFIX_RE) & (T.php_trim(c["value"]) != ""))
-    return F.transform(cand, lambda c: T.sanitize_text_field(T.php_trim(c["value"])))
+    return F.transform(cand, lambda c: T.sanitize_text_field_fast(T.php_trim(c["value"])))
 
 
 # ---------------------------------------------------------------------------
@@ -101,34 +103,52 @@ def correct_source(cells: Column) -> Column:
     return F.coalesce(*picks, generic, F.lit(""))
 
 
-def correct_ladder(opts: Column, raw: Column, rt: Column | None = None) -> tuple[Column, Column]:
-    """(1-based index or 0, method) for compacted ``opts`` and raw answer text;
-    ``rt`` may name a column already holding ``php_trim(raw)``."""
+def ladder_struct(opts: Column, raw: Column, rt: Column | None = None) -> Column:
+    """struct(i = 1-based index or 0, m = method) for compacted ``opts`` and raw text;
+    ``rt`` may be a cheap expression already holding ``php_trim(raw)``.
+
+    Each step is bound once (``let``) and the substring scan runs only when the
+    exact and number/letter steps fail.
+    """
     rt = T.php_trim(raw) if rt is None else rt
     n = F.size(opts)
-    exact = F.array_position(F.transform(opts, lambda o: F.lower(T.php_trim(o))), F.lower(rt))
-    num = F.regexp_extract(rt, r"[0-9]+", 0).try_cast("long")
-    letter = F.regexp_extract(rt, r"[a-fA-F]", 0)
-    num_ok = num.between(1, 6)
-    parsed = (F.when(num_ok, num)
-              .when(letter != "", F.ascii(F.upper(letter)) - 64)
-              .otherwise(F.lit(0)))
-    parsed_ok = (parsed > 0) & (parsed <= n)
-    folded = T.ascii_lower(rt)
-    sub = F.array_position(F.transform(opts, lambda o: F.instr(T.ascii_lower(T.php_trim(o)), folded) > 0),
-                           F.lit(True))
-    index = (F.when(raw == "", F.lit(0))
-             .when(exact > 0, exact)
-             .when(parsed_ok, parsed)
-             .when(sub > 0, sub)
-             .otherwise(F.lit(0))).cast("int")
-    method = (F.when(raw == "", F.lit("blank"))
-              .when(exact > 0, F.lit("exact"))
-              .when(parsed_ok & F.coalesce(num_ok, F.lit(False)), F.lit("number"))
-              .when(parsed_ok, F.lit("letter"))
-              .when(sub > 0, F.lit("substring"))
-              .otherwise(F.lit("none")))
-    return index, method
+
+    def steps(v):
+        num, letter = v["num"], v["letter"]
+        num_ok = F.coalesce(num.between(1, 6), F.lit(False))
+        parsed = (F.when(num_ok, num)
+                  .when(letter != "", F.ascii(F.upper(letter)) - 64)
+                  .otherwise(F.lit(0)))
+        return F.struct(v["exact"].alias("exact"), num_ok.alias("num_ok"), parsed.cast("long").alias("parsed"))
+
+    def decide(w):
+        parsed_ok = (w["parsed"] > 0) & (w["parsed"] <= n)
+
+        def by_substring(sub):
+            return F.when(sub > 0, F.struct(sub.cast("int").alias("i"), F.lit("substring").alias("m"))) \
+                .otherwise(F.struct(F.lit(0).alias("i"), F.lit("none").alias("m")))
+
+        folded = T.ascii_lower(rt)
+        sub = F.array_position(F.transform(opts, lambda o: F.instr(T.ascii_lower(T.php_trim(o)), folded) > 0),
+                               F.lit(True))
+        return (F.when(raw == "", F.struct(F.lit(0).alias("i"), F.lit("blank").alias("m")))
+                .when(w["exact"] > 0, F.struct(w["exact"].cast("int").alias("i"), F.lit("exact").alias("m")))
+                .when(parsed_ok, F.struct(w["parsed"].cast("int").alias("i"),
+                                          F.when(w["num_ok"], F.lit("number")).otherwise(F.lit("letter"))
+                                          .alias("m")))
+                .otherwise(let(sub, by_substring)))
+
+    first = F.struct(
+        F.array_position(F.transform(opts, lambda o: F.lower(T.php_trim(o))), F.lower(rt)).alias("exact"),
+        F.regexp_extract(rt, r"[0-9]+", 0).try_cast("long").alias("num"),
+        F.regexp_extract(rt, r"[a-fA-F]", 0).alias("letter"))
+    return let(let(first, steps), decide)
+
+
+def correct_ladder(opts: Column, raw: Column, rt: Column | None = None) -> tuple[Column, Column]:
+    """F18 as two columns (index, method); prefer ``ladder_struct`` inside lets."""
+    out = ladder_struct(opts, raw, rt)
+    return out["i"], out["m"]
 
 
 # ---------------------------------------------------------------------------
@@ -168,12 +188,11 @@ def row_fields(cells: Column, orig_row: Column) -> Column:
         qt = e["question_text"]
 
         def with_rt(rt):
-            idx, method = correct_ladder(opts, raw, rt)
             status = (F.when(qt == "", F.lit("missing_question"))
                       .when(F.size(opts) == 0, F.lit("no_options"))
                       .otherwise(F.lit("ok")))
-            return F.struct(status.alias("row_status"), idx.alias("correct_index"),
-                            method.alias("match_method"))
+            return let(ladder_struct(opts, raw, rt), lambda lad: F.struct(
+                status.alias("row_status"), lad["i"].alias("correct_index"), lad["m"].alias("match_method")))
 
         def finish(lad):
             st = lad["row_status"]
