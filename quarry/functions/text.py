@@ -173,10 +173,11 @@ def sanitize_text_field_fast(c) -> Column:
 
 
 def has_visible_text(c) -> Column:
-    """Exact fast path of ``normalize_text(c) != ''`` for cheap inputs: an ASCII
-    letter or digit always survives normalization; otherwise normalize."""
+    """Exact fast path of ``normalize_text(c) != ''`` for cheap inputs: without '&'
+    (no entity to decode) an ASCII letter or digit always survives normalization;
+    otherwise normalize."""
     c = F.coalesce(_c(c), F.lit(""))
-    return c.rlike("[0-9A-Za-z]") | (normalize_text(c) != F.lit(""))
+    return (~c.contains("&") & c.rlike("[0-9A-Za-z]")) | (normalize_text(c) != F.lit(""))
 
 
 def sanitize_text_field(c) -> Column:
