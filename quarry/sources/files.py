@@ -76,7 +76,7 @@ def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = files.filter(F.col("error").isNotNull()).select("import_id")
     recs = (decoded.filter(F.col("kind") == "record")
             .join(bad, "import_id", "left_anti")
-            .select("import_id", "rec_no", "orig_row", F.col("cells").cast(CELLS).alias("cells")))
+            .select("import_id", "rec_no", "orig_row", "cells"))
     return recs, files
 
 
