@@ -358,3 +358,61 @@ def bulk_import_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     logs = B.import_frames(D.bulk_records(spark, sf), _params(spark, sf),
                            import_time=F.lit(PINNED_TIME).cast("timestamp_ntz"))["logs"]
     return logs.join(B.notices(logs), "id").drop("import_time")
+
+
+# ---------------------------------------------------------------------------
+# File decoding and the library processor path
+# ---------------------------------------------------------------------------
+from ..operators import writers as W  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+
+
+@register("json_rows", duck.json_rows)
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """S07 + S08 + F07: events.props packed into JSON documents (bare lists, ``rows`` and
+    ``data`` envelopes, a scalar item in every 4th) and decoded back by the reader."""
+    ev = D.table(spark, sf, "events").select("event_id", "event_type", "props",
+                                             F.floor(F.col("event_id") / 100).cast("long").alias("bucket"))
+    docs = ev.groupBy("event_type", "bucket").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("items"))
+    body = F.concat(F.when(F.col("bucket") % 4 == 0, F.lit("42,")).otherwise(F.lit("")),
+                    F.array_join(F.transform("items", lambda x: x["props"]), ","))
+    content = (F.when(F.col("bucket") % 3 == 0, F.concat(F.lit("["), body, F.lit("]")))
+               .when(F.col("bucket") % 3 == 1, F.concat(F.lit('{"rows": ['), body, F.lit("]}")))
+               .otherwise(F.concat(F.lit('{"data": ['), body, F.lit("]}"))))
+    files = docs.select(F.col("bucket").alias("import_id"),
+                        F.concat(F.col("event_type"), F.lit("/"), F.col("bucket").cast("string"),
+                                 F.lit(".json")).alias("name"),
+                        F.encode(content, "UTF-8").alias("content"))
+    recs, _ = FS.split_decoded(FS.decode_contents(files, mode="lib"))
+    return recs.select(F.regexp_replace("name", r"\.json$", "").alias("doc"),
+                       (F.col("rec_no") + 1).alias("item_no"), F.explode("cells").alias("c")) \
+        .select("doc", "item_no", F.col("c.pos").alias("pos"), F.col("c.key").alias("key"),
+                F.col("c.value").alias("value"))
+
+
+@register("processor_summary", duck.processor_summary)
+def processor_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """F05 + F11 + F36 + A07 + U01 (built-in sink) per import."""
+    return W.processor_summary(W.process_rows(D.qrows(spark, sf)))
+
+
+@register("csv_roundtrip", duck.csv_roundtrip)
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S01 + S02: qrows written as CSV files (one folder per import, in the shared
+    checkpoint folder), read back with binaryFile and decoded, then evaluated."""
+    from ..session import staging_dir
+
+    out = staging_dir(spark, "csv-roundtrip")
+    wide = D.qrow_fields(D.table(spark, sf, "part"))
+    (wide.select("import_id", "question", "option1", "option2", "option3", "option4", "correct_answer")
+     .write.partitionBy("import_id").option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(out))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", "*.csv").load(out)
+    files = raw.select(F.regexp_extract("path", r"import_id=([0-9]+)", 1).cast("long").alias("import_id"),
+                       F.col("path").alias("name"), "content")
+    recs, _ = FS.split_decoded(FS.decode_contents(files, mode="live"))
+    ev = R.evaluate_rows(recs)
+    return ev.select("import_id", "question_text", F.array_join("opts", "|").alias("opts_text"),
+                     "row_status", "correct_index", "match_method")

@@ -609,3 +609,31 @@ FROM lineitem JOIN part ON p_partkey = l_partkey
 
 def bulk_import_lineitem() -> str:
     return import_log_summary(BULK_QF)
+
+
+def json_rows() -> str:
+    return """WITH e AS (SELECT event_id, event_type, props, CAST(floor(event_id / 100) AS BIGINT) AS bucket FROM events),
+items AS (SELECT event_type || '/' || CAST(bucket AS VARCHAR) AS doc,
+                 row_number() OVER (PARTITION BY event_type, bucket ORDER BY event_id)
+                 + CASE WHEN bucket % 4 = 0 THEN 1 ELSE 0 END AS item_no, props FROM e),
+scalars AS (SELECT DISTINCT event_type || '/' || CAST(bucket AS VARCHAR) AS doc FROM e WHERE bucket % 4 = 0)
+SELECT doc, CAST(item_no AS BIGINT) AS item_no, CAST(0 AS INTEGER) AS pos, k AS key,
+       json_extract_string(props, '$."' || k || '"') AS value
+FROM items, unnest(json_keys(props)) t(k)
+UNION ALL SELECT doc, CAST(1 AS BIGINT), CAST(0 AS INTEGER), '0', '42' FROM scalars"""
+
+
+def processor_summary() -> str:
+    cols = ["question", "option1", "option2", "option3", "option4", "correct_answer"]
+    blank = " AND ".join(f"{normalize(c)} = ''" for c in cols)
+    return f"""SELECT import_id, count(*) FILTER (WHERE {normalize('question')} <> '') AS imported_rows,
+       count(*) FILTER (WHERE {normalize('question')} = '') AS failed_rows,
+       count(*) FILTER (WHERE {normalize('question')} = '') AS n_errors,
+       count(*) AS total_rows
+FROM ({QF}) WHERE NOT ({blank}) GROUP BY import_id"""
+
+
+def csv_roundtrip() -> str:
+    return f"""WITH {evaluated()}
+SELECT import_id, question_text, array_to_string(opts, '|') AS opts_text, row_status, correct_index, match_method
+FROM ev"""

@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CELLS
 from .decode import decode_file
 
 DECODED_SCHEMA = (
-    "import_id long, kind string, rec_no long, orig_row long, "
+    "import_id long, name string, kind string, rec_no long, orig_row long, "
     "cells array<struct<pos:int,key:string,value:string>>, has_header boolean, "
     "n_records long, error string"
 )
@@ -27,7 +26,8 @@ def _decoder(mode: str, strip_bom: bool):
     import pyarrow as pa
 
     cell_t = pa.struct([("pos", pa.int32()), ("key", pa.string()), ("value", pa.string())])
-    schema = pa.schema([("import_id", pa.int64()), ("kind", pa.string()), ("rec_no", pa.int64()),
+    schema = pa.schema([("import_id", pa.int64()), ("name", pa.string()), ("kind", pa.string()),
+                        ("rec_no", pa.int64()),
                         ("orig_row", pa.int64()), ("cells", pa.list_(cell_t)),
                         ("has_header", pa.bool_()), ("n_records", pa.int64()), ("error", pa.string())])
 
@@ -38,6 +38,7 @@ def _decoder(mode: str, strip_bom: bool):
 
             def emit(imp, kind, rec, row, cells, hh, n, err):
                 out["import_id"].append(imp)
+                out["name"].append(cur_name[0])
                 out["kind"].append(kind)
                 out["rec_no"].append(rec)
                 out["orig_row"].append(row)
@@ -46,7 +47,9 @@ def _decoder(mode: str, strip_bom: bool):
                 out["n_records"].append(n)
                 out["error"].append(err)
 
+            cur_name = [None]
             for imp, name, content in zip(cols["import_id"], cols["name"], cols["content"]):
+                cur_name[0] = name
                 if content is None:
                     emit(imp, "file", None, None, None, None, 0, "File missing or too large.")
                     continue
@@ -72,11 +75,11 @@ def decode_contents(files: DataFrame, mode: str = "live", strip_bom: bool = True
 def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, per-file outcome). Imports whose file failed keep no records (the
     reference aborts them without a log row); their errors are in the file frame."""
-    files = decoded.filter(F.col("kind") == "file").select("import_id", "has_header", "n_records", "error")
+    files = decoded.filter(F.col("kind") == "file").select("import_id", "name", "has_header", "n_records", "error")
     bad = files.filter(F.col("error").isNotNull()).select("import_id")
     recs = (decoded.filter(F.col("kind") == "record")
             .join(bad, "import_id", "left_anti")
-            .select("import_id", "rec_no", "orig_row", "cells"))
+            .select("import_id", "name", "rec_no", "orig_row", "cells"))
     return recs, files
 
 
