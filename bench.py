@@ -82,7 +82,7 @@ def _consume(df) -> int:
     from pyspark.sql import functions as F
 
     cols = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_h")]
-    r = df.select(*cols).agg(F.count("*").alias("n"), F.sum("_h").alias("h")).collect()[0]
+    r = df.select(*cols).agg(F.count("*").alias("n"), F.bit_xor("_h").alias("h")).collect()[0]
     return int(r["n"])
 
 

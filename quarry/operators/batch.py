@@ -85,7 +85,10 @@ def category_text(has_taxonomy, cat_input, cat_numeric):
 
 def with_ids(scored: DataFrame, base: int = 1) -> tuple[DataFrame, DataFrame]:
     """Ids for accepted rows of every import; also returns per-bucket offsets."""
-    return assign_ids(scored, base=base, keep=F.col("row_status") == "ok")
+    # The keep flag is the cheap equivalent of row_status = 'ok', so the offsets branch
+    # (pruned to import_id, bucket, keep) never re-runs the full row evaluation.
+    from .rows import accepted, let
+    return assign_ids(scored, base=base, keep=let(F.col("cells"), accepted))
 
 
 def questions_from(ided: DataFrame) -> DataFrame:
@@ -166,13 +169,12 @@ def log_rows(params: DataFrame, scored: DataFrame, offsets: DataFrame, base: int
         z("n_errors").alias("n_errors"), z("n_warnings").alias("n_warnings"))
 
 
-def notices(logs: DataFrame) -> DataFrame:
-    """redirect notice per import."""
-    return logs.select(
-        "id",
-        F.when(F.col("failed_rows") > 0, F.lit("warning")).otherwise(F.lit("success")).alias("notice_level"),
-        F.format_string(MSG_NOTICE, F.col("success_rows"), F.col("failed_rows"),
-                        F.col("id").cast("string")).alias("notice"))
+def with_notice(logs: DataFrame) -> DataFrame:
+    """redirect notice per import, as columns of the log rows."""
+    return logs.withColumns({
+        "notice_level": F.when(F.col("failed_rows") > 0, F.lit("warning")).otherwise(F.lit("success")),
+        "notice": F.format_string(MSG_NOTICE, F.col("success_rows"), F.col("failed_rows"),
+                                  F.col("id").cast("string"))})
 
 
 def import_frames(records: DataFrame, params: DataFrame, base: int = 1, import_time=None):

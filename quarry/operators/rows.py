@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .parallel import spread
 from ..functions.constants import (CORRECT_GENERIC, CORRECT_KEYS, MSG_MISSING_QUESTION,
                                    MSG_NO_OPTIONS, MSG_UNMATCHED, OPTION_NUMBERED_RE,
                                    OPTION_PREFIX_RE)
@@ -56,6 +57,15 @@ def has_content(cells: Column) -> Column:
     return F.exists(cells, lambda c: T.has_visible_text(c["value"]))
 
 
+def accepted(cells: Column) -> Column:
+    """Cheap exact form of ``row_status = 'ok'`` for non-blank rows: a non-blank
+    question and at least one non-blank option-like cell (numbered option keys are a
+    subset of the prefix keys, and sanitizing never drops an option from the list)."""
+    q = T.php_trim(F.coalesce(cell(cells, "question"), F.lit("")))
+    return (q != "") & F.exists(cells, lambda c: c["key"].rlike(OPTION_PREFIX_RE)
+                                & (T.php_trim(c["value"]) != ""))
+
+
 def has_content_trim_only(cells: Column) -> Column:
     """some cell is non-empty after plain trim."""
     return F.exists(cells, lambda c: T.php_trim(F.coalesce(c["value"], F.lit(""))) != F.lit(""))
@@ -230,7 +240,7 @@ def evaluate_rows(records: DataFrame, keep_blank: bool = False) -> DataFrame:
     match_method, row_status ('ok' | 'missing_question' | 'no_options'), and the
     row message (E1 / E2 / E3) with its severity and code.
     """
-    df = records.withColumn("cells", normalized_cells(F.col("cells")))
+    df = spread(records).withColumn("cells", normalized_cells(F.col("cells")))
     df = df.withColumn("is_blank", ~let(F.col("cells"), has_content))
     if not keep_blank:
         df = df.filter(~F.col("is_blank")).drop("is_blank")

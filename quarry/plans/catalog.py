@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batch as B
+from ..operators.parallel import spread
 from ..operators import params as P
 from ..sources import derived as D
 from . import duck
@@ -44,8 +45,7 @@ def _frames(spark: SparkSession, sf: str, variant: str = "base") -> dict:
 @register("import_log_summary", duck.import_log_summary)
 def import_log_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: F04 F10 F13 F16-F19 W01 A02-A05 F34 F35 per import."""
-    logs = _frames(spark, sf)["logs"]
-    return logs.join(B.notices(logs), "id").drop("import_time")
+    return B.with_notice(_frames(spark, sf)["logs"]).drop("import_time")
 
 
 # ---------------------------------------------------------------------------
@@ -314,14 +314,14 @@ def safe_delete_count(spark: SparkSession, sf: str) -> DataFrame:
 @register("normalize_text", duck.normalize_text)
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     """F02 (+F24 invisible entities) over every document, whole text."""
-    d = D.documents_text(spark, sf).withColumn("normalized", T.normalize_text(F.col("text")))
+    d = spread(D.documents_text(spark, sf)).withColumn("normalized", T.normalize_text(F.col("text")))
     return d.select("doc_id", "normalized", (F.col("normalized") == "").alias("is_blank"))
 
 
 @register("entity_and_tag_clean", duck.entity_and_tag_clean)
 def entity_and_tag_clean(spark: SparkSession, sf: str) -> DataFrame:
     """F24-F26 over every page: text field sanitizing, tag stripping, rich-text cleaning."""
-    p = D.pages_html(spark, sf)
+    p = spread(D.pages_html(spark, sf))
     return p.select("page_id", T.sanitize_text_field(F.col("html")).alias("text_clean"),
                     T.strip_all_tags(F.col("html")).alias("stripped"),
                     T.kses_post(F.col("html")).alias("safe_html")) \
@@ -357,7 +357,7 @@ def bulk_import_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     all rows (skew path of W01 / A04)."""
     logs = B.import_frames(D.bulk_records(spark, sf), _params(spark, sf),
                            import_time=F.lit(PINNED_TIME).cast("timestamp_ntz"))["logs"]
-    return logs.join(B.notices(logs), "id").drop("import_time")
+    return B.with_notice(logs).drop("import_time")
 
 
 # ---------------------------------------------------------------------------

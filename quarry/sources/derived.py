@@ -67,8 +67,10 @@ def qrows(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
     key; k % 5 = 0 adds a leading ``Correct_Note`` cell; k % 4 = 1 adds a trailing
     ``OPTION1`` cell holding p_type (case folding + duplicate-key collapse).
     """
-    w = qrow_fields(table(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    from ..operators.parallel import spread
+
+    w = qrow_fields(spread(table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size")))
     k = F.col("k")
     if variant == "prefix":
         okeys = ["option_a", "option_b", "option_c", "option_d"]
@@ -242,8 +244,10 @@ def bulk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..operators.joins import join_small
 
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                 "l_quantity", "l_returnflag")
+    from ..operators.parallel import spread
+
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                        "l_quantity", "l_returnflag"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     j = join_small(li, part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", "inner")
     ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
