@@ -66,9 +66,7 @@ MSG_UNMATCHED = ('Row %d: correct_answer value "%s" did not match any option; '
                  "no correct answer assigned for this row.")
 MSG_NO_COLUMNS = "Row %d: no writable columns found in the target table. Skipped."
 MSG_PROC_MISSING_QUESTION = "Row %d: missing required question text."
-MSG_PROC_NO_WRITER = ("No insertion function found. Please provide a function to insert "
-                      "questions or add it to the insert_candidates array in "
-                      "class-import-processor.php")
+MSG_PROC_NO_WRITER = "No insertion function found. Please provide a function to insert questions."
 MSG_PROC_FAILED = "Insertion failed"
 MSG_PROC_UNKNOWN = "Row %d: unknown insertion result."
 MSG_NOTICE = "Import complete. %d inserted, %d failed (log: %s)."
