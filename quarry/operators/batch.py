@@ -72,8 +72,9 @@ def prepare(records: DataFrame, params: DataFrame, keep_blank: bool = False) ->
     p = params.select("import_id", "quiz_id", "quiz_name", "category_input", "category_is_numeric",
                       "question_type", "correct_mark", "incorrect_mark", "has_taxonomy")
     ev = join_small(ev, p, "import_id", "left")
-    return ev.withColumn("answers", score_answers(F.col("opts"), F.col("correct_index"),
-                                                  F.col("correct_mark"), F.col("incorrect_mark")))
+    from .rows import cached
+    return ev.withColumn("answers", cached("answers", lambda: score_answers(
+        F.col("opts"), F.col("correct_index"), F.col("correct_mark"), F.col("incorrect_mark"))))
 
 
 def category_text(has_taxonomy, cat_input, cat_numeric):
@@ -87,8 +88,8 @@ def with_ids(scored: DataFrame, base: int = 1) -> tuple[DataFrame, DataFrame]:
     """Ids for accepted rows of every import; also returns per-bucket offsets."""
     # The keep flag is the cheap equivalent of row_status = 'ok', so the offsets branch
     # (pruned to import_id, bucket, keep) never re-runs the full row evaluation.
-    from .rows import accepted, let
-    return assign_ids(scored, base=base, keep=let(F.col("cells"), accepted))
+    from .rows import accepted, cached, let
+    return assign_ids(scored, base=base, keep=cached("accepted", lambda: let(F.col("cells"), accepted)))
 
 
 def questions_from(ided: DataFrame) -> DataFrame:

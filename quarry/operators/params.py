@@ -35,17 +35,25 @@ def resolve_params(manifest: DataFrame, quizzes: DataFrame) -> DataFrame:
     quiz with a non-zero id; aliases that resolve to nothing are skipped. The name
     lookup is one set-oriented join of (import, alias rank, name) to ``quizzes``.
     """
-    cats = []
-    for k in CATEGORY_KEYS:
-        v = _param(k)
-        cats.append(F.when(T.php_trim(F.coalesce(v, F.lit(""))) != "", T.sanitize_text_field(v)))
-    types = [F.when(T.is_numeric(_param(k)), T.php_intval(_param(k))) for k in TYPE_KEYS]
+    from .rows import cached
+
+    def cat_expr():
+        cats = []
+        for k in CATEGORY_KEYS:
+            v = _param(k)
+            cats.append(F.when(T.php_trim(F.coalesce(v, F.lit(""))) != "", T.sanitize_text_field(v)))
+        return F.coalesce(*cats, F.lit(""))
+
+    def type_expr():
+        types = [F.when(T.is_numeric(_param(k)), T.php_intval(_param(k))) for k in TYPE_KEYS]
+        return F.coalesce(*types, F.lit(0)).cast("long")
+
     base = manifest.withColumns({
-        "category_input": F.coalesce(*cats, F.lit("")),
-        "question_type": F.coalesce(*types, F.lit(0)).cast("long"),
-        "correct_mark": _first_mark(CORRECT_MARK_KEYS, DEFAULT_CORRECT_MARK),
-        "incorrect_mark": _first_mark(INCORRECT_MARK_KEYS, DEFAULT_INCORRECT_MARK),
-    }).withColumn("category_is_numeric", T.is_numeric(F.col("category_input")))
+        "category_input": cached("p_category", cat_expr),
+        "question_type": cached("p_type", type_expr),
+        "correct_mark": cached("p_cm", lambda: _first_mark(CORRECT_MARK_KEYS, DEFAULT_CORRECT_MARK)),
+        "incorrect_mark": cached("p_im", lambda: _first_mark(INCORRECT_MARK_KEYS, DEFAULT_INCORRECT_MARK)),
+    }).withColumn("category_is_numeric", cached("p_catnum", lambda: T.is_numeric(F.col("category_input"))))
 
     # One candidate per (import, alias rank); numeric -> intval, else name lookup.
     cand = manifest.select(

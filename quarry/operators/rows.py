@@ -164,6 +164,26 @@ def correct_ladder(opts: Column, raw: Column, rt: Column | None = None) -> tuple
 # ---------------------------------------------------------------------------
 # The whole row projection
 # ---------------------------------------------------------------------------
+_COLUMN_CACHE: dict = {}
+
+
+def cached(name: str, build) -> Column:
+    """Build a fixed Column expression once per JVM and reuse it.
+
+    Row expressions over fixed column names are unresolved trees; reusing them
+    avoids thousands of Py4J calls per query plan.
+    """
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    key = (name, id(sc))
+    col = _COLUMN_CACHE.get(key)
+    if col is None:
+        col = build()
+        _COLUMN_CACHE[key] = col
+    return col
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and evaluate ``body(value)``: ``transform(array(v), x -> body)[0]``.
 
@@ -240,11 +260,12 @@ def evaluate_rows(records: DataFrame, keep_blank: bool = False) -> DataFrame:
     match_method, row_status ('ok' | 'missing_question' | 'no_options'), and the
     row message (E1 / E2 / E3) with its severity and code.
     """
-    df = spread(records).withColumn("cells", normalized_cells(F.col("cells")))
-    df = df.withColumn("is_blank", ~let(F.col("cells"), has_content))
+    df = spread(records).withColumn("cells", cached("normalized_cells",
+                                                    lambda: normalized_cells(F.col("cells"))))
+    df = df.withColumn("is_blank", cached("is_blank", lambda: ~let(F.col("cells"), has_content)))
     if not keep_blank:
         df = df.filter(~F.col("is_blank")).drop("is_blank")
-    df = df.withColumn("_ev", row_fields(F.col("cells"), F.col("orig_row")))
+    df = df.withColumn("_ev", cached("row_fields", lambda: row_fields(F.col("cells"), F.col("orig_row"))))
     names = ["question_text", "explanation", "opts", "correct_raw", "row_status", "correct_index",
              "match_method", "message", "severity", "code"]
     return df.select(*[c for c in df.columns if c != "_ev"], *[F.col("_ev")[n].alias(n) for n in names])
