@@ -416,3 +416,32 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     ev = R.evaluate_rows(recs)
     return ev.select("import_id", "question_text", F.array_join("opts", "|").alias("opts_text"),
                      "row_status", "correct_index", "match_method")
+
+
+def _workbooks(pdf):
+    """One XLSX workbook (bytes) per group of question rows, rows in record order."""
+    import pandas as pd
+
+    from ..sources.xlsx import xlsx_bytes
+
+    pdf = pdf.sort_values("rec_no")
+    cols = ["question", "option1", "option2", "option3", "option4", "correct_answer"]
+    rows = [cols] + pdf[cols].astype(str).values.tolist()
+    imp, chunk = int(pdf["import_id"].iloc[0]), int(pdf["chunk"].iloc[0])
+    return pd.DataFrame({"import_id": [imp], "name": [f"import_{imp}_{chunk}.xlsx"],
+                         "content": [xlsx_bytes(rows)]})
+
+
+@register("xlsx_roundtrip", duck.csv_roundtrip)
+def xlsx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Qrows packed into XLSX workbooks (<= 250 rows each, built in tasks by
+    applyInPandas) and decoded back by the reader, then evaluated."""
+    wide = D.qrow_fields(D.table(spark, sf, "part")).withColumn(
+        "chunk", F.floor(F.col("rec_no") / 250).cast("long"))
+    books = wide.select("import_id", "chunk", "rec_no", "question", "option1", "option2", "option3", "option4",
+                        "correct_answer").groupBy("import_id", "chunk").applyInPandas(
+        _workbooks, "import_id long, name string, content binary")
+    recs, _ = FS.split_decoded(FS.decode_contents(books, mode="live"))
+    ev = R.evaluate_rows(recs)
+    return ev.select("import_id", "question_text", F.array_join("opts", "|").alias("opts_text"),
+                     "row_status", "correct_index", "match_method")
