@@ -204,3 +204,56 @@ def dry_run(records: DataFrame, params: DataFrame) -> DataFrame:
                       z("invalid_rows").alias("invalid_rows"), z("warning_rows").alias("warning_rows"),
                       F.when(z("invalid_rows") > 0, F.lit(STATUS_PARTIAL)).otherwise(F.lit(STATUS_SUCCESS))
                       .alias("would_status"))
+
+
+# ---------------------------------------------------------------------------
+# Projection onto an existing target table
+# ---------------------------------------------------------------------------
+INSERT_KEYS = ["quiz_id", "question_name", "answer_array", "correct_answer", "question_answer_info",
+               "comments", "hints", "question_order", "question_type", "question_type_new",
+               "question_settings", "category", "linked_question", "deleted", "deleted_question_bank",
+               *[c for name in ANSWER_COLUMNS for c in (name, name + "_points")]]
+
+
+def writable_columns(target_columns: list[str]) -> list[tuple[str, str]]:
+    """(target column, source column) pairs the insert can write, decided at plan time.
+
+    Quiz id goes to the first existing synonym (F38), category text to the first
+    existing category synonym; everything else only where the column exists (F21).
+    """
+    from ..functions.constants import CATEGORY_COLUMN_SYNONYMS, QUIZ_COLUMN_SYNONYMS
+
+    have = set(target_columns)
+    pairs = [(k, k) for k in INSERT_KEYS if k in have]
+    for syn in QUIZ_COLUMN_SYNONYMS:
+        if syn in have:
+            if syn != "quiz_id":
+                pairs.append((syn, "quiz_id"))
+            break
+    for syn in CATEGORY_COLUMN_SYNONYMS:
+        if syn in have:
+            if syn != "category":
+                pairs.append((syn, "category"))
+            break
+    return pairs
+
+
+def fail_unwritable(scored: DataFrame, target_columns: list[str] | None) -> DataFrame:
+    """K10 (first case): with no writable column every accepted row fails."""
+    from ..functions.constants import MSG_NO_COLUMNS
+
+    if target_columns is None or writable_columns(target_columns):
+        return scored
+    ok = F.col("row_status") == "ok"
+    return scored.withColumns({
+        "message": F.when(ok, F.format_string(MSG_NO_COLUMNS, F.col("orig_row"))).otherwise(F.col("message")),
+        "severity": F.when(ok, F.lit("error")).otherwise(F.col("severity")),
+        "code": F.when(ok, F.lit("E4")).otherwise(F.col("code")),
+        "row_status": F.when(ok, F.lit("no_columns")).otherwise(F.col("row_status")),
+    })
+
+
+def project_to_target(questions: DataFrame, target_columns: list[str]) -> DataFrame:
+    """Questions restricted to the target's columns (ids and import_id always kept)."""
+    pairs = writable_columns(target_columns)
+    return questions.select("question_id", "import_id", *[F.col(src).alias(dst) for dst, src in pairs])

@@ -157,3 +157,26 @@ def update_log_fields(logs: DataFrame, log_id: int, data: dict) -> DataFrame:
     for k, v in data.items():
         out = out.withColumn(k, F.when(F.col("id") == F.lit(int(log_id)), F.lit(v)).otherwise(F.col(k)))
     return out
+
+
+def log_defaults(logs: DataFrame) -> DataFrame:
+    """every log field cast with its default when missing (status 'pending');
+    file names lose tags, quiz names and status are sanitized text."""
+    def col_or_null(name, typ):
+        return F.col(name).cast(typ) if name in logs.columns else F.lit(None).cast(typ)
+
+    def as_long(name):
+        v = col_or_null(name, "string")
+        return F.when(T.is_numeric(v), T.php_intval(v)).otherwise(F.lit(0)).cast("long")
+
+    return logs.select(
+        col_or_null("id", "long").alias("id"),
+        F.coalesce(T.strip_all_tags(col_or_null("file_name", "string")), F.lit("")).alias("file_name"),
+        as_long("uploader_id").alias("uploader_id"), as_long("quiz_id").alias("quiz_id"),
+        F.when(col_or_null("quiz_name", "string").isNull(), F.lit(""))
+        .otherwise(T.sanitize_text_field(col_or_null("quiz_name", "string"))).alias("quiz_name"),
+        F.coalesce(col_or_null("import_time", "timestamp_ntz"), F.localtimestamp()).alias("import_time"),
+        F.when(col_or_null("status", "string").isNull(), F.lit("pending"))
+        .otherwise(T.sanitize_text_field(col_or_null("status", "string"))).alias("status"),
+        as_long("total_rows").alias("total_rows"), as_long("success_rows").alias("success_rows"),
+        as_long("failed_rows").alias("failed_rows"))

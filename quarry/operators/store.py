@@ -52,12 +52,16 @@ def next_id_base(spark: SparkSession, root: str) -> int:
 
 def run_import(spark: SparkSession, root: str, records: DataFrame, params: DataFrame,
                file_errors: DataFrame | None = None, dry_run: bool = False, base: int | None = None,
-               import_time=None) -> dict:
-    """Import a batch; with ``dry_run`` only the validation report is returned."""
+               import_time=None, target_columns: list[str] | None = None) -> dict:
+    """Import a batch; with ``dry_run`` only the validation report is returned.
+
+    ``target_columns`` (optional) is the column list of an existing questions table:
+    rows are projected onto it (F21, F38), and if nothing is writable every accepted
+    row fails with E4 (K10)."""
     if dry_run:
         return {"report": B.dry_run(records, params)}
     base = next_id_base(spark, root) if base is None else base
-    scored = B.prepare(records, params)
+    scored = B.fail_unwritable(B.prepare(records, params), target_columns)
     ided, offsets = B.with_ids(scored, base=base)
     # Four writes read the evaluated rows: evaluate once, into the shared checkpoint
     # folder (reliable; a lost executor re-reads it instead of re-parsing files).
@@ -66,6 +70,8 @@ def run_import(spark: SparkSession, root: str, records: DataFrame, params: DataF
     fr = {"questions": questions, "links": B.category_links(questions), "row_errors": B.row_errors(ided),
           "logs": B.log_rows(params, ided, offsets, base=base, import_time=import_time)}
     q = fr["questions"].drop("has_taxonomy", "category_input", "category_is_numeric")
+    if target_columns is not None:
+        q = B.project_to_target(q, target_columns)
     q.write.mode("append").partitionBy("import_id").parquet(_path(root, "questions"))
     fr["links"].write.mode("append").parquet(_path(root, "question_terms"))
     fr["row_errors"].write.mode("append").parquet(_path(root, "row_errors"))

@@ -445,3 +445,17 @@ def xlsx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     ev = R.evaluate_rows(recs)
     return ev.select("import_id", "question_text", F.array_join("opts", "|").alias("opts_text"),
                      "row_status", "correct_index", "match_method")
+
+
+@register("logs_offset_page", duck.logs_offset_page)
+def logs_offset_page(spark: SparkSession, sf: str) -> DataFrame:
+    """``get_logs(per_page=25, offset=-5)``: the offset clamps to 0 (top-k)."""
+    return H.get_logs(_logs(spark, sf), per_page=25, offset=-5).select(
+        "id", "file_name", F.date_format("import_time", H.DATETIME_FMT).alias("import_time"), "status")
+
+
+@register("log_defaults", duck.log_defaults)
+def log_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """log fields cast with defaults, names sanitized, file names without tags."""
+    return H.log_defaults(_logs(spark, sf)).withColumn(
+        "import_time", F.date_format("import_time", H.DATETIME_FMT))

@@ -637,3 +637,22 @@ def csv_roundtrip() -> str:
     return f"""WITH {evaluated()}
 SELECT import_id, question_text, array_to_string(opts, '|') AS opts_text, row_status, correct_index, match_method
 FROM ev"""
+
+
+def logs_offset_page() -> str:
+    return f"""SELECT id, file_name, strftime(import_time, '%Y-%m-%d %H:%M:%S') AS import_time, status
+FROM ({LOGS}) ORDER BY import_time DESC, id DESC LIMIT 25"""
+
+
+def log_defaults() -> str:
+    def as_long(c):
+        v = f"CAST({c} AS VARCHAR)"
+        return f"CAST(CASE WHEN {is_numeric(v)} THEN {intval(v)} ELSE 0 END AS BIGINT)"
+    return f"""SELECT id, coalesce({strip_all_tags('file_name')}, '') AS file_name,
+       {as_long('uploader_id')} AS uploader_id, {as_long('quiz_id')} AS quiz_id,
+       CASE WHEN quiz_name IS NULL THEN '' ELSE {sanitize('quiz_name')} END AS quiz_name,
+       strftime(import_time, '%Y-%m-%d %H:%M:%S') AS import_time,
+       CASE WHEN status IS NULL THEN 'pending' ELSE {sanitize('status')} END AS status,
+       {as_long('total_rows')} AS total_rows, {as_long('success_rows')} AS success_rows,
+       {as_long('failed_rows')} AS failed_rows
+FROM ({LOGS})"""
