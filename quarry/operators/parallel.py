@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over ``min_partitions`` tasks when it arrives in fewer.
+    """Spread ``df`` over ``min_partitions`` tasks when it arrives in fewer.
 
-    Large inputs already come in many splits and are returned unchanged (no shuffle);
-    small-but-expensive inputs (a single row group, a handful of files) would
-    otherwise run their row evaluation in one task.
+    Large inputs already come in many splits and are returned unchanged. An input
+    in fewer splits (e.g. one parquet row group) is round-robined and checkpointed
+    to the shared checkpoint folder: a repartition alone is no barrier, because
+    Catalyst pushes filters on evaluated columns below it into the single scan task.
+    The checkpoint is reliable (it survives executor loss) and cuts the lineage.
     """
+    from ..session import ensure_checkpoint_dir
+
     spark = df.sparkSession
     n = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= n:
         return df
-    return df.repartition(n)
+    ensure_checkpoint_dir(spark)
+    return df.repartition(n).checkpoint(eager=True)

@@ -62,7 +62,7 @@ def accepted(cells: Column) -> Column:
     question and at least one non-blank option-like cell (numbered option keys are a
     subset of the prefix keys, and sanitizing never drops an option from the list)."""
     q = T.php_trim(F.coalesce(cell(cells, "question"), F.lit("")))
-    return (q != "") & F.exists(cells, lambda c: c["key"].rlike(OPTION_PREFIX_RE)
+    return (q != "") & F.exists(cells, lambda c: _option_like(c["key"], OPTION_PREFIX_RE)
                                 & (T.php_trim(c["value"]) != ""))
 
 
@@ -74,9 +74,16 @@ def has_content_trim_only(cells: Column) -> Column:
 # ---------------------------------------------------------------------------
 # options
 # ---------------------------------------------------------------------------
+def _option_like(key: Column, regex: str) -> Column:
+    """Key test with a cheap exact prefilter: every option-like key starts with 'o'
+    or 'a' (keys are ASCII-lower-cased by F08), so the regex runs only on those."""
+    return F.substring(key, 1, 1).isin("o", "a") & key.rlike(regex)
+
+
 def numbered_candidates(cells: Column) -> Column:
     """Non-blank cells whose key is ``option|answer|opt|ans`` + number, as (n, p, v)."""
-    cand = F.filter(cells, lambda c: c["key"].rlike(OPTION_NUMBERED_RE) & (T.php_trim(c["value"]) != ""))
+    cand = F.filter(cells, lambda c: _option_like(c["key"], OPTION_NUMBERED_RE)
+                    & (T.php_trim(c["value"]) != ""))
     return F.transform(cand, lambda c: F.struct(
         F.coalesce(F.regexp_extract(c["key"], OPTION_NUMBERED_RE, 2).try_cast("long"),
                    F.lit(MAX_LONG)).alias("n"),
@@ -94,7 +101,7 @@ def compact_numbered(numbered: Column) -> Column:
 
 
 def options_prefixed(cells: Column) -> Column:
-    cand = F.filter(cells, lambda c: c["key"].rlike(OPTION_PREFIX_RE) & (T.php_trim(c["value"]) != ""))
+    cand = F.filter(cells, lambda c: _option_like(c["key"], OPTION_PREFIX_RE) & (T.php_trim(c["value"]) != ""))
     return F.transform(cand, lambda c: T.sanitize_text_field_fast(T.php_trim(c["value"])))
 
 
