@@ -29,6 +29,8 @@ HEADLINE = [
     "recent_imports_page",
     "import_detail",
     "bulk_import_lineitem",    # large fixture: one question per lineitem row
+    "csv_roundtrip",           # files written, listed by binaryFile, decoded, evaluated
+    "json_rows",
 ]
 
 
@@ -63,6 +65,13 @@ def main() -> None:
         times[name] = round(statistics.median(samples), 3)
         rows[name] = n
     total = round(sum(times.values()), 3)
+    # Throughput of the import itself: input records per second (BASELINE "to be measured").
+    throughput = {}
+    inputs = {"import_log_summary": ("part", None), "bulk_import_lineitem": ("lineitem", None)}
+    for name, (tbl, _) in inputs.items():
+        if name in times and times[name] > 0:
+            n_in = spark.read.parquet(f"{sf_dir}/{tbl}.parquet").count()
+            throughput[name] = {"input_rows": n_in, "rows_per_sec": round(n_in / times[name], 1)}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "sum_of_median_query_seconds",
@@ -70,6 +79,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "rows": rows,
+        "throughput": throughput,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
         "repeat": repeat,

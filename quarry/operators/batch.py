@@ -178,14 +178,27 @@ def with_notice(logs: DataFrame) -> DataFrame:
                                   F.col("id").cast("string"))})
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Evaluate ``df`` once into the shared checkpoint folder (reliable checkpoint).
+
+    The evaluated rows feed several consumers (ids, offsets, log counts, questions,
+    errors); without this each consumer would re-decode files and re-run the row
+    rules. The checkpoint also survives executor loss and cuts the lineage.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def import_frames(records: DataFrame, params: DataFrame, base: int = 1, import_time=None):
     """All frames of one import batch (nothing is written)."""
-    scored = prepare(records, params)
+    scored = materialize(prepare(records, params))
     ided, offsets = with_ids(scored, base=base)
     questions = questions_from(ided)
     links = category_links(questions)
     errors = row_errors(ided)  # above the id window, so the filter is not pushed into the scan
-    logs = log_rows(params, ided, offsets, base=base, import_time=import_time)
+    logs = log_rows(params, scored, offsets, base=base, import_time=import_time)
     return {"scored": ided, "questions": questions, "links": links, "row_errors": errors,
             "logs": logs, "offsets": offsets}
 

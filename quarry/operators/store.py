@@ -61,14 +61,14 @@ def run_import(spark: SparkSession, root: str, records: DataFrame, params: DataF
     if dry_run:
         return {"report": B.dry_run(records, params)}
     base = next_id_base(spark, root) if base is None else base
-    scored = B.fail_unwritable(B.prepare(records, params), target_columns)
+    scored = B.materialize(B.fail_unwritable(B.prepare(records, params), target_columns))
     ided, offsets = B.with_ids(scored, base=base)
     # Four writes read the evaluated rows: evaluate once, into the shared checkpoint
     # folder (reliable; a lost executor re-reads it instead of re-parsing files).
     ided = ided.checkpoint(eager=True)
     questions = B.questions_from(ided)
     fr = {"questions": questions, "links": B.category_links(questions), "row_errors": B.row_errors(ided),
-          "logs": B.log_rows(params, ided, offsets, base=base, import_time=import_time)}
+          "logs": B.log_rows(params, scored, offsets, base=base, import_time=import_time)}
     q = fr["questions"].drop("has_taxonomy", "category_input", "category_is_numeric")
     if target_columns is not None:
         q = B.project_to_target(q, target_columns)
