@@ -18,13 +18,14 @@ def _param(key: str):
 
 
 def _first_mark(keys: list[str], default: float):
-    picks = []
-    for k in keys:
-        v = _param(k)
-        s = T.sanitize_text_field(v)
-        picks.append(F.when((T.php_trim(F.coalesce(v, F.lit(""))) != "") & T.is_numeric(s),
-                            T.php_floatval(s)))
-    return F.coalesce(*picks, F.lit(default)).cast("double")
+    """First alias whose trimmed value is non-blank and whose sanitized value is numeric
+    (aliases failing the test are skipped), as floatval; else ``default``."""
+    vals = F.array(*[_param(k) for k in keys])
+    ok = F.filter(vals, lambda v: (T.php_trim(F.coalesce(v, F.lit(""))) != "")
+                  & T.is_numeric(T.sanitize_text_field(v)))
+    first = F.get(ok, 0)
+    return F.when(first.isNotNull(), T.php_floatval(T.sanitize_text_field(first))) \
+        .otherwise(F.lit(default)).cast("double")
 
 
 def resolve_params(manifest: DataFrame, quizzes: DataFrame) -> DataFrame:
@@ -38,11 +39,10 @@ def resolve_params(manifest: DataFrame, quizzes: DataFrame) -> DataFrame:
     from .rows import cached
 
     def cat_expr():
-        cats = []
-        for k in CATEGORY_KEYS:
-            v = _param(k)
-            cats.append(F.when(T.php_trim(F.coalesce(v, F.lit(""))) != "", T.sanitize_text_field(v)))
-        return F.coalesce(*cats, F.lit(""))
+        # the first non-blank alias wins; only that value is sanitized
+        picks = [F.when(T.php_trim(F.coalesce(_param(k), F.lit(""))) != "", _param(k)) for k in CATEGORY_KEYS]
+        first = F.coalesce(*picks)
+        return F.when(first.isNotNull(), T.sanitize_text_field(first)).otherwise(F.lit(""))
 
     def type_expr():
         types = [F.when(T.is_numeric(_param(k)), T.php_intval(_param(k))) for k in TYPE_KEYS]

@@ -69,6 +69,9 @@ def _decoder(mode: str, strip_bom: bool):
 
 def decode_contents(files: DataFrame, mode: str = "live", strip_bom: bool = True) -> DataFrame:
     """``files(import_id, name, content)`` -> decoded rows (kind 'record' or 'file')."""
+    from ..session import ship_package
+
+    ship_package(files.sparkSession)
     return files.select("import_id", "name", "content").mapInArrow(_decoder(mode, strip_bom), DECODED_SCHEMA)
 
 
