@@ -126,7 +126,17 @@ def rollback_plan(requests: DataFrame, logs: DataFrame, log_ids: DataFrame,
                .otherwise(F.format_string(MSG_ROLLBACK_DONE, F.col("attempted"))))
     res = res.withColumn("message", message)
     events = ok.select(F.col("log_id").alias("id"), F.lit(STATUS_ROLLED_BACK).alias("status"))
-    return {"outcomes": res, "ids": ids, "removed": removed, "events": events}
+    return {"outcomes": res, "ids": ids, "removed": removed, "events": events,
+            "imports": ok.select(F.col("log_id").alias("import_id"))}
+
+
+def without_imports(table: DataFrame, imports: DataFrame, key: str = "import_id") -> DataFrame:
+    """J04 at import granularity: rows of imports that were not rolled back.
+
+    A rollback removes every question of a log, so the anti join runs against the
+    small set of rolled-back import ids (broadcast behind a size check) instead of
+    shuffling the questions table against an id list."""
+    return join_small(table, imports.select(F.col("import_id").alias(key)).distinct(), key, "left_anti")
 
 
 def without_ids(table: DataFrame, ids: DataFrame, key: str = "question_id") -> DataFrame:

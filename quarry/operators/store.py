@@ -7,7 +7,7 @@ Layout under ``root``::
     row_errors/       long-form messages (F39)
     file_errors/      imports whose file failed (Q18)
     import_logs/      one row per import, written last (K04)
-    tombstones/       question ids removed by rollbacks (K06, K07)
+    tombstones/       import ids removed by rollbacks (K06, K07)
     log_events/       status events, latest wins (K05)
 
 Writes go questions -> links -> errors -> log, so a log row implies complete data.
@@ -87,16 +87,16 @@ def run_import(spark: SparkSession, root: str, records: DataFrame, params: DataF
 
 
 def live_questions(spark: SparkSession, root: str) -> DataFrame:
-    """Questions minus rolled-back ids (J04 at read time)."""
+    """Questions minus rolled-back imports (J04 at read time, anti join on import_id)."""
     q = spark.read.parquet(_path(root, "questions"))
     t = table(spark, root, "tombstones")
-    return q if t is None else H.without_ids(q, t)
+    return q if t is None else H.without_imports(q, t)
 
 
 def live_links(spark: SparkSession, root: str) -> DataFrame:
     links = spark.read.parquet(_path(root, "question_terms"))
     t = table(spark, root, "tombstones")
-    return links if t is None else H.without_ids(links, t)
+    return links if t is None else H.without_imports(links, t)
 
 
 def logs_now(spark: SparkSession, root: str) -> DataFrame:
@@ -113,8 +113,8 @@ def rollback(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
     q = live_questions(spark, root)
     ids = q.select(F.col("import_id"), "question_id")
     plan = H.rollback_plan(requests, logs, ids, q)
-    plan["ids"].select("question_id", F.col("log_id").alias("import_id")) \
-        .write.mode("append").parquet(_path(root, "tombstones"))
+    # tombstones are import ids: a rollback always removes a whole import
+    plan["imports"].write.mode("append").parquet(_path(root, "tombstones"))
     seq = int(spark.sparkContext._jvm.java.lang.System.currentTimeMillis())
     plan["events"].withColumn("event_seq", F.lit(seq)) \
         .write.mode("append").parquet(_path(root, "log_events"))

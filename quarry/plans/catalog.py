@@ -269,7 +269,7 @@ def rollback_outcome(spark: SparkSession, sf: str) -> DataFrame:
 def rollback_survivors(spark: SparkSession, sf: str) -> DataFrame:
     """Questions left after the rollbacks (anti join on question_id)."""
     r = _rollback(spark, sf)
-    return H.without_ids(D.question_ids_of_logs(spark, sf), r["ids"])
+    return H.without_imports(D.question_ids_of_logs(spark, sf), r["imports"])
 
 
 @register("rollback_removed", duck.rollback_removed)
