@@ -85,11 +85,11 @@ def category_text(has_taxonomy, cat_input, cat_numeric):
 
 
 def with_ids(scored: DataFrame, base: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Ids for accepted rows of every import; also returns per-bucket offsets."""
-    # The keep flag is the cheap equivalent of row_status = 'ok', so the offsets branch
-    # (pruned to import_id, bucket, keep) never re-runs the full row evaluation.
-    from .rows import accepted, cached, let
-    return assign_ids(scored, base=base, keep=cached("accepted", lambda: let(F.col("cells"), accepted)))
+    """Ids for accepted rows of every import; also returns per-bucket offsets.
+
+    ``scored`` is the materialized evaluation, so reading ``row_status`` twice (rows
+    and offsets) costs a scan, not a second evaluation."""
+    return assign_ids(scored, base=base, keep=F.col("row_status") == "ok")
 
 
 def questions_from(ided: DataFrame) -> DataFrame:
@@ -138,8 +138,16 @@ def category_links(questions: DataFrame) -> DataFrame:
 
 def row_errors(scored: DataFrame) -> DataFrame:
     """F39 long form: one row per message, in row order (seq is the order inside a row)."""
-    return scored.filter(F.col("message").isNotNull()).select(
+    first = scored.filter(F.col("message").isNotNull()).select(
         "import_id", "orig_row", F.lit(1).alias("seq"), "severity", "code", "message")
+    if "message2" not in scored.columns:
+        return first
+    second = scored.filter(F.col("message2").isNotNull()).select(
+        "import_id", "orig_row",
+        F.when(F.col("message").isNotNull(), F.lit(2)).otherwise(F.lit(1)).alias("seq"),
+        F.col("severity2").alias("severity"),
+        F.col("code2").alias("code"), F.col("message2").alias("message"))
+    return first.unionByName(second)
 
 
 def log_rows(params: DataFrame, scored: DataFrame, offsets: DataFrame, base: int = 1,
@@ -149,10 +157,13 @@ def log_rows(params: DataFrame, scored: DataFrame, offsets: DataFrame, base: int
     Counts are partial-then-final aggregates on import_id; the inserted ids of an
     import are the contiguous range [first_question_id, last_question_id].
     """
+    n_err = F.col("message").isNotNull().cast("int")
+    if "message2" in scored.columns:
+        n_err = n_err + F.col("message2").isNotNull().cast("int")
     counts = scored.groupBy("import_id").agg(
         F.count("*").alias("total_rows"),
         F.count_if(F.col("row_status") != "ok").alias("failed_rows"),
-        F.count_if(F.col("message").isNotNull()).alias("n_errors"),
+        F.sum(n_err).alias("n_errors"),
         F.count_if(F.col("severity") == "warning").alias("n_warnings"))
     ids = id_ranges(offsets, base=base)
     t = import_time if import_time is not None else F.localtimestamp()
@@ -191,16 +202,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def import_frames(records: DataFrame, params: DataFrame, base: int = 1, import_time=None):
-    """All frames of one import batch (nothing is written)."""
-    scored = materialize(prepare(records, params))
-    ided, offsets = with_ids(scored, base=base)
-    questions = questions_from(ided)
-    links = category_links(questions)
-    errors = row_errors(ided)  # above the id window, so the filter is not pushed into the scan
-    logs = log_rows(params, scored, offsets, base=base, import_time=import_time)
-    return {"scored": ided, "questions": questions, "links": links, "row_errors": errors,
-            "logs": logs, "offsets": offsets}
+class ImportFrames(dict):
+    """Frames of one import batch, each built on first access (nothing is written)."""
+
+    def __init__(self, records: DataFrame, params: DataFrame, base: int = 1, import_time=None):
+        super().__init__()
+        self._args = (records, params, base, import_time)
+
+    def __missing__(self, key):
+        records, params, base, import_time = self._args
+        if key == "scored":
+            val = materialize(prepare(records, params).drop("cells"))
+        elif key in ("ided", "offsets"):
+            ided, offsets = with_ids(self["scored"], base=base)
+            self["ided"], self["offsets"] = ided, offsets
+            return self[key]
+        elif key == "questions":
+            val = questions_from(self["ided"])
+        elif key == "links":
+            val = category_links(self["questions"])
+        elif key == "row_errors":
+            val = row_errors(self["ided"])  # above the id window
+        elif key == "logs":
+            val = log_rows(params, self["scored"], self["offsets"], base=base, import_time=import_time)
+        else:
+            raise KeyError(key)
+        self[key] = val
+        return val
+
+
+def import_frames(records: DataFrame, params: DataFrame, base: int = 1, import_time=None) -> ImportFrames:
+    """All frames of one import batch, built lazily on access (nothing is written)."""
+    return ImportFrames(records, params, base=base, import_time=import_time)
 
 
 def dry_run(records: DataFrame, params: DataFrame) -> DataFrame:
@@ -258,10 +291,11 @@ def fail_unwritable(scored: DataFrame, target_columns: list[str] | None) -> Data
     if target_columns is None or writable_columns(target_columns):
         return scored
     ok = F.col("row_status") == "ok"
+    # an accepted row keeps its E3 warning (seq 1) and gains the E4 error (seq 2)
     return scored.withColumns({
-        "message": F.when(ok, F.format_string(MSG_NO_COLUMNS, F.col("orig_row"))).otherwise(F.col("message")),
-        "severity": F.when(ok, F.lit("error")).otherwise(F.col("severity")),
-        "code": F.when(ok, F.lit("E4")).otherwise(F.col("code")),
+        "message2": F.when(ok, F.format_string(MSG_NO_COLUMNS, F.col("orig_row"))),
+        "severity2": F.when(ok, F.lit("error")),
+        "code2": F.when(ok, F.lit("E4")),
         "row_status": F.when(ok, F.lit("no_columns")).otherwise(F.col("row_status")),
     })
 

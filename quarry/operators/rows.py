@@ -57,15 +57,6 @@ def has_content(cells: Column) -> Column:
     return F.exists(cells, lambda c: T.has_visible_text(c["value"]))
 
 
-def accepted(cells: Column) -> Column:
-    """Cheap exact form of ``row_status = 'ok'`` for non-blank rows: a non-blank
-    question and at least one non-blank option-like cell (numbered option keys are a
-    subset of the prefix keys, and sanitizing never drops an option from the list)."""
-    q = T.php_trim(F.coalesce(cell(cells, "question"), F.lit("")))
-    return (q != "") & F.exists(cells, lambda c: _option_like(c["key"], OPTION_PREFIX_RE)
-                                & (T.php_trim(c["value"]) != ""))
-
-
 def has_content_trim_only(cells: Column) -> Column:
     """some cell is non-empty after plain trim."""
     return F.exists(cells, lambda c: T.php_trim(F.coalesce(c["value"], F.lit(""))) != F.lit(""))

@@ -61,7 +61,7 @@ def run_import(spark: SparkSession, root: str, records: DataFrame, params: DataF
     if dry_run:
         return {"report": B.dry_run(records, params)}
     base = next_id_base(spark, root) if base is None else base
-    scored = B.materialize(B.fail_unwritable(B.prepare(records, params), target_columns))
+    scored = B.materialize(B.fail_unwritable(B.prepare(records, params), target_columns).drop("cells"))
     ided, offsets = B.with_ids(scored, base=base)
     # Four writes read the evaluated rows: evaluate once, into the shared checkpoint
     # folder (reliable; a lost executor re-reads it instead of re-parsing files).

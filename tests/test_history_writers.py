@@ -50,9 +50,9 @@ def test_target_projection_and_unwritable(spark):
                                "import_id long, orig_row long, row_status string, message string, "
                                "severity string, code string")
     out = {r["orig_row"]: r for r in B.fail_unwritable(df, ["foo"]).collect()}
-    assert out[2]["row_status"] == "no_columns" and out[2]["code"] == "E4"
-    assert out[2]["message"] == "Row 2: no writable columns found in the target table. Skipped."
-    assert out[3]["code"] == "E1"
+    assert out[2]["row_status"] == "no_columns" and out[2]["code2"] == "E4"
+    assert out[2]["message2"] == "Row 2: no writable columns found in the target table. Skipped."
+    assert out[3]["code"] == "E1" and out[3]["code2"] is None
 
 
 def records(spark):

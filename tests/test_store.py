@@ -94,3 +94,21 @@ def test_dry_run_writes_nothing(spark, tmp_path):
     r = {x["import_id"]: x for x in rep.collect()}
     assert r[1]["valid_rows"] == 3 and r[1]["invalid_rows"] == 2
     assert S.table(spark, root, "questions") is None
+
+
+def test_unwritable_target_fails_rows(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    write_files(d)
+    man = manifest(spark, d).filter("import_id = 1")
+    recs, files = FS.read_manifest_files(spark, man)
+    params = P.resolve_params(man, spark.createDataFrame([], "quiz_id long, quiz_name string"))
+    root = str(tmp_path / "wh")
+    S.run_import(spark, root, recs, params, file_errors=files, target_columns=["nothing"])
+    lg = S.logs_now(spark, root).first()
+    assert (lg["success_rows"], lg["failed_rows"], lg["total_rows"]) == (0, 5, 5)
+    assert lg["first_question_id"] is None
+    errs = spark.read.parquet(root + "/row_errors").orderBy("orig_row", "seq").collect()
+    assert [(r["orig_row"], r["seq"], r["code"]) for r in errs] == \
+        [(2, 1, "E4"), (3, 1, "E1"), (4, 1, "E4"), (6, 1, "E2"), (7, 1, "E3"), (7, 2, "E4")]
+    assert lg["n_errors"] == 6
