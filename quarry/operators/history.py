@@ -107,13 +107,15 @@ def rollback_plan(requests: DataFrame, logs: DataFrame, log_ids: DataFrame,
     req = req.withColumns({"outcome": outcome,
                            "was_rolled_back": F.lower(F.coalesce(F.col("_status"), F.lit(""))) == "rolledback"})
     ok = req.filter(F.col("outcome") == "rolled_back").select("log_id").distinct()
-    ids = (log_ids.filter(F.col("question_id") > 0)
-           .join(ok.withColumnRenamed("log_id", "import_id"), "import_id", "left_semi")
+    okb = ok.select(F.col("log_id").alias("import_id"))
+    # A question's import_id is its log id, so every step is a semi join against the
+    # small set of rolled-back logs (size-checked broadcast) plus partial aggregates;
+    # the questions table is never shuffled by question id.
+    ids = (join_small(log_ids.filter(F.col("question_id") > 0), okb, "import_id", "left_semi")
            .select(F.col("import_id").alias("log_id"), "question_id"))
-    removed = questions.join(ids.select("question_id"), "question_id", "left_semi")
+    removed = join_small(questions, okb, "import_id", "left_semi")
     per_log = ids.groupBy("log_id").agg(F.count("*").alias("attempted"))
-    removed_per_log = (removed.select("question_id").join(ids, "question_id")
-                       .groupBy("log_id").agg(F.count("*").alias("removed")))
+    removed_per_log = removed.groupBy(F.col("import_id").alias("log_id")).agg(F.count("*").alias("removed"))
     res = (req.join(per_log, "log_id", "left").join(removed_per_log, "log_id", "left")
            .select("log_id", "outcome", "was_rolled_back",
                    F.when(F.col("outcome") == "rolled_back", F.coalesce(F.col("attempted"), F.lit(0)))
