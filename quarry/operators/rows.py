@@ -111,7 +111,7 @@ def correct_source(cells: Column) -> Column:
     return F.coalesce(*picks, generic, F.lit(""))
 
 
-def ladder_struct(opts: Column, raw: Column, rt: Column | None = None) -> Column:
+def ladder_struct(opts: Column, raw: Column, rt: Column | None = None, strict_letters: bool = False) -> Column:
     """struct(i = 1-based index or 0, m = method) for compacted ``opts`` and raw text;
     ``rt`` may be a cheap expression already holding ``php_trim(raw)``.
 
@@ -149,7 +149,9 @@ def ladder_struct(opts: Column, raw: Column, rt: Column | None = None) -> Column
     first = F.struct(
         F.array_position(F.transform(opts, lambda o: F.lower(T.php_trim(o))), F.lower(rt)).alias("exact"),
         F.regexp_extract(rt, r"[0-9]+", 0).try_cast("long").alias("num"),
-        F.regexp_extract(rt, r"[a-fA-F]", 0).alias("letter"))
+        # Q1: by default a letter a-f anywhere counts ("None" -> E); strict mode
+        # accepts only an answer that is exactly one letter.
+        F.regexp_extract(rt, r"^[a-fA-F]$" if strict_letters else r"[a-fA-F]", 0).alias("letter"))
     return let(let(first, steps), decide)
 
 
@@ -208,7 +210,7 @@ def with_options(df: DataFrame, cells: str = "cells", out: str = "opts") -> Data
     return df.withColumn(out, options_of(F.col(cells)))
 
 
-def row_fields(cells: Column, orig_row: Column) -> Column:
+def row_fields(cells: Column, orig_row: Column, strict_letters: bool = False) -> Column:
     """Everything one record decides, as one struct (no shuffles, no copies)."""
     def body(e):
         opts = e["opts"]
@@ -219,7 +221,7 @@ def row_fields(cells: Column, orig_row: Column) -> Column:
             status = (F.when(qt == "", F.lit("missing_question"))
                       .when(F.size(opts) == 0, F.lit("no_options"))
                       .otherwise(F.lit("ok")))
-            return let(ladder_struct(opts, raw, rt), lambda lad: F.struct(
+            return let(ladder_struct(opts, raw, rt, strict_letters), lambda lad: F.struct(
                 status.alias("row_status"), lad["i"].alias("correct_index"), lad["m"].alias("match_method")))
 
         def finish(lad):
@@ -251,7 +253,7 @@ def row_fields(cells: Column, orig_row: Column) -> Column:
     return let(let(cells, first), body)
 
 
-def evaluate_rows(records: DataFrame, keep_blank: bool = False) -> DataFrame:
+def evaluate_rows(records: DataFrame, keep_blank: bool = False, strict_letters: bool = False) -> DataFrame:
     """Fold keys, drop blank rows (F04) and evaluate every row rule.
 
     Output adds: question_text, explanation, opts, correct_raw, correct_index,
@@ -263,7 +265,8 @@ def evaluate_rows(records: DataFrame, keep_blank: bool = False) -> DataFrame:
     df = df.withColumn("is_blank", cached("is_blank", lambda: ~let(F.col("cells"), has_content)))
     if not keep_blank:
         df = df.filter(~F.col("is_blank")).drop("is_blank")
-    df = df.withColumn("_ev", cached("row_fields", lambda: row_fields(F.col("cells"), F.col("orig_row"))))
+    df = df.withColumn("_ev", cached(f"row_fields:{strict_letters}",
+                                     lambda: row_fields(F.col("cells"), F.col("orig_row"), strict_letters)))
     names = ["question_text", "explanation", "opts", "correct_raw", "row_status", "correct_index",
              "match_method", "message", "severity", "code"]
     return df.select(*[c for c in df.columns if c != "_ev"], *[F.col("_ev")[n].alias(n) for n in names])

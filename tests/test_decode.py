@@ -86,3 +86,9 @@ def test_routing():
     assert D.decode_file("a.xls", b"x")[2] is not None
     assert D.decode_file("dir.v2/a", b"x")[2] is not None
     assert D.decode_file("a.CSV", b"q\nx\n")[0]
+
+
+def test_xlsx_library_mode_headers():
+    data = xlsx_bytes([["Question Text", "", "Option 1"], ["q", "mid", "a"]])
+    recs, hh, err = D.decode_xlsx(data, mode="lib")
+    assert err is None and cells(recs[0]) == [("question-text", "q"), ("B", "mid"), ("option-1", "a")]

@@ -96,3 +96,13 @@ def test_ids_are_dense_and_ordered_with_skew(spark):
     out, offsets = B.assign_ids(df, base=100, bucket_rows=256)
     rows = out.orderBy("import_id", "orig_row").collect()
     assert [r["question_id"] for r in rows] == list(range(100, 3100))
+
+
+def test_strict_letters_option(spark):
+    rows = [(2, [("question", "q"), ("option1", "a1"), ("option2", "a2"), ("option3", "a3"), ("option4", "a4"),
+                 ("option5", "a5"), ("correct_answer", "None")]),
+            (3, [("question", "q"), ("option1", "x"), ("option2", "y"), ("correct_answer", "b")])]
+    loose = {r["orig_row"]: r["correct_index"] for r in R.evaluate_rows(records(spark, rows)).collect()}
+    strict = {r["orig_row"]: r["correct_index"]
+              for r in R.evaluate_rows(records(spark, rows), strict_letters=True).collect()}
+    assert loose == {2: 5, 3: 2} and strict == {2: 0, 3: 2}
