@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .decode import decode_file
 
@@ -103,7 +104,87 @@ def read_manifest_files(spark: SparkSession, manifest: DataFrame, mode: str = "l
     # binaryFile reports qualified paths (file:/...); match on the path suffix.
     man = man.withColumn("_key", F.regexp_replace(F.col("path"), r"^file:", ""))
     raw = raw.withColumn("_key", F.regexp_replace(F.col("_p"), r"^file:", ""))
-    files = man.join(raw, "_key", "left").select(
+    joined = man.join(raw.select("_key", "length"), "_key", "left")
+    # CSV files above the cap take the splittable line path instead of one task.
+    is_csv = F.lower(F.regexp_extract(F.col("name"), r"\.([^./\\]*)$", 1)) == "csv"
+    big_csv = joined.filter(is_csv & (F.col("length") > F.lit(max_file_bytes)) & F.lit(mode == "live"))
+    small = joined.join(big_csv.select("import_id"), "import_id", "left_anti")
+    files = small.join(raw.select("_key", "content"), "_key", "left").select(
         "import_id", "name",
         F.when(F.col("length") <= F.lit(max_file_bytes), F.col("content")).alias("content"))
-    return split_decoded(decode_contents(files, mode, strip_bom))
+    recs, outcome = split_decoded(decode_contents(files, mode, strip_bom))
+    if big_csv.limit(1).count() == 0:
+        return recs, outcome
+    line_recs = read_csv_lines(spark, big_csv.select("import_id", "path"), strip_bom=strip_bom)
+    line_files = line_recs.groupBy("import_id").agg(F.count("*").alias("n_records")).select(
+        "import_id", F.lit(None).cast("string").alias("name"), F.lit(True).alias("has_header"),
+        "n_records", F.lit(None).cast("string").alias("error"))
+    return recs.unionByName(line_recs), outcome.unionByName(line_files)
+
+
+# ---------------------------------------------------------------------------
+# Splittable CSV path (S02 for large files without embedded newlines)
+# ---------------------------------------------------------------------------
+_NO_NULL = "\u0000\u0001"  # never equal to a field, so empty fields stay ''
+
+
+def _csv_options() -> dict:
+    # RFC 4180 quoting (Q10 fixed), no trimming, empty fields stay empty strings
+    return {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+            "ignoreTrailingWhiteSpace": "false", "nullValue": _NO_NULL, "mode": "PERMISSIVE"}
+
+
+def _fields(value, n: int):
+    schema = ", ".join(f"c{i} string" for i in range(n))
+    r = F.from_csv(value, schema, _csv_options())
+    return F.array(*[r[f"c{i}"] for i in range(n)])
+
+
+def read_csv_lines(spark: SparkSession, files: DataFrame, strip_bom: bool = True) -> DataFrame:
+    """Records of CSV files read line by line with ``spark.read.text`` (splittable).
+
+    ``files(import_id, path)``. Precondition: no quoted field spans lines. Line
+    ordinals come from each split's byte offset (``_metadata.file_block_start``) and
+    the row position inside the split, fixed up by per-split counts (one small row
+    per split), so one huge file is read by many tasks and nothing is collected.
+    """
+    from ..operators.joins import join_small
+    from ..session import ship_package
+
+    ship_package(spark)
+    paths = [r["path"] for r in files.select("path").distinct().collect()]
+    lines = spark.read.text(paths).select(
+        F.col("value"), F.col("_metadata.file_path").alias("_p"),
+        F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_mid"))
+    splits = lines.groupBy("_p", "_blk").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_p").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lines = join_small(lines, splits.select("_p", "_blk", "_m0", "_off"), ["_p", "_blk"], "inner")
+    lines = lines.withColumn("_ord", F.col("_off") + F.col("_mid") - F.col("_m0"))
+    if strip_bom:
+        lines = lines.withColumn("value", F.when(F.col("_ord") == 0, F.regexp_replace("value", "^﻿", ""))
+                                 .otherwise(F.col("value")))
+    head_lines = lines.filter(F.col("_ord") == 0).select("_p", "value")
+    # pieces between commas bound the field count from above (quoted commas only add)
+    bound = head_lines.agg(F.max(F.size(F.split("value", ",", -1)))).first()[0] or 1
+    heads = head_lines.select(
+        "_p", F.filter(_fields(F.col("value"), int(bound)), lambda x: x.isNotNull()).alias("_h"))
+    n = heads.agg(F.max(F.size("_h"))).first()[0] or 1
+    heads = heads.select("_p", F.transform("_h", lambda h: ascii_lower_trim(h)).alias("_keys"))
+    data = join_small(lines.filter(F.col("_ord") > 0), heads, "_p", "inner")
+    f = _fields(F.col("value"), int(n))
+    cells = F.transform(F.sequence(F.lit(0), F.size("_keys") - 1), lambda i: F.struct(
+        i.cast("int").alias("pos"), F.get(F.col("_keys"), i).alias("key"),
+        F.coalesce(F.get(f, i), F.lit("")).alias("value")))
+    man = files.select("import_id", F.regexp_replace("path", r"^file:", "").alias("_k"))
+    data = data.withColumn("_k", F.regexp_replace("_p", r"^file:", ""))
+    data = join_small(data, man, "_k", "inner")
+    return data.select("import_id", F.lit(None).cast("string").alias("name"),
+                       (F.col("_ord") - 1).alias("rec_no"), (F.col("_ord") + 1).alias("orig_row"),
+                       cells.alias("cells"))
+
+
+def ascii_lower_trim(c):
+    from ..functions.text import ascii_lower, php_trim
+
+    return ascii_lower(php_trim(c))

@@ -112,3 +112,30 @@ def test_unwritable_target_fails_rows(spark, tmp_path):
     assert [(r["orig_row"], r["seq"], r["code"]) for r in errs] == \
         [(2, 1, "E4"), (3, 1, "E1"), (4, 1, "E4"), (6, 1, "E2"), (7, 1, "E3"), (7, 2, "E4")]
     assert lg["n_errors"] == 6
+
+
+def test_csv_line_path_matches_file_decoder(spark, tmp_path):
+    """Large-CSV path (spark.read.text, split ordinals) == per-file decoder."""
+    d = tmp_path / "in"
+    d.mkdir()
+    rows = [["Q" + str(i), "a" if i % 3 else "", "b,c" if i % 4 == 0 else 'x "y"', str(i % 5)] for i in range(3000)]
+    rows[7] = ["", "", "", ""]
+    buf = io.StringIO()
+    w = csv.writer(buf)
+    w.writerow([" Question", "Option1", "OPTION2", "correct_answer"])
+    w.writerows(rows)
+    text = buf.getvalue().replace("\r\n", "\n") + "\nshort\n"
+    (d / "big.csv").write_text(text)
+    man = spark.createDataFrame([(9, "big.csv", str(d / "big.csv"), {}, 1, False)],
+                                "import_id long, file_name string, path string, params map<string,string>, "
+                                "uploader_id long, has_taxonomy boolean")
+    ref, _ = FS.read_manifest_files(spark, man)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")   # force many splits
+    try:
+        big, files = FS.read_manifest_files(spark, man, max_file_bytes=1000)
+        got = sorted((r["orig_row"], tuple((c["key"], c["value"]) for c in r["cells"])) for r in big.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted((r["orig_row"], tuple((c["key"], c["value"]) for c in r["cells"])) for r in ref.collect())
+    assert len(got) == 3002 and got == want
+    assert files.filter("error is not null").count() == 0
