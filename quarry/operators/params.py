@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.constants import (CATEGORY_KEYS, CORRECT_MARK_KEYS, DEFAULT_CORRECT_MARK,
@@ -92,4 +91,4 @@ def ordered_quizzes(quizzes: DataFrame) -> DataFrame:
     return quizzes.select("quiz_id", "quiz_name").orderBy("quiz_id")
 
 
-__all__ = ["resolve_params", "quiz_lookup_by_name", "ordered_quizzes", "Window"]
+__all__ = ["resolve_params", "quiz_lookup_by_name", "ordered_quizzes"]

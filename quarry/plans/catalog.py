@@ -12,10 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
+from ..functions import text as T
+from ..functions.constants import ANSWER_COLUMNS
 from ..operators import batch as B
-from ..operators.parallel import spread
+from ..operators import history as H
+from ..operators import lookups as L
 from ..operators import params as P
+from ..operators import rows as R
+from ..operators import writers as W
+from ..operators.joins import join_small  # noqa: F401  (re-exported for query authors)
+from ..operators.parallel import spread
 from ..sources import derived as D
+from ..sources import files as FS
 from . import duck
 
 PINNED_TIME = "2024-01-01 00:00:00"
@@ -51,11 +61,6 @@ def import_log_summary(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Row rules on the qrows fixture
 # ---------------------------------------------------------------------------
-from ..functions import text as T  # noqa: E402
-from ..functions.constants import ANSWER_COLUMNS  # noqa: E402
-from ..operators import rows as R  # noqa: E402
-from ..operators import lookups as L  # noqa: E402
-from pyspark.sql.window import Window  # noqa: E402
 
 
 @register("blank_rows", duck.blank_rows)
@@ -229,7 +234,6 @@ def question_types(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # History and rollback on the logs fixture (orders / lineitem)
 # ---------------------------------------------------------------------------
-from ..operators import history as H  # noqa: E402
 
 
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
@@ -363,8 +367,6 @@ def bulk_import_lineitem(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # File decoding and the library processor path
 # ---------------------------------------------------------------------------
-from ..operators import writers as W  # noqa: E402
-from ..sources import files as FS  # noqa: E402
 
 
 @register("json_rows", duck.json_rows)
