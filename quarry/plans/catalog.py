@@ -318,14 +318,14 @@ def safe_delete_count(spark: SparkSession, sf: str) -> DataFrame:
 @register("normalize_text", duck.normalize_text)
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     """F02 (+F24 invisible entities) over every document, whole text."""
-    d = spread(D.documents_text(spark, sf)).withColumn("normalized", T.normalize_text(F.col("text")))
+    d = spread(D.documents_text(spark, sf), materialize=False).withColumn("normalized", T.normalize_text(F.col("text")))
     return d.select("doc_id", "normalized", (F.col("normalized") == "").alias("is_blank"))
 
 
 @register("entity_and_tag_clean", duck.entity_and_tag_clean)
 def entity_and_tag_clean(spark: SparkSession, sf: str) -> DataFrame:
     """F24-F26 over every page: text field sanitizing, tag stripping, rich-text cleaning."""
-    p = spread(D.pages_html(spark, sf))
+    p = spread(D.pages_html(spark, sf), materialize=False)
     return p.select("page_id", T.sanitize_text_field(F.col("html")).alias("text_clean"),
                     T.strip_all_tags(F.col("html")).alias("stripped"),
                     T.kses_post(F.col("html")).alias("safe_html")) \

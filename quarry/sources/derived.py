@@ -70,7 +70,7 @@ def qrows(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
     from ..operators.parallel import spread
 
     w = qrow_fields(spread(table(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_size")))
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size"), materialize=False))
     k = F.col("k")
     if variant == "prefix":
         okeys = ["option_a", "option_b", "option_c", "option_d"]
