@@ -139,3 +139,21 @@ def test_csv_line_path_matches_file_decoder(spark, tmp_path):
     want = sorted((r["orig_row"], tuple((c["key"], c["value"]) for c in r["cells"])) for r in ref.collect())
     assert len(got) == 3002 and got == want
     assert files.filter("error is not null").count() == 0
+
+
+def test_compact_after_rollback(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    write_files(d)
+    man = manifest(spark, d).filter("import_id in (1, 3)")
+    recs, files = FS.read_manifest_files(spark, man)
+    params = P.resolve_params(man, spark.createDataFrame([], "quiz_id long, quiz_name string"))
+    root, fresh = str(tmp_path / "wh"), str(tmp_path / "wh2")
+    S.run_import(spark, root, recs, params, file_errors=files)
+    S.rollback(spark, root, spark.createDataFrame([(3,)], "log_id long"))
+    S.compact(spark, root, fresh)
+    q = spark.read.parquet(fresh + "/questions")
+    assert q.count() == 3 and {r["import_id"] for r in q.select("import_id").distinct().collect()} == {1}
+    st = {r["id"]: r["status"] for r in spark.read.parquet(fresh + "/import_logs").collect()}
+    assert st == {1: "Partial", 3: "RolledBack"}
+    assert S.table(spark, fresh, "tombstones") is None   # compacted tables need no tombstones
