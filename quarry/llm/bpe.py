@@ -20,6 +20,7 @@ length are encoded whole. Repeated rows and extra columns pass through unchanged
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
@@ -256,6 +257,13 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
+        gc.disable()  # the many small tuples hold no cycles
+        try:
+            return self._encode_batch(texts)
+        finally:
+            gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         out = []
         for at in range(0, len(texts), 256):
             if len(self.words) > 400_000:  # memory bound of what is remembered

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, urls, warc
+from . import bpe, line_rules, simhash, urls, warc
 from .common import table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -25,6 +25,13 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return d.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                    "component_id")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives and read them back."""
     got = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -52,7 +59,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_warc": op3_warc, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
+    "op1_simhash": op1_simhash, "op3_warc": op3_warc, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {}
