@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, simhash, urls, warc
-from .common import table
+from . import bpe, gam, line_rules, simhash, urls, warc
+from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -32,6 +32,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "component_id")
 
 
+def op2_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    s = gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda i: fold_of(i) == 0)
+    return s.select(F.col("id").alias("doc_id"), (fold_of(F.col("id")) == 0).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives and read them back."""
     got = warc.round_trip(table(spark, sf_dir, "pages"))
@@ -59,7 +66,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash, "op3_warc": op3_warc, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
+    "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {}
