@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gam, line_rules, simhash, urls, warc
+from . import bpe, decontam, gam, line_rules, simhash, urls, warc
 from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -45,6 +45,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds a passage of."""
+    d = decontam.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return d.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"),
+                    F.array_sort(F.map_keys("overlaps")).alias("item_ids"),
+                    F.coalesce(F.array_max(F.map_values("overlaps")), F.lit(0)).alias("overlap_words"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page url."""
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select(
@@ -66,7 +74,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
+    "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {}
