@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, gam, line_rules, simhash, urls, warc
+from . import bpe, decontam, gam, line_rules, simhash, suffixes, urls, warc
 from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -73,8 +73,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 200-byte strings."""
+    c = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return c.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans",
+                    F.sha2("cut.left", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
+    "op9_suffixes": op9_suffixes,
 }
 
 ORACLES: dict[str, str] = {}
