@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, gam, line_rules, simhash, suffixes, urls, warc
+from . import bpe, decontam, gam, licences, line_rules, simhash, suffixes, urls, warc
 from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -53,6 +53,13 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce(F.array_max(F.map_values("overlaps")), F.lit(0)).alias("overlap_words"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or is."""
+    d = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licences.known_licences(spark))
+    return d.select("doc_id", F.size("licences").alias("n_licences"), F.array_join("licences", ",").alias("licences"),
+                    (F.size("whole_text") > 0).alias("whole_text"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page url."""
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select(
@@ -81,8 +88,48 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
+    "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_licences": op5_licences,
+    "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
     "op9_suffixes": op9_suffixes,
 }
 
-ORACLES: dict[str, str] = {}
+def _licence_sql() -> str:
+    line = "lower(x)"
+    for old, new in licences.SPELLINGS:
+        line = f"regexp_replace({line}, '{old}', '{new.replace('$', chr(92))}', 'g')"
+    line = f"trim(regexp_replace({line}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    def canon(text):
+        kept = f"list_filter(string_split({text}, chr(10)), lambda x: NOT regexp_matches(lower(x), '{licences.COPYRIGHT}'))"
+        return f"list_filter(list_transform({kept}, lambda x: {line}), lambda x: x <> '')"
+
+    rows = ", ".join(f"('{k}', '{t}')" for k, ts in licences.NOTICES.items() for t in ts)
+    return f"""
+WITH known AS (SELECT DISTINCT id, md5(array_to_string({canon('text')}, ' ')) AS digest
+               FROM (VALUES {rows}) v(id, text)),
+d AS (SELECT doc_id, {canon("coalesce(text, '')")} AS lines FROM documents),
+u AS (SELECT doc_id, true AS whole, md5(array_to_string(lines, ' ')) AS digest FROM d WHERE len(lines) > 0
+      UNION ALL SELECT doc_id, false, md5(x) FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
+hits AS (SELECT DISTINCT doc_id, whole, id FROM u JOIN known USING (digest)),
+per AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids, bool_or(whole) AS whole FROM hits GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ids), 0)::INTEGER AS n_licences, coalesce(array_to_string(ids, ','), '') AS licences,
+       coalesce(per.whole, false) AS whole_text
+FROM d LEFT JOIN per USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+WITH r AS (SELECT page_id, coalesce({rest}, '') AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(rh, rp, rv) AS (VALUES {rules}),
+m AS (SELECT page_id, host, path, rh || rp AS rule, rv FROM p LEFT JOIN rules
+      ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1"""
+
+
+ORACLES: dict[str, str] = {"op5_licences": _licence_sql(), "op6_urls": _url_sql()}
