@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, gam, licences, line_rules, simhash, suffixes, urls, warc
+from . import bpe, decontam, gam, licences, line_rules, lm, simhash, suffixes, urls, warc
 from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -87,10 +87,17 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("cut.left", 256).alias("kept_sha256"))
 
 
+def op10_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document; one fold is held out of the training."""
+    s, facts = lm.fit_score(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id")) != 1)
+    return s.select(F.col("id").alias("doc_id"), (fold_of(F.col("id")) == 1).alias("held_out"), "n_tokens", "n_known",
+                    F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_licences": op5_licences,
     "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
-    "op9_suffixes": op9_suffixes,
+    "op9_suffixes": op9_suffixes, "op10_trie_lm": op10_trie_lm,
 }
 
 def _licence_sql() -> str:
