@@ -57,7 +57,6 @@ NO_QUIZ_LABEL = "— (not set) —"
 STATUS_SUCCESS = "Success"
 STATUS_PARTIAL = "Partial"
 STATUS_ROLLED_BACK = "RolledBack"
-STATUS_PENDING = "pending"
 
 # Message formats ("Row %d: ..."), PHP sprintf form translated to format_string.
 MSG_MISSING_QUESTION = "Row %d: missing question text. Skipped."
@@ -76,4 +75,4 @@ MSG_LOG_NOT_FOUND = "Log entry not found."
 MSG_NO_IDS = "No question IDs found for rollback."
 MSG_UNSUPPORTED = "Unsupported file type. Upload CSV/XLS/XLSX/JSON."
 MSG_JSON_INVALID = "JSON decode failed or invalid JSON structure."
-MSG_CSV_OPEN = "Could not open CSV file."
+MSG_ALREADY_ROLLED_BACK = "Import was already rolled back."

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .constants import INVISIBLE_TO_SPACE, PHP_TRIM_CHARS
 
+MAX_LONG = 9223372036854775807
+MIN_LONG = -MAX_LONG - 1
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -123,10 +125,6 @@ def normalize_text(c) -> Column:
     return php_trim(c)
 
 
-def is_blank_text(c) -> Column:
-    return normalize_text(c) == F.lit("")
-
-
 # ---------------------------------------------------------------------------
 # F29 and PHP number parsing
 # ---------------------------------------------------------------------------
@@ -142,13 +140,16 @@ def php_floatval(c) -> Column:
 
 
 def php_intval(c) -> Column:
-    """``intval`` on strings: leading numeric prefix truncated toward zero, else 0.
-
-    Values beyond the 64-bit range yield 0 here (PHP saturates; documented edge).
-    """
-    d = php_floatval(c)
-    return F.when(d.isNull() | F.isnan(d), F.lit(0)).otherwise(
-        F.coalesce(d.try_cast("long"), F.lit(0))).cast("long")
+    """``intval`` on strings: leading integer as BIGINT, saturating at the 64-bit bounds; a
+    number with a fraction or exponent goes through double (0 beyond the 64-bit range)."""
+    c = F.coalesce(_c(c), F.lit(""))
+    lead = F.regexp_extract(c, LEADING_NUMBER_RE, 1)
+    whole = F.regexp_extract(c, LEADING_INT_RE, 1)
+    d = F.coalesce(lead.try_cast("double"), F.lit(0.0))
+    exact = (F.when(whole == "", F.lit(0))
+             .otherwise(F.coalesce(whole.try_cast("long"),
+                                   F.when(whole.startswith("-"), F.lit(MIN_LONG)).otherwise(F.lit(MAX_LONG)))))
+    return F.when(lead.rlike("[.eE]"), F.coalesce(d.try_cast("long"), F.lit(0))).otherwise(exact).cast("long")
 
 
 # ---------------------------------------------------------------------------
@@ -201,24 +202,6 @@ def kses_post(c) -> Column:
     return F.regexp_replace(F.regexp_replace(c, SCRIPT_STYLE_RE, ""), EVENT_ATTR_RE, "")
 
 
-def slug(c) -> Column:
-    """F27 header slug: lower, keep [a-z0-9 _-], spaces -> '-', squeeze '-'."""
-    s = F.lower(strip_all_tags(c))
-    s = F.regexp_replace(s, r"[^a-z0-9 _-]", "")
-    s = F.regexp_replace(s, r"[ ]+", "-")
-    s = F.regexp_replace(s, r"-+", "-")
-    return F.regexp_replace(s, r"^-|-$", "")
-
-
-def basename(c) -> Column:
-    return F.regexp_extract(_c(c), r"([^/\\]*)$", 1)
-
-
-def extension(c) -> Column:
-    """``strtolower(pathinfo(name, PATHINFO_EXTENSION))``."""
-    return ascii_lower(F.regexp_extract(basename(c), r"\.([^.]*)$", 1))
-
-
 # ---------------------------------------------------------------------------
 # F22 / F23 helpers
 # ---------------------------------------------------------------------------

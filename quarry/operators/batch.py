@@ -23,34 +23,68 @@ from .rows import evaluate_rows, score_answers
 ID_BUCKET_ROWS = 1 << 20
 
 
+def running_offsets(counts: DataFrame, keys: list[str], n: str = "_n", out: str = "_off") -> DataFrame:
+    """Adds ``out``: the sum of ``n`` over all rows before, in the order of ``keys``.
+
+    A prefix sum in two levels, without a window over everything: the rows are dealt into
+    ranges (written once, so a range keeps its rows), the ranges' sums (one number each,
+    as many as there are shuffle partitions) are added up on the driver, and a window per
+    range does the rest.
+    """
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counts.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
+    sums = {r["_part"]: r["s"] for r in ranged.groupBy("_part").agg(F.sum(n).alias("s")).collect()}
+    before, total = {}, 0
+    for p in sorted(sums):
+        before[p], total = total, total + int(sums[p] or 0)
+    start = F.lit(0).cast("long")
+    if before:
+        start = F.element_at(F.create_map(*[F.lit(x) for p, v in before.items() for x in (p, v)]), F.col("_part"))
+    w = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn(out, (start + F.coalesce(F.sum(n).over(w), F.lit(0))).cast("long")).drop("_part")
+
+
+def bucket_rank(rows: DataFrame, grp: str, ordcol: str, keep, bucket_rows: int = ID_BUCKET_ROWS) -> DataFrame:
+    """Adds ``_bkt`` and ``_rk``, the running count of ``keep`` rows inside the (group,
+    bucket of source rows) window, so a huge group is spread over bounded windows."""
+    rows = rows.withColumns({"_bkt": F.floor(F.col(ordcol) / F.lit(bucket_rows)).cast("long"),
+                             "_keep": keep.cast("int")})
+    # rec_no breaks ties between equal source rows, so the order is total (deterministic).
+    order_cols = [ordcol] + (["rec_no"] if "rec_no" in rows.columns and ordcol != "rec_no" else [])
+    w = (Window.partitionBy(grp, "_bkt").orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_rk", F.sum("_keep").over(w))
+
+
+def rank_in_group(rows: DataFrame, grp: str, ordcol: str, out: str, bucket_rows: int = ID_BUCKET_ROWS) -> DataFrame:
+    """Dense 1-based rank of each row inside its group, by bucketed windows."""
+    ranked = bucket_rank(rows, grp, ordcol, F.lit(True), bucket_rows)
+    w = Window.partitionBy(grp).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = ranked.groupBy(grp, "_bkt").agg(F.count("*").alias("_n")).select(
+        grp, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return ranked.join(offs, [grp, "_bkt"]).withColumn(out, (F.col("_off") + F.col("_rk")).cast("long")) \
+        .drop("_bkt", "_rk", "_off", "_keep")
+
+
 def assign_ids(rows: DataFrame, base: int = 1, id_col: str = "question_id",
                order=("import_id", "orig_row"), keep=None,
                bucket_rows: int = ID_BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """Dense ids in ``order`` starting at ``base`` for rows where ``keep`` holds.
 
-    Deterministic and skew-safe, with a single shuffle of the rows:
-    1. running count of kept rows inside (group, order // bucket_rows) windows, so a
-       huge import is spread over many bounded window partitions;
-    2. per-bucket counts from the same partitioning (no second exchange);
-    3. running offset over the bucket counts (one row per bucket, tiny);
-    4. id = base + offset + running count - 1, joined back on the window keys.
+    Deterministic and skew-safe: a running count of kept rows inside (group, bucket)
+    windows, per-bucket counts from a scan of the two columns, their offsets by a two-level
+    prefix sum, and id = base + offset + running count - 1.
 
     Returns (rows with ``id_col`` (NULL where not kept), per-bucket counts with offsets).
     """
     grp, ordcol = order
     keep = F.lit(True) if keep is None else keep
-    rows = rows.withColumns({"_bkt": F.floor(F.col(ordcol) / F.lit(bucket_rows)).cast("long"),
-                             "_keep": keep.cast("int")})
-    # rec_no breaks ties between equal source rows, so the order is total (deterministic).
-    order_cols = [ordcol] + (["rec_no"] if "rec_no" in rows.columns and ordcol != "rec_no" else [])
-    w = (Window.partitionBy(grp, "_bkt").orderBy(*order_cols)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = rows.withColumn("_rk", F.sum("_keep").over(w))
-    buckets = ranked.groupBy(grp, "_bkt").agg(F.sum("_keep").alias("_n"))
-    offsets = buckets.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(
-            Window.orderBy(grp, "_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranked.join(offsets.select(grp, "_bkt", "_off"), [grp, "_bkt"], "inner")
+    buckets = rows.groupBy(F.col(grp), F.floor(F.col(ordcol) / F.lit(bucket_rows)).cast("long").alias("_bkt")).agg(
+        F.sum(keep.cast("int")).alias("_n"))
+    offsets = running_offsets(buckets, [grp, "_bkt"])
+    ranked = bucket_rank(rows, grp, ordcol, keep, bucket_rows)
+    out = join_small(ranked, offsets.select(grp, "_bkt", "_off"), [grp, "_bkt"], "inner")
     out = out.withColumn(id_col, F.when(F.col("_keep") == 1,
                                         (F.lit(base) + F.col("_off") + F.col("_rk") - 1).cast("long")))
     return out.drop("_bkt", "_rk", "_off", "_keep"), offsets
@@ -214,7 +248,7 @@ class ImportFrames(dict):
         if key == "scored":
             val = materialize(prepare(records, params).drop("cells"))
         elif key in ("ided", "offsets"):
-            ided, offsets = with_ids(self["scored"], base=base)
+            ided, offsets = with_ids(self["scored"], base=base)  # the log needs the offsets only
             self["ided"], self["offsets"] = ided, offsets
             return self[key]
         elif key == "questions":
@@ -222,7 +256,7 @@ class ImportFrames(dict):
         elif key == "links":
             val = category_links(self["questions"])
         elif key == "row_errors":
-            val = row_errors(self["ided"])  # above the id window
+            val = row_errors(self["scored"])  # messages need no ids
         elif key == "logs":
             val = log_rows(params, self["scored"], self["offsets"], base=base, import_time=import_time)
         else:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import (MSG_BAD_LOG_ID, MSG_LOG_NOT_FOUND, MSG_NO_IDS, MSG_ROLLBACK_DONE,
+from ..functions.constants import (MSG_ALREADY_ROLLED_BACK, MSG_BAD_LOG_ID, MSG_LOG_NOT_FOUND, MSG_NO_IDS, MSG_ROLLBACK_DONE,
                                    NO_QUIZ_LABEL, RECENT_PAGE_SIZE, STATUS_ROLLED_BACK)
 from .joins import join_small
 
@@ -83,52 +83,40 @@ def import_detail(logs: DataFrame, quizzes: DataFrame) -> DataFrame:
         rollback_eligible(F.col("n_question_ids"), F.col("status")).alias("can_rollback"))
 
 
-def lookup_log(logs: DataFrame, log_id: int) -> DataFrame:
-    """``WHERE id = ? LIMIT 1`` (pushed to the scan as a filter)."""
-    return logs.filter(F.col("id") == F.lit(int(log_id))).limit(1)
-
-
-def rollback_plan(requests: DataFrame, logs: DataFrame, log_ids: DataFrame,
-                  questions: DataFrame) -> dict[str, DataFrame]:
+def rollback_plan(requests: DataFrame, logs: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
     """F32 + J04-J06 + A09 + K05 for many rollback requests at once.
 
     ``requests(log_id)``; ``logs(id, status, n_question_ids, ...)``;
-    ``log_ids(import_id, question_id)`` long-form ids of each log;
-    ``questions(question_id, ...)``.
-    Returns outcome rows, the ids to remove, and the status events to append.
+    ``questions(question_id, import_id, ...)``: those that still exist, ``import_id`` being
+    the log's id. ``attempted`` is the number of ids the log names, ``removed`` the number
+    of questions that go. Returns outcome rows, the questions to remove, the status events
+    to append and the rolled-back logs.
     """
     lg = logs.select(F.col("id").alias("log_id"), F.col("status").alias("_status"),
                      F.col("n_question_ids").alias("_n"), F.lit(True).alias("_found"))
-    req = requests.join(lg, "log_id", "left")
     outcome = (F.when(F.col("log_id") == 0, F.lit("invalid_id"))
                .when(F.col("_found").isNull(), F.lit("not_found"))
                .when(F.coalesce(F.col("_n"), F.lit(0)) <= 0, F.lit("no_ids"))
+               .when(F.lower(F.coalesce(F.col("_status"), F.lit(""))) == "rolledback", F.lit("already_rolled_back"))
                .otherwise(F.lit("rolled_back")))
-    req = req.withColumns({"outcome": outcome,
-                           "was_rolled_back": F.lower(F.coalesce(F.col("_status"), F.lit(""))) == "rolledback"})
+    req = requests.join(lg, "log_id", "left").withColumn("outcome", outcome)
     ok = req.filter(F.col("outcome") == "rolled_back").select("log_id").distinct()
-    okb = ok.select(F.col("log_id").alias("import_id"))
-    # A question's import_id is its log id, so every step is a semi join against the
-    # small set of rolled-back logs (size-checked broadcast) plus partial aggregates;
-    # the questions table is never shuffled by question id.
-    ids = (join_small(log_ids.filter(F.col("question_id") > 0), okb, "import_id", "left_semi")
-           .select(F.col("import_id").alias("log_id"), "question_id"))
-    removed = join_small(questions, okb, "import_id", "left_semi")
-    per_log = ids.groupBy("log_id").agg(F.count("*").alias("attempted"))
-    removed_per_log = removed.groupBy(F.col("import_id").alias("log_id")).agg(F.count("*").alias("removed"))
-    res = (req.join(per_log, "log_id", "left").join(removed_per_log, "log_id", "left")
-           .select("log_id", "outcome", "was_rolled_back",
-                   F.when(F.col("outcome") == "rolled_back", F.coalesce(F.col("attempted"), F.lit(0)))
-                   .otherwise(F.lit(0)).cast("long").alias("attempted"),
-                   F.when(F.col("outcome") == "rolled_back", F.coalesce(F.col("removed"), F.lit(0)))
-                   .otherwise(F.lit(0)).cast("long").alias("removed")))
+    # semi join against the small set of rolled-back logs, then partial aggregates: the
+    # questions table is read once and never shuffled by question id
+    removed = join_small(questions, ok.select(F.col("log_id").alias("import_id")), "import_id", "left_semi")
+    per_log = removed.groupBy(F.col("import_id").alias("log_id")).agg(F.count("*").alias("removed"))
+    done = F.col("outcome") == "rolled_back"
+    res = req.join(per_log, "log_id", "left").select(
+        "log_id", "outcome", F.when(done, F.col("_n")).otherwise(F.lit(0)).cast("long").alias("attempted"),
+        F.when(done, F.coalesce(F.col("removed"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("removed"))
     message = (F.when(F.col("outcome") == "invalid_id", F.lit(MSG_BAD_LOG_ID))
                .when(F.col("outcome") == "not_found", F.lit(MSG_LOG_NOT_FOUND))
                .when(F.col("outcome") == "no_ids", F.lit(MSG_NO_IDS))
+               .when(F.col("outcome") == "already_rolled_back", F.lit(MSG_ALREADY_ROLLED_BACK))
                .otherwise(F.format_string(MSG_ROLLBACK_DONE, F.col("attempted"))))
     res = res.withColumn("message", message)
     events = ok.select(F.col("log_id").alias("id"), F.lit(STATUS_ROLLED_BACK).alias("status"))
-    return {"outcomes": res, "ids": ids, "removed": removed, "events": events,
+    return {"outcomes": res, "removed": removed, "events": events,
             "imports": ok.select(F.col("log_id").alias("import_id"))}
 
 
@@ -141,11 +129,6 @@ def without_imports(table: DataFrame, imports: DataFrame, key: str = "import_id"
     return join_small(table, imports.select(F.col("import_id").alias(key)).distinct(), key, "left_anti")
 
 
-def without_ids(table: DataFrame, ids: DataFrame, key: str = "question_id") -> DataFrame:
-    """Rows whose key is not being removed (keeps duplicates, unlike EXCEPT)."""
-    return table.join(ids.select(F.col("question_id").alias(key)), key, "left_anti")
-
-
 def safe_delete(table: DataFrame, where: dict) -> tuple[DataFrame, DataFrame] | None:
     """Delete rows matching the AND of equalities; an empty table or clause gives
     ``None`` (the reference returns false). Returns (remaining rows, deleted count)."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import DEFAULT_QUESTION_TYPES, DISTINCT_CATEGORY_CAP, DISTINCT_TYPE_CAP
+from ..functions.constants import DEFAULT_QUESTION_TYPES, DISTINCT_CATEGORY_CAP, DISTINCT_TYPE_CAP, TAXONOMY
 from .joins import join_small
 
 
@@ -44,6 +44,7 @@ def category_choices(terms: DataFrame, questions: DataFrame) -> DataFrame:
     The "else" branch is an anti join on a constant key against at most one row, so
     the choice is made inside the plan, with no driver round trip.
     """
+    terms = terms.filter(F.col("taxonomy") == TAXONOMY)
     t = terms.select(F.col("term_id").cast("string").alias("choice_key"), F.col("name").alias("label"))
     cats = distinct_categories(questions).select(F.col("category").alias("choice_key"),
                                                  F.col("category").alias("label"))
@@ -53,13 +54,12 @@ def category_choices(terms: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def question_types(questions: DataFrame, cap: int = DISTINCT_TYPE_CAP) -> DataFrame:
-    """A11 + J09: defaults first; a discovered type is added with the first non-empty
-    label among the first ``cap`` distinct (type, label) pairs."""
-    pairs = (questions.select("question_type", "question_type_new").distinct()
-             .orderBy("question_type", "question_type_new").limit(cap))
-    disc = (pairs.filter(F.length("question_type_new") > 0)
-            .groupBy(F.col("question_type").cast("string").alias("type_key"))
-            .agg(T.sanitize_text_field(F.min("question_type_new")).alias("label")))
+    """A11 + J09: defaults first; the first ``cap`` types that have a label are added with
+    their first label (types before labels, so no type's labels can use up the limit)."""
+    disc = (questions.filter(F.length("question_type_new") > 0).groupBy("question_type")
+            .agg(F.min("question_type_new").alias("_label")).orderBy("question_type").limit(cap)
+            .select(F.col("question_type").cast("string").alias("type_key"),
+                    T.sanitize_text_field(F.col("_label")).alias("label")))
     spark = questions.sparkSession
     defaults = spark.createDataFrame(DEFAULT_QUESTION_TYPES, "type_key string, label string")
     new = join_small(disc, defaults.select("type_key"), "type_key", "left_anti")

@@ -6,8 +6,8 @@ Layout under ``root``::
     question_terms/   category links (K02)
     row_errors/       long-form messages (F39)
     file_errors/      imports whose file failed (Q18)
-    import_logs/      one row per import, written last (K04)
-    tombstones/       import ids removed by rollbacks (K06, K07)
+    import_logs/      one row per import, written last (K04); its id is a fresh log id
+    tombstones/       log ids removed by rollbacks (K06, K07)
     log_events/       status events, latest wins (K05)
 
 Writes go questions -> links -> errors -> log, so a log row implies complete data.
@@ -16,13 +16,12 @@ Nothing is rewritten in place; readers anti-join tombstones.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import batch as B
 from . import history as H
+from .joins import join_small
 
 
 def _path(root: str, name: str) -> str:
@@ -41,13 +40,22 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     return spark.read.parquet(p) if _exists(spark, p) else None
 
 
+def _last(spark: SparkSession, root: str, column: str) -> int:
+    logs = table(spark, root, "import_logs")
+    return 0 if logs is None else int(logs.agg(F.max(column)).first()[0] or 0)
+
+
 def next_id_base(spark: SparkSession, root: str) -> int:
-    """Ids continue after the largest id ever written (tombstoned ids are not reused)."""
-    q = table(spark, root, "questions")
-    if q is None:
-        return 1
-    m = q.agg(F.max("question_id")).first()[0]
-    return int(m or 0) + 1
+    """Question ids continue after the last one any log names. Logs outlive rollbacks and
+    compactions, so no id is given twice; the questions table isn't read."""
+    return _last(spark, root, "last_question_id") + 1
+
+
+def assign_log_ids(params: DataFrame, base: int) -> DataFrame:
+    """(import_id, log_id): a fresh log id per import of the run, in the order of import ids."""
+    one = params.select("import_id", F.lit(1).alias("_n"))
+    return B.running_offsets(one, ["import_id"]).select(
+        "import_id", (F.lit(base) + F.col("_off")).cast("long").alias("log_id"))
 
 
 def run_import(spark: SparkSession, root: str, records: DataFrame, params: DataFrame,
@@ -55,35 +63,43 @@ def run_import(spark: SparkSession, root: str, records: DataFrame, params: DataF
                import_time=None, target_columns: list[str] | None = None) -> dict:
     """Import a batch; with ``dry_run`` only the validation report is returned.
 
+    ``import_id`` of ``params`` and ``records`` tells the imports of this run apart. Every
+    import gets a log id of its own, the ``import_id`` of all rows that are written, so the
+    same import can run again after a rollback.
+
     ``target_columns`` (optional) is the column list of an existing questions table:
     rows are projected onto it (F21, F38), and if nothing is writable every accepted
     row fails with E4 (K10)."""
     if dry_run:
         return {"report": B.dry_run(records, params)}
     base = next_id_base(spark, root) if base is None else base
-    scored = B.materialize(B.fail_unwritable(B.prepare(records, params), target_columns).drop("cells"))
-    ided, offsets = B.with_ids(scored, base=base)
-    # Four writes read the evaluated rows: evaluate once, into the shared checkpoint
+    ids = assign_log_ids(params, _last(spark, root, "id") + 1)
+
+    def logged(df: DataFrame) -> DataFrame:
+        cols = df.columns
+        return join_small(df, ids, "import_id", "inner").withColumn("import_id", F.col("log_id")).select(*cols)
+
+    params = logged(params)
+    # Four writes read the evaluated rows: evaluated once, into the shared checkpoint
     # folder (reliable; a lost executor re-reads it instead of re-parsing files).
-    ided = ided.checkpoint(eager=True)
+    scored = B.materialize(B.fail_unwritable(B.prepare(logged(records), params), target_columns).drop("cells"))
+    ided, offsets = B.with_ids(scored, base=base)
     questions = B.questions_from(ided)
-    fr = {"questions": questions, "links": B.category_links(questions), "row_errors": B.row_errors(ided),
-          "logs": B.log_rows(params, scored, offsets, base=base, import_time=import_time)}
-    q = fr["questions"].drop("has_taxonomy", "category_input", "category_is_numeric")
+    q = questions.drop("has_taxonomy", "category_input", "category_is_numeric")
     if target_columns is not None:
         q = B.project_to_target(q, target_columns)
     q.write.mode("append").partitionBy("import_id").parquet(_path(root, "questions"))
-    fr["links"].write.mode("append").parquet(_path(root, "question_terms"))
-    fr["row_errors"].write.mode("append").parquet(_path(root, "row_errors"))
+    B.category_links(questions).write.mode("append").parquet(_path(root, "question_terms"))
+    B.row_errors(scored).write.mode("append").parquet(_path(root, "row_errors"))
+    ok_params = params
     if file_errors is not None:
-        fe = file_errors.filter(F.col("error").isNotNull())
+        fe = logged(file_errors.filter(F.col("error").isNotNull()))
         fe.write.mode("append").parquet(_path(root, "file_errors"))
         ok_params = params.join(fe.select("import_id"), "import_id", "left_anti")
-    else:
-        ok_params = params
-    logs = fr["logs"].join(ok_params.select(F.col("import_id").alias("id")), "id", "left_semi")
+    logs = B.log_rows(params, scored, offsets, base=base, import_time=import_time)
+    logs = logs.join(ok_params.select(F.col("import_id").alias("id")), "id", "left_semi")
     logs.write.mode("append").parquet(_path(root, "import_logs"))
-    return {"base": base, "logs": spark.read.parquet(_path(root, "import_logs"))}
+    return {"base": base, "ids": ids, "logs": spark.read.parquet(_path(root, "import_logs"))}
 
 
 def live_questions(spark: SparkSession, root: str) -> DataFrame:
@@ -103,22 +119,22 @@ def logs_now(spark: SparkSession, root: str) -> DataFrame:
     """Import logs with the latest status event applied."""
     logs = spark.read.parquet(_path(root, "import_logs"))
     ev = table(spark, root, "log_events")
-    logs = logs.withColumn("n_question_ids", F.col("success_rows"))
+    logs = logs.withColumn("n_question_ids", F.coalesce(
+        F.col("last_question_id") - F.col("first_question_id") + 1, F.lit(0)).cast("long"))
     return H.current_status(logs, ev)
 
 
 def rollback(spark: SparkSession, root: str, requests: DataFrame) -> DataFrame:
     """Roll back many imports: append tombstones and status events; return outcomes."""
-    logs = logs_now(spark, root)
-    q = live_questions(spark, root)
-    ids = q.select(F.col("import_id"), "question_id")
-    plan = H.rollback_plan(requests, logs, ids, q)
-    # tombstones are import ids: a rollback always removes a whole import
+    plan = H.rollback_plan(requests, logs_now(spark, root), live_questions(spark, root))
+    # the outcome counts questions that the writes below remove: computed first
+    outcomes = B.materialize(plan["outcomes"])
+    # tombstones are log ids: a rollback always removes a whole import
     plan["imports"].write.mode("append").parquet(_path(root, "tombstones"))
     seq = int(spark.sparkContext._jvm.java.lang.System.currentTimeMillis())
     plan["events"].withColumn("event_seq", F.lit(seq)) \
         .write.mode("append").parquet(_path(root, "log_events"))
-    return plan["outcomes"]
+    return outcomes
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
@@ -133,4 +149,4 @@ def compact(spark: SparkSession, root: str, new_root: str) -> None:
 
 
 __all__ = ["run_import", "rollback", "live_questions", "live_links", "logs_now", "compact", "next_id_base",
-           "table", "os"]
+           "table"]

@@ -1,14 +1,20 @@
 """Library processor path (F05, F11, F36, A07, U01-U03): rows handed to a row writer.
 
 A writer is either the built-in table sink (ids assigned like W01), ``None`` (every
-row fails with the no-writer error, U03), or a user function run by ``mapInPandas``:
-it receives pandas frames with ``import_id, rec_no, cells`` and returns frames with
-``import_id, rec_no, ok, id, error`` (the result struct F36 classifies).
+row fails with the no-writer error, U03), or a registry of up to two user functions, of
+which the first that is set is used (U01 the insert function, U02 the hook). A user
+function gets an iterator of pandas frames with ``import_id, rec_no, cells`` and yields
+frames with ``import_id, rec_no, ok, id, error`` (the result F36 classifies). A frame
+whose call raises is handed over again row by row, so an exception becomes the error of
+the row that caused it; a writer should therefore tolerate a row twice.
+
+Keys are compared after case folding, as everywhere in this engine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +26,47 @@ from . import batch as B
 from .rows import cell, fold_keys, has_content, let
 
 BUILTIN = "builtin"
-RESULT_SCHEMA = "import_id long, rec_no long, ok boolean, id string, error string"
+RESULT_COLUMNS = ["import_id", "rec_no", "ok", "id", "error"]
+
+
+@dataclass(frozen=True)
+class Writers:
+    """The insert function, and the hook that is used if there is none."""
+
+    insert: Callable[[Iterator], Iterator] | None = None
+    hook: Callable[[Iterator], Iterator] | None = None
+
+    def chosen(self) -> Callable[[Iterator], Iterator] | None:
+        return self.insert or self.hook
+
+
+def _calls(writer):
+    """``mapInPandas`` body: results of ``writer`` beside the rows they belong to."""
+    import pandas as pd
+
+    def results(part):
+        try:
+            got = list(writer(iter([part[["import_id", "rec_no", "cells"]]])))
+            return pd.concat(got) if got else pd.DataFrame(columns=RESULT_COLUMNS)
+        except Exception as e:  # any failure of user code is that row's error
+            if len(part) > 1:
+                return pd.concat([results(part.iloc[i:i + 1]) for i in range(len(part))])
+            return part[["import_id", "rec_no"]].assign(ok=None, id=None, error=str(e) or type(e).__name__)
+
+    def run(frames):
+        for part in frames:
+            got = results(part)
+            # the n-th result of a key belongs to its n-th row; a row without one stays open
+            left = part[["import_id", "rec_no", "row_number"]].copy()
+            for df in (left, got):
+                df["_n"] = df.groupby(["import_id", "rec_no"]).cumcount()
+            both = left.merge(got[[*RESULT_COLUMNS, "_n"]], on=["import_id", "rec_no", "_n"], how="left")
+            both["id"] = both["id"].map(lambda v: None if v is None or v != v else str(v))
+            both["error"] = both["error"].map(lambda v: None if v is None or v != v else str(v))
+            both["ok"] = both["ok"].map(lambda v: None if v is None or v != v else bool(v))
+            yield both[["import_id", "rec_no", "row_number", "ok", "id", "error"]]
+
+    return run
 
 
 def _required_ok(cells):
@@ -28,7 +74,7 @@ def _required_ok(cells):
     return ~(q.isNotNull() & (T.normalize_text(F.regexp_replace(q, "^\\x{FEFF}", "")) == ""))
 
 
-def process_rows(records: DataFrame, writer: str | Callable[[Iterator], Iterator] | None = BUILTIN,
+def process_rows(records: DataFrame, writer: str | Writers | Callable[[Iterator], Iterator] | None = BUILTIN,
                  base: int = 1) -> DataFrame:
     """Per-row outcome of the processor: ``import_id, rec_no, row_number, status, id, message``."""
     df = fold_keys(records)
@@ -39,16 +85,19 @@ def process_rows(records: DataFrame, writer: str | Callable[[Iterator], Iterator
         "import_id", "rec_no", "row_number", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("id"),
         F.format_string(MSG_PROC_MISSING_QUESTION, F.col("row_number")).alias("message"))
     todo = df.filter(F.col("_req"))
+    if isinstance(writer, Writers):
+        writer = writer.chosen()
     if writer == BUILTIN:
-        ided, _ = B.assign_ids(todo.withColumn("orig_row", F.col("rec_no")), base=base)
-        res = ided.select("import_id", "rec_no", F.lit(True).alias("ok"),
-                          F.col("question_id").cast("string").alias("id"), F.lit(None).cast("string").alias("error"))
+        ided, _ = B.assign_ids(todo.select("import_id", "rec_no", "row_number", F.col("rec_no").alias("orig_row")),
+                               base=base)
+        done = ided.select("import_id", "rec_no", "row_number", F.lit(True).alias("ok"),
+                           F.col("question_id").cast("string").alias("id"), F.lit(None).cast("string").alias("error"))
     elif writer is None:
-        res = todo.select("import_id", "rec_no", F.lit(False).alias("ok"), F.lit(None).cast("string").alias("id"),
-                          F.lit(MSG_PROC_NO_WRITER).alias("error"))
+        done = todo.select("import_id", "rec_no", "row_number", F.lit(False).alias("ok"),
+                           F.lit(None).cast("string").alias("id"), F.lit(MSG_PROC_NO_WRITER).alias("error"))
     else:
-        res = todo.select("import_id", "rec_no", "cells").mapInPandas(writer, RESULT_SCHEMA)
-    done = todo.select("import_id", "rec_no", "row_number").join(res, ["import_id", "rec_no"], "left")
+        done = todo.select("import_id", "rec_no", "row_number", "cells").mapInPandas(
+            _calls(writer), "import_id long, rec_no long, row_number long, ok boolean, id string, error string")
     is_id = T.is_numeric(F.col("id")) | F.coalesce(F.col("id").rlike("^[0-9]+$"), F.lit(False))
     status = (F.when(F.col("error").isNotNull() | (F.col("ok") == F.lit(False)), F.lit("failed"))
               .when(is_id, F.lit("imported"))

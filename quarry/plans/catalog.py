@@ -12,8 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
-
 from ..functions import text as T
 from ..functions.constants import ANSWER_COLUMNS
 from ..operators import batch as B
@@ -74,9 +72,7 @@ def blank_rows(spark: SparkSession, sf: str) -> DataFrame:
 def blank_rows_trim_only(spark: SparkSession, sf: str) -> DataFrame:
     """F06 + W02 (parser form): records kept under plain trim, densely re-indexed per file."""
     df = R.fold_keys(D.qrows(spark, sf)).filter(R.has_content_trim_only(F.col("cells")))
-    return df.select("import_id", "rec_no",
-                     F.row_number().over(Window.partitionBy("import_id").orderBy("rec_no"))
-                     .cast("long").alias("parser_row"))
+    return B.rank_in_group(df, "import_id", "rec_no", "parser_row").select("import_id", "rec_no", "parser_row")
 
 
 @register("parse_meta", duck.parse_meta)
@@ -219,6 +215,12 @@ def category_choices(spark: SparkSession, sf: str) -> DataFrame:
     return L.category_choices(D.terms(spark, sf), L.part_questions(D.table(spark, sf, "part")))
 
 
+@register("category_choices_no_terms", duck.category_choices_no_terms)
+def category_choices_no_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """U-S2, other branch: terms exist, but of another taxonomy only."""
+    return L.category_choices(D.other_terms(spark, sf), L.part_questions(D.table(spark, sf, "part")))
+
+
 @register("distinct_categories", duck.distinct_categories)
 def distinct_categories(spark: SparkSession, sf: str) -> DataFrame:
     """A10 + F33 + L05: non-blank distinct categories, first 200 in order."""
@@ -241,8 +243,7 @@ def _logs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rollback(spark: SparkSession, sf: str) -> dict:
-    qs = D.question_ids_of_logs(spark, sf)
-    return H.rollback_plan(D.rollback_requests(spark, sf), _logs(spark, sf), qs, qs)
+    return H.rollback_plan(D.rollback_requests(spark, sf), _logs(spark, sf), D.live_question_ids(spark, sf))
 
 
 @register("recent_imports_page", duck.recent_imports_page)
@@ -271,9 +272,9 @@ def rollback_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("rollback_survivors", duck.rollback_survivors)
 def rollback_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions left after the rollbacks (anti join on question_id)."""
+    """Questions left after the rollbacks (anti join on the import)."""
     r = _rollback(spark, sf)
-    return H.without_imports(D.question_ids_of_logs(spark, sf), r["imports"])
+    return H.without_imports(D.live_question_ids(spark, sf), r["imports"])
 
 
 @register("rollback_removed", duck.rollback_removed)
@@ -286,7 +287,7 @@ def rollback_removed(spark: SparkSession, sf: str) -> DataFrame:
 def rollback_links(spark: SparkSession, sf: str) -> DataFrame:
     """Category links left after the rollbacks."""
     r = _rollback(spark, sf)
-    return H.without_ids(D.link_rows(spark, sf), r["ids"])
+    return H.without_imports(D.link_rows(spark, sf), r["imports"])
 
 
 @register("rollback_status", duck.rollback_status)
@@ -399,6 +400,13 @@ def processor_summary(spark: SparkSession, sf: str) -> DataFrame:
     return W.processor_summary(W.process_rows(D.qrows(spark, sf)))
 
 
+@register("writer_outcomes", duck.writer_outcomes)
+def writer_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind of result of a row writer, called as the hook."""
+    out = W.process_rows(D.qrows(spark, sf), writer=W.Writers(hook=D.sample_writer))
+    return out.select("import_id", "rec_no", "status", "id", "message")
+
+
 @register("csv_roundtrip", duck.csv_roundtrip)
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """S01 + S02: qrows written as CSV files (one folder per import, in the shared

@@ -64,7 +64,14 @@ def floatval(x: str) -> str:
 
 
 def intval(x: str) -> str:
-    return f"coalesce(TRY_CAST(trunc({floatval(x)}) AS BIGINT), 0)"
+    """Digits are read by a pattern of their own; HUGEINT holds what BIGINT can't."""
+    lead = f"regexp_extract(coalesce({x}, ''), {lit(T.LEADING_NUMBER_RE)}, 1)"
+    digits = f"regexp_extract(coalesce({x}, ''), '^[ \\t\\n\\r\\x0B\\f]*([+-]?[0-9]+)', 1)"
+    exact = (f"CAST(greatest(least(coalesce(TRY_CAST({digits} AS HUGEINT), CASE WHEN {digits} = '' THEN 0 "
+             f"WHEN {digits} LIKE '-%' THEN -9223372036854775808 ELSE 9223372036854775807 END), "
+             f"9223372036854775807), -9223372036854775808) AS BIGINT)")
+    return (f"(CASE WHEN regexp_matches({lead}, '[.eE]') THEN coalesce(TRY_CAST(trunc({floatval(x)}) AS BIGINT), 0) "
+            f"ELSE {exact} END)")
 
 
 # ---------------------------------------------------------------------------
@@ -411,11 +418,13 @@ SELECT category AS choice_key, category AS label FROM ({_distinct_categories_sql
 WHERE NOT EXISTS (SELECT 1 FROM region)"""
 
 
+def category_choices_no_terms() -> str:
+    return f"SELECT category AS choice_key, category AS label FROM ({_distinct_categories_sql()})"
+
+
 def question_types() -> str:
-    return f"""WITH pairs AS (SELECT DISTINCT question_type, question_type_new FROM ({PQ})
-                ORDER BY question_type, question_type_new LIMIT 20),
-disc AS (SELECT CAST(question_type AS VARCHAR) AS type_key, {sanitize('min(question_type_new)')} AS label
-         FROM pairs WHERE length(question_type_new) > 0 GROUP BY 1),
+    return f"""WITH disc AS (SELECT CAST(question_type AS VARCHAR) AS type_key, {sanitize('min(question_type_new)')} AS label
+         FROM ({PQ}) WHERE length(question_type_new) > 0 GROUP BY question_type ORDER BY question_type LIMIT 20),
 defaults AS (SELECT * FROM (VALUES ('0', 'Multiple Choice (single answer)'),
                                    ('1', 'Multiple Choice (multiple answers)'),
                                    ('2', 'True/False')) t(type_key, label))
@@ -481,30 +490,30 @@ FROM l LEFT JOIN q ON q.quiz_id = l.quiz_id"""
 
 def _rollback_ctes() -> str:
     return f"""lg AS ({LOGS}),
-qids AS ({QIDS}),
+qids AS (SELECT * FROM ({QIDS}) WHERE question_id % 7 <> 0),
 req AS (SELECT r.log_id, lg.status AS _status, lg.n_question_ids AS _n, lg.id IS NOT NULL AS _found
         FROM ({REQUESTS}) r LEFT JOIN lg ON lg.id = r.log_id),
 req2 AS (SELECT *, CASE WHEN log_id = 0 THEN 'invalid_id' WHEN NOT _found THEN 'not_found'
-                         WHEN coalesce(_n, 0) <= 0 THEN 'no_ids' ELSE 'rolled_back' END AS outcome FROM req),
+                         WHEN coalesce(_n, 0) <= 0 THEN 'no_ids'
+                         WHEN lower(coalesce(_status, '')) = 'rolledback' THEN 'already_rolled_back'
+                         ELSE 'rolled_back' END AS outcome FROM req),
 okreq AS (SELECT DISTINCT log_id FROM req2 WHERE outcome = 'rolled_back'),
-rm AS (SELECT q.import_id AS log_id, q.question_id FROM qids q WHERE q.question_id > 0
-       AND q.import_id IN (SELECT log_id FROM okreq))"""
+rm AS (SELECT q.import_id AS log_id, q.question_id FROM qids q
+       WHERE q.import_id IN (SELECT log_id FROM okreq))"""
 
 
 def rollback_outcome() -> str:
     return f"""WITH {_rollback_ctes()},
-att AS (SELECT log_id, count(*) AS attempted FROM rm GROUP BY 1),
-rem AS (SELECT rm.log_id, count(*) AS removed FROM qids JOIN rm ON rm.question_id = qids.question_id
-        WHERE qids.question_id IN (SELECT question_id FROM rm) GROUP BY 1)
-SELECT r.log_id, r.outcome, lower(coalesce(r._status, '')) = 'rolledback' AS was_rolled_back,
-       CAST(CASE WHEN r.outcome = 'rolled_back' THEN coalesce(att.attempted, 0) ELSE 0 END AS BIGINT) AS attempted,
+rem AS (SELECT log_id, count(*) AS removed FROM rm GROUP BY 1)
+SELECT r.log_id, r.outcome,
+       CAST(CASE WHEN r.outcome = 'rolled_back' THEN r._n ELSE 0 END AS BIGINT) AS attempted,
        CAST(CASE WHEN r.outcome = 'rolled_back' THEN coalesce(rem.removed, 0) ELSE 0 END AS BIGINT) AS removed,
        CASE r.outcome WHEN 'invalid_id' THEN 'Invalid log id for rollback.'
                       WHEN 'not_found' THEN 'Log entry not found.'
                       WHEN 'no_ids' THEN 'No question IDs found for rollback.'
-                      ELSE printf('Rollback complete. %d questions removed.', coalesce(att.attempted, 0)) END
-       AS message
-FROM req2 r LEFT JOIN att ON att.log_id = r.log_id LEFT JOIN rem ON rem.log_id = r.log_id"""
+                      WHEN 'already_rolled_back' THEN 'Import was already rolled back.'
+                      ELSE printf('Rollback complete. %d questions removed.', r._n) END AS message
+FROM req2 r LEFT JOIN rem ON rem.log_id = r.log_id"""
 
 
 def rollback_survivors() -> str:
@@ -518,10 +527,10 @@ SELECT question_id, import_id FROM qids WHERE question_id IN (SELECT question_id
 
 
 def rollback_links() -> str:
-    return f"""WITH {_rollback_ctes()},
-links AS (SELECT question_id, import_id AS quiz_id, CAST(question_id % 5 + 1 AS BIGINT) AS term_id,
-                 'qsm_category' AS taxonomy FROM qids WHERE question_id % 2 = 1)
-SELECT question_id, quiz_id, term_id, taxonomy FROM links WHERE question_id NOT IN (SELECT question_id FROM rm)"""
+    return f"""WITH {_rollback_ctes()}
+SELECT question_id, import_id, import_id AS quiz_id, CAST(question_id % 5 + 1 AS BIGINT) AS term_id,
+       'qsm_category' AS taxonomy FROM qids
+WHERE question_id % 2 = 1 AND import_id NOT IN (SELECT log_id FROM okreq)"""
 
 
 def rollback_status() -> str:
@@ -633,6 +642,21 @@ def processor_summary() -> str:
 FROM ({QF}) WHERE NOT ({blank}) GROUP BY import_id"""
 
 
+def writer_outcomes() -> str:
+    nonblank = " OR ".join(f"{normalize(c)} <> ''" for c in _base_cols())
+    required = f"{normalize('question')} <> ''"
+    return f"""WITH r AS (SELECT import_id, rec_no, {required} AS req, rec_no % 8 AS kind FROM ({QF}) WHERE {nonblank})
+SELECT import_id, rec_no,
+       CASE WHEN req AND kind < 4 THEN 'imported' ELSE 'failed' END AS status,
+       CASE WHEN req AND kind < 2 THEN rec_no END AS id,
+       CASE WHEN NOT req THEN printf('Row %d: missing required question text.', rec_no + 1)
+            WHEN kind < 4 THEN NULL
+            WHEN kind = 4 THEN printf('Row %d: Insertion failed', rec_no + 1)
+            WHEN kind = 5 THEN printf('Row %d: no space left', rec_no + 1)
+            WHEN kind = 6 THEN printf('Row %d: refused %d', rec_no + 1, rec_no)
+            ELSE printf('Row %d: unknown insertion result.', rec_no + 1) END AS message FROM r"""
+
+
 def csv_roundtrip() -> str:
     return f"""WITH {evaluated()}
 SELECT import_id, question_text, array_to_string(opts, '|') AS opts_text, row_status, correct_index, match_method

@@ -18,6 +18,7 @@ import io
 import json
 import math
 import re
+import sys
 import zipfile
 from xml.etree import ElementTree as ET
 
@@ -70,11 +71,27 @@ def php_scalar(v, nested: str = "join") -> str:
         return v
     if nested == "array":
         return "Array"
-    items = v.pairs if isinstance(v, _Obj) else v
-    vals = [x[1] for x in items] if isinstance(v, _Obj) else items
+    vals = [x[1] for x in v.pairs] if isinstance(v, _Obj) else v
     return " ".join(php_scalar(x, "array") for x in vals)
 
 
+def _is_blank(v) -> bool:
+    """Whether a nested value, its members joined by blanks, is blank."""
+    if isinstance(v, (_Obj, list)):
+        members = [x for _, x in v.pairs] if isinstance(v, _Obj) else v
+        return all(_is_blank(x) for x in members)
+    return php_trim(php_scalar(v)) == ""
+
+
+class _Digits(str):
+    """An integer as its digits: PHP turns what doesn't fit 64 bits into a float."""
+
+    def __new__(cls, digits: str):
+        if len(digits) < 19 or -(1 << 63) <= int(digits[:25]) < 1 << 63 and len(digits) < 21:
+            return str.__new__(cls, int(digits))
+        return str.__new__(cls, php_float_str(float(digits)))
+
+
 class _Obj:
     """A JSON object with its key order and repeated keys kept."""
 
@@ -87,10 +104,16 @@ class _Obj:
 def _cells_from_pairs(pairs, key_fn, nested: str) -> list[tuple[int, str, str]]:
     out = []
     for i, (k, v) in enumerate(pairs):
-        out.append((i, key_fn(str(k)), php_scalar(v, nested)))
+        out.append((i, key_fn(str(k)), _live_value(v) if nested == "array" else php_scalar(v, nested)))
     return out
 
 
+def _live_value(v) -> str:
+    """A nested value reads as 'Array', unless it holds nothing: then it is blank, as the
+    blank test joins its members."""
+    return "" if isinstance(v, (_Obj, list)) and _is_blank(v) else php_scalar(v, "array")
+
+
 def _live_key(k: str) -> str:
     return ascii_lower(php_trim(k))
 
@@ -144,6 +167,7 @@ def decode_csv(content: bytes, mode: str = "live", strip_bom: bool = True, delim
         delim = delimiter or ","
     else:
         delim = delimiter or detect_delimiter(content)
+    csv.field_size_limit(sys.maxsize)  # cells of any length
     rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=delim))
     if not rows:
         return [], False, None
@@ -173,20 +197,25 @@ def decode_csv(content: bytes, mode: str = "live", strip_bom: bool = True, delim
         for idx, r in enumerate(rows):
             if idx == first:  # Q7 fixed: skip the header's own ordinal
                 continue
-            cells = [(i, n, r[i] if i < len(r) else "") for i, n in enumerate(names)]
+            cells = [(i, n, php_trim(r[i]) if i < len(r) else "") for i, n in enumerate(names)]
             for j in range(len(names), len(r)):
-                cells.append((j, str(j), r[j]))
+                cells.append((j, str(j), php_trim(r[j])))
             out.append((idx, idx + 1, cells))
         return out, True, None
-    out = [(idx, idx + 1, [(i, str(i), v) for i, v in enumerate(r)]) for idx, r in enumerate(rows)]
+    out = [(idx, idx + 1, [(i, str(i), php_trim(v)) for i, v in enumerate(r)]) for idx, r in enumerate(rows)]
     return out, False, None
 
 
 # ---------------------------------------------------------------------------
 # JSON
 # ---------------------------------------------------------------------------
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _loads(text: str):
-    return json.loads(text, object_pairs_hook=_Obj)
+    # integers of any length; NaN and Infinity aren't JSON
+    return json.loads(text, object_pairs_hook=_Obj, parse_int=_Digits, parse_constant=_refuse)
 
 
 def decode_json(content: bytes, mode: str = "live", strip_bom: bool = True):
@@ -207,7 +236,7 @@ def decode_json(content: bytes, mode: str = "live", strip_bom: bool = True):
             if isinstance(item, _Obj):
                 cells = _cells_from_pairs(item.pairs, _live_key, "array")
             elif isinstance(item, list):
-                cells = [(i, str(i), php_scalar(v, "array")) for i, v in enumerate(item)]
+                cells = [(i, str(i), _live_value(v)) for i, v in enumerate(item)]
             else:
                 continue  # non-array items are skipped silently
             idx = len(out)
@@ -236,7 +265,7 @@ def _envelope_rows(doc) -> list:
             if key in d and isinstance(d[key], (list, _Obj)):
                 v = d[key]
                 return [x for _, x in v.pairs] if isinstance(v, _Obj) else v
-        return [v for _, v in doc.pairs] if is_rows_shape(doc) else [v for _, v in doc.pairs]
+        return [v for _, v in doc.pairs]
     if isinstance(doc, list):
         return doc
     return []
@@ -356,12 +385,14 @@ def decode_xlsx(content: bytes, mode: str = "live"):
     return out, True, None
 
 
-def decode_file(name: str, content: bytes, mode: str = "live", strip_bom: bool = True):
-    """S01 routing by lower-cased extension. Returns (records, has_header, error)."""
+def decode_file(name: str, content: bytes, mode: str = "live", strip_bom: bool = True,
+                delimiter: str | None = None, has_header: bool | None = None):
+    """S01 routing by lower-cased extension. Returns (records, has_header, error); whatever
+    goes wrong in a file is that file's error and ends no other file."""
     ext = ascii_lower(name.rsplit(".", 1)[-1]) if "." in name.rsplit("/", 1)[-1] else ""
     try:
         if ext == "csv" or (mode == "lib" and ext == "txt"):
-            return decode_csv(content, mode, strip_bom)
+            return decode_csv(content, mode, strip_bom, delimiter, has_header)
         if ext == "json":
             return decode_json(content, mode, strip_bom)
         if ext == "xlsx":
@@ -369,10 +400,12 @@ def decode_file(name: str, content: bytes, mode: str = "live", strip_bom: bool =
         if ext == "xls":
             return [], False, "PhpSpreadsheet error: legacy .xls workbooks are not supported"
         if mode == "lib":
-            recs, hh, err = decode_csv(content, mode, strip_bom)
+            recs, hh, err = decode_csv(content, mode, strip_bom, delimiter, has_header)
             return (recs, hh, err) if recs else decode_json(content, mode, strip_bom)
         return [], False, MSG_UNSUPPORTED
-    except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
-        return [], False, f"PhpSpreadsheet error: {e}"
     except csv.Error as e:
         return [], False, f"CSV error: {e}"
+    except RecursionError:
+        return [], False, MSG_JSON_INVALID
+    except Exception as e:
+        return [], False, f"{'PhpSpreadsheet error: ' if ext == 'xlsx' else ''}{type(e).__name__}: {e}"

@@ -134,9 +134,17 @@ def quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select(
+    """Category terms from region, and terms of another taxonomy from nation."""
+    region = table(spark, sf_dir, "region").select(
         (F.col("r_regionkey") + 1).cast("long").alias("term_id"), F.col("r_name").alias("name"),
         F.lit("qsm_category").alias("taxonomy"))
+    return region.unionByName(other_terms(spark, sf_dir))
+
+
+def other_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 100).cast("long").alias("term_id"), F.col("n_name").alias("name"),
+        F.lit("post_tag").alias("taxonomy"))
 
 
 def question_ids_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +155,11 @@ def question_ids_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+def live_question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions that still exist: every 7th id of the logs was deleted since."""
+    return question_ids_of_logs(spark, sf_dir).filter(F.col("question_id") % 7 != 0)
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import logs derived from orders (FIXTURES §3.4); ids live in the long-form
     ``question_ids_of_logs`` table keyed by ``import_id`` = log id."""
@@ -179,10 +192,10 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category links for odd question ids."""
-    q = question_ids_of_logs(spark, sf_dir)
+    """Category links of the existing questions with odd ids."""
+    q = live_question_ids(spark, sf_dir)
     return q.filter(F.col("question_id") % 2 == 1).select(
-        "question_id", F.col("import_id").alias("quiz_id"),
+        "question_id", "import_id", F.col("import_id").alias("quiz_id"),
         (F.col("question_id") % 5 + 1).cast("long").alias("term_id"),
         F.lit("qsm_category").alias("taxonomy"))
 
@@ -268,3 +281,21 @@ def bulk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") * F.lit(4294967296) + F.col("l_suppkey")).cast("long").alias("rec_no"),
         (ok * 8 + ln + 2).cast("long").alias("orig_row"),
         cells.alias("cells"))
+
+
+def sample_writer(frames):
+    """A row writer that gives every kind of result, by ``rec_no % 8``: an id, an id as text,
+    success without an id, success with a name, refusal, an error, an exception, nothing."""
+    import pandas as pd
+
+    for part in frames:
+        rows = []
+        for import_id, rec_no in zip(part["import_id"], part["rec_no"]):
+            kind = int(rec_no) % 8
+            if kind == 6:
+                raise ValueError(f"refused {rec_no}")
+            if kind < 7:
+                ok = {4: False, 5: None}.get(kind, True)
+                given = {0: str(rec_no), 1: f"00{rec_no}", 3: "named"}.get(kind)
+                rows.append((import_id, rec_no, ok, given, "no space left" if kind == 5 else None))
+        yield pd.DataFrame(rows, columns=["import_id", "rec_no", "ok", "id", "error"])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.joins import join_small
 from .decode import decode_file
 
 DECODED_SCHEMA = (
@@ -19,11 +20,11 @@ DECODED_SCHEMA = (
     "n_records long, error string"
 )
 
-# Files above this size are refused with a file error rather than decoded in one task.
-DEFAULT_MAX_FILE_BYTES = 512 * 1024 * 1024
+# Spark hands a file to a task as one value, which can't be larger.
+MAX_VALUE_BYTES = 2**31 - 16
 
 
-def _decoder(mode: str, strip_bom: bool):
+def _decoder(mode: str, strip_bom: bool, delimiter: str | None = None, has_header: bool | None = None):
     import pyarrow as pa
 
     cell_t = pa.struct([("pos", pa.int32()), ("key", pa.string()), ("value", pa.string())])
@@ -51,10 +52,7 @@ def _decoder(mode: str, strip_bom: bool):
             cur_name = [None]
             for imp, name, content in zip(cols["import_id"], cols["name"], cols["content"]):
                 cur_name[0] = name
-                if content is None:
-                    emit(imp, "file", None, None, None, None, 0, "File missing or too large.")
-                    continue
-                recs, hh, err = decode_file(name or "", content, mode=mode, strip_bom=strip_bom)
+                recs, hh, err = decode_file(name or "", content, mode, strip_bom, delimiter, has_header)
                 for rec_no, orig_row, cells in recs:
                     emit(imp, "record", rec_no, orig_row,
                          [{"pos": p, "key": k, "value": v} for p, k, v in cells], hh, None, None)
@@ -68,62 +66,73 @@ def _decoder(mode: str, strip_bom: bool):
     return run
 
 
-def decode_contents(files: DataFrame, mode: str = "live", strip_bom: bool = True) -> DataFrame:
-    """``files(import_id, name, content)`` -> decoded rows (kind 'record' or 'file')."""
+def decode_contents(files: DataFrame, mode: str = "live", strip_bom: bool = True,
+                    delimiter: str | None = None, has_header: bool | None = None) -> DataFrame:
+    """``files(import_id, name, content)`` -> decoded rows (kind 'record' or 'file').
+
+    ``delimiter`` and ``has_header`` override the detection of library mode (S03)."""
     from ..session import ship_package
 
     ship_package(files.sparkSession)
-    return files.select("import_id", "name", "content").mapInArrow(_decoder(mode, strip_bom), DECODED_SCHEMA)
+    return files.select("import_id", "name", "content").mapInArrow(
+        _decoder(mode, strip_bom, delimiter, has_header), DECODED_SCHEMA)
 
 
 def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, per-file outcome). Imports whose file failed keep no records (the
-    reference aborts them without a log row); their errors are in the file frame."""
+    """(records, per-file outcome). A file that failed has no records (the reference aborts
+    its import without a log row); its error is in the file frame."""
     files = decoded.filter(F.col("kind") == "file").select("import_id", "name", "has_header", "n_records", "error")
-    bad = files.filter(F.col("error").isNotNull()).select("import_id")
-    recs = (decoded.filter(F.col("kind") == "record")
-            .join(bad, "import_id", "left_anti")
-            .select("import_id", "name", "rec_no", "orig_row", "cells"))
+    recs = decoded.filter(F.col("kind") == "record").select("import_id", "name", "rec_no", "orig_row", "cells")
     return recs, files
 
 
+def _folders(spark: SparkSession, manifest: DataFrame) -> list[str]:
+    """The existing folders of the manifest's paths (folders, not files, reach the driver)."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    found = [r[0] for r in manifest.filter(F.col("path").isNotNull()).select(folder).distinct().collect()]
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    out = []
+    for f in found:
+        p = jvm.org.apache.hadoop.fs.Path(f or "/")
+        fs = p.getFileSystem(hadoop)
+        if fs.exists(p) and len(fs.listStatus(p)):
+            out.append(f or "/")
+    return out
+
+
 def read_manifest_files(spark: SparkSession, manifest: DataFrame, mode: str = "live", strip_bom: bool = True,
-                        max_file_bytes: int = DEFAULT_MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Read every manifest path with ``binaryFile`` and decode it.
+                        delimiter: str | None = None, has_header: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, per-file outcome) of every manifest path, each file decoded once.
 
-    The manifest is joined on the path (one row per import); files above
-    ``max_file_bytes`` are not read into a task and yield a file error.
+    The manifest (one row per import) is joined to the listing of its folders, and the
+    join keeps file contents on the side that stays in place. A path that doesn't exist,
+    or a file too large for one value, is the error of its own import.
     """
-    paths = [r["path"] for r in manifest.select("path").distinct().collect()]
-    if not paths:
-        empty = spark.createDataFrame([], DECODED_SCHEMA)
-        return split_decoded(empty)
-    raw = (spark.read.format("binaryFile").load(paths)
-           .select(F.col("path").alias("_p"), "length", "content"))
-    man = manifest.select("import_id", "path", F.coalesce(F.col("file_name"), F.col("path")).alias("name"))
-    # binaryFile reports qualified paths (file:/...); match on the path suffix.
-    man = man.withColumn("_key", F.regexp_replace(F.col("path"), r"^file:", ""))
-    raw = raw.withColumn("_key", F.regexp_replace(F.col("_p"), r"^file:", ""))
-    joined = man.join(raw.select("_key", "length"), "_key", "left")
-    # CSV files above the cap take the splittable line path instead of one task.
-    is_csv = F.lower(F.regexp_extract(F.col("name"), r"\.([^./\\]*)$", 1)) == "csv"
-    big_csv = joined.filter(is_csv & (F.col("length") > F.lit(max_file_bytes)) & F.lit(mode == "live"))
-    small = joined.join(big_csv.select("import_id"), "import_id", "left_anti")
-    files = small.join(raw.select("_key", "content"), "_key", "left").select(
-        "import_id", "name",
-        F.when(F.col("length") <= F.lit(max_file_bytes), F.col("content")).alias("content"))
-    recs, outcome = split_decoded(decode_contents(files, mode, strip_bom))
-    if big_csv.limit(1).count() == 0:
-        return recs, outcome
-    line_recs = read_csv_lines(spark, big_csv.select("import_id", "path"), strip_bom=strip_bom)
-    line_files = line_recs.groupBy("import_id").agg(F.count("*").alias("n_records")).select(
-        "import_id", F.lit(None).cast("string").alias("name"), F.lit(True).alias("has_header"),
-        "n_records", F.lit(None).cast("string").alias("error"))
-    return recs.unionByName(line_recs), outcome.unionByName(line_files)
+    from ..operators.batch import materialize
+
+    # binaryFile reports qualified paths (file:/...); match on the path without the scheme.
+    man = manifest.select("import_id", F.coalesce(F.col("file_name"), F.col("path")).alias("name"),
+                          F.regexp_replace("path", r"^file:/*", "/").alias("_key"))
+    folders = _folders(spark, manifest)
+    if not folders:
+        listing = spark.createDataFrame([], "_key string, length long, content binary")
+    else:
+        listing = spark.read.format("binaryFile").load(folders).select(
+            F.regexp_replace("path", r"^file:/*", "/").alias("_key"), "length", "content")
+    fits = F.col("length") <= MAX_VALUE_BYTES
+    files = join_small(listing.filter(fits), man, "_key", "inner")
+    decoded = materialize(decode_contents(files, mode, strip_bom, delimiter, has_header))
+    sizes = man.join(listing.select("_key", "length"), "_key", "left")
+    lost = sizes.filter(F.col("length").isNull() | ~fits).select(
+        "import_id", "name", F.lit(None).cast("boolean").alias("has_header"), F.lit(0).cast("long").alias("n_records"),
+        F.when(F.col("length").isNull(), F.lit("File missing.")).otherwise(F.lit("File too large for one task."))
+        .alias("error"))
+    recs, outcome = split_decoded(decoded)
+    return recs, outcome.unionByName(lost)
 
 
 # ---------------------------------------------------------------------------
-# Splittable CSV path (S02 for large files without embedded newlines)
+# CSV read line by line (S02): many tasks per file, any size
 # ---------------------------------------------------------------------------
 _NO_NULL = "\u0000\u0001"  # never equal to a field, so empty fields stay ''
 
@@ -131,7 +140,8 @@ _NO_NULL = "\u0000\u0001"  # never equal to a field, so empty fields stay ''
 def _csv_options() -> dict:
     # RFC 4180 quoting (Q10 fixed), no trimming, empty fields stay empty strings
     return {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
-            "ignoreTrailingWhiteSpace": "false", "nullValue": _NO_NULL, "mode": "PERMISSIVE"}
+            "ignoreTrailingWhiteSpace": "false", "nullValue": _NO_NULL, "mode": "PERMISSIVE",
+            "multiLine": "true", "maxCharsPerColumn": "-1"}
 
 
 def _fields(value, n: int):
@@ -140,47 +150,72 @@ def _fields(value, n: int):
     return F.array(*[r[f"c{i}"] for i in range(n)])
 
 
+def _lines_with_places(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(_p, _blk, _ord, _quotes, value): the lines of the files in order.
+
+    A line's place and the quotes before it are running sums inside its split plus the
+    split's offset; the offsets come from one small row per split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("value"), F.col("_metadata.file_path").alias("_p"),
+        F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_mid"))
+    n_quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    splits = lines.groupBy("_p", "_blk").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"),
+                                             F.sum(n_quotes).alias("_q"))
+    before = Window.partitionBy("_p").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_p", "_blk", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                           F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_qoff"))
+    lines = join_small(lines, splits, ["_p", "_blk"], "inner")
+    inside = Window.partitionBy("_p", "_blk").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select("_p", "_blk", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("_ord"), "value",
+                        (F.col("_qoff") + F.coalesce(F.sum(n_quotes).over(inside), F.lit(0))).alias("_quotes"))
+
+
 def read_csv_lines(spark: SparkSession, files: DataFrame, strip_bom: bool = True) -> DataFrame:
     """Records of CSV files read line by line with ``spark.read.text`` (splittable).
 
-    ``files(import_id, path)``. Precondition: no quoted field spans lines. Line
-    ordinals come from each split's byte offset (``_metadata.file_block_start``) and
-    the row position inside the split, fixed up by per-split counts (one small row
-    per split), so one huge file is read by many tasks and nothing is collected.
+    ``files(import_id, path)``. A record starts at a line with an even number of quotes
+    before it, so quoted cells may hold line breaks (a quote inside an unquoted cell is
+    not valid CSV and shifts that). Lines are numbered from each split's byte offset, so
+    one huge file is read by many tasks and the result doesn't depend on the splits.
+    Records are numbered like lines: running counts in a split plus one row per split.
     """
-    from ..operators.joins import join_small
     from ..session import ship_package
 
     ship_package(spark)
     paths = [r["path"] for r in files.select("path").distinct().collect()]
-    lines = spark.read.text(paths).select(
-        F.col("value"), F.col("_metadata.file_path").alias("_p"),
-        F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_mid"))
-    splits = lines.groupBy("_p", "_blk").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"))
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_p").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lines = join_small(lines, splits.select("_p", "_blk", "_m0", "_off"), ["_p", "_blk"], "inner")
-    lines = lines.withColumn("_ord", F.col("_off") + F.col("_mid") - F.col("_m0"))
+    lines = _lines_with_places(spark, paths)
     if strip_bom:
-        lines = lines.withColumn("value", F.when(F.col("_ord") == 0, F.regexp_replace("value", "^﻿", ""))
+        lines = lines.withColumn("value", F.when(F.col("_ord") == 0, F.regexp_replace("value", "^\ufeff", ""))
                                  .otherwise(F.col("value")))
-    head_lines = lines.filter(F.col("_ord") == 0).select("_p", "value")
+    starts = (F.col("_quotes") % 2 == 0).cast("long")
+    split = lines.groupBy("_p", "_blk").agg(F.sum(starts).alias("_n"))
+    split = split.select("_p", "_blk", F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy("_blk").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_roff"))
+    upto = Window.partitionBy("_p", "_blk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
+    lines = join_small(lines.withColumn("_run", F.sum(starts).over(upto)), split, ["_p", "_blk"], "inner")
+    # a record's lines, in order; one line in nearly all cases
+    recs = lines.groupBy("_p", (F.col("_roff") + F.col("_run") - 1).alias("_rec")).agg(
+        F.array_sort(F.collect_list(F.struct("_ord", "value"))).alias("_ls"))
+    recs = recs.select("_p", "_rec", F.regexp_replace(F.array_join(F.transform("_ls", lambda x: x["value"]), "\n"),
+                                                      "\r$", "").alias("value"))
+    head_lines = recs.filter(F.col("_rec") == 0).select("_p", "value")
     # pieces between commas bound the field count from above (quoted commas only add)
     bound = head_lines.agg(F.max(F.size(F.split("value", ",", -1)))).first()[0] or 1
     heads = head_lines.select(
         "_p", F.filter(_fields(F.col("value"), int(bound)), lambda x: x.isNotNull()).alias("_h"))
     n = heads.agg(F.max(F.size("_h"))).first()[0] or 1
     heads = heads.select("_p", F.transform("_h", lambda h: ascii_lower_trim(h)).alias("_keys"))
-    data = join_small(lines.filter(F.col("_ord") > 0), heads, "_p", "inner")
+    data = join_small(recs.filter(F.col("_rec") > 0), heads, "_p", "inner")
     f = _fields(F.col("value"), int(n))
     cells = F.transform(F.sequence(F.lit(0), F.size("_keys") - 1), lambda i: F.struct(
         i.cast("int").alias("pos"), F.get(F.col("_keys"), i).alias("key"),
         F.coalesce(F.get(f, i), F.lit("")).alias("value")))
-    man = files.select("import_id", F.regexp_replace("path", r"^file:", "").alias("_k"))
-    data = data.withColumn("_k", F.regexp_replace("_p", r"^file:", ""))
+    man = files.select("import_id", F.regexp_replace("path", r"^file:/*", "/").alias("_k"))
+    data = data.withColumn("_k", F.regexp_replace("_p", r"^file:/*", "/"))
     data = join_small(data, man, "_k", "inner")
     return data.select("import_id", F.lit(None).cast("string").alias("name"),
-                       (F.col("_ord") - 1).alias("rec_no"), (F.col("_ord") + 1).alias("orig_row"),
+                       (F.col("_rec") - 1).alias("rec_no"), (F.col("_rec") + 1).alias("orig_row"),
                        cells.alias("cells"))
 
 

@@ -115,30 +115,86 @@ def test_unwritable_target_fails_rows(spark, tmp_path):
 
 
 def test_csv_line_path_matches_file_decoder(spark, tmp_path):
-    """Large-CSV path (spark.read.text, split ordinals) == per-file decoder."""
+    """spark.read.text path (split ordinals, quote parity) == per-file decoder, for any splits."""
     d = tmp_path / "in"
     d.mkdir()
     rows = [["Q" + str(i), "a" if i % 3 else "", "b,c" if i % 4 == 0 else 'x "y"', str(i % 5)] for i in range(3000)]
     rows[7] = ["", "", "", ""]
+    rows[11][1] = "two\nlines, \"quoted\"\n\nand more"
+    rows[12][1] = "cr\r\nlf"
+    rows[13][2] = "w " * 150_000  # one cell above the csv module's default limit
     buf = io.StringIO()
     w = csv.writer(buf)
     w.writerow([" Question", "Option1", "OPTION2", "correct_answer"])
     w.writerows(rows)
-    text = buf.getvalue().replace("\r\n", "\n") + "\nshort\n"
-    (d / "big.csv").write_text(text)
+    text = buf.getvalue() + "\r\nshort\r\nlong,1,2,3,4,5\r\n"
+    (d / "big.csv").write_bytes(text.encode("utf-8-sig"))
     man = spark.createDataFrame([(9, "big.csv", str(d / "big.csv"), {}, 1, False)],
                                 "import_id long, file_name string, path string, params map<string,string>, "
                                 "uploader_id long, has_taxonomy boolean")
-    ref, _ = FS.read_manifest_files(spark, man)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")   # force many splits
-    try:
-        big, files = FS.read_manifest_files(spark, man, max_file_bytes=1000)
-        got = sorted((r["orig_row"], tuple((c["key"], c["value"]) for c in r["cells"])) for r in big.collect())
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    want = sorted((r["orig_row"], tuple((c["key"], c["value"]) for c in r["cells"])) for r in ref.collect())
-    assert len(got) == 3002 and got == want
-    assert files.filter("error is not null").count() == 0
+
+    def cells(df):
+        return sorted((r["orig_row"], tuple((c["key"], c["value"]) for c in r["cells"])) for r in df.collect())
+
+    ref, files = FS.read_manifest_files(spark, man)
+    want = cells(ref)
+    assert files.filter("error is not null").count() == 0 and len(want) == 3003
+    for size in ("16k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert cells(FS.read_csv_lines(spark, man.select("import_id", "path"))) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bad_files_fail_alone(spark, tmp_path):
+    """A broken, a missing and an odd file among good ones: each is its own import's error."""
+    d = tmp_path / "in"
+    d.mkdir()
+    write_files(d)
+    (d / "broken.xlsx").write_bytes(b"PK no workbook")
+    (d / "deep.json").write_text("[" * 100_000)
+    (d / "nan.json").write_text('[{"question": NaN}]')
+    (d / "huge.json").write_text('[{"question": "q", "option1": ' + "7" * 5000 + "}]")
+    names = ["a.csv", "missing.csv", "b.json", "broken.xlsx", "deep.json", "nan.json", "huge.json"]
+    rows = [(i, n, str(d / n), {}, 1, False) for i, n in enumerate(names)]
+    rows.append((50, "gone.csv", str(tmp_path / "nowhere" / "gone.csv"), {}, 1, False))
+    man = spark.createDataFrame(rows, "import_id long, file_name string, path string, params map<string,string>, "
+                                      "uploader_id long, has_taxonomy boolean")
+    recs, files = FS.read_manifest_files(spark, man)
+    errors = {r["import_id"]: r["error"] for r in files.collect()}
+    assert {i for i, e in errors.items() if e} == {1, 3, 4, 5, 50} and errors[1] == errors[50] == "File missing."
+    got = {r["import_id"]: r["count"] for r in recs.groupBy("import_id").count().collect()}
+    assert got == {0: 6, 2: 6, 6: 1}
+
+
+def test_import_rollback_import_again(spark, tmp_path):
+    """Log ids are fresh per run: import, roll back, import again, roll back, compact, import."""
+    d = tmp_path / "in"
+    d.mkdir()
+    write_files(d)
+    man = manifest(spark, d).filter("import_id in (1, 2)")
+    recs, files = FS.read_manifest_files(spark, man)
+    params = P.resolve_params(man, spark.createDataFrame([], "quiz_id long, quiz_name string"))
+    root, fresh = str(tmp_path / "wh"), str(tmp_path / "wh2")
+    ask = lambda root, *ids: {r["log_id"]: r for r in S.rollback(
+        spark, root, spark.createDataFrame([(i,) for i in ids], "log_id long")).collect()}
+    S.run_import(spark, root, recs, params, file_errors=files)
+    assert ask(root, 2)[2]["removed"] == 3
+    S.run_import(spark, root, recs, params, file_errors=files)
+    status = {r["id"]: r["status"] for r in S.logs_now(spark, root).collect()}
+    assert status == {1: "Partial", 2: "RolledBack", 3: "Partial", 4: "Partial"}
+    live = S.live_questions(spark, root)
+    assert {r["import_id"] for r in live.select("import_id").distinct().collect()} == {1, 3, 4}
+    again = ask(root, 2, 4)
+    assert (again[2]["outcome"], again[2]["attempted"], again[2]["removed"]) == ("already_rolled_back", 0, 0)
+    assert (again[4]["outcome"], again[4]["attempted"], again[4]["removed"]) == ("rolled_back", 3, 3)
+    S.compact(spark, root, fresh)
+    assert S.next_id_base(spark, fresh) == 13  # ids of removed questions aren't given again
+    S.run_import(spark, fresh, recs, params, file_errors=files)
+    q = S.live_questions(spark, fresh)
+    assert sorted(r["question_id"] for r in q.collect()) == [1, 2, 3, 7, 8, 9, *range(13, 19)]
+    assert {r["id"] for r in S.logs_now(spark, fresh).collect()} == set(range(1, 7))
 
 
 def test_compact_after_rollback(spark, tmp_path):
@@ -150,10 +206,10 @@ def test_compact_after_rollback(spark, tmp_path):
     params = P.resolve_params(man, spark.createDataFrame([], "quiz_id long, quiz_name string"))
     root, fresh = str(tmp_path / "wh"), str(tmp_path / "wh2")
     S.run_import(spark, root, recs, params, file_errors=files)
-    S.rollback(spark, root, spark.createDataFrame([(3,)], "log_id long"))
+    S.rollback(spark, root, spark.createDataFrame([(2,)], "log_id long"))
     S.compact(spark, root, fresh)
     q = spark.read.parquet(fresh + "/questions")
     assert q.count() == 3 and {r["import_id"] for r in q.select("import_id").distinct().collect()} == {1}
     st = {r["id"]: r["status"] for r in spark.read.parquet(fresh + "/import_logs").collect()}
-    assert st == {1: "Partial", 3: "RolledBack"}
+    assert st == {1: "Partial", 2: "RolledBack"}
     assert S.table(spark, fresh, "tombstones") is None   # compacted tables need no tombstones
