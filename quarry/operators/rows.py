@@ -155,12 +155,6 @@ def ladder_struct(opts: Column, raw: Column, rt: Column | None = None, strict_le
     return let(let(first, steps), decide)
 
 
-def correct_ladder(opts: Column, raw: Column, rt: Column | None = None) -> tuple[Column, Column]:
-    """F18 as two columns (index, method); prefer ``ladder_struct`` inside lets."""
-    out = ladder_struct(opts, raw, rt)
-    return out["i"], out["m"]
-
-
 # ---------------------------------------------------------------------------
 # The whole row projection
 # ---------------------------------------------------------------------------
@@ -206,10 +200,6 @@ def options_of(cells: Column) -> Column:
         lambda on: F.when(F.size(on) > 0, on).otherwise(options_prefixed(cells))))
 
 
-def with_options(df: DataFrame, cells: str = "cells", out: str = "opts") -> DataFrame:
-    return df.withColumn(out, options_of(F.col(cells)))
-
-
 def row_fields(cells: Column, orig_row: Column, strict_letters: bool = False) -> Column:
     """Everything one record decides, as one struct (no shuffles, no copies)."""
     def body(e):

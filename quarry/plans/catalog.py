@@ -182,6 +182,19 @@ def params_resolved(spark: SparkSession, sf: str) -> DataFrame:
                                      "incorrect_mark")
 
 
+@register("params_alias_order", duck.params_alias_order)
+def params_alias_order(spark: SparkSession, sf: str) -> DataFrame:
+    """all 26 parameter keys, two at a time, unusable first values skipped."""
+    p = P.resolve_params(D.alias_manifest(spark, sf), D.quizzes(spark, sf))
+    return p.select("import_id", "quiz_id", "category_input", "question_type", "correct_mark", "incorrect_mark")
+
+
+@register("question_explanations", duck.question_explanations)
+def question_explanations(spark: SparkSession, sf: str) -> DataFrame:
+    """the explanation of every accepted row, cleaned of scripts and handlers."""
+    return _frames(spark, sf, "explained")["questions"].select("import_id", "orig_row", "question_answer_info")
+
+
 @register("category_links", duck.category_links)
 def category_links(spark: SparkSession, sf: str) -> DataFrame:
     """F20 + K02: question -> term links."""
@@ -394,6 +407,48 @@ def json_rows(spark: SparkSession, sf: str) -> DataFrame:
                 F.col("c.value").alias("value"))
 
 
+@register("json_rows_live", duck.json_rows_live)
+def json_rows_live(spark: SparkSession, sf: str) -> DataFrame:
+    """S04 + F02: events.props as JSON arrays or objects of rows, read in live mode: scalar
+    items are skipped, keys folded, nested values read 'Array' or, holding nothing, blank."""
+    ev = D.table(spark, sf, "events").select("event_id", "event_type", "props",
+                                             F.floor(F.col("event_id") / 100).cast("long").alias("bucket"))
+    docs = ev.groupBy("event_type", "bucket").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("items"))
+    odd = '{" K ": ["", " "], "Q": {"a": 1}, "f": 1.50, "t": true, "z": null, "n": 9007199254740993}'
+    listed = F.concat(F.lit(f'[7, "text", {odd}, '), F.array_join(F.transform("items", lambda x: x["props"]), ","),
+                      F.lit(", null]"))
+    keyed = F.concat(F.lit(f'{{"no": 1, "odd": {odd}, '), F.array_join(F.transform(
+        "items", lambda x: F.concat(F.lit('"r'), x["event_id"].cast("string"), F.lit('": '), x["props"])), ","),
+        F.lit("}"))
+    content = F.when(F.col("bucket") % 2 == 0, listed).otherwise(keyed)
+    files = docs.select(F.col("bucket").alias("import_id"),
+                        F.concat(F.col("event_type"), F.lit("/"), F.col("bucket").cast("string"),
+                                 F.lit(".json")).alias("name"), F.encode(content, "UTF-8").alias("content"))
+    recs, _ = FS.split_decoded(FS.decode_contents(files, mode="live"))
+    return recs.select(F.regexp_replace("name", r"\.json$", "").alias("doc"), "rec_no", "orig_row",
+                       F.explode("cells").alias("c")) \
+        .select("doc", "rec_no", "orig_row", F.col("c.pos").alias("pos"), F.col("c.key").alias("key"),
+                F.col("c.value").alias("value"))
+
+
+@register("csv_edge_cases", duck.csv_edge_cases)
+def csv_edge_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Blank line, multi-line cell, short and long row, duplicate header, BOM and a cell
+    above 200,000 characters, one file per import, read line by line by many tasks."""
+    from ..session import staging_dir
+
+    out = staging_dir(spark, "csv-edge")
+    (D.csv_edge_lines(spark, sf).repartition("import_id").sortWithinPartitions("import_id", "k")
+     .select("import_id", "value").write.partitionBy("import_id").text(out))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(
+        F.regexp_extract("path", r"import_id=([0-9]+)", 1).cast("long").alias("import_id"), "path")
+    recs = FS.read_csv_lines(spark, files)
+    return recs.select("import_id", "rec_no", "orig_row", F.explode("cells").alias("c")).select(
+        "import_id", "rec_no", "orig_row", F.col("c.pos").alias("pos"), F.col("c.key").alias("key"),
+        F.md5(F.col("c.value").cast("binary")).alias("value_md5"))
+
+
 @register("processor_summary", duck.processor_summary)
 def processor_summary(spark: SparkSession, sf: str) -> DataFrame:
     """F05 + F11 + F36 + A07 + U01 (built-in sink) per import."""

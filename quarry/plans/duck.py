@@ -167,8 +167,6 @@ FROM ({QF})
 """
 
 
-QUIZ_KEYS_SQL = None  # documented in constants; the manifest below only fills qsm_* keys
-
 MANIFEST = """
 SELECT CAST(n_nationkey AS BIGINT) AS import_id, 'file_' || CAST(n_nationkey AS VARCHAR) AS file_name,
        CAST(1 AS BIGINT) AS uploader_id, n_nationkey < 10 AS has_taxonomy, n_regionkey, n_name,
@@ -369,6 +367,61 @@ SELECT import_id, quiz_id, quiz_name, category_input, category_is_numeric, quest
        incorrect_mark FROM params"""
 
 
+def params_alias_order() -> str:
+    """The smaller key number is looked at first; an unusable value leaves the other one."""
+    def pick(n, good, second, default):
+        a, b = f"(k % {n})", f"((k // {n}) % {n})"
+        return (f"CASE WHEN k % 3 <> 0 THEN CASE WHEN {a} <= {b} THEN {good} ELSE {second} END "
+                f"WHEN {a} <> {b} THEN {second} ELSE {default} END")
+    return f"""WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part)
+SELECT k AS import_id, CAST({pick(6, 'k % 24 + 1', 'k * 7 % 24 + 1', '0')} AS BIGINT) AS quiz_id,
+       {pick(7, "'first ' || k", "'second ' || k", "''")} AS category_input,
+       CAST({pick(3, 'k % 7', 'k % 5', '0')} AS BIGINT) AS question_type,
+       CAST({pick(5, 'k % 9 + 0.5', 'k % 6', '2.0')} AS DOUBLE) AS correct_mark,
+       CAST({pick(5, '-(k % 4)', '-0.25', '-0.67')} AS DOUBLE) AS incorrect_mark
+FROM p"""
+
+
+def question_explanations() -> str:
+    return f"""WITH {scored()}
+SELECT import_id, orig_row,
+       CASE k % 4 WHEN 0 THEN '<b>See</b> ' || {php_trim('question')} WHEN 1 THEN '<i class="x">why</i> ' || {php_trim('question')}
+                  WHEN 2 THEN 'because ' || {php_trim('question')} ELSE '' END AS question_answer_info
+FROM (SELECT sc.import_id, sc.orig_row, sc.row_status, qf.k, qf.question FROM sc
+      JOIN ({QF}) qf ON qf.import_id = sc.import_id AND qf.rec_no = sc.rec_no) WHERE row_status = 'ok'"""
+
+
+def json_rows_live() -> str:
+    return """WITH e AS (SELECT event_id, event_type || '/' || CAST(CAST(floor(event_id / 100) AS BIGINT) AS VARCHAR) AS doc,
+                 props FROM events),
+odd AS (SELECT DISTINCT doc, unnest([0, 1, 2, 3, 4, 5]) AS pos FROM e),
+items AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY event_id) AS rec_no, props FROM e)
+SELECT doc, CAST(0 AS BIGINT) AS rec_no, CAST(1 AS BIGINT) AS orig_row, CAST(pos AS INTEGER) AS pos,
+       ['k', 'q', 'f', 't', 'z', 'n'][pos + 1] AS key, ['', 'Array', '1.5', '1', '', '9007199254740993'][pos + 1] AS value
+FROM odd
+UNION ALL
+SELECT doc, rec_no, rec_no + 1, CAST(0 AS INTEGER), k, json_extract_string(props, '$."' || k || '"')
+FROM items, unnest(json_keys(props)) t(k)"""
+
+
+def csv_edge_cases() -> str:
+    big = "repeat('0123456789', 20001)"
+    return f"""WITH r AS (SELECT p_partkey AS k, CAST(p_partkey % 20 AS BIGINT) AS import_id, p_name AS name,
+           row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) - 1 AS rec_no FROM part),
+v AS (SELECT import_id, rec_no, CASE
+        WHEN k % 1000 = 6 THEN ['big', {big}, 'b', '1']
+        WHEN k % 8 = 1 THEN ['', '', '', '']
+        WHEN k % 8 = 2 THEN [name || chr(10) || 'second "line"' || chr(10), 'a', 'b', '2']
+        WHEN k % 8 = 3 THEN [name, '', '', '']
+        WHEN k % 8 = 4 THEN [name, 'a', 'b', 'c']
+        WHEN k % 8 = 5 THEN ['x, "y"', name, '', '']
+        WHEN k % 8 = 7 THEN ['  ' || name || '  ', ' a ', 'b', '  ']
+        ELSE [name, 'a', 'b', '1'] END AS cells FROM r)
+SELECT import_id, CAST(rec_no AS BIGINT) AS rec_no, CAST(rec_no + 2 AS BIGINT) AS orig_row, CAST(i - 1 AS INTEGER) AS pos,
+       ['question', 'option1', 'option1', 'correct_answer'][i] AS key, md5(cells[i]) AS value_md5
+FROM v, range(1, 5) t(i)"""
+
+
 def category_links() -> str:
     return f"""WITH {scored()}
 SELECT CAST(question_id AS BIGINT) AS question_id, CAST(quiz_id AS BIGINT) AS quiz_id,

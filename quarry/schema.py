@@ -42,18 +42,4 @@ MANIFEST = T.StructType([
     T.StructField("has_taxonomy", T.BooleanType(), True),
 ])
 
-QUESTION_COLUMNS = [
-    "question_id", "import_id", "quiz_id", "question_name", "answer_array",
-    "answer_one", "answer_one_points", "answer_two", "answer_two_points",
-    "answer_three", "answer_three_points", "answer_four", "answer_four_points",
-    "answer_five", "answer_five_points", "answer_six", "answer_six_points",
-    "correct_answer", "question_answer_info", "comments", "hints", "question_order",
-    "question_type", "question_type_new", "question_settings", "category",
-    "category_terms", "linked_question", "deleted", "deleted_question_bank",
-]
-
-LOG_COLUMNS = [
-    "id", "file_name", "uploader_id", "quiz_id", "quiz_name", "import_time", "status",
-    "total_rows", "success_rows", "failed_rows", "first_question_id", "last_question_id",
-    "n_errors",
-]
+

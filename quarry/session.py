@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -66,13 +67,16 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged files.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is;
-    only when it is unset (local tests) do we create one.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; a local
+    session without one gets a temporary folder. Elsewhere a missing setting is an error:
+    executors could not see each other's local folders.
     """
     ship_package(spark)
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

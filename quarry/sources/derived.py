@@ -88,6 +88,8 @@ def qrows(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
         _cell(4, okeys[3], F.col("option4")),
         _cell(5, ckey, F.col("correct_answer")),
     )
+    if variant == "explained":
+        base = F.concat(base, F.array(_cell(6, " Explanation", explanation(k, F.col("question")))))
     if variant == "alias":
         empty = F.array().cast("array<struct<pos:int,key:string,value:string>>")
         lead = F.when(k % 5 == 0, F.array(_cell(-1, "Correct_Note", F.lit("note")))).otherwise(empty)
@@ -102,6 +104,79 @@ def qrows(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
     return w.select("import_id", "file_name", "rec_no", "orig_row", cells.alias("cells"))
 
 
+def explanation(k: Column, text: Column) -> Column:
+    """Explanations by k % 4: with a script, with an event handler, plain, missing."""
+    return (F.when(k % 13 == 0, F.lit(None))  # blank rows stay blank
+            .when(k % 4 == 0, F.concat(F.lit("<b>See</b><script>alert(1)</script> "), text))
+            .when(k % 4 == 1, F.concat(F.lit('<i class="x" onclick="go()">why</i> '), text))
+            .when(k % 4 == 2, F.concat(F.lit("  because "), text)))
+
+
+#: Keys of ``alias_manifest`` in the order in which they are looked up (fixed values of the
+#: input format), by parameter.
+ALIASES = {
+    "quiz": ["qsm_target_quiz", "target_quiz", "quiz_id", "quiz", "qsm_quiz", "qsm_target_quiz_select"],
+    "category": ["qsm_question_category", "target_category", "category", "target_cat", "qsm_category",
+                 "qsm_category_select", "qsm_category_field"],
+    "type": ["qsm_question_type", "question_type", "qsm_type"],
+    "correct": ["qsm_correct_mark", "correct_mark", "marks_correct", "correct_points", "qsm_points_correct"],
+    "incorrect": ["qsm_incorrect_mark", "incorrect_mark", "marks_incorrect", "incorrect_points",
+                  "qsm_points_incorrect"],
+}
+
+
+def alias_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One import per part row that gives every parameter under two of its keys: key number
+    k % n holds a value that is unusable when k % 3 = 0, key number (k / n) % n a usable one."""
+    k = F.col("p_partkey").cast("long")
+    first = {"quiz": (F.lit("no such quiz"), k % 24 + 1), "category": (F.lit(" \t"), F.concat(F.lit("first "), k)),
+             "type": (F.lit("x"), k % 7), "correct": (F.lit("many"), k % 9 + F.lit(0.5)),
+             "incorrect": (F.lit(""), -(k % 4))}
+    second = {"quiz": k * 7 % 24 + 1, "category": F.concat(F.lit("second "), k), "type": k % 5, "correct": k % 6,
+              "incorrect": F.lit(-0.25)}
+    entries = []
+    for name, keys in ALIASES.items():
+        n = len(keys)
+        names = F.array(*[F.lit(x) for x in keys])
+        bad, good = first[name]
+        a, b = k % n, F.floor(k / n) % n
+        entries += [F.struct(F.get(names, a.cast("int")).alias("key"),
+                             F.when(k % 3 == 0, bad).otherwise(good.cast("string")).alias("value")),
+                    F.when(a != b, F.struct(F.get(names, b.cast("int")).alias("key"),
+                                            second[name].cast("string").alias("value")))]
+    params = F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    return table(spark, sf_dir, "part").select(
+        k.alias("import_id"), F.lit("f").alias("file_name"), F.lit(None).cast("string").alias("path"),
+        params.alias("params"), F.lit(1).cast("long").alias("uploader_id"), F.lit(False).alias("has_taxonomy"))
+
+
+CSV_HEADER = " Question,OPTION1,option1,correct_answer"
+
+
+def csv_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(import_id, k, value): CSV text per part row, by k % 8: a plain row, a blank line, a cell
+    over several lines, a short row, a long row, quotes and commas, a cell above 200,000
+    characters (for every 1,000th part), spaces; k = -1 is the header, after a BOM in every
+    other file."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    name, imp = F.col("p_name"), (k % 20).cast("long").alias("import_id")
+    value = (F.when(k % 1000 == 6, F.concat(F.lit("big,"), F.repeat(F.lit("0123456789"), 20001), F.lit(",b,1")))
+             .when(k % 8 == 1, F.lit(""))
+             .when(k % 8 == 2, F.concat(F.lit('"'), name, F.lit('\nsecond ""line""\n",a,b,2')))
+             .when(k % 8 == 3, name)
+             .when(k % 8 == 4, F.concat(name, F.lit(",a,b,c,d,e,f")))
+             .when(k % 8 == 5, F.concat(F.lit('"x, ""y""",'), name, F.lit(",,")))
+             .when(k % 8 == 7, F.concat(F.lit("  "), name, F.lit("  , a ,b,  ")))
+             .otherwise(F.concat(name, F.lit(",a,b,1"))))
+    rows = p.select(imp, k.cast("long").alias("k"), value.alias("value"))
+    heads = p.select(imp).distinct().select(
+        "import_id", F.lit(-1).cast("long").alias("k"),
+        F.concat(F.when(F.col("import_id") % 2 == 0, F.lit("\ufeff")).otherwise(F.lit("")), F.lit(CSV_HEADER))
+        .alias("value"))
+    return heads.unionByName(rows)
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One import per nation row (FIXTURES §3.2); params as a string map."""
     n = table(spark, sf_dir, "nation")

@@ -4,7 +4,9 @@ The reference has no streaming operators; imports arrive one upload at a time. T
 Spark-native way to run the *same* batch import on files as they land is a
 ``binaryFile`` stream with ``foreachBatch``: each micro-batch is a manifest of new
 files, decoded and imported exactly like a batch (``quarry.operators.store``).
-The checkpoint location makes the file log exactly-once across restarts.
+A micro-batch that was imported completely leaves its number in ``root/epochs`` and is
+skipped when the stream hands it over again; one that broke off in the middle is imported
+anew, and what it had written has no log row.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import params as P
 from ..operators import store as S
+from ..operators.batch import materialize
 from ..sources import files as FS
 
 
@@ -30,10 +33,13 @@ def start_landing_import(spark: SparkSession, landing_dir: str, root: str, param
               .option("recursiveFileLookup", "true").load(landing_dir))
 
     def import_batch(batch: DataFrame, epoch_id: int) -> None:
+        done = S.table(spark, root, "epochs")
+        if done is not None and done.filter(F.col("epoch_id") == epoch_id).head(1):
+            return
         files = batch.select(
             F.xxhash64("path").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("import_id"),
             F.col("path").alias("name"), "content")
-        recs, outcome = FS.split_decoded(FS.decode_contents(files))
+        recs, outcome = FS.split_decoded(materialize(FS.decode_contents(files)))
         pmap = F.create_map(*[x for k, v in params.items() for x in (F.lit(k), F.lit(v))]) if params \
             else F.create_map().cast("map<string,string>")
         manifest = files.select("import_id", F.regexp_extract("name", r"([^/]*)$", 1).alias("file_name"),
@@ -41,6 +47,7 @@ def start_landing_import(spark: SparkSession, landing_dir: str, root: str, param
                                 F.lit(0).cast("long").alias("uploader_id"),
                                 F.lit(has_taxonomy).alias("has_taxonomy"))
         S.run_import(spark, root, recs, P.resolve_params(manifest, quizzes), file_errors=outcome)
+        spark.createDataFrame([(epoch_id,)], "epoch_id long").write.mode("append").parquet(f"{root.rstrip('/')}/epochs")
 
     w = stream.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
     if trigger_once:
