@@ -21,10 +21,12 @@ are judged alike. Empty tables: nothing is contaminated.
 
 from __future__ import annotations
 
-import regex
-import xxhash
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,15 +145,17 @@ def probe_of(key: str, items, min_words: int, similarity: float) -> Probe:
     return _PROBES[key]
 
 
-def benchmark_parts(benchmark: DataFrame, part_words: int, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The benchmark's (id, text) rows in parts of about ``part_words`` words, one at a time."""
+def benchmark_parts(benchmark: DataFrame, part_words: int, id_col: str, text_col: str):
+    """Yields the benchmark's (id, text) rows in parts of about ``part_words`` words; the
+    driver holds one part at a time."""
     b = benchmark.filter(col(text_col).isNotNull()).select(
         col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     size = F.size(F.split(F.trim("text"), r"\s+"))
     total = b.agg(F.sum(size)).first()[0] or 0
     n = -(-int(total) // part_words)
     part = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n)))
-    return [[tuple(r) for r in b.filter(part == i).collect()] for i in range(n)]
+    for i in range(n):
+        yield [tuple(r) for r in b.filter(part == i).collect()]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id",
@@ -159,8 +163,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id
          part_words: int = 1_000_000) -> DataFrame:
     """``docs`` with ``overlaps``: map of the benchmark items found in the text to the
     length of the longest overlap in words. A column of that name is replaced."""
-    import uuid
-
     spark = docs.sparkSession
     ship_package(spark)
     keep = [c for c in docs.columns if c.lower() != "overlaps"]
