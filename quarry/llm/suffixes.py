@@ -9,8 +9,8 @@ cut into shards that no match leaves, and only what is still open is sorted:
    and a match never leaves the set of occurrences of one anchor. An occurrence is kept as
    (document, first start, number of starts, anchor hash, hash of the bytes it spans).
 2. Anchors that occur once can't match and go. Occurrences with equal spans repeat as
-   a whole: they are settled by counting, however many copies there are, and one of them
-   stands for all below.
+   a whole: they are settled by counting, however many copies there are (those of one text
+   already in its task), and one of them stands for all below.
 3. What is left are the borders of repeated passages: anchors with several different
    spans. Their spans are fetched from the texts and dealt to shards by anchor; an anchor
    of many different spans is salted over several shards.
@@ -212,8 +212,12 @@ def shard_classes(spans: list[bytes], counts: np.ndarray, n_starts: np.ndarray,
     return place, owner, mine, members[mine] > 1
 
 
-OCC = "k1 long, k2 long, s int, n int, h long, c long"
-FOUND = "k1 long, k2 long, s int, e int, d1 long, d2 long"
+OCC = "k1 long, k2 long, s int, n int, h long, c long, m int"
+FOUND = "k1 long, k2 long, s int, e int, part int, data binary"
+#: A window of a salted anchor: its digest, place, and whether it is the only one in its shard.
+WINDOW = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("s", "<i4"), ("alone", "?")])
+#: Windows that one merging task should get.
+MERGE_WINDOWS = 200_000
 
 
 def chunks(batches, max_bytes: int, text_at: int):
@@ -230,16 +234,44 @@ def chunks(batches, max_bytes: int, text_at: int):
             yield b.slice(at), texts[at:]
 
 
+def fold_echoes(who, s, n, h, c):
+    """Occurrences of one text that have equal spans, as a text that repeats itself has many.
+
+    Returns (places of the first of each, 1 or 2 for one or more of them) and the runs of
+    starts of those that are not alone, as (text number, first start, number of starts).
+    """
+    order = np.lexsort((s, c, h, who))
+    w, x, y = who[order], h[order], c[order]
+    new = np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    size = np.diff(np.r_[np.flatnonzero(new), len(order)])
+    first = order[new]
+    again = np.sort(order[np.repeat(size > 1, size)])  # in the order of text and start
+    w, a, k = who[again], s[again], n[again]
+    head = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (a[1:] != a[:-1] + k[:-1])][:len(again)])
+    total = np.add.reduceat(k, head) if len(head) else k
+    return first, np.minimum(size, 2), (w[head], a[head], total)
+
+
 def occurrences(keyed: DataFrame, length: int) -> DataFrame:
-    """Anchor occurrences (OCC) of (k1, k2, text) rows."""
+    """Anchor occurrences (OCC) of (k1, k2, text) rows; ``m`` is 2 for a span that the text
+    holds several times. Rows without ``h`` are starts that are known to repeat by that."""
+    names = [x.split()[0] for x in OCC.split(", ")]
+
     def run(batches):
         for b, texts in chunks(batches, 1 << 18, 2):
             who, s, n, h, c = anchors(texts, length)
-            if len(who):
-                k1, k2 = (pa.array(np.asarray(b.column(i))[who]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [k1, k2, pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], names=["k1", "k2", "s", "n", "h", "c"])
+            if not len(who):
+                continue
+            first, m, (rw, rs, rn) = fold_echoes(who, s, n, h, c)
+            known = np.r_[np.ones(len(first), bool), np.zeros(len(rw), bool)]
+            row = np.r_[who[first], rw]
+            k1, k2 = (pa.array(np.asarray(b.column(i))[row]) for i in (0, 1))
+            pad = np.zeros(len(rw), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [k1, k2, pa.array(np.r_[s[first], rs].astype(np.int32)), pa.array(np.r_[n[first], rn].astype(np.int32)),
+                 pa.array(np.r_[h[first].view(np.int64), pad], mask=~known),
+                 pa.array(np.r_[c[first].view(np.int64), pad], mask=~known),
+                 pa.array(np.r_[m, pad].astype(np.int32))], names=names)
 
     return keyed.filter(F.octet_length("text") >= length).mapInArrow(run, OCC)
 
@@ -300,12 +332,14 @@ def fetch_spans(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def search_shards(spans: DataFrame, length: int, shard_bytes: int, anchor_spans: int) -> DataFrame:
+def search_shards(spans: DataFrame, length: int, shard_bytes: int, anchor_spans: int, parts: int) -> DataFrame:
     """FOUND rows of (k1, k2, s, n, h, m, k, salt, span) rows.
 
-    Rows without digest are runs of starts that repeat in their shard. Rows with a digest
-    are the windows of salted anchors, one per class, e = -1 if it repeats in its shard.
+    Rows without ``part`` are runs of starts that repeat in their shard. For the windows of
+    salted anchors a shard gives one WINDOW record per class, dealt by digest over
+    ``parts``: a row per shard and part holds them sorted.
     """
+    names = [x.split()[0] for x in FOUND.split(", ")]
     deal = spans.select("h", "salt", "k1", "k2", "s", "n", "m", "k", "span") \
         .repartition("h", "salt").sortWithinPartitions("h", "salt")
 
@@ -313,29 +347,35 @@ def search_shards(spans: DataFrame, length: int, shard_bytes: int, anchor_spans:
         h, salt, k1, k2, s, n, m, k = (np.concatenate([r[i] for r in rows]) for i in range(8))
         text = [x for r in rows for x in r[8]]
         place, owner, klass, repeats = shard_classes(text, m, n, length)
-        out = []
         # spans that occur several times as a whole are settled already
         sel = np.flatnonzero(repeats & (m[owner] == 1))
         if len(sel):
             a, b = runs_of(place[sel])  # spans are longer than their starts, so no run spans two
             at = owner[np.searchsorted(place, a)]
             start = s[at] + a - place[np.searchsorted(owner, at)]
-            none = np.zeros(len(a), dtype=np.int64)
-            out.append((k1[at], k2[at], start, start + b - a, none, none, np.zeros(len(a), bool)))
+            none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k1[at]), pa.array(k2[at]), pa.array(start.astype(np.int32)),
+                 pa.array((start + b - a).astype(np.int32)), *none], names=names)
         wide = np.flatnonzero(k[owner] > anchor_spans)
         if len(wide):
             _, one = np.unique(klass[wide], return_index=True)
             one = wide[one]
             at = owner[one]
             data = memoryview(b"".join(text))
-            d1, d2 = (np.array([xxhash.xxh64_intdigest(data[p:p + length], seed) for p in place[one].tolist()],
-                               dtype=np.uint64).view(np.int64) for seed in (1, 2))
-            start = s[at] + place[one] - place[np.searchsorted(owner, at)]
-            out.append((k1[at], k2[at], start, np.where(repeats[one], -1, start), d1, d2, np.ones(len(one), bool)))
-        for a in out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[0]), pa.array(a[1]), pa.array(a[2].astype(np.int32)), pa.array(a[3].astype(np.int32)),
-                 pa.array(a[4], mask=~a[6]), pa.array(a[5], mask=~a[6])], names=["k1", "k2", "s", "e", "d1", "d2"])
+            got = np.zeros(len(one), dtype=WINDOW)
+            for name, seed in (("d1", 1), ("d2", 2)):
+                got[name] = [xxhash.xxh64_intdigest(data[p:p + length], seed) for p in place[one].tolist()]
+            got["k1"], got["k2"], got["alone"] = k1[at], k2[at], ~repeats[one]
+            got["s"] = s[at] + place[one] - place[np.searchsorted(owner, at)]
+            part = (got["d1"] % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((got["d1"], part))
+            got, part = got[order], part[order]
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            rows_ = [(int(part[x]), got[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            gone = [pa.nulls(len(rows_), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*gone, pa.array([r[0] for r in rows_], pa.int32()),
+                                              pa.array([r[1] for r in rows_], pa.binary())], names=names)
 
     def run(batches):
         held, size, last = [], 0, None
@@ -356,29 +396,36 @@ def search_shards(spans: DataFrame, length: int, shard_bytes: int, anchor_spans:
     return deal.mapInArrow(run, FOUND)
 
 
-def merge_shards(digests: DataFrame) -> DataFrame:
-    """(k1, k2, s, e) of the single windows whose digest some other shard has as well."""
-    deal = digests.repartition("d1", "d2").sortWithinPartitions("d1", "d2")
+def merge_shards(found: DataFrame, parts: int) -> DataFrame:
+    """(k1, k2, s, e) of the windows that are alone in their shard and occur in another.
 
-    def solve(cols):
-        k1, k2, s, e, d1, d2 = cols
-        here = np.searchsorted(d1, d1, side="right") - np.searchsorted(d1, d1, side="left") > 1
-        twin = np.zeros(len(d1) + 1, dtype=bool)
-        twin[1:-1] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
-        sel = here & (twin[1:] | twin[:-1]) & (e >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(x[sel]) for x in (k1, k2, s, e)], names=["k1", "k2", "s", "e"])
+    A part's sorted arrays, one per shard, are merged; a binary search in the merged one
+    tells how often a digest occurs.
+    """
+    deal = found.select("part", "data").repartition(parts, "part").sortWithinPartitions("part")
+
+    def solve(arrays):
+        w = np.concatenate([np.frombuffer(a, dtype=WINDOW) for a in arrays])
+        w = w[np.lexsort((w["d2"], w["d1"]))]
+        several = np.searchsorted(w["d1"], w["d1"], side="right") - np.searchsorted(w["d1"], w["d1"], side="left") > 1
+        twin = np.zeros(len(w) + 1, dtype=bool)
+        twin[1:-1] = (w["d1"][1:] == w["d1"][:-1]) & (w["d2"][1:] == w["d2"][:-1])
+        w = w[several & (twin[1:] | twin[:-1]) & w["alone"]]
+        start = pa.array(w["s"].copy())
+        return pa.RecordBatch.from_arrays([pa.array(w["k1"].copy()), pa.array(w["k2"].copy()), start, start],
+                                          names=["k1", "k2", "s", "e"])
 
     def run(batches):
-        held: list = []
+        held, last = [], None
         for b in batches:
-            held.append([np.asarray(c) for c in b.columns])
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            cut = int(np.searchsorted(cols[4], cols[4][-1], side="left"))  # a digest may go on
-            if cut:
-                yield solve([c[:cut] for c in cols])
-            held = [[c[cut:] for c in cols]]
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and part != last:
+                    yield solve(held)
+                    held = []
+                held.append(data)
+                last = part
         if held:
-            yield solve([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield solve(held)
 
     return deal.mapInArrow(run, "k1 long, k2 long, s int, e int")
 
@@ -387,21 +434,27 @@ def repeats(keyed: DataFrame, length: int, shard_bytes: int = SHARD_BYTES,
             anchor_spans: int = ANCHOR_SPANS) -> DataFrame:
     """(k1, k2, runs) for the rows of (k1, k2, text) that hold repeated windows: runs of starts."""
     every = staged(occurrences(keyed, length), "occurrences")
-    several = staged(every.groupBy("h").agg(F.count("*").alias("x")).filter("x > 1").select("h"), "anchors")
-    occ = staged(may_hold(every, sketch(several, "h"), "h").join(several, "h", "left_semi"), "repeated")
-    span = staged(occ.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "s", "n")).alias("o")),
+    once = every.filter("h IS NOT NULL")
+    several = staged(once.groupBy("h").agg(F.sum("m").alias("x")).filter("x > 1").select("h"), "anchors")
+    occ = staged(may_hold(once, sketch(several, "h"), "h").join(several, "h", "left_semi"), "repeated")
+    span = staged(occ.groupBy("h", "c").agg(F.sum("m").alias("m"), F.min(F.struct("k1", "k2", "s", "n")).alias("o")),
                   "spans")
+    echoes = every.filter("h IS NULL").select("k1", "k2", "s", (F.col("s") + F.col("n") - 1).alias("e"))
     settled = occ.join(span.filter("m > 1").select("h", "c"), ["h", "c"], "left_semi").select(
         "k1", "k2", "s", (F.col("s") + F.col("n") - 1).alias("e"))
     per = span.groupBy("h").agg(F.count("*").alias("k"), F.min("m").alias("least")).filter("k > 1 AND least = 1")
+    # windows of salted anchors: each of their spans has at most as many as a window has grams
+    wide = per.agg(F.sum(F.when(F.col("k") > anchor_spans, F.col("k")))).first()[0] or 0
+    parts = 1 + int(wide) * length // 2 // MERGE_WINDOWS
     open_ = span.join(per, "h").select(
         "h", "m", "k", "o.*", F.pmod("c", F.ceil(F.col("k") / anchor_spans)).cast("long").alias("salt"))
     wanted = staged(open_.groupBy("k1", "k2").agg(
         F.collect_list(F.struct("s", "n", "h", "m", "k", "salt")).alias("spans")), "wanted")
     texts = may_hold(keyed, sketch(wanted, "k1"), "k1")
-    found = staged(search_shards(fetch_spans(texts, wanted, length), length, shard_bytes, anchor_spans), "found")
-    runs = settled.unionByName(found.filter("d1 IS NULL").select("k1", "k2", "s", "e"))
-    runs = runs.unionByName(merge_shards(found.filter("d1 IS NOT NULL")))
+    found = staged(search_shards(fetch_spans(texts, wanted, length), length, shard_bytes, anchor_spans, parts),
+                   "found")
+    runs = settled.unionByName(echoes).unionByName(found.filter("part IS NULL").select("k1", "k2", "s", "e"))
+    runs = runs.unionByName(merge_shards(found.filter("part IS NOT NULL"), parts))
     return staged(runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("runs")), "runs")
 
 
