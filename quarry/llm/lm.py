@@ -135,16 +135,20 @@ class EliasFano:
         if not self.n:
             return out
         h = np.minimum(x >> self.bits, np.uint64(len(self.start))).astype(np.int64)
-        todo = np.flatnonzero(h + 1 < len(self.start))
-        at, stop, want = self.start[h[todo]], self.start[h[todo] + 1], x[todo] & self.mask
+        where = np.flatnonzero(h + 1 < len(self.start))
+        # the values that share the high part stand in [lo, end); halve that for the successor
+        lo, end, want = self.start[h[where]], self.start[h[where] + 1], x[where] & self.mask
+        hi = end.copy()
+        todo = np.flatnonzero(lo < hi)
         while len(todo):
-            go = at < stop
-            todo, at, stop, want = todo[go], at[go], stop[go], want[go]
-            have = self.low[at * self.width] & self.mask
-            same = have == want
-            out[todo[same]] = at[same]
-            more = have < want
-            todo, at, stop, want = todo[more], at[more] + 1, stop[more], want[more]
+            mid = (lo[todo] + hi[todo]) >> 1
+            less = (self.low[mid * self.width] & self.mask) < want[todo]
+            lo[todo[less]] = mid[less] + 1
+            hi[todo[~less]] = mid[~less]
+            todo = todo[lo[todo] < hi[todo]]
+        hit = np.flatnonzero(lo < end)
+        hit = hit[(self.low[lo[hit] * self.width] & self.mask) == want[hit]]
+        out[where[hit]] = lo[hit]
         return out
 
 
@@ -467,7 +471,9 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
                 held.append((b.column(1)[r].as_py(), b.column(2)[r].as_py(), b.column(3)[r].as_py()))
         yield from flush()
 
-    deal = rows.mapInArrow(send, kind).repartition("shard").sortWithinPartitions("shard")
+    # about a shard per task, however many there are
+    parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    deal = rows.mapInArrow(send, kind).repartition(parts, "shard").sortWithinPartitions("shard")
     back = deal.mapInArrow(answer, kind).repartition("c1", "c2").sortWithinPartitions("c1", "c2", F.desc("shard"))
     scale = float(np.log10(n + 0.5 * (distinct + 1)))
     result = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
