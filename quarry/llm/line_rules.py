@@ -117,10 +117,11 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
 
 
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 20,
-          share: float = 0.05, left_share: float = 0.2, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+          share: float = 0.05, left_share: float = 0.2, min_words: int = 50, max_repeat: float = 0.5,
+          only_kept: bool = False) -> DataFrame:
     """``docs`` with one struct column ``quality``: COUNTS, n_removed_words, base_failed,
     depleted, kept, and frequent (the host's frequent lines). A column of that name is
-    replaced."""
+    replaced. With ``only_kept`` the rejected documents go."""
     freq = frequent_lines(docs, text_col, host_col, min_docs, share)
     keep = [col(c) for c in docs.columns if c.lower() != "quality"]
     h, f, t = (free_name(docs, x) for x in ("_host", "_frequent", "_text"))
@@ -142,6 +143,8 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min
                         b["f"].alias("frequent"))
 
     q = bind(F.struct(base_counts(col(t)).alias("c"), gone.alias("gone"), col(f).alias("f")), verdict)
+    if only_kept:  # a filter would be pushed below the projection and compute it all twice
+        q = F.explode(F.filter(F.array(q), lambda x: x["kept"]))
     return d.select(*keep, q.alias("quality"))
 
 
@@ -159,8 +162,7 @@ def clean(docs: DataFrame, **how) -> DataFrame:
     """
     text_col = how.get("text_col", "text")
     q = free_name(docs, "_q")
-    d = judge(docs.withColumnsRenamed({c: q for c in docs.columns if c.lower() == "quality"}), **how)
-    d = d.filter("quality.kept")
+    d = judge(docs.withColumnsRenamed({c: q for c in docs.columns if c.lower() == "quality"}), only_kept=True, **how)
     cut, left = F.col("quality.n_removed_words") > 0, without_lines(col(text_col), F.col("quality.frequent"))
     new = []
     for c in docs.columns:
