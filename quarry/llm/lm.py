@@ -471,9 +471,10 @@ def fit_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
                 held.append((b.column(1)[r].as_py(), b.column(2)[r].as_py(), b.column(3)[r].as_py()))
         yield from flush()
 
-    # about a shard per task, however many there are
+    # a task per shard, however many there are; the chunks' own rows go anywhere
     parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    deal = rows.mapInArrow(send, kind).repartition(parts, "shard").sortWithinPartitions("shard")
+    to = F.pmod(F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(F.col("shard")), F.lit(parts)).cast("int")
+    deal = rows.mapInArrow(send, kind).repartitionById(parts, to).sortWithinPartitions("shard")
     back = deal.mapInArrow(answer, kind).repartition("c1", "c2").sortWithinPartitions("c1", "c2", F.desc("shard"))
     scale = float(np.log10(n + 0.5 * (distinct + 1)))
     result = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
