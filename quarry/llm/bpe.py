@@ -265,7 +265,7 @@ class Vocabulary:
     def _encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         out = []
         for at in range(0, len(texts), 256):
-            if len(self.words) > 400_000:  # memory bound of what is remembered
+            if len(self.words) > 300_000:  # memory bound of what is remembered
                 self.forget()
             get = self.words.get
             cut = [self.sections(t) for t in texts[at:at + 256]]
@@ -319,12 +319,16 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
 
     def run(batches):
         v = loaded(vocabulary, spec)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                got = v.encode_batch([x.decode("utf-8", "replace") for x in blobs(b.column(b.num_columns - 1))])
-                cols = [*b.columns[:-1], pa.array([g[0] for g in got], pa.binary()),
-                        pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    got = v.encode_batch([x.decode("utf-8", "replace") for x in blobs(b.column(b.num_columns - 1))])
+                    cols = [*b.columns[:-1], pa.array([g[0] for g in got], pa.binary()),
+                            pa.array([len(g[0]) // 4 for g in got], pa.int64()),
+                            pa.array([g[1] for g in got], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        finally:
+            v.forget()  # the worker may go on with other steps and should not hold the words
 
     return df.mapInArrow(run, schema)
