@@ -16,7 +16,7 @@ from quarry.llm.queries import word_bpe_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rejected documents and takes frequent lines out of the others."""
-    return line_rules.clean(docs)
+    return line_rules.clean(docs, identity=line_rules.signature)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,15 @@ the distinct documents of a line are counted, and a line above both limits (``mi
 documents and ``share`` of the host's documents) is removed wherever the host has it. A
 document that keeps less than ``left_share`` of its words is depleted and rejected.
 
-*Distinct* documents: a document is known by the smallest hash among its words, so exact
-copies count once and near copies, which share most words, nearly once, while documents
-that share only some lines differ. Without this a text that a site merely holds many
-copies of would look like boilerplate, and no copy of it would be left.
+*Distinct* documents: a document is known by a signature of its whole text, the ``SKETCH``
+smallest hashes of its 2-word shingles. Exact copies have equal ones, near copies mostly do
+(two texts with a share J of common shingles with about J ** SKETCH), and documents that
+share common words or some lines differ: of pages that are half boilerplate about one in
+250 counts as a copy, of pages that are nine tenths boilerplate 43 %. Without this a text
+that a site merely holds many copies of would look like boilerplate, and no copy of it
+would be left. The registered queries count by this ``signature``. The default of
+``frequent_lines``, ``judge`` and ``clean`` is still ``least_word``, the smallest hash among
+a document's words, which counts unrelated documents as one where they share that word.
 
 Scale: the counts are pre-aggregated (line, document signature) pairs, so a line that a
 third of all documents hold is spread over as many keys as it has documents before it is
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import BLANK, col, free_name, staged
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Fixed value: hashes in a document's signature.
+SKETCH = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -102,11 +109,29 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
-    """(host, frequent): per host the hashes of the lines above both limits."""
+def least_word(text: Column) -> Column:
+    """The smallest hash among the text's words; null without words."""
+    return F.array_min(F.transform(words_of(text), lambda w: F.xxhash64(w)))
+
+
+def signature(text: Column) -> Column:
+    """Hash of the SKETCH smallest hashes of the text's 2-word shingles; null without words."""
+    def shingles(w):
+        return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(
+            F.get(w, i), F.get(w, i + 1)))).when(F.size(w) == 1, F.array(F.xxhash64(w[0])))
+
+    least = F.slice(F.sort_array(F.array_distinct(bind(words_of(text), shingles))), 1, SKETCH)
+    return bind(least, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
+
+
+def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float,
+                   identity=least_word) -> DataFrame:
+    """(host, frequent): per host the hashes of the lines above both limits.
+
+    Documents with equal ``identity(text)`` count once."""
     host = F.coalesce(col(host_col).cast("string"), F.lit("")).alias("host")
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    d = docs.select(host, F.array_min(F.transform(words_of(text), lambda w: F.xxhash64(w))).alias("sig"),
+    d = docs.select(host, identity(text).alias("sig"),
                     F.array_distinct(F.transform(F.filter(normal_lines(text), lambda x: x != ""), line_hash)).alias("hs"))
     d = staged(d.filter(F.col("sig").isNotNull()), "line-hashes")
     total = d.select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("docs"))
@@ -118,11 +143,11 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
 
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 20,
           share: float = 0.05, left_share: float = 0.2, min_words: int = 50, max_repeat: float = 0.5,
-          only_kept: bool = False) -> DataFrame:
+          only_kept: bool = False, identity=least_word) -> DataFrame:
     """``docs`` with one struct column ``quality``: COUNTS, n_removed_words, base_failed,
     depleted, kept, and frequent (the host's frequent lines). A column of that name is
     replaced. With ``only_kept`` the rejected documents go."""
-    freq = frequent_lines(docs, text_col, host_col, min_docs, share)
+    freq = frequent_lines(docs, text_col, host_col, min_docs, share, identity)
     keep = [col(c) for c in docs.columns if c.lower() != "quality"]
     h, f, t = (free_name(docs, x) for x in ("_host", "_frequent", "_text"))
     d = docs.select(*keep, col(text_col).cast("string").alias(t),

@@ -68,7 +68,7 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
-    q = line_rules.judge(table(spark, sf_dir, "documents"))
+    q = line_rules.judge(table(spark, sf_dir, "documents"), identity=line_rules.signature)
     return q.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in
                                 [*line_rules.COUNTS, "n_removed_words", "base_failed", "kept"]])
 

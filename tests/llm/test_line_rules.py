@@ -101,6 +101,54 @@ def test_near_copies_are_not_boilerplate(documents):
     assert line_rules.judge(documents(rows), share=0.1).filter("quality.kept").count() == 500
 
 
+def test_documents_of_common_words_count_one_by_one(documents):
+    rng = random.Random(5)
+    common = ["are", "the", "and", "of"] + ["c%d" % i for i in range(150)]
+    foot = [" ".join(f"foot{k}{j}" for j in "abcdefghij") for k in "xyz"]
+    rows = []
+    for i in range(300):  # every text holds every common word; 40 and 12 hold a line, 100 are half boilerplate
+        words = [*common, *rng.choices(common, k=60)]
+        rng.shuffle(words)
+        lines = [" ".join(words[j:j + 12]) for j in range(0, len(words), 12)]
+        lines += ([foot[0]] if i < 40 else []) + ([foot[1]] if 40 <= i < 52 else []) + (
+            [f"{foot[2]} {k}x" for k in "abcdefghijklmnopqrst"] if 200 <= i else [])
+        rows.append(("\n".join(lines), "h"))
+    rows += rows[45:46] * 30  # exact copies count once
+    per, texts = defaultdict(set), {t for t, _ in rows}
+    for t in texts:
+        for n in set(map(normal, t.split("\n"))):
+            per[n].add(t)
+    often = {n for n, held in per.items() if len(held) > 20 and len(held) > 0.05 * len(texts)}
+    assert foot[0] in often and foot[1] not in often and len(often) == 21
+    got = line_rules.judge(documents([(i, t, h) for i, (t, h) in enumerate(rows)]), identity=line_rules.signature).collect()
+    for r in got:
+        assert r.quality.n_removed_words == sum(len(n.split(" ")) for n in map(normal, r.text.split("\n")) if n in often)
+
+
+def test_near_copies_share_signatures(documents):
+    rng = random.Random(4)
+    base = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) for _ in range(10)]
+    rows = []
+    for i in range(200):
+        lines = list(base)
+        lines[rng.randrange(10)] += f" edit{i}"
+        rows.append((i, "\n".join(lines), "host"))
+    for i in range(300):
+        rows.append((1000 + i, "\n".join(" ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(12)) for _ in range(6)), "host"))
+    judged = line_rules.judge(documents(rows), share=0.1, identity=line_rules.signature)
+    assert judged.filter("quality.kept").count() == 500
+
+
+def test_registered_query_counts_whole_documents(spark, sf_small, monkeypatch):
+    from quarry.llm import queries
+
+    seen = []
+    monkeypatch.setattr(line_rules, "frequent_lines", lambda *a: seen.append(a[-1]) or spark.createDataFrame(
+        [], "host string, frequent array<bigint>"))
+    queries.op7_line_rules(spark, sf_small)
+    assert seen == [line_rules.signature]
+
+
 def test_clean_cuts_lines_and_keeps_columns(documents):
     rows = sample()
     d = documents([(i, t, h) for i, (t, h) in enumerate(rows)])
