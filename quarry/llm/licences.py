@@ -5,7 +5,10 @@ equivalent spellings unified, everything but letters and digits made one blank.
 digest of the entire canonical text is joined by hash with the digests of the known
 licences (a table of any size), so a document that is a licence is found however it is
 wrapped, punctuated or spelt. The digests of its single lines are looked up in the same
-join, so that one-line notices inside a text are found as well.
+join, so that one-line notices inside a text are found as well. Notices that are a sentence
+(one line that ends with a full stop) are also looked for in the running text, over line
+breaks and inside lines; every task holds them, so they should be few. Other one-line texts,
+as SPDX identifiers, must be a line: MIT is not MIT-0.
 
 All of it is native. Texts are not shuffled, only digests, and only those that hit are
 grouped per document.
@@ -17,6 +20,9 @@ empty or licence-free results.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +52,34 @@ NOTICES = {
     "proprietary": ["All rights reserved."],
 }
 
+#: Full texts without title and copyright lines, one file a licence.
+TEXTS = Path(__file__).parent / "licence_texts"
+
+#: What stands above the full texts of short licences.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+    "ISC": ["ISC License", "The ISC License"],
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence_id, text): every shipped licence in its usual spellings."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        end = re.search(r"END OF TERMS AND CONDITIONS", text)
+        bodies = [text, *([text[:end.start()], text[:end.end()]] if end else [])]
+        if name.startswith("BSD"):  # clauses with numbers or other marks
+            bodies.append(re.sub(r"(?m)^\s*[0-9]\.", "*", text))
+        for body in bodies:
+            for title in ["", *TITLES.get(name, [])]:
+                out += [(name, f"{title}\n{body}")]
+                if name in TITLES:  # below the copyright line
+                    out += [(name, f"{title}\nAll rights reserved.\n{body}")]
+    return out
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text that hold anything, in order."""
@@ -59,24 +93,45 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, line), lambda x: x != "")
 
 
-def digests(text: Column) -> Column:
-    """Array of (whole, digest): the entire canonical text first, then its lines."""
+def joined(lines: Column) -> Column:
+    """Canonical lines as one text; spellings of two words may be wrapped between them."""
+    text = F.array_join(lines, " ")
+    for old, new in SPELLINGS:
+        if " " in old:
+            text = F.regexp_replace(text, old, new)
+    return text
+
+
+def digests(text: Column, sentences: Column | None = None) -> Column:
+    """Array of (whole, digest): the entire canonical text first, then its lines, then the
+    ``sentences`` (line, digest) that its running text holds."""
     md5 = lambda x: F.md5(x.cast("binary"))
     lines = F.transform(F.array(canonical_lines(text)), lambda x: F.when(F.size(x) > 0, F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), md5(F.array_join(x, " ")).alias("digest"))),
-        F.transform(x, lambda y: F.struct(F.lit(False).alias("whole"), md5(y).alias("digest"))))))
+        F.array(F.struct(F.lit(True).alias("whole"), md5(joined(x)).alias("digest"))),
+        F.transform(x, lambda y: F.struct(F.lit(False).alias("whole"), md5(y).alias("digest"))),
+        *([] if sentences is None else [inside(x, sentences)]))))
     return lines[0]
 
 
+def inside(lines: Column, sentences: Column) -> Column:
+    running = F.concat(F.lit(" "), joined(lines), F.lit(" "))
+    held = F.transform(F.array(running), lambda r: F.filter(
+        sentences, lambda s: r.contains(F.concat(F.lit(" "), s["line"], F.lit(" ")))))[0]
+    return F.transform(held, lambda s: F.struct(F.lit(False).alias("whole"), s["digest"].alias("digest")))
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    """The built-in table (licence_id, text)."""
-    return spark.createDataFrame([(k, t) for k, ts in NOTICES.items() for t in ts], "licence_id string, text string")
+    """The built-in table (licence_id, text): notices and full texts."""
+    return spark.createDataFrame([(k, t) for k, ts in NOTICES.items() for t in ts] + full_texts(), "licence_id string, text string")
 
 
 def scan(docs: DataFrame, licences: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``licences`` (sorted ids found in its lines or as a whole) and
     ``whole_text`` (ids of licences that are the entire document). Columns with these
     names are replaced."""
+    line = F.transform(canonical_lines(F.col("text")), lambda x: joined(F.array(x)))
+    sentences = licences.filter(F.rtrim("text").endswith(".") & (F.size(line) == 1)).agg(F.collect_set(F.struct(
+        line[0].alias("line"), F.md5(line[0].cast("binary")).alias("digest"))).alias("sentences"))
     known = licences.select("licence_id", digests(F.col("text"))[0]["digest"].alias("digest"))
     known = staged(known.filter("digest IS NOT NULL").distinct().groupBy("digest").agg(
         F.collect_set("licence_id").alias("ids")), "licences")
@@ -84,7 +139,8 @@ def scan(docs: DataFrame, licences: DataFrame, text_col: str = "text") -> DataFr
     key = free_name(docs, "_key")
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     of_text = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
-    found = docs.select(of_text.alias("key"), F.explode(digests(text)).alias("d"))
+    texts = docs.select(of_text.alias("key"), text.alias("text")).crossJoin(F.broadcast(sentences))
+    found = texts.select("key", F.explode(digests(F.col("text"), F.col("sentences"))).alias("d"))
     hits = found.select("key", "d.*").join(known, "digest").select("key", "whole", F.explode("ids").alias("id")).distinct()
     per = staged(hits.groupBy("key").agg(
         F.array_sort(F.collect_set("id")).alias("licences"),

@@ -30,6 +30,27 @@ def test_whole_texts_and_lines(spark, documents):
         (None, ("proprietary",), ("proprietary",)), (9, ("proprietary",), ())], key=str)
 
 
+def test_full_texts_and_notices_in_running_text(spark, documents):
+    by_name = {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0"} <= set(by_name)
+    names = sorted(by_name)
+    rows = [(i, " ".join(by_name[n].split()) if "opyright (" not in by_name[n] else by_name[n]) for i, n in enumerate(names)]
+    rows += [(100, "The MIT License (MIT)\n\nCopyright (c) 2020 me\n\n" + by_name["MIT"].replace("\n", "\n  ")),
+             (101, "Copyright 2021 me\n" + by_name["MIT"] + "\nand more"),
+             (102, "This file is licensed under the\n   Apache License,\nVersion 2.0. See there."),
+             (103, "prose, released under the MIT license. More prose"), (104, "SPDX-License-Identifier: MIT-0"),
+             (105, "unreleased under the MIT license."), (106, by_name["Apache-2.0"].split("APPENDIX")[0]),
+             (107, "BSD 2-Clause License\n\nCopyright (c) 2012, A B\nAll rights reserved.\n\n"
+                   + by_name["BSD-2-Clause"].replace("1.", "*", 1).replace("2.", "*", 1))]
+    got = {r.doc_id: (list(r.licences), list(r.whole_text))
+           for r in licences.scan(documents(rows), licences.known_licences(spark)).collect()}
+    for i, n in enumerate(names):
+        assert n in got[i][0] and got[i][1] == [n], n
+    assert got[107][1] == ["BSD-2-Clause"] and got[100] == (["MIT"], ["MIT"]) and got[106][1] == ["Apache-2.0"]
+    assert got[102] == (["Apache-2.0"], []) and got[103] == (["MIT"], [])
+    assert [got[i] for i in (101, 104, 105)] == [([], [])] * 3
+
+
 def test_empty_tables(spark, documents):
     assert licences.scan(documents([]), known(spark)).count() == 0
     got = licences.scan(documents(["All rights reserved."]), known(spark).limit(0)).collect()
