@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, gam, licences, line_rules, lm, simhash, suffixes, urls, warc
+from . import bpe, conversations, decontam, gam, licences, line_rules, lm, simhash, suffixes, urls, warc
 from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -94,10 +94,23 @@ def op10_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired text of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    done, repaired = conversations.repair(conversations.damage(rows))
+    ids = rows.select(F.col("conv_id").alias("c")).distinct()
+    same = F.col("c").eqNullSafe(F.col("conv_id"))
+    got = ids.join(done, same, "left").drop("conv_id").join(conversations.digests(repaired), same, "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return got.select(F.col("c").alias("conv_id"), *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in counts],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_licences": op5_licences,
     "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
-    "op9_suffixes": op9_suffixes, "op10_trie_lm": op10_trie_lm,
+    "op9_suffixes": op9_suffixes, "op10_trie_lm": op10_trie_lm, "op11_repair": op11_repair,
 }
 
 def _licence_sql() -> str:
