@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontam, gam, licences, line_rules, lm, simhash, suffixes, urls, warc
+from . import bpe, collocations, conversations, decontam, gam, licences, line_rules, lm, simhash, suffixes, urls, warc
 from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -107,10 +107,17 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of every language."""
+    got = collocations.collocations(table(spark, sf_dir, "documents"), min_count=10, depth=3, share=50, top=2000)
+    return got.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_licences": op5_licences,
     "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
     "op9_suffixes": op9_suffixes, "op10_trie_lm": op10_trie_lm, "op11_repair": op11_repair,
+    "op13_collocations": op13_collocations,
 }
 
 def _licence_sql() -> str:
@@ -152,4 +159,27 @@ SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1"""
 
 
-ORACLES: dict[str, str] = {"op5_licences": _licence_sql(), "op6_urls": _url_sql()}
+#: Phrases counted from word lists, cut by list slices; products are HUGEINT.
+COLLOCATION_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS words
+      FROM w, (VALUES (1), (2), (3)) v(k)),
+c AS (SELECT lang, k, words, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM c WHERE k > 1 AND f >= 10),
+cut AS (SELECT x.lang, x.k, x.words, x.f AS a, s.i, le.f AS l, ri.f AS r, 1000000 * x.f * x.f // (le.f * ri.f) AS score
+        FROM cand x JOIN (VALUES (1), (2)) s(i) ON s.i < x.k
+        JOIN c le ON le.lang = x.lang AND le.words = x.words[1:s.i]
+        JOIN c ri ON ri.lang = x.lang AND ri.words = x.words[s.i + 1:x.k]),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, i) = 1),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM cand t WHERE t.lang = low.lang AND t.k > low.k
+         AND (t.words[1:2] = low.words OR t.words[2:3] = low.words) AND 100 * t.f >= 50 * low.a)),
+named AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM named JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op5_licences": _licence_sql(), "op6_urls": _url_sql(), "op13_collocations": COLLOCATION_SQL}
