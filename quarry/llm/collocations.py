@@ -6,7 +6,7 @@ Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and piec
 parts, and is dropped where a longer phrase that holds it is at least half as frequent.
 
 **Method.** A task gathers the texts of its input split into shards of ``shard_bytes`` per
-language, without a shuffle. A shard is a sequence of word ids with a separator between
+language, without a shuffle, and writes them as word ids to the shared folder. A shard is a sequence of word ids with a separator between
 pieces, and has two FM-indexes, of the sequence and of its reverse. An index sorts positions
 by their next ``depth`` words, which is all that patterns of that length need, and keeps the
 Burrows-Wheeler transform with its first-to-last mapping. A phrase has an interval in both;
@@ -15,11 +15,15 @@ the number of smaller left neighbours, extending it to the right does the revers
 phrases of a length are extended at once, and every extension comes with its count, so the
 phrases of the next length are enumerated exactly. Counts are then summed across shards.
 
-**Scale.** Nothing is pruned before the sums, as any shard may hold one occurrence of a
-frequent phrase. Rows that leave a task are phrases with counts, combined before the shuffle,
-so a phrase that is in every text costs a task one row. What follows works on phrases of at
-least ``min_count``, with every part they need among them (a part is at least as frequent).
-Memory is a shard; a text longer than that is indexed in parts that overlap by
+**Scale.** A phrase can only be frequent if all its neighbouring pairs are, so pairs are
+counted first, by hash: a shard deals its pairs to buckets as sorted 32-bit hashes with
+counts clipped at ``min_count``, a bucket adds them up and answers each shard with one bit
+a pair. Shards then extend intervals only where the new pair's bit is set, and return
+phrases as text, which are summed exactly. Equal hashes only let a rare pair through. The
+number of buckets follows the size of the texts, so a bucket is bounded and a shard's rows to
+buckets are never more than its pairs. A phrase that is in every text costs one row a shard.
+What follows works on phrases of at least ``min_count``, with every part they need among
+them. Memory is a shard; a text longer than that is indexed in parts that overlap by
 ``depth - 1`` words, and what lies inside an overlap is taken off again.
 
 **Defined cases.** A null text is empty, a null language is ``und``. Repeated rows count each
@@ -29,9 +33,12 @@ without candidates, has no rows; an empty table gives none. Other columns are ig
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +48,8 @@ from .common import blobs, col, staged
 #: Bytes to bytes: A-Z to lower case, what ends a piece to a point, tab to blank.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 END = b"."
+#: Text whose pairs share a bucket.
+BUCKET_BYTES = 16 << 20
 GRAMS = "lang string, phrase string, words int, count long"
 
 
@@ -88,10 +97,11 @@ class FMIndex:
         return who[new], symbol[new], self.back[rows[order[new]]], count, new - (ends - n)[who[new]]
 
 
-def grams_of(ids: np.ndarray, size: int, depth: int):
+def grams_of(ids: np.ndarray, size: int, depth: int, alive=None):
     """(word columns, counts) of the phrases of 1 to ``depth`` words, one pair per length.
 
-    Lengths grow by a word to the right and to the left in turn.
+    Lengths grow by a word to the right and to the left in turn. ``alive`` gets the pairs
+    and answers which may be extended; without it all are.
     """
     ids = np.append(ids, 0)
     ahead = FMIndex(ids, size, depth)
@@ -102,81 +112,183 @@ def grams_of(ids: np.ndarray, size: int, depth: int):
     lo = rev = ahead.start[words[0]]
     count = count[words[0] - 1]
     yield words, count
+    good = None
     for length in range(2, depth + 1):
         right = length % 2 == 0
         index, here, there = (turned, rev, lo) if right else (ahead, lo, rev)
         owner, symbol, row, count, smaller = index.extend(here, count)
         keep = symbol > 0
+        if good is not None:
+            pair = (words[-1][owner], symbol) if right else (symbol, words[0][owner])
+            keep &= np.isin(pair[0] * size + pair[1], good)
         owner, symbol, row, count = owner[keep], symbol[keep], row[keep], count[keep]
         moved = there[owner] + smaller[keep]
         lo, rev = (moved, row) if right else (row, moved)
         words = [w[owner] for w in words]
-        words = [*words, symbol] if right else [symbol, *words]
+        words = [*words, symbol.astype(np.int64)] if right else [symbol.astype(np.int64), *words]
+        if length == 2 and alive is not None:
+            ok = alive(*words)
+            words, count, lo, rev = [w[ok] for w in words], count[ok], lo[ok], rev[ok]
+            good = np.sort(words[0] * size + words[1])
         yield words, count
 
 
-def shard_rows(lang: str, words: list[bytes], depth: int, sign: int = 1, batch: int = 200_000):
-    """Record batches (GRAMS) of one shard; phrase '' counts the words."""
+def pair_hashes(lang: str, names: list[bytes], left: np.ndarray, right: np.ndarray, buckets: int):
+    """(bucket, 32-bit hash) of pairs of words, the same in every shard of a language."""
+    seed = lang.encode() + b"\0"
+    h = np.array([0, *(xxhash.xxh64_intdigest(seed + w) for w in names[1:])], np.uint64)
+    mixed = (h[left] * np.uint64(0x9E3779B97F4A7C15) + (h[right] << np.uint64(31) | h[right] >> np.uint64(33)))
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    high, low = mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF)
+    return (high * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), low.astype(np.int64)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, which compress where the high ones are zero."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+SHARD = ("shard string, lang string, sign int, ids binary, names array<binary>, bucket int, hashes binary, "
+         "counts binary")
+
+
+def shard_batches(lang: str, words: list[bytes], depth: int, min_count: int, buckets: int, sign: int = 1):
+    """A shard as one row with its ids and, for longer phrases, one row per bucket of its pairs."""
     column = pa.array(words, pa.binary()).dictionary_encode()
     names = column.dictionary.to_pylist()
     ids, first = column.indices.to_numpy().astype(np.int32) + 1, names.index(END) if END in names else -1
     if first >= 0:  # the end of a piece has symbol 0, the others keep theirs
         ids[ids == first + 1] = 0
-    names = pa.array([b"", *names], pa.binary())
-    yield rows_batch(lang, pa.array([""]), 0, np.array([np.count_nonzero(ids)]), sign)
-    for got, count in grams_of(ids, len(names), depth):
-        for i in range(0, len(count), batch):
-            parts = [names.take(pa.array(w[i:i + batch])) for w in got]
-            phrase = pc.binary_join_element_wise(*parts, b" ") if len(parts) > 1 else parts[0]
-            yield rows_batch(lang, phrase.cast(pa.string()), len(got), count[i:i + batch], sign)
-
-
-def rows_batch(lang: str, phrase: pa.Array, words: int, count: np.ndarray, sign: int) -> pa.RecordBatch:
-    n = len(phrase)
-    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), n), phrase, pa.repeat(pa.scalar(words, pa.int32()), n),
-                                       pa.array(count * sign, pa.int64())], names=["lang", "phrase", "words", "count"])
+    del column
+    shard, names = uuid.uuid4().hex, [b"", *names]
+    schema = pa.schema([("shard", pa.string()), ("lang", pa.string()), ("sign", pa.int32()), ("ids", pa.binary()),
+                        ("names", pa.list_(pa.binary())), ("bucket", pa.int32()), ("hashes", pa.binary()),
+                        ("counts", pa.binary())])
+    none = dict.fromkeys(schema.names) | {"shard": shard, "lang": lang}
+    yield pa.RecordBatch.from_pylist([none | {"sign": sign, "ids": pack(ids), "names": names}], schema)
+    if depth < 3:
+        return
+    *_, ((left, right), count) = grams_of(ids, len(names), 2)
+    bucket, low = pair_hashes(lang, names, left, right, buckets)
+    order = np.argsort(bucket << 32 | low)
+    bucket, low, count = bucket[order], low[order], np.minimum(count[order], min_count) * (sign > 0)
+    ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)[:len(bucket)]) + 1
+    rows = [none | {"bucket": int(bucket[i]), "hashes": pack(np.diff(low[i:j], prepend=0)), "counts": pack(count[i:j])}
+            for i, j in zip([0, *ends[:-1]], ends, strict=False) if j > i]
+    yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def shards(lang: str, texts: list[bytes], depth: int, shard_bytes: int):
+def shards(lang: str, texts: list[bytes], shard_bytes: int, *how):
     """Rows of ``texts``; together they are at most one shard, or a single longer text."""
     if len(texts) > 1 or len(texts[0]) <= shard_bytes:
-        yield from shard_rows(lang, words_of(b".".join(texts)), depth)
+        yield from shard_batches(lang, words_of(b".".join(texts)), *how)
         return
-    data, at, carry = texts[0], 0, []
+    data, at, carry, depth = texts[0], 0, [], how[0]
     while at < len(data):
         end = data.find(b" ", at + shard_bytes)
         end = len(data) if end < 0 else end
         words = carry + words_of(data[at:end])
-        yield from shard_rows(lang, words, depth)
+        yield from shard_batches(lang, words, *how)
         at, carry = end, words[1 - depth:] if depth > 1 else []
-        if at < len(data):  # the next part counts these again
-            yield from shard_rows(lang, carry, depth, sign=-1)
+        if at < len(data) and carry:  # the next part counts these again
+            yield from shard_batches(lang, carry, *how, -1)
 
 
-def gram_counts(docs: DataFrame, depth: int = 3, shard_bytes: int = 12 << 20, text_col: str = "text",
-                lang_col: str = "lang") -> DataFrame:
-    """(lang, phrase, words, count) of all phrases of up to ``depth`` words; '' counts words."""
-    ship_package(docs.sparkSession)
+def write_shards(docs: DataFrame, shard_bytes: int, depth: int, min_count: int, buckets: int) -> DataFrame:
+    """Shards of the texts and their pairs (SHARD), written to the shared folder."""
+    how = depth, min_count, buckets
 
     def run(batches):
-        held, size = {}, 0
+        held, size = {}, {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), blobs(b.column(1)), strict=True):
                 if len(text) > shard_bytes:
-                    yield from shards(lang, [text], depth, shard_bytes)
+                    yield from shards(lang, [text], shard_bytes, *how)
                 elif text:
                     held.setdefault(lang, []).append(text)
-                    size += len(text)
-                if size > shard_bytes:
-                    for k, texts in held.items():
-                        yield from shards(k, texts, depth, 2 * shard_bytes)
-                    held, size = {}, 0
-        for k, texts in held.items():
-            yield from shards(k, texts, depth, 2 * shard_bytes)
+                    size[lang] = size.get(lang, 0) + len(text)
+                    most = max(size, key=size.get) if sum(size.values()) > 4 * shard_bytes else lang
+                    if size[most] > shard_bytes or most != lang:
+                        size.pop(most)
+                        yield from shards(most, held.pop(most), 2 * shard_bytes, *how)
+        for lang in list(held):
+            yield from shards(lang, held.pop(lang), 2 * shard_bytes, *how)
+
+    return staged(docs.mapInArrow(run, SHARD), "shards")
+
+
+def frequent_pairs(table: DataFrame, min_count: int) -> DataFrame:
+    """(shard, bucket, bits): which pairs of a shard, by hash, reach ``min_count`` in all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        low = [np.cumsum(unpack(h)) for h in group.column("hashes").to_pylist()]
+        count = np.concatenate([unpack(c) for c in group.column("counts").to_pylist()])
+        _, which = np.unique(np.concatenate(low), return_inverse=True)
+        alive = (np.bincount(which, weights=count) >= min_count)[which]
+        ends = np.cumsum([len(x) for x in low])
+        bits = [np.packbits(x).tobytes() for x in np.split(alive, ends[:-1])]
+        return pa.table({"shard": group.column("shard"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+    rows = table.filter("bucket is not null").select("shard", "bucket", "hashes", "counts")
+    return rows.groupBy("bucket").applyInArrow(run, "shard string, bucket int, bits binary")
+
+
+def shard_grams(shard: dict, bits: dict, depth: int, buckets: int) -> pa.Table:
+    """Phrases (GRAMS) of one shard; phrase '' counts the words."""
+    names, lang, sign = shard["names"], shard["lang"], shard["sign"]
+    ids = unpack(shard["ids"]).astype(np.int32)
+
+    def alive(left, right):
+        bucket, low = pair_hashes(lang, names, left, right, buckets)
+        order, ok = np.argsort(bucket << 32 | low), np.empty(len(low), bool)
+        n = np.bincount(bucket, minlength=buckets)
+        ok[order] = np.concatenate([np.unpackbits(np.frombuffer(bits[k], np.uint8), count=n[k])
+                                    for k in np.flatnonzero(n)] or [np.zeros(0, bool)]).astype(bool)
+        return ok
+
+    column = pa.array(names, pa.binary())
+    tables = [gram_table(lang, pa.array([""]), 0, np.array([np.count_nonzero(ids)]), sign)]
+    for got, count in grams_of(ids, len(names), depth, alive if depth > 2 else None):
+        parts = [column.take(pa.array(w)) for w in got]
+        phrase = pc.binary_join_element_wise(*parts, b" ") if len(parts) > 1 else parts[0]
+        tables.append(gram_table(lang, phrase.cast(pa.string()), len(got), count, sign))
+    return pa.concat_tables(tables)
+
+
+def gram_table(lang: str, phrase: pa.Array, words: int, count: np.ndarray, sign: int) -> pa.Table:
+    n = len(phrase)
+    return pa.table([pa.repeat(pa.scalar(lang), n), phrase, pa.repeat(pa.scalar(words, pa.int32()), n),
+                     pa.array(count * sign, pa.int64())], names=["lang", "phrase", "words", "count"])
+
 
+def gram_counts(docs: DataFrame, depth: int = 3, min_count: int = 10, shard_bytes: int = 8 << 20,
+                text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, phrase, words, count) of phrases of up to ``depth`` words; '' counts words.
+
+    All phrases of ``min_count`` are there with their exact counts, and some rarer ones.
+    """
+    ship_package(docs.sparkSession)
     plain = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(run, GRAMS).groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(64, size // BUCKET_BYTES)
+    table = write_shards(plain, shard_bytes, depth, min_count, buckets)
+    whole = table.filter("ids is not null").select("shard", "lang", "sign", "ids", "names")
+
+    def run(shard: pa.Table, bits: pa.Table) -> pa.Table:
+        if not shard.num_rows:
+            return pa.table([[], [], [], []], schema=pa.schema(
+                [("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64())]))
+        found = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
+        return shard_grams(shard.to_pylist()[0], found, depth, buckets)
+
+    grams = whole.groupBy("shard").cogroup(frequent_pairs(table, min_count).groupBy("shard")).applyInArrow(run, GRAMS)
+    return grams.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
 
 
 def part(first: int, n: int) -> Column:
@@ -185,13 +297,13 @@ def part(first: int, n: int) -> Column:
 
 
 def collocations(docs: DataFrame, min_count: int = 10, depth: int = 3, share: int = 50, top: int = 2000,
-                 shard_bytes: int = 12 << 20, **columns) -> DataFrame:
+                 shard_bytes: int = 8 << 20, **columns) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of every language.
 
     Candidates have 2 to ``depth`` words and a count of at least ``min_count``; one that a
     longer candidate holds with ``share`` per cent of its count is dropped.
     """
-    grams = gram_counts(docs, depth, shard_bytes, **columns)
+    grams = gram_counts(docs, depth, min_count, shard_bytes, **columns)
     grams = staged(grams.filter((F.col("count") >= min_count) | (F.col("words") == 0)), "grams")
     cand = grams.filter("words > 1").withColumnRenamed("count", "a")
     counts = grams.select("lang", F.col("phrase").alias("part"), F.col("count").alias("n_part"))

@@ -160,26 +160,31 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 
 
 #: Phrases counted from word lists, cut by list slices; products are HUGEINT.
-COLLOCATION_SQL = r"""
+COLLOCATION_SQL = """
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
-g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS words
-      FROM w, (VALUES (1), (2), (3)) v(k)),
-c AS (SELECT lang, k, words, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+           'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' ') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split(t, chr(10))) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1),
+                                       lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+c AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
-cand AS (SELECT * FROM c WHERE k > 1 AND f >= 10),
-cut AS (SELECT x.lang, x.k, x.words, x.f AS a, s.i, le.f AS l, ri.f AS r, 1000000 * x.f * x.f // (le.f * ri.f) AS score
-        FROM cand x JOIN (VALUES (1), (2)) s(i) ON s.i < x.k
-        JOIN c le ON le.lang = x.lang AND le.words = x.words[1:s.i]
-        JOIN c ri ON ri.lang = x.lang AND ri.words = x.words[s.i + 1:x.k]),
-low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, i) = 1),
-kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM cand t WHERE t.lang = low.lang AND t.k > low.k
-         AND (t.words[1:2] = low.words OR t.words[2:3] = low.words) AND 100 * t.f >= 50 * low.a)),
-named AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM kept)
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f FROM c WHERE k > 1 AND f >= 10),
+halves AS (SELECT lang, k, phrase, f, i, array_to_string(ws[1:i], ' ') AS p1, array_to_string(ws[i + 1:k], ' ') AS p2
+           FROM cand JOIN (VALUES (1), (2)) s(i) ON i < k),
+cut AS (SELECT x.lang, x.k, x.phrase, x.f AS a, x.i, le.f AS l, ri.f AS r, 1000000 * x.f * x.f // (le.f * ri.f) AS score
+        FROM halves x JOIN c le ON le.lang = x.lang AND le.phrase = x.p1
+        JOIN c ri ON ri.lang = x.lang AND ri.phrase = x.p2),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inner_pairs AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, f
+                FROM cand WHERE k = 3),
+covers AS (SELECT lang, phrase, max(f) AS longer FROM inner_pairs GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN covers USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
        a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
-FROM named JOIN n USING (lang) QUALIFY rank <= 2000"""
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
 
 ORACLES: dict[str, str] = {"op5_licences": _licence_sql(), "op6_urls": _url_sql(), "op13_collocations": COLLOCATION_SQL}
