@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, conversations, decontam, gam, licences, line_rules, lm, simhash, suffixes, urls, warc
+from . import bpe, collocations, conversations, decontam, gam, licences, line_rules, lm, mtree, simhash, suffixes, urls, warc
 from .common import fold_of, table
 
 #: The URL rules of the registered query: (host, path, verdict).
@@ -107,6 +107,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by integer inner product for every query vector."""
+    rows = mtree.scaled(table(spark, sf_dir, "embeddings"), scale=64)
+    return mtree.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of two and three words of every language."""
     got = collocations.collocations(table(spark, sf_dir, "documents"), min_count=10, depth=3, share=50, top=2000)
@@ -117,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash, "op2_gam": op2_gam, "op3_warc": op3_warc, "op4_decontam": op4_decontam, "op5_licences": op5_licences,
     "op6_urls": op6_urls, "op7_line_rules": op7_line_rules, "op8_bpe": op8_bpe,
     "op9_suffixes": op9_suffixes, "op10_trie_lm": op10_trie_lm, "op11_repair": op11_repair,
-    "op13_collocations": op13_collocations,
+    "op12_mtree": op12_mtree, "op13_collocations": op13_collocations,
 }
 
 def _licence_sql() -> str:
@@ -187,4 +193,15 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
 
-ORACLES: dict[str, str] = {"op5_licences": _licence_sql(), "op6_urls": _url_sql(), "op13_collocations": COLLOCATION_SQL}
+#: All pairs of queries and rows; their vectors have one length.
+SEARCH_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e, row_number() OVER () AS row_no
+           FROM embeddings WHERE embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row_no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.row_no <> c.row_no WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+ORACLES: dict[str, str] = {"op5_licences": _licence_sql(), "op6_urls": _url_sql(), "op12_mtree": SEARCH_SQL,
+                           "op13_collocations": COLLOCATION_SQL}
