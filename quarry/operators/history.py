@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.constants import (MSG_ALREADY_ROLLED_BACK, MSG_BAD_LOG_ID, MSG_LOG_NOT_FOUND, MSG_NO_IDS, MSG_ROLLBACK_DONE,
                                    NO_QUIZ_LABEL, RECENT_PAGE_SIZE, STATUS_ROLLED_BACK)
 from .joins import join_small
 
+# Ids are laid out in blocks of 2^20 and id ranges joined by buckets of 2^10.
+BLOCK_BITS, RANGE_BITS = 20, 10
+
 DATETIME_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -129,15 +133,72 @@ def without_imports(table: DataFrame, imports: DataFrame, key: str = "import_id"
     return join_small(table, imports.select(F.col("import_id").alias(key)).distinct(), key, "left_anti")
 
 
+def block_of(id_col: Column, bits: int = BLOCK_BITS) -> Column:
+    """The block of ``2 ** bits`` ids that an id lies in."""
+    return F.shiftright(id_col.cast("long"), bits)
+
+
+def removed_ranges(ids: DataFrame) -> DataFrame:
+    """Id sets as disjoint ranges (bits, bucket, first_id, last_id), none across a bucket.
+
+    ``ids`` has ``question_id``, or ``first_id`` and ``last_id``. Whole blocks of
+    2^BLOCK_BITS ids are one row; the rest is cut at 2^RANGE_BITS ids and merged there, so
+    a bucket has at most half as many ranges as ids and a long range few rows.
+    """
+    if "question_id" in ids.columns:
+        ids = ids.select(F.col("question_id").alias("first_id"), F.col("question_id").alias("last_id"))
+    ids = ids.select(F.col("first_id").cast("long").alias("f"), F.col("last_id").cast("long").alias("l")).filter("f <= l")
+
+    def cut(df: DataFrame, bits: int) -> DataFrame:
+        b = F.explode(F.sequence(block_of(F.col("f"), bits), block_of(F.col("l"), bits)))
+        df = df.select("f", "l", b.alias("bucket"))
+        low = F.shiftleft(F.col("bucket"), bits)
+        return df.select("bucket", F.greatest("f", low).alias("f"), F.least("l", low + (1 << bits) - 1).alias("l")).distinct()
+
+    blocks = cut(ids, BLOCK_BITS)
+    whole = F.col("l") - F.col("f") + 1 == 1 << BLOCK_BITS
+    full = blocks.filter(whole).select("bucket").distinct()
+    rest = cut(blocks.filter(~whole).join(full, "bucket", "left_anti").select("f", "l"), RANGE_BITS)
+    # ranges that touch or overlap what came before in their bucket belong together
+    before = Window.partitionBy("bucket").orderBy("f", "l").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("bucket").orderBy("f", "l")
+    rest = rest.withColumn("new", (F.col("f") > F.coalesce(F.max("l").over(before), F.col("f") - 2) + 1).cast("int"))
+    rest = rest.withColumn("no", F.sum("new").over(upto)).groupBy("bucket", "no").agg(
+        F.min("f").alias("first_id"), F.max("l").alias("last_id"))
+    low = F.shiftleft(F.col("bucket"), BLOCK_BITS)
+    return (rest.select(F.lit(RANGE_BITS).alias("bits"), "bucket", "first_id", "last_id").unionByName(
+        full.select(F.lit(BLOCK_BITS).alias("bits"), "bucket", low.alias("first_id"),
+                    (low + (1 << BLOCK_BITS) - 1).alias("last_id"))))
+
+
+def without_ids(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows (question_id, id_block, ...) that no range covers.
+
+    Anti joins on the block and on the bucket, so a row meets the ranges of its own bucket
+    only; ranges of bounded size are broadcast and the rows stay where they are.
+    """
+    full = ranges.filter(F.col("bits") == BLOCK_BITS).select(F.col("bucket").alias("id_block")).distinct()
+    part = ranges.filter(F.col("bits") == RANGE_BITS).select(F.col("bucket").alias("_b"), "first_id", "last_id")
+    rows = join_small(rows, full, "id_block", "left_anti")
+    inside = (block_of(F.col("question_id"), RANGE_BITS) == F.col("_b")) & F.col("question_id").between(
+        F.col("first_id"), F.col("last_id"))
+    return join_small(rows, part, inside, "left_anti")
+
+
+def matches(where: dict) -> Column:
+    """The AND of equalities; false where one is unknown."""
+    pred = F.lit(True)
+    for k, v in where.items():
+        pred = pred & (F.col(k) == F.lit(v))
+    return F.coalesce(pred, F.lit(False))
+
+
 def safe_delete(table: DataFrame, where: dict) -> tuple[DataFrame, DataFrame] | None:
     """Delete rows matching the AND of equalities; an empty table or clause gives
     ``None`` (the reference returns false). Returns (remaining rows, deleted count)."""
     if table is None or not where:
         return None
-    pred = F.lit(True)
-    for k, v in where.items():
-        pred = pred & (F.col(k) == F.lit(v))
-    hit = F.coalesce(pred, F.lit(False))
+    hit = matches(where)
     remaining = table.filter(~hit)
     deleted = table.agg(F.count_if(hit).alias("deleted"))
     return remaining, deleted

@@ -18,10 +18,13 @@ from ..operators import batch as B
 from ..operators import history as H
 from ..operators import lookups as L
 from ..operators import params as P
+from ..operators import publish
 from ..operators import rows as R
+from ..operators import store as S
 from ..operators import writers as W
 from ..operators.joins import join_small  # noqa: F401  (re-exported for query authors)
 from ..operators.parallel import spread
+from ..session import staging_dir
 from ..sources import derived as D
 from ..sources import files as FS
 from . import duck
@@ -310,6 +313,59 @@ def rollback_status(spark: SparkSession, sf: str) -> DataFrame:
     return H.current_status(_logs(spark, sf), ev).select("id", "status")
 
 
+# ---------------------------------------------------------------------------
+# Stored tables: runs, removals, look-ups and deletes, written below the shared folder
+# ---------------------------------------------------------------------------
+
+
+def _stored_questions(spark: SparkSession, sf: str) -> str:
+    """A root whose only run holds the questions of the logs."""
+    root = staging_dir(spark, "stored-questions")
+    run_id, _ = publish.claim(spark, root)
+    S.append(D.question_ids_of_logs(spark, sf), root, "questions", run_id, "question_id")
+    publish.commit(spark, root, run_id)
+    return root
+
+
+@register("import_runs_published", duck.import_runs_published)
+def import_runs_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Live questions after a run that never committed, its repeat and a replay."""
+    root = staging_dir(spark, "runs")
+    args = (spark, root, D.qrows(spark, sf), _params(spark, sf))
+    S.run_import(*args, commit=False)
+    run = S.run_import(*args, run_key="batch")
+    S.run_import(*args, run_key="batch")
+    ids = run["ids"].select(F.col("import_id").alias("manifest_id"), F.col("log_id").alias("import_id"))
+    return S.live_questions(spark, root).join(ids, "import_id").select(
+        F.col("manifest_id").alias("import_id"), "orig_row", (F.col("question_id") - run["base"] + 1).alias("question_no"),
+        F.col("question_settings.question_title").alias("question_title"), "correct_answer", "category")
+
+
+@register("removed_id_sets", duck.removed_id_sets)
+def removed_id_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions left after removing single ids and ranges that cross imports."""
+    root = _stored_questions(spark, sf)
+    S.remove_questions(spark, root, D.deleted_question_ids(spark, sf))
+    S.remove_questions(spark, root, D.removal_ranges(spark, sf))
+    return S.live_questions(spark, root)
+
+
+@register("questions_by_id", duck.questions_by_id)
+def questions_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored questions by id; blocks without an asked id aren't read."""
+    return S.questions_by_id(spark, _stored_questions(spark, sf), D.looked_up_ids(spark, sf))
+
+
+@register("stored_delete", duck.safe_delete)
+def stored_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Delete in a stored table that is partitioned by priority; one partition is rewritten."""
+    path = f"{staging_dir(spark, 'stored-orders')}/orders"
+    rows = D.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    rows.write.partitionBy("o_orderpriority").parquet(path)
+    S.delete_where(spark, path, {"o_orderstatus": "P", "o_orderpriority": "1-URGENT"})
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
 @register("safe_delete", duck.safe_delete)
 def safe_delete(spark: SparkSession, sf: str) -> DataFrame:
     """Delete pending urgent orders; the survivors plus the deleted count."""

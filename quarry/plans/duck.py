@@ -591,6 +591,22 @@ def rollback_status() -> str:
 SELECT id, CASE WHEN id IN (SELECT log_id FROM okreq) THEN 'RolledBack' ELSE status END AS status FROM lg"""
 
 
+def import_runs_published() -> str:
+    return f"""SELECT import_id, orig_row, question_id AS question_no, question_title, correct_answer, category
+FROM ({questions_final()})"""
+
+
+def removed_id_sets() -> str:
+    return f"""SELECT question_id, import_id FROM ({QIDS}) q WHERE question_id % 7 <> 0
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT'
+                AND question_id // 10 - o_orderkey IN (0, 1) AND question_id - o_orderkey * 10 BETWEEN 2 AND 15)"""
+
+
+def questions_by_id() -> str:
+    return f"""SELECT question_id, import_id FROM ({QIDS})
+WHERE question_id IN (SELECT o_orderkey * 10 + 3 FROM orders WHERE o_orderstatus = 'F')"""
+
+
 def safe_delete() -> str:
     return """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders
 WHERE NOT coalesce(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT', false)"""

@@ -230,9 +230,27 @@ def question_ids_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+def deleted_question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that were deleted since: every 7th id of the logs."""
+    return question_ids_of_logs(spark, sf_dir).filter(F.col("question_id") % 7 == 0).select("question_id")
+
+
 def live_question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions that still exist: every 7th id of the logs was deleted since."""
-    return question_ids_of_logs(spark, sf_dir).filter(F.col("question_id") % 7 != 0)
+    """The questions that still exist: those of the logs without the deleted ones."""
+    return question_ids_of_logs(spark, sf_dir).join(deleted_question_ids(spark, sf_dir), "question_id", "left_anti")
+
+
+def removal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id ranges to remove: from every urgent order's second id into the next order's."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    first = (F.col("o_orderkey") * 10).cast("long")
+    return o.select((first + 2).alias("first_id"), (first + 15).alias("last_id"))
+
+
+def looked_up_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question ids to look up: the third of every finished order, present or not."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    return o.select((F.col("o_orderkey") * 10 + 3).cast("long").alias("question_id"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

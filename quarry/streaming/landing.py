@@ -4,17 +4,20 @@ The reference has no streaming operators; imports arrive one upload at a time. T
 Spark-native way to run the *same* batch import on files as they land is a
 ``binaryFile`` stream with ``foreachBatch``: each micro-batch is a manifest of new
 files, decoded and imported exactly like a batch (``quarry.operators.store``).
-A micro-batch that was imported completely leaves its number in ``root/epochs`` and is
-skipped when the stream hands it over again; one that broke off in the middle is imported
-anew, and what it had written has no log row.
+A micro-batch is a run whose key is the stream's checkpoint and the batch's number: once it
+is committed the stream may hand it over again without effect, and what one that broke off
+had written is never visible.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import params as P
+from ..operators import publish
 from ..operators import store as S
 from ..operators.batch import materialize
 from ..sources import files as FS
@@ -28,13 +31,14 @@ def start_landing_import(spark: SparkSession, landing_dir: str, root: str, param
     ``params`` are the import parameters applied to every file (form fields);
     import ids are derived from the file path (stable across retries).
     """
+    stream_id = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob)
               .option("recursiveFileLookup", "true").load(landing_dir))
 
     def import_batch(batch: DataFrame, epoch_id: int) -> None:
-        done = S.table(spark, root, "epochs")
-        if done is not None and done.filter(F.col("epoch_id") == epoch_id).head(1):
+        key = f"stream-{stream_id}-{epoch_id}"
+        if publish.run_of(spark, root, key) is not None:
             return
         files = batch.select(
             F.xxhash64("path").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("import_id"),
@@ -46,8 +50,7 @@ def start_landing_import(spark: SparkSession, landing_dir: str, root: str, param
                                 F.col("name").alias("path"), pmap.alias("params"),
                                 F.lit(0).cast("long").alias("uploader_id"),
                                 F.lit(has_taxonomy).alias("has_taxonomy"))
-        S.run_import(spark, root, recs, P.resolve_params(manifest, quizzes), file_errors=outcome)
-        spark.createDataFrame([(epoch_id,)], "epoch_id long").write.mode("append").parquet(f"{root.rstrip('/')}/epochs")
+        S.run_import(spark, root, recs, P.resolve_params(manifest, quizzes), file_errors=outcome, run_key=key)
 
     w = stream.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
     if trigger_once:
