@@ -491,15 +491,16 @@ def json_rows_live(spark: SparkSession, sf: str) -> DataFrame:
 @register("csv_edge_cases", duck.csv_edge_cases)
 def csv_edge_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Blank line, multi-line cell, short and long row, duplicate header, BOM and a cell
-    above 200,000 characters, one file per import, read line by line by many tasks."""
+    above 200,000 characters, one file per import, through the import's own file source."""
     from ..session import staging_dir
 
     out = staging_dir(spark, "csv-edge")
     (D.csv_edge_lines(spark, sf).repartition("import_id").sortWithinPartitions("import_id", "k")
      .select("import_id", "value").write.partitionBy("import_id").text(out))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(
-        F.regexp_extract("path", r"import_id=([0-9]+)", 1).cast("long").alias("import_id"), "path")
-    recs = FS.read_csv_lines(spark, files)
+        F.regexp_extract("path", r"import_id=([0-9]+)", 1).cast("long").alias("import_id"),
+        F.lit("upload.csv").alias("file_name"), "path")
+    recs, _ = FS.read_manifest_files(spark, files)
     return recs.select("import_id", "rec_no", "orig_row", F.explode("cells").alias("c")).select(
         "import_id", "rec_no", "orig_row", F.col("c.pos").alias("pos"), F.col("c.key").alias("key"),
         F.md5(F.col("c.value").cast("binary")).alias("value_md5"))

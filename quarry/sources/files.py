@@ -1,17 +1,21 @@
 """File sources (S01-S09): many uploaded files decoded in parallel.
 
-``binaryFile`` lists and reads the files; one Arrow-batched Python function
-(``mapInArrow``) decodes each file's bytes into ordered cells with record ordinals.
-Everything after that (blank filter, validation, ids) is native Column work.
+CSV files are read line by line (``csvlines``). ``binaryFile`` reads JSON and XLSX files; one
+Arrow-batched Python function (``mapInArrow``) decodes each file's bytes into ordered cells
+with record ordinals. Everything after that (blank filter, validation, ids) is native Column work.
 """
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.joins import join_small
+from ..session import staging_dir
+from . import csvlines
 from .decode import decode_file
 
 DECODED_SCHEMA = (
@@ -86,137 +90,127 @@ def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return recs, files
 
 
-def _folders(spark: SparkSession, manifest: DataFrame) -> list[str]:
-    """The existing folders of the manifest's paths (folders, not files, reach the driver)."""
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    found = [r[0] for r in manifest.filter(F.col("path").isNotNull()).select(folder).distinct().collect()]
+def path_key(path):
+    """What names a file whichever way it was listed: the path without a local scheme."""
+    return F.regexp_replace(path, r"^file:/*", "/")
+
+
+def uri_key(uri):
+    """The same of a URI such as ``_metadata.file_path`` gives, where blanks and the like are coded."""
+    return path_key(F.url_decode(F.regexp_replace(uri, r"\+", "%2B")))
+
+
+def _escaped(path: str) -> str:
+    """A path as a pattern that fits itself only."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def list_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """(_key, path, length) of the files that ``paths(path)`` names, as far as they exist.
+
+    Only folders reach the driver, which asks a few at a time whether they are there; Spark
+    lists them in tasks and reads no content. The driver looks once more for what Spark did
+    not list: empty files, and those whose name begins with ``_`` or ``.``, which Spark's
+    readers never see and which are copied to the shared folder under another name.
+    """
+    from ..operators.batch import materialize
+
+    wanted = paths.select("path").filter(F.col("path").isNotNull()).distinct()
+    folders = [r[0] or "/" for r in wanted.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().collect()]
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    out = []
-    for f in found:
-        p = jvm.org.apache.hadoop.fs.Path(f or "/")
+
+    def there(folder: str):
+        p = jvm.org.apache.hadoop.fs.Path(folder)
         fs = p.getFileSystem(hadoop)
-        if fs.exists(p) and len(fs.listStatus(p)):
-            out.append(f or "/")
-    return out
+        return folder if fs.exists(p) and len(fs.listStatus(p)) else None
+
+    with ThreadPoolExecutor(16) as pool:
+        folders = [f for f in pool.map(there, folders) if f]
+    found = spark.createDataFrame([], "_key string, path string, length long")
+    if folders:
+        listing = spark.read.format("binaryFile").load([_escaped(f) for f in folders]).select(
+            path_key(F.col("path")).alias("_key"), "path", "length")
+        found = listing.join(wanted.select(path_key(F.col("path")).alias("_key")).distinct(), "_key", "left_semi")
+    found = materialize(found)
+    unseen = wanted.withColumn("_key", path_key(F.col("path"))).join(found, "_key", "left_anti").select("path")
+    rows, aside = [], None
+    for path in [r[0] for r in unseen.toLocalIterator()]:
+        source = jvm.org.apache.hadoop.fs.Path(path)
+        fs = source.getFileSystem(hadoop)
+        if not fs.exists(source) or fs.getFileStatus(source).isDirectory():
+            continue
+        target, length = source, fs.getFileStatus(source).getLen()
+        if length:
+            aside = aside or staging_dir(spark, "hidden-files")
+            target = jvm.org.apache.hadoop.fs.Path(f"{aside}/{len(rows)}-{re.sub('[^A-Za-z0-9.]', 'x', path.rsplit('/', 1)[1])}")
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, target.getFileSystem(hadoop), target, False, hadoop)
+        rows.append((re.sub("^file:/*", "/", path), target.toString(), length))
+    if rows:
+        found = found.unionByName(spark.createDataFrame(rows, "_key string, path string, length long"))
+    return found
 
 
 def read_manifest_files(spark: SparkSession, manifest: DataFrame, mode: str = "live", strip_bom: bool = True,
                         delimiter: str | None = None, has_header: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, per-file outcome) of every manifest path, each file decoded once.
 
-    The manifest (one row per import) is joined to the listing of its folders, and the
-    join keeps file contents on the side that stays in place. A path that doesn't exist,
-    or a file too large for one value, is the error of its own import.
+    The manifest (one row per import) is joined to the listing of its folders, and only its
+    own files are opened. CSV files of any size are read line by line by many tasks; JSON
+    and XLSX files are decoded whole and may have 2 GiB. A path that doesn't exist, or a
+    file too large for one value, is the error of its own import.
     """
     from ..operators.batch import materialize
 
-    # binaryFile reports qualified paths (file:/...); match on the path without the scheme.
     man = manifest.select("import_id", F.coalesce(F.col("file_name"), F.col("path")).alias("name"),
-                          F.regexp_replace("path", r"^file:/*", "/").alias("_key"))
-    folders = _folders(spark, manifest)
-    if not folders:
-        listing = spark.createDataFrame([], "_key string, length long, content binary")
-    else:
-        listing = spark.read.format("binaryFile").load(folders).select(
-            F.regexp_replace("path", r"^file:/*", "/").alias("_key"), "length", "content")
+                          path_key(F.col("path")).alias("_key"))
+    known = materialize(man.join(list_files(spark, manifest), "_key", "left"))
+    by_line = F.lower(F.col("name")).endswith(".csv") if mode == "live" and delimiter is None else F.lit(False)
     fits = F.col("length") <= MAX_VALUE_BYTES
-    files = join_small(listing.filter(fits), man, "_key", "inner")
-    decoded = materialize(decode_contents(files, mode, strip_bom, delimiter, has_header))
-    sizes = man.join(listing.select("_key", "length"), "_key", "left")
-    lost = sizes.filter(F.col("length").isNull() | ~fits).select(
+    # whole files: the contents stay on the side that isn't moved
+    whole = known.filter(fits & ~by_line)
+    paths = [_escaped(r[0]) for r in whole.filter("length > 0").select("path").distinct().toLocalIterator()]
+    recs = spark.createDataFrame([], "import_id long, name string, rec_no long, orig_row long, "
+                                     "cells array<struct<pos:int,key:string,value:string>>")
+    outcome = spark.createDataFrame([], "import_id long, name string, has_header boolean, n_records long, error string")
+    if not whole.isEmpty():
+        files = whole.filter("length = 0").select("import_id", "name", F.lit(b"").alias("content"))
+        if paths:
+            content = spark.read.format("binaryFile").load(paths).select("path", "content")
+            files = files.unionByName(join_small(content, whole.select("import_id", "name", "path"), "path", "inner").drop("path"))
+        recs, outcome = split_decoded(materialize(decode_contents(files, mode, strip_bom, delimiter, has_header)))
+    lines = known.filter(F.col("length").isNotNull() & by_line)
+    if not lines.isEmpty():
+        got = read_csv_lines(spark, lines.filter("length > 0").select("import_id", "name", "path"), strip_bom)
+        n = got.groupBy("import_id").agg(F.count("*").alias("n"))
+        recs = recs.unionByName(got)
+        outcome = outcome.unionByName(lines.join(n, "import_id", "left").select(
+            "import_id", "name", (F.col("length") > 0).alias("has_header"), F.coalesce("n", F.lit(0)).alias("n_records"),
+            F.lit(None).cast("string").alias("error")))
+    missing = F.col("length").isNull()
+    lost = known.filter(missing | (~fits & ~by_line)).select(
         "import_id", "name", F.lit(None).cast("boolean").alias("has_header"), F.lit(0).cast("long").alias("n_records"),
-        F.when(F.col("length").isNull(), F.lit("File missing.")).otherwise(F.lit("File too large for one task."))
-        .alias("error"))
-    recs, outcome = split_decoded(decoded)
+        F.when(missing, F.lit("File missing.")).otherwise(F.lit("File too large for one task.")).alias("error"))
     return recs, outcome.unionByName(lost)
 
 
-# ---------------------------------------------------------------------------
-# CSV read line by line (S02): many tasks per file, any size
-# ---------------------------------------------------------------------------
-_NO_NULL = "\u0000\u0001"  # never equal to a field, so empty fields stay ''
-
-
-def _csv_options() -> dict:
-    # RFC 4180 quoting (Q10 fixed), no trimming, empty fields stay empty strings
-    return {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
-            "ignoreTrailingWhiteSpace": "false", "nullValue": _NO_NULL, "mode": "PERMISSIVE",
-            "multiLine": "true", "maxCharsPerColumn": "-1"}
-
-
-def _fields(value, n: int):
-    schema = ", ".join(f"c{i} string" for i in range(n))
-    r = F.from_csv(value, schema, _csv_options())
-    return F.array(*[r[f"c{i}"] for i in range(n)])
-
-
-def _lines_with_places(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(_p, _blk, _ord, _quotes, value): the lines of the files in order.
-
-    A line's place and the quotes before it are running sums inside its split plus the
-    split's offset; the offsets come from one small row per split.
-    """
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("value"), F.col("_metadata.file_path").alias("_p"),
-        F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_mid"))
-    n_quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    splits = lines.groupBy("_p", "_blk").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n"),
-                                             F.sum(n_quotes).alias("_q"))
-    before = Window.partitionBy("_p").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("_p", "_blk", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                           F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_qoff"))
-    lines = join_small(lines, splits, ["_p", "_blk"], "inner")
-    inside = Window.partitionBy("_p", "_blk").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select("_p", "_blk", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("_ord"), "value",
-                        (F.col("_qoff") + F.coalesce(F.sum(n_quotes).over(inside), F.lit(0))).alias("_quotes"))
-
-
 def read_csv_lines(spark: SparkSession, files: DataFrame, strip_bom: bool = True) -> DataFrame:
-    """Records of CSV files read line by line with ``spark.read.text`` (splittable).
+    """Records of CSV files ``files(import_id, path)`` read line by line (``csvlines``).
 
-    ``files(import_id, path)``. A record starts at a line with an even number of quotes
-    before it, so quoted cells may hold line breaks (a quote inside an unquoted cell is
-    not valid CSV and shifts that). Lines are numbered from each split's byte offset, so
-    one huge file is read by many tasks and the result doesn't depend on the splits.
-    Records are numbered like lines: running counts in a split plus one row per split.
+    The first record of a file names the cells (lower-cased, trimmed); a record has a cell
+    per name, missing ones are empty and further ones are dropped.
     """
-    from ..session import ship_package
-
-    ship_package(spark)
-    paths = [r["path"] for r in files.select("path").distinct().collect()]
-    lines = _lines_with_places(spark, paths)
-    if strip_bom:
-        lines = lines.withColumn("value", F.when(F.col("_ord") == 0, F.regexp_replace("value", "^\ufeff", ""))
-                                 .otherwise(F.col("value")))
-    starts = (F.col("_quotes") % 2 == 0).cast("long")
-    split = lines.groupBy("_p", "_blk").agg(F.sum(starts).alias("_n"))
-    split = split.select("_p", "_blk", F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy("_blk").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("_roff"))
-    upto = Window.partitionBy("_p", "_blk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
-    lines = join_small(lines.withColumn("_run", F.sum(starts).over(upto)), split, ["_p", "_blk"], "inner")
-    # a record's lines, in order; one line in nearly all cases
-    recs = lines.groupBy("_p", (F.col("_roff") + F.col("_run") - 1).alias("_rec")).agg(
-        F.array_sort(F.collect_list(F.struct("_ord", "value"))).alias("_ls"))
-    recs = recs.select("_p", "_rec", F.regexp_replace(F.array_join(F.transform("_ls", lambda x: x["value"]), "\n"),
-                                                      "\r$", "").alias("value"))
-    head_lines = recs.filter(F.col("_rec") == 0).select("_p", "value")
-    # pieces between commas bound the field count from above (quoted commas only add)
-    bound = head_lines.agg(F.max(F.size(F.split("value", ",", -1)))).first()[0] or 1
-    heads = head_lines.select(
-        "_p", F.filter(_fields(F.col("value"), int(bound)), lambda x: x.isNotNull()).alias("_h"))
-    n = heads.agg(F.max(F.size("_h"))).first()[0] or 1
-    heads = heads.select("_p", F.transform("_h", lambda h: ascii_lower_trim(h)).alias("_keys"))
-    data = join_small(recs.filter(F.col("_rec") > 0), heads, "_p", "inner")
-    f = _fields(F.col("value"), int(n))
-    cells = F.transform(F.sequence(F.lit(0), F.size("_keys") - 1), lambda i: F.struct(
-        i.cast("int").alias("pos"), F.get(F.col("_keys"), i).alias("key"),
-        F.coalesce(F.get(f, i), F.lit("")).alias("value")))
-    man = files.select("import_id", F.regexp_replace("path", r"^file:/*", "/").alias("_k"))
-    data = data.withColumn("_k", F.regexp_replace("_p", r"^file:/*", "/"))
-    data = join_small(data, man, "_k", "inner")
-    return data.select("import_id", F.lit(None).cast("string").alias("name"),
-                       (F.col("_rec") - 1).alias("rec_no"), (F.col("_rec") + 1).alias("orig_row"),
-                       cells.alias("cells"))
+    files = files if "name" in files.columns else files.withColumn("name", F.lit(None).cast("string"))
+    paths = [_escaped(r[0]) for r in files.select("path").distinct().toLocalIterator()]
+    rows = csvlines.read_fields(spark, paths, strip_bom) if paths else spark.createDataFrame(
+        [], "path string, rec long, fields array<string>")
+    heads = rows.filter("rec = 0").select(
+        "path", F.when(F.size("fields") > 0, F.transform("fields", ascii_lower_trim)).otherwise(F.array(F.lit(""))).alias("_keys"))
+    data = join_small(rows.filter("rec > 0"), heads, "path", "inner").withColumn("_key", uri_key(F.col("path")))
+    cells = F.transform("_keys", lambda k, i: F.struct(i.cast("int").alias("pos"), k.alias("key"),
+                                                       F.coalesce(F.get("fields", i), F.lit("")).alias("value")))
+    man = files.select("import_id", "name", path_key(F.col("path")).alias("_key"))
+    return join_small(data, man, "_key", "inner").select(
+        "import_id", "name", (F.col("rec") - 1).alias("rec_no"), (F.col("rec") + 1).alias("orig_row"), cells.alias("cells"))
 
 
 def ascii_lower_trim(c):

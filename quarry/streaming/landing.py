@@ -40,16 +40,14 @@ def start_landing_import(spark: SparkSession, landing_dir: str, root: str, param
         key = f"stream-{stream_id}-{epoch_id}"
         if publish.run_of(spark, root, key) is not None:
             return
-        files = batch.select(
-            F.xxhash64("path").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("import_id"),
-            F.col("path").alias("name"), "content")
-        recs, outcome = FS.split_decoded(materialize(FS.decode_contents(files)))
         pmap = F.create_map(*[x for k, v in params.items() for x in (F.lit(k), F.lit(v))]) if params \
             else F.create_map().cast("map<string,string>")
-        manifest = files.select("import_id", F.regexp_extract("name", r"([^/]*)$", 1).alias("file_name"),
-                                F.col("name").alias("path"), pmap.alias("params"),
-                                F.lit(0).cast("long").alias("uploader_id"),
-                                F.lit(has_taxonomy).alias("has_taxonomy"))
+        # the content column isn't read here: the import opens the files as it does in a batch
+        manifest = materialize(batch.select(
+            F.xxhash64("path").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("import_id"),
+            F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), "path", pmap.alias("params"),
+            F.lit(0).cast("long").alias("uploader_id"), F.lit(has_taxonomy).alias("has_taxonomy")))
+        recs, outcome = FS.read_manifest_files(spark, manifest)
         S.run_import(spark, root, recs, P.resolve_params(manifest, quizzes), file_errors=outcome, run_key=key)
 
     w = stream.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
