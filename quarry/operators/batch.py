@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -22,16 +23,28 @@ from .rows import evaluate_rows, score_answers
 # huge import is spread over many window partitions instead of one task.
 ID_BUCKET_ROWS = 1 << 20
 
+# Rows of bucket counts that the driver adds up by itself.
+FEW_OFFSETS = 10_000
+
 
 def running_offsets(counts: DataFrame, keys: list[str], n: str = "_n", out: str = "_off") -> DataFrame:
     """Adds ``out``: the sum of ``n`` over all rows before, in the order of ``keys``.
 
-    A prefix sum in two levels, without a window over everything: the rows are dealt into
-    ranges (written once, so a range keeps its rows), the ranges' sums (one number each,
-    as many as there are shuffle partitions) are added up on the driver, and a window per
-    range does the rest.
+    Up to FEW_OFFSETS rows (checked) are added up on the driver. Beyond that it is a prefix
+    sum in two levels, without a window over everything: the rows are dealt into ranges
+    (written once, so a range keeps its rows), the ranges' sums (one number each, as many
+    as there are shuffle partitions) are added up on the driver, and a window per range does
+    the rest.
     """
     spark = counts.sparkSession
+    counts = materialize(counts)
+    few = counts.limit(FEW_OFFSETS + 1).collect()
+    if len(few) <= FEW_OFFSETS:
+        total, rows = 0, []
+        for r in sorted(few, key=lambda r: [(r[k] is not None, r[k]) for k in keys]):
+            rows.append((*r, total))
+            total += int(r[n] or 0)
+        return spark.createDataFrame(rows, StructType([*counts.schema, StructField(out, LongType())]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(counts.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
     sums = {r["_part"]: r["s"] for r in ranged.groupBy("_part").agg(F.sum(n).alias("s")).collect()}
