@@ -199,17 +199,20 @@ def read_csv_lines(spark: SparkSession, files: DataFrame, strip_bom: bool = True
     The first record of a file names the cells (lower-cased, trimmed); a record has a cell
     per name, missing ones are empty and further ones are dropped.
     """
+    from ..operators.batch import materialize
+
     files = files if "name" in files.columns else files.withColumn("name", F.lit(None).cast("string"))
     paths = [_escaped(r[0]) for r in files.select("path").distinct().toLocalIterator()]
     rows = csvlines.read_fields(spark, paths, strip_bom) if paths else spark.createDataFrame(
         [], "path string, rec long, fields array<string>")
     heads = rows.filter("rec = 0").select(
         "path", F.when(F.size("fields") > 0, F.transform("fields", ascii_lower_trim)).otherwise(F.array(F.lit(""))).alias("_keys"))
-    data = join_small(rows.filter("rec > 0"), heads, "path", "inner").withColumn("_key", uri_key(F.col("path")))
+    # one row per import and file, joined to the records once
+    man = files.select("import_id", "name", path_key(F.col("path")).alias("_key"))
+    heads = materialize(join_small(heads.withColumn("_key", uri_key(F.col("path"))), man, "_key", "inner").drop("_key"))
     cells = F.transform("_keys", lambda k, i: F.struct(i.cast("int").alias("pos"), k.alias("key"),
                                                        F.coalesce(F.get("fields", i), F.lit("")).alias("value")))
-    man = files.select("import_id", "name", path_key(F.col("path")).alias("_key"))
-    return join_small(data, man, "_key", "inner").select(
+    return join_small(rows.filter("rec > 0"), heads, "path", "inner").select(
         "import_id", "name", (F.col("rec") - 1).alias("rec_no"), (F.col("rec") + 1).alias("orig_row"), cells.alias("cells"))
 
 
