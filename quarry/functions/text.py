@@ -8,6 +8,7 @@ with the DuckDB oracle (``quarry.plans.duck``) through the module constants.
 from __future__ import annotations
 
 import html.entities
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -62,14 +63,13 @@ def _entity_groups() -> tuple[list[str], list[str]]:
 def _numeric_groups() -> tuple[list[int], list[int]]:
     """BMP code points that HTML5 decoding turns into invisible characters.
 
-    HTML5 decoding refuses most C0/C1 controls; it accepts tab, LF, FF, CR.
-    Private-use and unassigned code points are not covered (documented).
+    HTML5 decoding refuses most C0/C1 controls, CR among them; it accepts tab, LF and FF.
     """
     spaces, gone = [], []
     for cp in range(0x10000):
         ch = chr(cp)
         cat = unicodedata.category(ch)
-        allowed = (0x20 <= cp <= 0x7E or cp in (0x09, 0x0A, 0x0C, 0x0D)
+        allowed = (0x20 <= cp <= 0x7E or cp in (0x09, 0x0A, 0x0C)
                    or (0xA0 <= cp <= 0xD7FF) or (0xE000 <= cp <= 0xFFFD and not 0xFDD0 <= cp <= 0xFDEF))
         if not allowed:
             continue
@@ -80,9 +80,9 @@ def _numeric_groups() -> tuple[list[int], list[int]]:
     return spaces, gone
 
 
-def _entity_regex(names: list[str], cps: list[int]) -> str:
-    dec = "|".join(str(c) for c in cps)
-    hexa = "|".join(("%x" % c) + "|" + ("%X" % c) for c in cps)
+def _entity_regex(names: list[str], cps: list[int], more_dec: str = "", more_hex: str = "") -> str:
+    dec = "|".join(str(c) for c in cps) + more_dec
+    hexa = "|".join(("%x" % c) + "|" + ("%X" % c) for c in cps) + more_hex
     named = "|".join(names)
     return f"&(?:(?:{named});|#0*(?:{dec});|#[xX]0*(?:{hexa});)"
 
@@ -90,7 +90,10 @@ def _entity_regex(names: list[str], cps: list[int]) -> str:
 _SP_NAMES, _GONE_NAMES = _entity_groups()
 _SP_CPS, _GONE_CPS = _numeric_groups()
 ENTITY_SPACE_RE = _entity_regex(_SP_NAMES, _SP_CPS)
-ENTITY_GONE_RE = _entity_regex(_GONE_NAMES, _GONE_CPS)
+# the private-use area of the basic plane, E000 to F8FF, goes as well
+ENTITY_GONE_RE = _entity_regex(
+    _GONE_NAMES, _GONE_CPS, "|573(?:4[4-9]|[5-9][0-9])|57[4-9][0-9]{2}|5[89][0-9]{3}|6[0-2][0-9]{3}|63[0-6][0-9]{2}"
+    "|637(?:[0-3][0-9]|4[0-3])", "|[eE][0-9a-fA-F]{3}|[fF][0-8][0-9a-fA-F]{2}")
 
 
 def _c(x) -> Column:
@@ -110,15 +113,61 @@ def ascii_lower(c) -> Column:
     return F.translate(_c(c), UPPER, LOWER)
 
 
-def decode_invisible_entities(c) -> Column:
-    """F24 for emptiness: decode entities whose text is invisible (two regex passes)."""
-    return F.regexp_replace(F.regexp_replace(_c(c), ENTITY_SPACE_RE, " "), ENTITY_GONE_RE, "")
+def entity_table() -> dict[str, str]:
+    """All named HTML5 entities that end with a semicolon (of the standard library)."""
+    return {name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")}
+
+
+def entity_map() -> Column:
+    """The table as a constant: first character -> name -> text, so a look-up is short."""
+    first: dict[str, dict[str, str]] = {}
+    for name, text in sorted(entity_table().items()):
+        first.setdefault(name[0], {})[name] = text
+    return F.from_json(F.lit(json.dumps(first)), "map<string,map<string,string>>")
+
+
+#: What may follow an ampersand: a number or a name, and a semicolon.
+REFERENCE_RE = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def code_point(ref: Column) -> Column:
+    """The character of ``#233`` or ``#xE9``; null where HTML5 refuses it."""
+    hexa = ref.rlike("^#[xX]")
+    digits = F.regexp_replace(ref, "^#[xX]?0*", "")
+    # more digits than any character has are out of range
+    n = F.when(F.length(digits).between(1, 7), F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"))
+    low = n.bitwiseAND(0xFFFF)
+    allowed = (n.between(0x20, 0x7E) | n.isin(9, 10, 12) | n.between(0xA0, 0xD7FF)
+               | (n.between(0xE000, 0x10FFFF) & ~n.between(0xFDD0, 0xFDEF) & (low < 0xFFFE)))
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    # a leading U+FEFF would be taken as a byte order mark
+    return F.when(allowed, F.when(n == 0xFEFF, F.lit("\ufeff")).otherwise(char))
+
+
+def decode_entities(c) -> Column:
+    """every HTML5 entity with a semicolon and every allowed number, in one pass.
+
+    The text is cut at ampersands; what follows one is looked up and put back as it was if
+    it is no entity. Text without an ampersand is returned as it is.
+    """
+    c = _c(c)
+    named = entity_map()
+
+    def put(x):
+        ref, rest = x["ref"], F.substring(x["part"], F.length(x["ref"]) + 2, F.length(x["part"]))
+        text = F.when(ref.startswith("#"), code_point(ref)).otherwise(F.try_element_at(
+            F.try_element_at(named, F.substring(ref, 1, 1)), ref))
+        return F.when(x["at"] == 0, x["part"]).otherwise(F.coalesce(
+            F.when(ref != "", F.concat(text, rest)), F.concat(F.lit("&"), x["part"])))
+
+    parts = F.transform(F.split(c, "&", -1), lambda p, i: F.struct(
+        p.alias("part"), F.regexp_extract(p, REFERENCE_RE, 1).alias("ref"), i.alias("at")))
+    return F.when(c.contains("&"), F.array_join(F.transform(parts, put), "")).otherwise(c)
 
 
 def normalize_text(c) -> Column:
     """entity decode, invisible -> space, drop controls, collapse spaces, trim."""
-    c = F.coalesce(_c(c).cast("string"), F.lit(""))
-    c = decode_invisible_entities(c)
+    c = decode_entities(F.coalesce(_c(c).cast("string"), F.lit("")))
     c = F.regexp_replace(c, INVISIBLE_RE, " ")
     c = F.regexp_replace(c, CONTROL_RE, "")
     c = F.regexp_replace(c, SPACE_RUN_RE, " ")
@@ -174,11 +223,15 @@ def sanitize_text_field_fast(c) -> Column:
 
 
 def has_visible_text(c) -> Column:
-    """Exact fast path of ``normalize_text(c) != ''`` for cheap inputs: without '&'
-    (no entity to decode) an ASCII letter or digit always survives normalization;
-    otherwise normalize."""
+    """``normalize_text(c) != ''`` without the entity table: a reference is either one of
+    the invisible ones, which go, or it leaves a visible character, decoded or not. (Only
+    numbers of unassigned and supplementary private code points count as visible here.)
+    Without '&' an ASCII letter or digit always survives."""
     c = F.coalesce(_c(c), F.lit(""))
-    return (~c.contains("&") & c.rlike("[0-9A-Za-z]")) | (normalize_text(c) != F.lit(""))
+    rest = F.regexp_replace(F.regexp_replace(c, ENTITY_SPACE_RE, " "), ENTITY_GONE_RE, "")
+    for pattern, by in ((INVISIBLE_RE, " "), (CONTROL_RE, ""), (SPACE_RUN_RE, " ")):
+        rest = F.regexp_replace(rest, pattern, by)
+    return (~c.contains("&") & c.rlike("[0-9A-Za-z]")) | (php_trim(rest) != F.lit(""))
 
 
 def sanitize_text_field(c) -> Column:

@@ -71,7 +71,7 @@ def _calls(writer):
 
 def _required_ok(cells):
     q = F.coalesce(cell(cells, "question"), cell(cells, "question_text"))
-    return ~(q.isNotNull() & (T.normalize_text(F.regexp_replace(q, "^\\x{FEFF}", "")) == ""))
+    return ~(q.isNotNull() & ~T.has_visible_text(F.regexp_replace(q, "^\\x{FEFF}", "")))
 
 
 def process_rows(records: DataFrame, writer: str | Writers | Callable[[Iterator], Iterator] | None = BUILTIN,

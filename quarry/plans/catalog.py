@@ -399,7 +399,7 @@ def entity_and_tag_clean(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", T.sanitize_text_field(F.col("html")).alias("text_clean"),
                     T.strip_all_tags(F.col("html")).alias("stripped"),
                     T.kses_post(F.col("html")).alias("safe_html")) \
-        .withColumn("is_blank", T.normalize_text(F.col("stripped")) == "")
+        .withColumn("is_blank", ~T.has_visible_text(F.col("stripped")))
 
 
 @register("delimiter_detect", duck.delimiter_detect)

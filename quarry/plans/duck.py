@@ -7,6 +7,8 @@ generic ordered-cells model, DuckDB over the fixture's wide columns.
 
 from __future__ import annotations
 
+import html.entities
+
 from ..functions import text as T
 from ..functions.constants import (DEFAULT_CORRECT_MARK, DEFAULT_INCORRECT_MARK, MSG_MISSING_QUESTION,
                                    MSG_NO_OPTIONS, MSG_NOTICE, MSG_UNMATCHED)
@@ -35,6 +37,27 @@ def normalize(x: str) -> str:
     return php_trim(c)
 
 
+def normalize_full(x: str) -> str:
+    """With every entity: the text is cut at ampersands and each piece is looked up."""
+    table = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    names, texts = ", ".join(map(quoted, table)), ", ".join(map(quoted, table.values()))
+    ref = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', 1)"
+    num = ("CASE WHEN r LIKE '#x%' OR r LIKE '#X%' THEN TRY_CAST('0x' || ltrim(r[3:], '0') AS BIGINT) "
+           "WHEN r LIKE '#%' THEN TRY_CAST(r[2:] AS BIGINT) END")
+    good = ("(n BETWEEN 32 AND 126 OR n IN (9, 10, 12) OR n BETWEEN 160 AND 55295 OR n BETWEEN 57344 AND 64975 "
+            "OR n BETWEEN 65008 AND 1114111 AND n % 65536 < 65534)")
+    return f"""(WITH t AS (SELECT coalesce(CAST({x} AS VARCHAR), '') AS v),
+s AS (SELECT unnest(string_split(v, '&')) AS p, generate_subscripts(string_split(v, '&'), 1) AS i FROM t),
+r AS (SELECT p, i, {ref} AS r FROM s), n AS (SELECT *, {num} AS n FROM r),
+e AS (SELECT i, CASE WHEN i = 1 THEN p ELSE coalesce(CASE WHEN {good} THEN chr(n::INTEGER)
+        ELSE MAP([{names}], [{texts}])[r] END || p[length(r) + 2:], '&' || p) END AS o FROM n),
+d AS (SELECT string_agg(o, '' ORDER BY i) AS o FROM e),
+u AS (SELECT regexp_replace(regexp_replace(regexp_replace(o, '[\\x{{A0}}\\x{{200B}}-\\x{{200F}}\\x{{FEFF}}]', ' ', 'g'),
+        '\\p{{C}}+', '', 'g'), '\\p{{Z}}+', ' ', 'g') AS o FROM d)
+SELECT trim(o, ' ') FROM u)"""
+
+
 def strip_all_tags(x: str) -> str:
     c = f"regexp_replace(regexp_replace({x}, {lit(T.SCRIPT_STYLE_RE)}, '', 'g'), {lit(T.TAG_RE)}, '', 'g')"
     return php_trim(c)
@@ -619,14 +642,14 @@ def safe_delete_count() -> str:
 
 def _text_fixture() -> str:
     tail = ("CASE doc_id % 5 WHEN 0 THEN " + INV + " WHEN 1 THEN chr(9) WHEN 2 THEN chr(65279) "
-            "WHEN 3 THEN '&nbsp;' ELSE '' END")
+            "WHEN 3 THEN '&nbsp;' ELSE ' &amp;nbsp; &lt;b&gt; &eacute;&bogus; &#8364;&#x1F600;&#13;&NotEqualTilde;&#39;&' END")
     blank = INV + " || '&zwj;' || chr(9) || '&#160;'"
     return f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN {blank} ELSE text || {tail} END AS text FROM documents"
 
 
 def normalize_text() -> str:
-    return f"""SELECT doc_id, {normalize('text')} AS normalized, {normalize('text')} = '' AS is_blank
-FROM ({_text_fixture()})"""
+    return f"""SELECT doc_id, normalized, normalized = '' AS is_blank
+FROM (SELECT doc_id, {normalize_full('f.text')} AS normalized FROM ({_text_fixture()}) f)"""
 
 
 def entity_and_tag_clean() -> str:

@@ -302,13 +302,16 @@ def rollback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urgent.unionByName(beyond).unionByName(fixed)
 
 
+VISIBLE_ENTITIES = " &amp;nbsp; &lt;b&gt; &eacute;&bogus; &#8364;&#x1F600;&#13;&NotEqualTilde;&#39;&"
+
+
 def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents.text with an invisible tail by doc_id % 5 (INV, tab, BOM, &nbsp;, none);
+    """documents.text with a tail by doc_id % 5 (INV, tab, BOM, &nbsp;, visible entities);
     every 11th document is replaced by invisible characters only."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     i = F.col("doc_id")
     tail = (F.when(i % 5 == 0, F.lit(INV)).when(i % 5 == 1, F.lit("\t"))
-            .when(i % 5 == 2, F.lit("\ufeff")).when(i % 5 == 3, F.lit("&nbsp;")).otherwise(F.lit("")))
+            .when(i % 5 == 2, F.lit("\ufeff")).when(i % 5 == 3, F.lit("&nbsp;")).otherwise(F.lit(VISIBLE_ENTITIES)))
     blank = F.lit(INV + "&zwj;\t&#160;")
     return d.select("doc_id", F.when(i % 11 == 0, blank).otherwise(F.concat(F.col("text"), tail)).alias("text"))
 
