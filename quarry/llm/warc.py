@@ -15,7 +15,11 @@ are ``revisit`` records without a body; their HTTP header keeps the payload's le
 Only (page id, digest) rows are grouped to find them, so a payload that a third of the
 pages share moves no html.
 
-Null html is an empty payload; a null page id sorts last; of rows that share page id and
+Records of other writers are read as well: any record type, ids that are no pages (null
+``page_id``), a payload without HTTP header, and without the lengths and digests that the
+standard leaves open; what is there is checked.
+
+Null html is an empty payload; a null page id sorts last, and one that is no integer counts as null; of rows that share page id and
 payload one is the response and the others revisit it. Empty tables give no archive.
 """
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 import pyarrow as pa
@@ -59,7 +64,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     def keyed(*more):
         html = F.coalesce(col("html").cast("string"), F.lit(""))
-        page = col("page_id").cast("long")
+        page = col("page_id").try_cast("long")
         return pages.select(
             page.alias("page_id"), F.coalesce(page.cast("string"), F.lit("null")).alias("page"),
             F.concat(F.sha1(html.cast("binary")), F.lit("-"), F.octet_length(html).cast("string")).alias("digest"),
@@ -81,11 +86,16 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def train_dictionary(pages: DataFrame, size: int = 16384, sample: int = 400, longest: int = 32768) -> bytes:
     """A Zstandard dictionary from ``sample`` pages of at most ``longest`` bytes.
 
-    The sample (the smallest hashes of the page id) bounds what reaches the driver; the
-    dictionary only affects sizes, never what is read back. Too little data: b"".
+    The sample (the smallest hashes of page id and length) bounds what reaches the driver:
+    first the hashes alone are ordered, as a task sends its smallest ones, then the pages
+    that have them are fetched, one a hash. The dictionary only affects sizes, never what
+    is read back. Too little data: b"".
     """
-    rows = (pages.select(col("html").cast("string").alias("html"), F.xxhash64(col("page_id"), F.lit(7)).alias("h"))
-            .filter(F.octet_length("html").between(64, longest)).orderBy("h").limit(sample).collect())
+    html = col("html").cast("string")
+    keyed = pages.select(html.alias("html"), F.xxhash64(col("page_id"), F.octet_length(html), F.lit(7)).alias("h")).filter(
+        F.octet_length("html").between(64, longest))
+    chosen = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = keyed.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     texts = [r["html"].encode() for r in rows]
     if len(texts) < 16 or sum(map(len, texts)) < 8 * size:
         return b""
@@ -193,46 +203,51 @@ def parse_headers(lines: list[bytes]) -> dict[str, str]:
 
 
 def page_of(urn: str | None) -> int | None:
-    """The page id in a record id, None for the id of a null page."""
-    if urn is None:
-        return None
-    if not (urn.startswith("<urn:page:") and urn.endswith(">")):
-        raise ValueError("malformed record id")
-    page = urn[10:-1].split(":")[0]
-    return None if page == "null" else int(page)
+    """The page id in a record id of this writer; None for any other id and that of a null page."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)(:[0-9]+)?>", urn or "")
+    return found and int(found[1])
 
 
 def parse_record(raw: bytes) -> dict:
-    """Fields of one record; ValueError if a header or a length is wrong."""
+    """Fields of one record; ValueError if a header, a length or a digest is wrong.
+
+    The payload is the body of an HTTP response or request, else the block; a revisit has none.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise ValueError("not a WARC record")
     warc = parse_headers(lines[1:])
-    for need in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
+    for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in warc:
             raise ValueError(f"header {need} is missing")
     if not warc["content-length"].isdigit() or len(rest) != int(warc["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not fit the record")
-    http, gap, payload = rest[:-4].partition(b"\r\n\r\n")
-    status = http.split(b"\r\n")
-    if not gap or not status[0].startswith(b"HTTP/"):
-        raise ValueError("malformed HTTP header")
-    size = parse_headers(status[1:]).get("content-length", "")
-    if not size.isdigit():
-        raise ValueError("HTTP Content-Length is missing")
-    algorithm, _, digest = warc["warc-payload-digest"].partition(":")
-    kind = warc["warc-type"]
-    if algorithm != "sha1" or kind not in ("response", "revisit"):
-        raise ValueError("unknown digest or record type")
-    if kind == "response" and (len(payload) != int(size) or base32_sha1(payload) != digest):
+    kind, payload, size = warc["warc-type"], rest[:-4], None
+    if warc.get("content-type", "").lower().startswith("application/http"):
+        http, gap, payload = payload.partition(b"\r\n\r\n")
+        status = http.split(b"\r\n")
+        if not gap or not (status[0].startswith(b"HTTP/") or kind == "request"):
+            raise ValueError("malformed HTTP header")
+        fields = parse_headers(status[1:])
+        if "transfer-encoding" not in fields:  # else the length is that of the chunks
+            size = fields.get("content-length")
+    if size is not None and not size.isdigit():
+        raise ValueError("malformed HTTP Content-Length")
+    algorithm, _, digest = warc.get("warc-payload-digest", "").partition(":")
+    own = base32_sha1(payload)
+    if kind == "revisit":
+        if payload or "warc-refers-to" not in warc and "warc-refers-to-target-uri" not in warc:
+            raise ValueError("malformed revisit record")
+        payload = None
+    elif size is not None and len(payload) != int(size) or algorithm.lower() == "sha1" and own != digest.upper():
         raise ValueError("payload length or digest does not fit")
-    if kind == "revisit" and (payload or "warc-refers-to" not in warc):
-        raise ValueError("malformed revisit record")
+    if algorithm.lower() != "sha1":
+        digest = own if payload is not None else None
+    length = len(payload) if payload is not None else None if size is None else int(size)
     return {"record_type": kind, "record_id": warc["warc-record-id"], "page_id": page_of(warc["warc-record-id"]),
-            "url": warc.get("warc-target-uri"), "payload": payload if kind == "response" else None,
-            "payload_bytes": int(size), "payload_digest": digest, "refers_to": page_of(warc.get("warc-refers-to")),
-            "error": None}
+            "url": warc.get("warc-target-uri"), "payload": payload, "payload_bytes": length,
+            "payload_digest": digest and digest.upper(), "refers_to": page_of(warc.get("warc-refers-to")), "error": None}
 
 
 def read_archive(name: str, blob: bytes):

@@ -4,6 +4,7 @@ import struct
 
 import pytest
 import zstandard as zstd
+from pyspark.sql import functions as F
 
 from quarry.llm import warc
 
@@ -78,7 +79,7 @@ def test_broken_records_are_reported():
         "header": ok.replace(b"WARC-Date", b"WARC Date no colon").replace(b": 1970", b" 1970"),
         "length": ok.replace(b"Content-Length: 7", b"Content-Length: 9"),
         "block": ok[:-4], "digest": ok.replace(b"payload\r\n\r\n", b"PAYLOAD\r\n\r\n"),
-        "version": b"X" + ok, "type": ok.replace(b"WARC-Type: response", b"WARC-Type: conversion"),
+        "version": b"X" + ok,
         "revisit": ok.replace(b"WARC-Type: response", b"WARC-Type: revisit"),
     }
     for name, raw in bad.items():
@@ -99,3 +100,32 @@ def test_query_against_brute_force(spark, sf_small):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_small}/pages.parquet").select("page_id", "url", "html").collect()]
     got = op3_warc(spark, sf_small)
     assert sorted(got_rows(got), key=str) == sorted(want_rows(rows), key=str)
+
+
+def test_records_of_other_writers():
+    def rec(kind, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0e1d>", "WARC-Date: 2020-01-01T00:00:00Z",
+                f"Content-Length: {len(block)}", *more]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    http = "Content-Type: application/http; msgtype=response"
+    digest = "WARC-Payload-Digest: sha1:" + warc.base32_sha1(b"body").lower()
+    given = [(rec("warcinfo", b"software: x\r\n"), b"software: x\r\n"), (rec("metadata", b"", "Content-Type: text/plain"), b""),
+             (rec("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", http), b""),
+             (rec("response", b"HTTP/1.1 200 OK\r\n\r\nbody", http, digest), b"body"),
+             (rec("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n", http),
+              b"4\r\nbody\r\n0\r\n\r\n"),
+             (rec("resource", b"text", "WARC-Payload-Digest: md5:xyz"), b"text")]
+    got = list(warc.read_archive("a", archive([r for r, _ in given])))
+    assert [(r["payload"], r["error"], r["page_id"]) for r in got] == [(p, None, None) for _, p in given]
+    assert all(r["payload_digest"] == warc.base32_sha1(p) for r, (_, p) in zip(got, given, strict=True))
+    assert {r["record_id"] for r in got} == {"<urn:uuid:0e1d>"}
+    wrong = rec("response", b"HTTP/1.1 200 OK\r\n\r\nBODY", http, digest)
+    assert [bool(r["error"]) for r in warc.read_archive("a", archive([wrong]))] == [True]
+
+
+def test_many_large_pages_send_a_bounded_sample(spark):
+    rows = spark.range(0, 3000, 1, 24).select((F.col("id") % 1000).cast("string").alias("page_id"), F.lit("u").alias("url"),
+                                              F.concat(F.repeat(F.lit("some words "), 600), "id").alias("html"))
+    assert len(warc.train_dictionary(rows, sample=50)) > 1000
+    got = warc.round_trip(rows.limit(20).withColumn("page_id", F.concat(F.lit("p"), "page_id"))).collect()
+    assert len(got) == 20 and all(r.page_id is None and r.error is None for r in got)
