@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts and benchmark items are cut into words (runs of letters and digits, lower case).
+Texts and benchmark items are cut into words (runs of letters and digits, lower case; in
+scripts that set no blanks between words each character is one).
 A seed mask looks at 5 of up to 10 neighbouring words and ignores the others, so a
 replaced word hides a passage only if it meets a looked-at position; the masks together
-hit every passage of 13 words with any 2 replaced, and of 16 words with any 3. Hashes of
+hit every passage of 13 words with any 2 replaced, and of 16 words with any 3. Items of 5 to
+12 words have two masks of 3 words, which hit whatever the check accepts of them. Hashes of
 all masked windows of the items are joined with those of the texts: a task probes its
 windows against a bit table and then the sorted array of the items' hashes. Around each
 hit the item is laid over the text on that diagonal, and the overlap counts if at least
@@ -15,8 +17,8 @@ The benchmark is the small side and is broadcast in parts of at most ``part_word
 pass, so any size is covered exactly, and no text is shuffled.
 
 Null and empty texts are clean, as are items of fewer than 5 words, which name nothing.
-Items of 5 or 6 words must occur unchanged. Repeated items are all reported; repeated rows
-are judged alike. Empty tables: nothing is contaminated.
+Item ids may have any type and be null; rows that share an id are one item, found if any of
+them is. Repeated rows are judged alike. Empty tables: nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -30,16 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship_package
 from .common import blobs, col, free_name
 
 #: Word places that a seed looks at.
 MASKS = [(0, 1, 3, 5, 6), (0, 3, 7, 8, 9), (0, 1, 4, 6, 9)]
-SHORT = [(0, 1, 2, 3, 4)]
-LEAST = 5
+#: The same for items of fewer than WHOLE words, which are compared as a whole.
+SHORT = [(0, 1, 2), (0, 1, 3)]
+LEAST, WHOLE = 5, 13
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_WORD = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]&&[{_ALONE}]]|[[\p{{L}}\p{{N}}]--[{_ALONE}]]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -66,10 +71,11 @@ class Probe:
         self.ids = [i for i, _ in cut]
         self.tokens = [np.array([self.hash[w] for w in ws], dtype=np.uint64) for _, ws in cut]
         seeds, item, place = [], [], []
-        self.masks = [*MASKS, *SHORT] if any(len(t) < 7 for t in self.tokens) else MASKS
+        lengths = {len(t) < WHOLE for t in self.tokens}
+        self.masks = [*(MASKS if False in lengths else []), *(SHORT if True in lengths else [])]
         for k, t in enumerate(self.tokens):
             for m, mask in enumerate(self.masks):
-                if mask in SHORT and len(t) >= 7:
+                if (mask in SHORT) != (len(t) < WHOLE):
                     continue
                 h = seeds_at(t, mask, m)
                 seeds.append(h)
@@ -149,8 +155,8 @@ def benchmark_parts(benchmark: DataFrame, part_words: int, id_col: str, text_col
     """Yields the benchmark's (id, text) rows in parts of about ``part_words`` words; the
     driver holds one part at a time."""
     b = benchmark.filter(col(text_col).isNotNull()).select(
-        col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    size = F.size(F.split(F.trim("text"), r"\s+"))
+        col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    size = F.greatest(F.size(F.split(F.trim("text"), r"\s+")), (F.length("text") / 8).cast("int"))
     total = b.agg(F.sum(size)).first()[0] or 0
     n = -(-int(total) // part_words)
     part = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n)))
@@ -158,17 +164,28 @@ def benchmark_parts(benchmark: DataFrame, part_words: int, id_col: str, text_col
         yield [tuple(r) for r in b.filter(part == i).collect()]
 
 
+def merged(old: list[dict], found: dict) -> list[dict]:
+    """Items of earlier parts and of this one, longest overlap each, by id."""
+    best = {o["item_id"]: o["words"] for o in old}
+    for i, n in found.items():
+        best[i] = max(n, best.get(i, 0))
+    known = sorted((i for i in best if i is not None))
+    return [{"item_id": i, "words": best[i]} for i in known + [None] * (None in best)]
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id: str = "item_id",
          bench_text: str = "text", min_words: int = 13, similarity: float = 0.8,
          part_words: int = 1_000_000) -> DataFrame:
-    """``docs`` with ``overlaps``: map of the benchmark items found in the text to the
-    length of the longest overlap in words. A column of that name is replaced."""
+    """``docs`` with ``overlaps``: the benchmark items found in the text (``item_id``, nulls
+    last) and the length of the longest overlap in ``words``. A column of that name is replaced."""
     spark = docs.sparkSession
     ship_package(spark)
     keep = [c for c in docs.columns if c.lower() != "overlaps"]
     t = free_name(docs, "_text")
-    kind = T.MapType(T.LongType(), T.IntegerType())
-    df = docs.select(*[col(c) for c in keep], F.create_map().cast(kind).alias("overlaps"),
+    item = benchmark.select(col(bench_id)).schema[0].dataType
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", item), T.StructField("words", T.IntegerType())]))
+    arrow = to_arrow_type(kind)
+    df = docs.select(*[col(c) for c in keep], F.array().cast(kind).alias("overlaps"),
                      col(text_col).cast("string").cast("binary").alias(t))
 
     def step(key, items):
@@ -180,8 +197,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_id
                     k = b.num_columns
                     got = probe.check([x.decode("utf-8", "replace") for x in blobs(b.column(k - 1))])
                     old = b.column(k - 2).to_pylist()
-                    new = pa.array([sorted((dict(o) | g).items()) for o, g in zip(old, got, strict=True)],
-                                   pa.map_(pa.int64(), pa.int32()))
+                    new = pa.array([merged(o, g) for o, g in zip(old, got, strict=True)], arrow)
                     yield pa.RecordBatch.from_arrays([*b.columns[:k - 2], new, b.column(k - 1)], names=b.schema.names)
         return run
 

@@ -49,8 +49,8 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that every document holds a passage of."""
     d = decontam.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"),
-                    F.array_sort(F.map_keys("overlaps")).alias("item_ids"),
-                    F.coalesce(F.array_max(F.map_values("overlaps")), F.lit(0)).alias("overlap_words"))
+                    F.col("overlaps.item_id").alias("item_ids"),
+                    F.coalesce(F.array_max("overlaps.words"), F.lit(0)).alias("overlap_words"))
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

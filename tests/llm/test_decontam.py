@@ -24,10 +24,6 @@ def brute(texts, items, min_words=13, similarity=0.8):
             need = min(min_words, len(xw))
             if len(xw) < decontam.LEAST:
                 continue
-            if len(xw) < 7:
-                if any(tw[k:k + len(xw)] == xw for k in range(len(tw))):
-                    hits.add(i)
-                continue
             for d in range(-len(xw), len(tw)):
                 eq = [0 <= d + k < len(tw) and tw[d + k] == xw[k] for k in range(len(xw))]
                 lo, hi = max(0, -d), min(len(xw), len(tw) - d)
@@ -39,6 +35,43 @@ def brute(texts, items, min_words=13, similarity=0.8):
     return out
 
 
+@pytest.mark.parametrize("n", range(5, 13))
+def test_short_masks_hit_what_the_check_accepts(n):
+    for k in range(n + 1):
+        if (n - k) >= 0.8 * n - 1e-9:
+            for gone in combinations(range(n), k):
+                assert any(not set(gone) & {s + c for c in m} for m in decontam.SHORT for s in range(n - m[-1])), gone
+
+
+def test_query_finds_every_replaced_word(spark, documents, tmp_path):
+    """Items of 5 to 14 words with any one word replaced, through the registered query."""
+    from quarry.llm.queries import op4_decontam
+
+    items = [(n, prose(n)) for n in range(5, 15)] + [(99, "".join(chr(0x4E00 + 7 * i) for i in range(20)))]
+    rows = [(0, prose(300))]
+    for n, x in items[:-1]:
+        for k in range(n):
+            w = x.split()
+            w[k] = "changed"
+            rows.append((1000 * n + k, f"{prose(20)} {' '.join(w)} {prose(20)}"))
+    rows += [(2, "前" + items[-1][1].replace(chr(0x4E00 + 70), "x") + "后"), (3, items[-1][1][:9])]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: list(r.item_ids) for r in op4_decontam(spark, str(tmp_path)).collect()}
+    assert got == {i: [99] if i == 2 else [i // 1000] if i >= 1000 else [] for i, _ in rows}
+
+
+def test_ids_of_any_type(spark, documents):
+    x = prose(20)
+    d = documents([(1, x), (2, prose(30))])
+    for kind, ids in (("string", ["it2", None, "it1"]), ("long", [5, None, 4]), ("date", [None])):
+        bench = spark.createDataFrame([(i, x) for i in ids], f"item_id {kind}, text string")
+        for part in (1_000_000, 20):
+            got = {r.doc_id: [o.item_id for o in r.overlaps] for r in decontam.mark(d, bench, part_words=part).collect()}
+            assert got == {1: sorted(i for i in ids if i is not None) + [None], 2: []}
+        assert [r.doc_id for r in decontam.clean(d, bench).collect()] == [2]
+
+
 @pytest.mark.parametrize("n,k", [(13, 2), (16, 3)])
 def test_masks_hit_every_way_to_replace_words(n, k):
     for gone in combinations(range(n), k):
@@ -64,7 +97,7 @@ def test_against_brute_force(spark, documents):
     want = brute(texts, items)
     for part in (1_000_000, 60):
         got = decontam.mark(documents(texts).withColumnRenamed("lang", "overlaps"), bench, part_words=part).collect()
-        seen = {r.doc_id: set(r.overlaps) for r in got}
+        seen = {r.doc_id: {o.item_id for o in r.overlaps} for r in got}
         missed = [(i, w - seen[i]) for i, w in enumerate(want) if not seen[i] <= w or len(w - seen[i])]
         assert not missed, missed
     assert sum(map(bool, want)) > 20
