@@ -533,5 +533,12 @@ def clean(docs: DataFrame, **how) -> DataFrame:
 
 
 def whole_characters(data):
-    """Binary column as a string, without the bytes that are no whole character."""
-    return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "\ufffd", "")
+    """Binary column as a string, without the bytes that are no whole character.
+
+    Replacement characters that the text has itself are kept: they are written as an escape
+    of two characters while the broken bytes are found.
+    """
+    mark, own, kept = "\ue000", "\ufffd", F.lit
+    text = F.replace(F.replace(data.cast("string"), kept(mark), kept(mark + "a")), kept(own), kept(mark + "b"))
+    text = F.replace(F.make_valid_utf8(text), kept(own), kept(""))
+    return F.replace(F.replace(text, kept(mark + "b"), kept(own)), kept(mark + "a"), kept(mark))

@@ -110,3 +110,10 @@ def test_query_against_brute_force(spark, sf_small):
             for d, w in zip(docs, brute([d.text.encode() for d in docs], 200))}
     got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in op9_suffixes(spark, sf_small).collect()}
     assert got == want
+
+
+def test_replacement_characters_of_the_text_stay(documents):
+    same = "ü" + "".join(chr(97 + i * 7 % 26) for i in range(230)) + "ü"
+    d = documents([(1, f"a\ufffd\ue000b\ue000 {same} \ufffdz"), (2, f"{same[1:-1]}")])
+    got = {r.doc_id: r.text for r in suffixes.clean(d, length=200).collect()}
+    assert got == {1: "a\ufffd\ue000b\ue000 üü \ufffdz", 2: ""}
