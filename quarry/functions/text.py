@@ -288,11 +288,13 @@ def detect_delimiter(c, n_bytes: int = 4096) -> Column:
             .when(semi > comma, F.lit(";")).otherwise(F.lit(",")))
 
 
+def text_like(x: Column) -> Column:
+    """Whether a cell holds a letter or text that is no number."""
+    t = php_trim(F.coalesce(x, F.lit("")))
+    return (t != "") & (t.rlike("[A-Za-z]") | ~is_numeric(t))
+
+
 def text_like_ratio(cells: Column) -> Column:
-    """Share of cells that hold a letter or non-numeric text; blank cells
-    count in the denominator only."""
-    def text_like(x):
-        t = php_trim(F.coalesce(x, F.lit("")))
-        return (t != "") & (t.rlike("[A-Za-z]") | ~is_numeric(t))
+    """Share of text-like cells; blank cells count in the denominator only."""
     n_text = F.size(F.filter(cells, text_like))
     return F.when(F.size(cells) > 0, n_text / F.size(cells)).otherwise(F.lit(0.0))

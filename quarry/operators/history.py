@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..functions.constants import (MSG_ALREADY_ROLLED_BACK, MSG_BAD_LOG_ID, MSG_LOG_NOT_FOUND, MSG_NO_IDS, MSG_ROLLBACK_DONE,
                                    NO_QUIZ_LABEL, RECENT_PAGE_SIZE, STATUS_ROLLED_BACK)
 from .joins import join_small
+from .lookups import names_by_id
 
 # Ids are laid out in blocks of 2^20 and id ranges joined by buckets of 2^10.
 BLOCK_BITS, RANGE_BITS = 20, 10
@@ -70,10 +71,10 @@ def page_count(logs: DataFrame, per_page: int = RECENT_PAGE_SIZE) -> DataFrame:
         F.ceil(F.col("total") / F.lit(per_page)).cast("long").alias("pages"))
 
 
-def import_detail(logs: DataFrame, quizzes: DataFrame) -> DataFrame:
+def import_detail(logs: DataFrame, quizzes: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """F30 + J03 + F40: display fields of each log; name from the log, else the quiz
-    table (only for quiz_id > 0), else the not-set label."""
-    names = quizzes.groupBy("quiz_id").agg(F.min("quiz_name").alias("_qn"))
+    table or a post's title (only for quiz_id > 0), else the not-set label."""
+    names = names_by_id(quizzes, posts).withColumnRenamed("quiz_name", "_qn")
     out = join_small(logs, names, "quiz_id", "left")
     logged = T.php_trim(F.coalesce(F.col("quiz_name"), F.lit("")))
     looked = F.when(F.col("quiz_id") > 0, F.coalesce(F.col("_qn"), F.lit(""))).otherwise(F.lit(""))

@@ -10,10 +10,42 @@ from ..functions import text as T
 from ..functions.constants import DEFAULT_QUESTION_TYPES, DISTINCT_CATEGORY_CAP, DISTINCT_TYPE_CAP, TAXONOMY
 from .joins import join_small
 
+# Fixed value: the type of posts that stand for a quiz.
+POST_TYPE_QUIZ = "quiz"
 
-def quiz_names(ids: DataFrame, quizzes: DataFrame) -> DataFrame:
-    """Quiz id -> name; '' for ids <= 0 or without a quiz row."""
-    names = quizzes.groupBy("quiz_id").agg(F.min("quiz_name").alias("_name"))
+
+def _first(quizzes: DataFrame, posts: DataFrame | None, key: str, value: str) -> DataFrame:
+    """(key, value): the smallest value of the quizzes, else of the posts, per key."""
+    both = quizzes.select(key, value, F.lit(0).alias("_rank"))
+    if posts is not None:
+        both = both.unionByName(posts.select(key, value, F.lit(1).alias("_rank")))
+    return both.groupBy(key).agg(F.min(F.struct("_rank", value)).getField(value).alias(value))
+
+
+def names_by_id(quizzes: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """(quiz_id, quiz_name) by the quiz table, else by the title of the post with
+    that id (any type). A name that PHP takes as false ('' and '0') counts as none."""
+    named = quizzes.filter(~F.col("quiz_name").isin("", "0"))
+    if posts is not None:
+        posts = posts.select(F.col("post_id").alias("quiz_id"), F.col("post_title").alias("quiz_name")).filter("quiz_name is not null")
+    return _first(named, posts, "quiz_id", "quiz_name")
+
+
+def ids_by_name(quizzes: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """(quiz_name, quiz_id) by the quiz table, else by the title of a post of type quiz.
+    Titles fit exactly; of several the smallest id counts. Quiz id 0 counts as none where
+    there are posts to look in."""
+    known = quizzes.filter(F.col("quiz_name").isNotNull())
+    if posts is not None:
+        known = known.filter(F.col("quiz_id") != 0)
+        posts = posts.filter((F.col("post_type") == POST_TYPE_QUIZ) & F.col("post_title").isNotNull()).select(
+            F.col("post_title").alias("quiz_name"), F.col("post_id").alias("quiz_id"))
+    return _first(known, posts, "quiz_name", "quiz_id")
+
+
+def quiz_names(ids: DataFrame, quizzes: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Quiz id -> name; '' for ids <= 0 or without a quiz row and post."""
+    names = names_by_id(quizzes, posts).withColumnRenamed("quiz_name", "_name")
     out = join_small(ids, names, "quiz_id", "left")
     return out.withColumn("quiz_name", F.when(F.col("quiz_id") > 0, F.coalesce(F.col("_name"), F.lit("")))
                           .otherwise(F.lit(""))).drop("_name")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.constants import (CATEGORY_KEYS, CORRECT_MARK_KEYS, DEFAULT_CORRECT_MARK,
                                    DEFAULT_INCORRECT_MARK, INCORRECT_MARK_KEYS, QUIZ_KEYS,
                                    TYPE_KEYS)
+from . import lookups as L
 from .joins import join_small
 
 
@@ -27,7 +28,7 @@ def _first_mark(keys: list[str], default: float):
         .otherwise(F.lit(default)).cast("double")
 
 
-def resolve_params(manifest: DataFrame, quizzes: DataFrame) -> DataFrame:
+def resolve_params(manifest: DataFrame, quizzes: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """Add quiz_id, quiz_name, category_input, category_is_numeric, question_type,
     correct_mark and incorrect_mark to each manifest row.
 
@@ -60,8 +61,7 @@ def resolve_params(manifest: DataFrame, quizzes: DataFrame) -> DataFrame:
         F.posexplode(F.array(*[T.php_trim(F.coalesce(_param(k), F.lit(""))) for k in QUIZ_KEYS]))
         .alias("rank", "val"),
     ).filter(F.col("val") != "")
-    by_name = (quizzes.groupBy("quiz_name").agg(F.min("quiz_id").alias("named_id"))
-               .withColumnRenamed("quiz_name", "val"))
+    by_name = L.ids_by_name(quizzes, posts).withColumnsRenamed({"quiz_name": "val", "quiz_id": "named_id"})
     cand = join_small(cand, by_name, "val", "left")
     cand = cand.withColumn(
         "cand_id",
@@ -72,18 +72,12 @@ def resolve_params(manifest: DataFrame, quizzes: DataFrame) -> DataFrame:
     out = join_small(base, first, "import_id", "left").withColumn(
         "quiz_id", F.coalesce(F.col("quiz_id"), F.lit(0)).cast("long"))
 
-    # Quiz id -> name, only for id > 0.
-    names = quizzes.groupBy("quiz_id").agg(F.min("quiz_name").alias("resolved_name"))
-    out = join_small(out, names, "quiz_id", "left").withColumn(
-        "quiz_name", F.when(F.col("quiz_id") > 0, F.coalesce(F.col("resolved_name"), F.lit("")))
-        .otherwise(F.lit(""))).drop("resolved_name")
-    return out
+    return L.quiz_names(out, quizzes, posts)  # J02
 
 
-def quiz_lookup_by_name(names: DataFrame, quizzes: DataFrame) -> DataFrame:
-    """J01 alone: each name -> smallest quiz id with that exact name (NULL if none)."""
-    by_name = quizzes.groupBy("quiz_name").agg(F.min("quiz_id").alias("quiz_id"))
-    return join_small(names, by_name, "quiz_name", "left")
+def quiz_lookup_by_name(names: DataFrame, quizzes: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """J01 alone: each name -> quiz id by the quiz table, else by post title (NULL if none)."""
+    return join_small(names, L.ids_by_name(quizzes, posts), "quiz_name", "left")
 
 
 def ordered_quizzes(quizzes: DataFrame) -> DataFrame:

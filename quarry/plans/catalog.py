@@ -212,6 +212,31 @@ def quiz_id_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return P.quiz_lookup_by_name(names, D.quizzes(spark, sf))
 
 
+@register("quiz_id_by_title", duck.quiz_id_by_title)
+def quiz_id_by_title(spark: SparkSession, sf: str) -> DataFrame:
+    """J01 with its second table: names of nations, regions and suppliers -> quiz or post id."""
+    names = D.table(spark, sf, "nation").select(F.col("n_name").alias("quiz_name"))
+    for name, column in (("region", "r_name"), ("supplier", "s_name")):
+        names = names.unionByName(D.table(spark, sf, name).select(F.col(column).alias("quiz_name")))
+    return P.quiz_lookup_by_name(names, D.quizzes(spark, sf), D.posts(spark, sf))
+
+
+@register("quiz_name_by_post", duck.quiz_name_by_post)
+def quiz_name_by_post(spark: SparkSession, sf: str) -> DataFrame:
+    """J02 with its second table: every customer's key and those around 0 and 500 -> quiz or post name."""
+    ids = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("quiz_id"))
+    key = F.col("r_regionkey").cast("long")
+    ids = ids.union(D.table(spark, sf, "region").select(F.explode(F.array(key + 500, -key)))).distinct()
+    return L.quiz_names(ids, D.quizzes(spark, sf), D.posts(spark, sf))
+
+
+@register("import_detail_posts", duck.import_detail_posts)
+def import_detail_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """J03 with its second table: display names of logs whose quiz may be a post."""
+    logs = _logs(spark, sf).withColumn("quiz_id", F.col("uploader_id") % 60)
+    return H.import_detail(logs, D.quizzes(spark, sf), D.posts(spark, sf)).select("id", "display_quiz_name")
+
+
 @register("quiz_name_lookup", duck.quiz_name_lookup)
 def quiz_name_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Quiz id -> name ('' when id <= 0 or unknown) for every order's custkey % 30."""
@@ -416,12 +441,9 @@ def delimiter_detect(spark: SparkSession, sf: str) -> DataFrame:
 def header_detect(spark: SparkSession, sf: str) -> DataFrame:
     """F23 + A13: header heuristic on candidate first records."""
     h = D.header_candidates(spark, sf)
-    def text_like(x):
-        t = T.php_trim(F.coalesce(x, F.lit("")))
-        return (t != "") & (t.rlike("[A-Za-z]") | ~T.is_numeric(t))
     ratio = T.text_like_ratio(F.col("cells"))
     return h.select("k", F.size("cells").alias("n_cells"),
-                    F.size(F.filter("cells", text_like)).alias("n_text"),
+                    F.size(F.filter("cells", T.text_like)).alias("n_text"),
                     ratio.cast("double").alias("ratio"), (ratio >= 0.5).alias("is_header"))
 
 

@@ -459,6 +459,33 @@ byname AS (SELECT n_name AS quiz_name, min(CAST(n_nationkey AS BIGINT)) AS quiz_
 SELECT n.quiz_name, b.quiz_id FROM names n LEFT JOIN byname b ON b.quiz_name = n.quiz_name"""
 
 
+POSTS = """SELECT CAST(r_regionkey + 500 AS BIGINT) AS id, r_name AS title, r_regionkey % 2 = 0 AS quiz FROM region
+UNION ALL SELECT s_suppkey + 25, s_name, s_suppkey % 2 = 0 FROM supplier UNION ALL SELECT n_nationkey + 1000, n_name, true FROM nation"""
+
+
+def quiz_id_by_title() -> str:
+    return f"""WITH names AS (SELECT n_name AS quiz_name FROM nation UNION ALL SELECT r_name FROM region
+               UNION ALL SELECT s_name FROM supplier), posts AS ({POSTS})
+SELECT quiz_name, coalesce((SELECT min(n_nationkey) FROM nation WHERE n_name = quiz_name AND n_nationkey <> 0),
+                           (SELECT min(id) FROM posts WHERE title = quiz_name AND quiz))::BIGINT AS quiz_id FROM names"""
+
+
+def quiz_name_by_post() -> str:
+    return f"""WITH posts AS ({POSTS}),
+ids AS (SELECT c_custkey::BIGINT AS quiz_id FROM customer UNION SELECT r_regionkey + 500 FROM region
+        UNION SELECT -r_regionkey FROM region)
+SELECT quiz_id, CASE WHEN quiz_id > 0 THEN coalesce((SELECT min(n_name) FROM nation WHERE n_nationkey = quiz_id),
+       (SELECT min(title) FROM posts WHERE id = quiz_id), '') ELSE '' END AS quiz_name FROM ids"""
+
+
+def import_detail_posts() -> str:
+    return f"""WITH posts AS ({POSTS}), l AS (SELECT id, quiz_name, uploader_id % 60 AS q FROM ({LOGS})),
+n AS (SELECT id, CASE WHEN trim(quiz_name) <> '' THEN trim(quiz_name) WHEN q > 0 THEN
+             coalesce((SELECT min(n_name) FROM nation WHERE n_nationkey = q),
+                      (SELECT min(title) FROM posts p WHERE p.id = q), '') ELSE '' END AS name FROM l)
+SELECT id, CASE WHEN name = '' THEN '— (not set) —' ELSE name END AS display_quiz_name FROM n"""
+
+
 def quiz_name_lookup() -> str:
     return """WITH ids AS (SELECT DISTINCT CAST(o_custkey % 30 AS BIGINT) AS quiz_id FROM orders),
 byid AS (SELECT CAST(n_nationkey AS BIGINT) AS quiz_id, min(n_name) AS quiz_name FROM nation GROUP BY 1)

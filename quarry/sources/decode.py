@@ -128,28 +128,14 @@ def slug(h: str) -> str:
 
 
 def detect_delimiter(sample: bytes) -> str:
-    """F22 over the first 4096 bytes."""
-    s = sample[:DELIMITER_SAMPLE_BYTES]
-    comma, semi, tab = s.count(b","), s.count(b";"), s.count(b"\t")
-    if tab > max(comma, semi):
-        return "\t"
-    if semi > comma:
-        return ";"
-    return ","
+    """F22 over the first 4096 bytes: the most frequent one, of equal ones the first here."""
+    return max(",;\t", key=sample[:DELIMITER_SAMPLE_BYTES].decode("latin-1").count)
 
 
 def looks_like_header(row: list[str]) -> bool:
-    """text-like cells / all cells >= 0.5 (blank cells count in the total)."""
-    if not row:
-        return False
-    text = 0
-    for cell in row:
-        t = php_trim(cell or "")
-        if t == "":
-            continue
-        if re.search(r"[A-Za-z]", t) or not is_numeric(t):
-            text += 1
-    return text / len(row) >= 0.5
+    """at least half of the cells, blank ones included, hold text that is no number."""
+    full = [t for t in (php_trim(c or "") for c in row) if t]
+    return bool(row) and 2 * sum(not is_numeric(t) for t in full) >= len(row)
 
 
 def _text(content: bytes, strip_bom: bool) -> str:

@@ -208,6 +208,17 @@ def quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").cast("long").alias("quiz_id"), F.col("n_name").alias("quiz_name"))
 
 
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts (post_id, post_title, post_type): regions and suppliers, every second of them of
+    type quiz, and nations, whose names the quiz table has with other ids."""
+    def of(name, key, title, base, other):
+        kind = F.when(F.col(key) % 2 == 0, F.lit("quiz")).otherwise(F.lit(other))
+        return table(spark, sf_dir, name).select((F.col(key) + base).cast("long").alias("post_id"),
+                                                 F.col(title).alias("post_title"), kind.alias("post_type"))
+    return (of("region", "r_regionkey", "r_name", 500, "post").unionByName(of("supplier", "s_suppkey", "s_name", 25, "page"))
+            .unionByName(of("nation", "n_nationkey", "n_name", 1000, "quiz")))
+
+
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category terms from region, and terms of another taxonomy from nation."""
     region = table(spark, sf_dir, "region").select(
