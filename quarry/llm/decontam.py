@@ -47,8 +47,14 @@ _ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 _WORD = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]&&[{_ALONE}]]|[[\p{{L}}\p{{N}}]--[{_ALONE}]]+")
 
 
+#: All scripts of ``_ALONE`` lie from here on; texts below it need no look at scripts.
+_FIRST_ALONE = "\u0e00"
+_PLAIN = regex.compile(r"[\p{L}\p{N}]+")
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return (_WORD if max(text, default="") >= _FIRST_ALONE else _PLAIN).findall(text)
 
 
 def seeds_at(tokens: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:

@@ -124,3 +124,10 @@ def test_query_against_verbatim_search(spark, sf_small):
     want = {d.doc_id: sorted(i for i, x in items if flat(x) in flat(d.text)) for d in docs}
     got = {r.doc_id: list(r.item_ids) for r in op4_decontam(spark, sf_small).collect()}
     assert got == want and np.any([bool(x) for x in want.values()])
+
+
+def test_words_do_not_depend_on_the_pattern():
+    texts = ["", "A b-c é1 ü", "x 前后 ab后c", "ไทย a", "“quoted” words", "\u0dff\u0e00"]
+    for t in texts:
+        assert decontam.words_of(t) == decontam._WORD.findall(t.lower())
+    assert decontam.words_of("ab后c 前") == ["ab", "后", "c", "前"]
