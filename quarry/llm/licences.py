@@ -7,11 +7,13 @@ licences (a table of any size), so a document that is a licence is found however
 wrapped, punctuated or spelt. The digests of its single lines are looked up in the same
 join, so that one-line notices inside a text are found as well. Notices that are a sentence
 (one line that ends with a full stop) are also looked for in the running text, over line
-breaks and inside lines; every task holds them, so they should be few. Other one-line texts,
+breaks and inside lines: each is known by its anchor, a run of up to three words that few
+sentences share, and the same join looks up the runs of words of every text. A text is then
+searched for the sentences of the anchors it holds and for no others. Other one-line texts,
 as SPDX identifiers, must be a line: MIT is not MIT-0.
 
-All of it is native. Texts are not shuffled, only digests, and only those that hit are
-grouped per document.
+All of it is native. The licences may be a table of any size: Spark sends it to the tasks if
+its written size is small and shuffles hashes otherwise. Only hits are grouped per document.
 
 Null and empty texts, and lines without a letter or digit, hold no licence. Repeated rows
 are judged alike. Licences with equal canonical texts are all reported. Empty tables give
@@ -52,6 +54,9 @@ NOTICES = {
     "proprietary": ["All rights reserved."],
 }
 
+#: Words of a sentence's anchor.
+ANCHOR = 3
+
 #: Full texts without title and copyright lines, one file a licence.
 TEXTS = Path(__file__).parent / "licence_texts"
 
@@ -102,22 +107,46 @@ def joined(lines: Column) -> Column:
     return text
 
 
-def digests(text: Column, sentences: Column | None = None) -> Column:
-    """Array of (whole, digest): the entire canonical text first, then its lines, then the
-    ``sentences`` (line, digest) that its running text holds."""
-    md5 = lambda x: F.md5(x.cast("binary"))
-    lines = F.transform(F.array(canonical_lines(text)), lambda x: F.when(F.size(x) > 0, F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), md5(joined(x)).alias("digest"))),
-        F.transform(x, lambda y: F.struct(F.lit(False).alias("whole"), md5(y).alias("digest"))),
-        *([] if sentences is None else [inside(x, sentences)]))))
-    return lines[0]
+def md5(x: Column) -> Column:
+    return F.md5(x.cast("binary"))
 
 
-def inside(lines: Column, sentences: Column) -> Column:
-    running = F.concat(F.lit(" "), joined(lines), F.lit(" "))
-    held = F.transform(F.array(running), lambda r: F.filter(
-        sentences, lambda s: r.contains(F.concat(F.lit(" "), s["line"], F.lit(" ")))))[0]
-    return F.transform(held, lambda s: F.struct(F.lit(False).alias("whole"), s["digest"].alias("digest")))
+def word_windows(lines: Column, lengths: list[int]) -> Column:
+    """Hashes of all runs of ``lengths`` words in the running text, each once."""
+    def run(w, k):
+        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(
+            *[F.get(w, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+
+    words = F.array(F.split(joined(lines), " "))
+    return F.transform(words, lambda w: F.array_distinct(F.concat(*[run(w, k) for k in lengths])))[0]
+
+
+def digests(text: Column, lengths: list[int]) -> Column:
+    """Array of (whole, h, digest): the entire canonical text first, then its lines, then
+    (digest null) the windows of ``lengths`` words of its running text."""
+    def entry(whole, h, digest):
+        return F.struct(F.lit(whole).alias("whole"), h.alias("h"), digest.alias("digest"))
+
+    def rows(x):
+        found = [F.transform(F.array(joined(x)), lambda t: entry(True, F.xxhash64(t), md5(t))),
+                 F.transform(x, lambda y: entry(False, F.xxhash64(y), md5(y)))]
+        if lengths:
+            found.append(F.transform(word_windows(x, lengths), lambda h: entry(False, h, F.lit(None).cast("string"))))
+        return F.when(F.size(x) > 0, F.concat(*found))
+
+    return F.transform(F.array(canonical_lines(text)), rows)[0]
+
+
+def anchored(sentences: DataFrame) -> DataFrame:
+    """(h, k, line, ids): every sentence under the hash of its anchor, the run of ``ANCHOR``
+    words that the fewest sentences hold (all its words, where it has fewer)."""
+    words = F.split("line", " ")
+    k = F.least(F.size(words), F.lit(ANCHOR))
+    runs = sentences.select("line", "ids", k.alias("k"), F.explode(F.coalesce(*[
+        F.when(k == n, word_windows(F.array("line"), [n])) for n in range(1, ANCHOR + 1)])).alias("h"))
+    rare = runs.groupBy("h").agg(F.count("*").alias("n"))
+    best = F.min(F.struct("n", "h", "k", "ids")).alias("best")
+    return runs.join(rare, "h").groupBy("line").agg(best).select("best.h", "best.k", "line", "best.ids")
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -130,23 +159,41 @@ def scan(docs: DataFrame, licences: DataFrame, text_col: str = "text") -> DataFr
     ``whole_text`` (ids of licences that are the entire document). Columns with these
     names are replaced."""
     line = F.transform(canonical_lines(F.col("text")), lambda x: joined(F.array(x)))
-    sentences = licences.filter(F.rtrim("text").endswith(".") & (F.size(line) == 1)).agg(F.collect_set(F.struct(
-        line[0].alias("line"), F.md5(line[0].cast("binary")).alias("digest"))).alias("sentences"))
-    known = licences.select("licence_id", digests(F.col("text"))[0]["digest"].alias("digest"))
-    known = staged(known.filter("digest IS NOT NULL").distinct().groupBy("digest").agg(
-        F.collect_set("licence_id").alias("ids")), "licences")
+    sentences = licences.filter(F.rtrim("text").endswith(".") & (F.size(line) == 1)).groupBy(line[0].alias("line")).agg(
+        F.collect_set("licence_id").alias("ids"))
+    anchors = staged(anchored(sentences), "licence-anchors")
+    lengths = sorted(r["k"] for r in anchors.select("k").distinct().collect())  # at most ANCHOR numbers
+    whole = digests(F.col("text"), [])[0]
+    known = licences.select("licence_id", whole["h"].alias("h"), whole["digest"].alias("digest"))
+    known = known.filter("digest IS NOT NULL").groupBy("h", "digest").agg(F.collect_set("licence_id").alias("ids"))
+    known = staged(known.select("h", "digest", F.lit(None).cast("string").alias("line"), "ids").unionByName(
+        anchors.select("h", F.lit(None).cast("string").alias("digest"), "line", "ids")), "licences")
     keep = [col(c) for c in docs.columns if c.lower() not in ("licences", "whole_text")]
-    key = free_name(docs, "_key")
+    key, body = free_name(docs, "_key"), free_name(docs, "_body")
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     of_text = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
-    texts = docs.select(of_text.alias("key"), text.alias("text")).crossJoin(F.broadcast(sentences))
-    found = texts.select("key", F.explode(digests(F.col("text"), F.col("sentences"))).alias("d"))
-    hits = found.select("key", "d.*").join(known, "digest").select("key", "whole", F.explode("ids").alias("id")).distinct()
+    found = docs.select(of_text.alias("key"), F.explode(digests(text, lengths)).alias("d")).select("key", "d.*")
+    same = (found["h"] == known["h"]) & found["digest"].eqNullSafe(known["digest"])
+    hits = found.join(known, same).select("key", "whole", "line", "ids").distinct()
+    sure = F.flatten(F.collect_set(F.when(F.col("line").isNull(), F.col("ids"))))
     per = staged(hits.groupBy("key").agg(
-        F.array_sort(F.collect_set("id")).alias("licences"),
-        F.array_sort(F.collect_set(F.when(F.col("whole"), F.col("id")))).alias("whole_text")), "licence-hits")
-    none = F.array().cast("array<string>")
+        sure.alias("sure"), F.flatten(F.collect_set(F.when(F.col("whole"), F.col("ids")))).alias("whole"),
+        F.collect_set(F.when(F.col("line").isNotNull(), F.struct("line", "ids"))).alias("open")), "licence-hits")
     old = [c for c in docs.columns if c.lower() in ("licences", "whole_text")]
-    return docs.select(*[col(c) for c in docs.columns], of_text.alias(key)).drop(*old).join(
-        per.withColumnRenamed("key", key), key, "left").select(
-        *keep, F.coalesce("licences", none).alias("licences"), F.coalesce("whole_text", none).alias("whole_text"))
+    d = docs.select(*[col(c) for c in docs.columns], of_text.alias(key), text.alias(body)).drop(*old).join(
+        per.select(F.col("key").alias(key), F.struct("sure", "whole", "open").alias(per_name := free_name(docs, "_per"))),
+        key, "left")
+    none, per_ = F.array().cast("array<string>"), col(per_name)
+    # only texts with an anchor are searched, and only for the sentences of their anchors
+    proven = F.when(F.size(per_["open"]) > 0, inside(col(body), per_["open"])).otherwise(none)
+    ids = F.array_sort(F.array_distinct(F.concat(per_["sure"], proven)))
+    return d.select(*keep, F.coalesce(ids, none).alias("licences"),
+                    F.coalesce(F.array_sort(F.array_distinct(per_["whole"])), none).alias("whole_text"))
+
+
+def inside(text: Column, sentences: Column) -> Column:
+    """Ids of the ``sentences`` (line, ids) that the running text holds."""
+    running = F.concat(F.lit(" "), joined(canonical_lines(text)), F.lit(" "))
+    held = F.transform(F.array(running), lambda r: F.filter(
+        sentences, lambda s: r.contains(F.concat(F.lit(" "), s["line"], F.lit(" ")))))[0]
+    return F.flatten(F.transform(held, lambda s: s["ids"]))

@@ -136,14 +136,41 @@ def _licence_sql() -> str:
         kept = f"list_filter(string_split({text}, chr(10)), lambda x: NOT regexp_matches(lower(x), '{licences.COPYRIGHT}'))"
         return f"list_filter(list_transform({kept}, lambda x: {line}), lambda x: x <> '')"
 
-    rows = ", ".join(f"('{k}', '{t}')" for k, ts in licences.NOTICES.items() for t in ts)
+    def joined(lines):
+        text = f"array_to_string({lines}, ' ')"
+        for old, new in licences.SPELLINGS:
+            if " " in old:
+                text = f"regexp_replace({text}, '{old}', '{new}', 'g')"
+        return text
+
+    def values(rows):
+        return "(VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows) + ")"
+
+    notices = values((k, t) for k, ts in licences.NOTICES.items() for t in ts)
+    texts = values((f.stem, f.read_text(encoding="utf-8")) for f in sorted(licences.TEXTS.glob("*.txt")))
+    titles = values((k, t) for k, ts in licences.TITLES.items() for t in ["", *ts])
+    end = "END OF TERMS AND CONDITIONS"
     return f"""
-WITH known AS (SELECT DISTINCT id, md5(array_to_string({canon('text')}, ' ')) AS digest
-               FROM (VALUES {rows}) v(id, text)),
+WITH notices AS (SELECT id, text FROM {notices} v(id, text)),
+full_texts AS (SELECT id, text FROM {texts} v(id, text)),
+bodies AS (SELECT id, text FROM full_texts
+           UNION ALL SELECT id, substr(text, 1, strpos(text, '{end}') - 1) FROM full_texts WHERE contains(text, '{end}')
+           UNION ALL SELECT id, substr(text, 1, strpos(text, '{end}') + {len(end) - 1}) FROM full_texts WHERE contains(text, '{end}')
+           UNION ALL SELECT id, regexp_replace(text, '(?m)^\\s*[0-9]\\.', '*', 'g') FROM full_texts WHERE starts_with(id, 'BSD')),
+titles AS (SELECT id, title FROM {titles} v(id, title)),
+wholes AS (SELECT id, text FROM notices UNION ALL SELECT id, text FROM bodies
+           UNION ALL SELECT id, title || chr(10) || text FROM bodies JOIN titles USING (id)
+           UNION ALL SELECT id, title || chr(10) || 'All rights reserved.' || chr(10) || text FROM bodies JOIN titles USING (id)),
+canon AS (SELECT id, text, {canon('text')} AS lines FROM wholes),
+known AS (SELECT DISTINCT id, md5({joined('lines')}) AS digest FROM canon),
+sentences AS (SELECT DISTINCT id, ' ' || {joined('lines')} || ' ' AS sentence FROM canon
+              WHERE len(lines) = 1 AND ends_with(rtrim(text), '.')),
 d AS (SELECT doc_id, {canon("coalesce(text, '')")} AS lines FROM documents),
-u AS (SELECT doc_id, true AS whole, md5(array_to_string(lines, ' ')) AS digest FROM d WHERE len(lines) > 0
+u AS (SELECT doc_id, true AS whole, md5({joined('lines')}) AS digest FROM d WHERE len(lines) > 0
       UNION ALL SELECT doc_id, false, md5(x) FROM (SELECT doc_id, unnest(lines) AS x FROM d)),
-hits AS (SELECT DISTINCT doc_id, whole, id FROM u JOIN known USING (digest)),
+hits AS (SELECT DISTINCT doc_id, whole, id FROM u JOIN known USING (digest)
+         UNION SELECT doc_id, false, id FROM (SELECT doc_id, ' ' || {joined('lines')} || ' ' AS running FROM d) r
+               JOIN sentences ON contains(running, sentence)),
 per AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids, bool_or(whole) AS whole FROM hits GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(ids), 0)::INTEGER AS n_licences, coalesce(array_to_string(ids, ','), '') AS licences,
        coalesce(per.whole, false) AS whole_text
