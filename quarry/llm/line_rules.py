@@ -12,9 +12,7 @@ smallest hashes of its 2-word shingles. Exact copies have equal ones, near copie
 share common words or some lines differ: of pages that are half boilerplate about one in
 250 counts as a copy, of pages that are nine tenths boilerplate 43 %. Without this a text
 that a site merely holds many copies of would look like boilerplate, and no copy of it
-would be left. The registered queries count by this ``signature``. The default of
-``frequent_lines``, ``judge`` and ``clean`` is still ``least_word``, the smallest hash among
-a document's words, which counts unrelated documents as one where they share that word.
+would be left.
 
 Scale: the counts are pre-aggregated (line, document signature) pairs, so a line that a
 third of all documents hold is spread over as many keys as it has documents before it is
@@ -109,11 +107,6 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def least_word(text: Column) -> Column:
-    """The smallest hash among the text's words; null without words."""
-    return F.array_min(F.transform(words_of(text), lambda w: F.xxhash64(w)))
-
-
 def signature(text: Column) -> Column:
     """Hash of the SKETCH smallest hashes of the text's 2-word shingles; null without words."""
     def shingles(w):
@@ -125,7 +118,7 @@ def signature(text: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float,
-                   identity=least_word) -> DataFrame:
+                   identity=signature) -> DataFrame:
     """(host, frequent): per host the hashes of the lines above both limits.
 
     Documents with equal ``identity(text)`` count once."""
@@ -143,7 +136,7 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
 
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 20,
           share: float = 0.05, left_share: float = 0.2, min_words: int = 50, max_repeat: float = 0.5,
-          only_kept: bool = False, identity=least_word) -> DataFrame:
+          only_kept: bool = False, identity=signature) -> DataFrame:
     """``docs`` with one struct column ``quality``: COUNTS, n_removed_words, base_failed,
     depleted, kept, and frequent (the host's frequent lines). A column of that name is
     replaced. With ``only_kept`` the rejected documents go."""

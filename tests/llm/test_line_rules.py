@@ -32,7 +32,8 @@ def brute_verdicts(rows, hash_line, min_docs=20, share=0.05, left_share=0.2):
         words = WORD.findall(text or "")
         if not words:
             continue
-        sig = min(xxh(w) for w in words)
+        pairs = {xxh(b, xxh(a)) for a, b in zip(words, words[1:])} or {xxh(words[0])}
+        sig = tuple(sorted(map(signed, pairs))[:8])
         docs[host or ""].add(sig)
         for n in map(normal, text.split("\n")):
             if n:
@@ -48,8 +49,11 @@ def brute_verdicts(rows, hash_line, min_docs=20, share=0.05, left_share=0.2):
     return out
 
 
-def xxh(word):
-    h = xxhash.xxh64_intdigest(word.encode(), 42)
+def xxh(word, seed=42):
+    return xxhash.xxh64_intdigest(word.encode(), seed)
+
+
+def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -88,19 +92,6 @@ def test_counts_and_verdicts_against_brute_force(documents):
         assert (q.n_removed_words, q.base_failed, q.kept) == want[r.doc_id], rows[r.doc_id]
 
 
-def test_near_copies_are_not_boilerplate(documents):
-    rng = random.Random(4)
-    base = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) for _ in range(10)]
-    rows = []
-    for i in range(200):
-        lines = list(base)
-        lines[rng.randrange(10)] += f" edit{i}"
-        rows.append((i, "\n".join(lines), "host"))
-    for i in range(300):
-        rows.append((1000 + i, "\n".join(" ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(12)) for _ in range(6)), "host"))
-    assert line_rules.judge(documents(rows), share=0.1).filter("quality.kept").count() == 500
-
-
 def test_documents_of_common_words_count_one_by_one(documents):
     rng = random.Random(5)
     common = ["are", "the", "and", "of"] + ["c%d" % i for i in range(150)]
@@ -120,7 +111,7 @@ def test_documents_of_common_words_count_one_by_one(documents):
             per[n].add(t)
     often = {n for n, held in per.items() if len(held) > 20 and len(held) > 0.05 * len(texts)}
     assert foot[0] in often and foot[1] not in often and len(often) == 21
-    got = line_rules.judge(documents([(i, t, h) for i, (t, h) in enumerate(rows)]), identity=line_rules.signature).collect()
+    got = line_rules.judge(documents([(i, t, h) for i, (t, h) in enumerate(rows)])).collect()
     for r in got:
         assert r.quality.n_removed_words == sum(len(n.split(" ")) for n in map(normal, r.text.split("\n")) if n in often)
 
@@ -135,18 +126,26 @@ def test_near_copies_share_signatures(documents):
         rows.append((i, "\n".join(lines), "host"))
     for i in range(300):
         rows.append((1000 + i, "\n".join(" ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(12)) for _ in range(6)), "host"))
-    judged = line_rules.judge(documents(rows), share=0.1, identity=line_rules.signature)
+    judged = line_rules.judge(documents(rows), share=0.1)
     assert judged.filter("quality.kept").count() == 500
 
 
-def test_registered_query_counts_whole_documents(spark, sf_small, monkeypatch):
-    from quarry.llm import queries
+def test_query_against_brute_force(spark, sf_small, documents, tmp_path):
+    """The given table, and below it the rows above, which hold frequent lines."""
+    from quarry.llm.queries import op7_line_rules
 
-    seen = []
-    monkeypatch.setattr(line_rules, "frequent_lines", lambda *a: seen.append(a[-1]) or spark.createDataFrame(
-        [], "host string, frequent array<bigint>"))
-    queries.op7_line_rules(spark, sf_small)
-    assert seen == [line_rules.signature]
+    own = documents([(10_000 + i, t, h) for i, (t, h) in enumerate(sample())])
+    given = spark.read.parquet(f"{sf_small}/documents.parquet")
+    given.select("doc_id", "text", "source").unionByName(own.select("doc_id", "text", "source")).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
+    want = dict(zip([d.doc_id for d in docs], brute_verdicts([(d.text, d.source) for d in docs], md5_60)))
+    text = {d.doc_id: d.text for d in docs}
+    got = op7_line_rules(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and any(w[0] for w in want.values())
+    for r in got:
+        assert tuple(r[c] for c in line_rules.COUNTS) == brute_counts(text[r.doc_id])
+        assert (r.n_removed_words, r.base_failed, r.kept) == want[r.doc_id]
 
 
 def test_clean_cuts_lines_and_keeps_columns(documents):
