@@ -18,6 +18,9 @@ from .common import fold_of, table
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
+#: Words of the language model's longest sequences.
+ORDER = 3
+
 
 def word_bpe_path() -> str:
     import public_tokenizers
@@ -89,7 +92,7 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document; one fold is held out of the training."""
-    s, facts = lm.fit_score(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id")) != 1)
+    s, facts = lm.fit_score(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id")) != 1, order=ORDER)
     return s.select(F.col("id").alias("doc_id"), (fold_of(F.col("id")) == 1).alias("held_out"), "n_tokens", "n_known",
                     F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
