@@ -34,7 +34,7 @@ score is a sum of independent lookups, and each token travels once, whatever the
 
 Quantisation moves a token's log10 probability by at most ``STEP / 2``, by ``STEP`` above
 order 2. Hash collisions merge two words (64 bits) or two predecessors of one context (32
-bits; a context has at most 3 million in a shard, mostly some).
+bits; a context has at most 2 million in a shard, mostly some).
 
 Null texts are empty texts, which consist of their end token. Repeated rows are scored each
 and, if they are training rows, counted each. Without training rows N = V = 0, and every
@@ -64,7 +64,7 @@ MU = 2.0
 #: Weight of a context's counts against those of the context shorter by one word.
 LIFT = 64.0
 #: Tokens of one shard and text bytes of one chunk.
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
 CHUNK_BYTES = 6 << 20
 #: 16-bit codes of log10 values.
 LOWEST, STEP = -14.0, 26 / 65535
@@ -118,6 +118,7 @@ class EliasFano:
         # numbers of 8 bytes at every byte; the buffer has 8 bytes to spare
         self.low = np.ndarray((len(low) - 7,), dtype="<u8", buffer=low, strides=(1,))
         self.high, self.ones = high.reshape(-1, 8), ones
+        self.window = np.ndarray((max(0, len(high) - 7),), dtype="<u8", buffer=high, strides=(1,))
         self.zeros = 64 * np.arange(len(ones)) - ones
 
     def select(self, r: np.ndarray, one: bool) -> np.ndarray:
@@ -147,7 +148,7 @@ class EliasFano:
         width = (low_bits + 7) // 8
         low = (values & np.uint64((1 << low_bits) - 1)).astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].tobytes()
         place = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros((int(place[-1]) // 64 + 1) * 64 if n else 0, dtype=np.uint8)
+        bits = np.zeros((int(place[-1]) // 64 + 2) * 64 if n else 0, dtype=np.uint8)  # 64 to spare
         bits[place] = 1
         high = np.packbits(bits, bitorder="little")
         ones = np.cumsum(np.bitwise_count(high).reshape(-1, 8).sum(axis=1, dtype=np.int64))
@@ -167,6 +168,18 @@ class EliasFano:
         top = (self.select(i, True) - i).astype(np.uint64)
         return top << self.bits | (self.low[i * self.width] & self.mask)
 
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places ``i`` and ``i + 1``: the next one is mostly within the next bits."""
+        place = self.select(i, True)
+        after = place + 1
+        x = self.window[np.minimum(after >> 3, len(self.window) - 1)] >> (after & 7).astype(np.uint64)
+        zeros = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero((x == 0) | (after >> 3 >= len(self.window)))
+        after += zeros
+        after[far] = self.select(i[far] + 1, True)
+        return tuple((at - j).astype(np.uint64) << self.bits | (self.low[j * self.width] & self.mask)
+                     for at, j in ((place, i), (after, i + 1)))
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of ``x``, -1 where it is missing: its successor must be itself."""
         out = np.full(len(x), -1, dtype=np.int64)
@@ -240,7 +253,8 @@ class Trie:
         if not self.words.n:
             return node, np.zeros(len(w))
         known = np.maximum(node, 0)
-        count = (self.counts.get(known + 1) - self.counts.get(known)).astype(np.float64)
+        before, to = self.counts.both(known)
+        count = (to - before).astype(np.float64)
         return node, np.where(node >= 0, count, 0.0)
 
     def child(self, k: int, node: np.ndarray, n_child: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -251,8 +265,7 @@ class Trie:
         known = np.flatnonzero(node >= 0)
         if not len(known):
             return out
-        lo[known] = pointers.get(node[known]).astype(np.int64)
-        end[known] = pointers.get(node[known] + 1).astype(np.int64)
+        lo[known], end[known] = pointers.both(node[known])
         lo, end, want = np.repeat(lo, n_child), np.repeat(end, n_child), v.astype(np.uint32)
         at = successor(lambda i: children[i], lo, end, want)
         hit = np.flatnonzero(at < end)
@@ -448,15 +461,14 @@ def solve_shard(blobs_: list[bytes], hot: list, n: int, distinct: int) -> list[b
     """Builds the trie of a shard from its rows and answers each row with sums per text.
 
     ``hot``: per level (keys, training counts) of the hot words and sequences."""
-    rows = [unpack(b) for b in blobs_]
-    depth = len(rows[0][0])
-    paths = [np.concatenate([spread_down(r[0][k], r[1][k:]) for r in rows]) for k in range(depth)]
-    c = np.concatenate([r[2] for r in rows])
-    # what is hot has counts from elsewhere, whether this shard learned of it or not
-    keep, keys = c > 0, path_keys(paths[:-1])
-    for (known, _), key in zip(hot, [paths[0], *keys[1:]], strict=False):
-        keep |= places(known, key) >= 0
-    paths, c = [p[keep] for p in paths], c[keep]
+    kept = []
+    for blob in blobs_:
+        paths, n_child, c, *_ = unpack(blob)
+        # what is hot has counts from elsewhere, whether this shard learned of it or not
+        keep = (c > 0) | spread_down(places(hot[0][0], paths[0]) >= 0, n_child)
+        kept.append([*[spread_down(p, n_child[k:])[keep] for k, p in enumerate(paths)], c[keep]])
+    *paths, c = [np.concatenate(x) for x in zip(*kept, strict=True)]
+    del kept
     order = path_order(paths, paths[0])
     paths, c = [p[order] for p in paths], c[order]
     leaf = np.flatnonzero(changes(paths)[-1])
@@ -464,13 +476,18 @@ def solve_shard(blobs_: list[bytes], hot: list, n: int, distinct: int) -> list[b
         c = np.add.reduceat(c, leaf)
     paths = [p[leaf] for p in paths]
     first, counts = [np.flatnonzero(x) for x in changes(paths)], []
-    for k, (f, key) in enumerate(zip(first, [paths[0], *path_keys(paths)[1:]], strict=True)):
-        own = np.add.reduceat(c, f) if len(f) else c
-        at = places(hot[k][0], key[f])
-        counts.append(np.where(at >= 0, hot[k][1][at] if len(hot[k][1]) else 0, own))
+    for k, f in enumerate(first):
+        counts.append(np.add.reduceat(c, f) if len(f) else c)
+        if len(hot[k][0]):
+            maybe = np.flatnonzero(places(hot[0][0], paths[0][f]) >= 0)
+            key = path_keys([p[f[maybe]] for p in paths[:k + 1]])[k] if k else paths[0][f[maybe]]
+            at = places(hot[k][0], key)
+            counts[k][maybe[at >= 0]] = hot[k][1][at[at >= 0]]
     trie = Trie(mapped(Trie.encode(paths, first, counts, n, distinct)))
+    del paths, c, first, counts
     out = []
-    for (word, *children), n_child, _, n_docs, cnt, doc in rows:
+    for blob in blobs_:
+        (word, *children), n_child, _, n_docs, cnt, doc = unpack(blob)
         node, count = trie.word(word)
         at = places(hot[0][0], word)
         count = np.where(at >= 0, hot[0][1][at] if len(hot[0][1]) else 0, count)
