@@ -40,8 +40,8 @@ class Writers:
         return self.insert or self.hook
 
 
-def _calls(writer):
-    """``mapInPandas`` body: results of ``writer`` beside the rows they belong to."""
+def _singly(writer):
+    """Results for a frame; if the call raises, its rows are handed over again one by one."""
     import pandas as pd
 
     def results(part):
@@ -53,18 +53,28 @@ def _calls(writer):
                 return pd.concat([results(part.iloc[i:i + 1]) for i in range(len(part))])
             return part[["import_id", "rec_no"]].assign(ok=None, id=None, error=str(e) or type(e).__name__)
 
+    return results
+
+
+def beside(part, got, keep: list[str]):
+    """Results beside the rows they belong to: the n-th result of a key belongs to its n-th
+    row; a row without one stays open (``_merge`` tells which)."""
+    left = part[["import_id", "rec_no", *keep]].copy()
+    for df in (left, got):
+        df["_n"] = df.groupby(["import_id", "rec_no"], dropna=False).cumcount()
+    both = left.merge(got[[*RESULT_COLUMNS, "_n"]], on=["import_id", "rec_no", "_n"], how="left", indicator=True)
+    both["id"] = both["id"].map(lambda v: None if v is None or v != v else str(v))
+    both["error"] = both["error"].map(lambda v: None if v is None or v != v else str(v))
+    both["ok"] = both["ok"].map(lambda v: None if v is None or v != v else bool(v))
+    return both
+
+
+def _calls(writer):
+    """``mapInPandas`` body: results of ``writer`` beside the rows they belong to."""
     def run(frames):
+        results = _singly(writer)
         for part in frames:
-            got = results(part)
-            # the n-th result of a key belongs to its n-th row; a row without one stays open
-            left = part[["import_id", "rec_no", "row_number"]].copy()
-            for df in (left, got):
-                df["_n"] = df.groupby(["import_id", "rec_no"]).cumcount()
-            both = left.merge(got[[*RESULT_COLUMNS, "_n"]], on=["import_id", "rec_no", "_n"], how="left")
-            both["id"] = both["id"].map(lambda v: None if v is None or v != v else str(v))
-            both["error"] = both["error"].map(lambda v: None if v is None or v != v else str(v))
-            both["ok"] = both["ok"].map(lambda v: None if v is None or v != v else bool(v))
-            yield both[["import_id", "rec_no", "row_number", "ok", "id", "error"]]
+            yield beside(part, results(part), ["row_number"])[["import_id", "rec_no", "row_number", "ok", "id", "error"]]
 
     return run
 
@@ -74,9 +84,8 @@ def _required_ok(cells):
     return ~(q.isNotNull() & ~T.has_visible_text(F.regexp_replace(q, "^\\x{FEFF}", "")))
 
 
-def process_rows(records: DataFrame, writer: str | Writers | Callable[[Iterator], Iterator] | None = BUILTIN,
-                 base: int = 1) -> DataFrame:
-    """Per-row outcome of the processor: ``import_id, rec_no, row_number, status, id, message``."""
+def checked_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes of rows without question text, rows for a writer); blank rows are skipped."""
     df = fold_keys(records)
     df = df.filter(let(F.col("cells"), has_content))
     df = df.withColumns({"row_number": (F.col("rec_no") + 1).cast("long"),
@@ -84,7 +93,33 @@ def process_rows(records: DataFrame, writer: str | Writers | Callable[[Iterator]
     failed_req = df.filter(~F.col("_req")).select(
         "import_id", "rec_no", "row_number", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("id"),
         F.format_string(MSG_PROC_MISSING_QUESTION, F.col("row_number")).alias("message"))
-    todo = df.filter(F.col("_req"))
+    return failed_req, df.filter(F.col("_req"))
+
+
+def classified(done: DataFrame, *more: str) -> DataFrame:
+    """outcomes of the results ``import_id, rec_no, row_number, ok, id, error``; columns
+    ``more`` stay."""
+    is_id = T.is_numeric(F.col("id")) | F.coalesce(F.col("id").rlike("^[0-9]+$"), F.lit(False))
+    status = (F.when(F.col("error").isNotNull() | (F.col("ok") == F.lit(False)), F.lit("failed"))
+              .when(is_id, F.lit("imported"))
+              .when(F.col("ok") == F.lit(True), F.lit("imported"))
+              .otherwise(F.lit("failed")))
+    message = (F.when(F.col("error").isNotNull() | (F.col("ok") == F.lit(False)),
+                      F.format_string("Row %d: %s", F.col("row_number"),
+                                      F.coalesce(F.col("error"), F.lit(MSG_PROC_FAILED))))
+               .when(is_id | (F.col("ok") == F.lit(True)), F.lit(None).cast("string"))
+               .otherwise(F.format_string(MSG_PROC_UNKNOWN, F.col("row_number"))))
+    return done.select("import_id", "rec_no", "row_number", status.alias("status"),
+                       F.when(is_id, T.php_intval(F.col("id"))).alias("id"), message.alias("message"), *more)
+
+
+def process_rows(records: DataFrame, writer: str | Writers | Callable[[Iterator], Iterator] | None = BUILTIN,
+                 base: int = 1) -> DataFrame:
+    """Per-row outcome of the processor: ``import_id, rec_no, row_number, status, id, message``.
+
+    The frame is lazy: every action on it calls a user function again. ``ledger.process_once``
+    calls it once per row."""
+    failed_req, todo = checked_rows(records)
     if isinstance(writer, Writers):
         writer = writer.chosen()
     if writer == BUILTIN:
@@ -98,19 +133,7 @@ def process_rows(records: DataFrame, writer: str | Writers | Callable[[Iterator]
     else:
         done = todo.select("import_id", "rec_no", "row_number", "cells").mapInPandas(
             _calls(writer), "import_id long, rec_no long, row_number long, ok boolean, id string, error string")
-    is_id = T.is_numeric(F.col("id")) | F.coalesce(F.col("id").rlike("^[0-9]+$"), F.lit(False))
-    status = (F.when(F.col("error").isNotNull() | (F.col("ok") == F.lit(False)), F.lit("failed"))
-              .when(is_id, F.lit("imported"))
-              .when(F.col("ok") == F.lit(True), F.lit("imported"))
-              .otherwise(F.lit("failed")))
-    message = (F.when(F.col("error").isNotNull() | (F.col("ok") == F.lit(False)),
-                      F.format_string("Row %d: %s", F.col("row_number"),
-                                      F.coalesce(F.col("error"), F.lit(MSG_PROC_FAILED))))
-               .when(is_id | (F.col("ok") == F.lit(True)), F.lit(None).cast("string"))
-               .otherwise(F.format_string(MSG_PROC_UNKNOWN, F.col("row_number"))))
-    done = done.select("import_id", "rec_no", "row_number", status.alias("status"),
-                       F.when(is_id, T.php_intval(F.col("id"))).alias("id"), message.alias("message"))
-    return failed_req.unionByName(done)
+    return failed_req.unionByName(classified(done))
 
 
 def processor_summary(outcomes: DataFrame) -> DataFrame:

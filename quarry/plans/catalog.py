@@ -21,6 +21,7 @@ from ..operators import params as P
 from ..operators import publish
 from ..operators import rows as R
 from ..operators import store as S
+from ..operators import ledger as L
 from ..operators import writers as W
 from ..operators.joins import join_small  # noqa: F401  (re-exported for query authors)
 from ..operators.parallel import spread
@@ -541,6 +542,19 @@ def writer_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("import_id", "rec_no", "status", "id", "message")
 
 
+@register("writer_ledger", duck.writer_ledger)
+def writer_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs of one key, the first over a part of the imports (as if it broke
+    off), the last with another try for failed rows; ids and ``attempt`` tell who was called when."""
+    from ..session import staging_dir
+
+    root, rows = staging_dir(spark, "writer-ledger"), D.qrows(spark, sf)
+    L.process_once(spark, root, "bank", rows.filter("import_id % 3 <> 0"), D.numbered_writer(1))
+    L.process_once(spark, root, "bank", rows, D.numbered_writer(2))
+    out = L.process_once(spark, root, "bank", rows, D.numbered_writer(3), retry_failed=True)
+    return out.select("import_id", "rec_no", "status", "id", "message", "attempt")
+
+
 @register("csv_roundtrip", duck.csv_roundtrip)
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """S01 + S02: qrows written as CSV files (one folder per import, in the shared

@@ -776,6 +776,19 @@ SELECT import_id, rec_no,
             ELSE printf('Row %d: unknown insertion result.', rec_no + 1) END AS message FROM r"""
 
 
+def writer_ledger() -> str:
+    nonblank = " OR ".join(f"{normalize(c)} <> ''" for c in _base_cols())
+    required = f"{normalize('question')} <> ''"
+    return f"""WITH r AS (SELECT import_id, rec_no, {required} AS req, rec_no % 8 AS kind FROM ({QF}) WHERE {nonblank}),
+s AS (SELECT *, CASE WHEN NOT req THEN NULL WHEN kind IN (4, 5, 7) THEN 3
+                     WHEN import_id % 3 <> 0 THEN 1 ELSE 2 END AS attempt FROM r)
+SELECT import_id, rec_no, CASE WHEN req AND kind <> 7 THEN 'imported' ELSE 'failed' END AS status,
+       CASE WHEN req AND kind <> 7 THEN rec_no * 10 + attempt END AS id,
+       CASE WHEN NOT req THEN printf('Row %d: missing required question text.', rec_no + 1)
+            WHEN kind = 7 THEN printf('Row %d: unknown insertion result.', rec_no + 1) END AS message,
+       attempt FROM s"""
+
+
 def csv_roundtrip() -> str:
     return f"""WITH {evaluated()}
 SELECT import_id, question_text, array_to_string(opts, '|') AS opts_text, row_status, correct_index, match_method

@@ -406,3 +406,20 @@ def sample_writer(frames):
                 given = {0: str(rec_no), 1: f"00{rec_no}", 3: "named"}.get(kind)
                 rows.append((import_id, rec_no, ok, given, "no space left" if kind == 5 else None))
         yield pd.DataFrame(rows, columns=["import_id", "rec_no", "ok", "id", "error"])
+
+
+def numbered_writer(run: int):
+    """A row writer whose ids end in the number of its run; before run 3 it refuses rows of
+    kind 4 and 5 (``rec_no % 8``), and it never has a result for kind 7."""
+    def writer(frames):
+        import pandas as pd
+
+        for part in frames:
+            part = part[part["rec_no"] % 8 != 7]
+            kind = part["rec_no"] % 8
+            bad = kind.isin([4, 5]) & (run < 3)
+            yield pd.DataFrame({"import_id": part["import_id"], "rec_no": part["rec_no"], "ok": ~bad,
+                                "id": (part["rec_no"] * 10 + run).astype(str).where(~bad, None),
+                                "error": pd.Series("no space left", index=part.index, dtype=object).where(bad & (kind == 5), None)})
+
+    return writer
