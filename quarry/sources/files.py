@@ -27,6 +27,13 @@ DECODED_SCHEMA = (
 # Spark hands a file to a task as one value, which can't be larger.
 MAX_VALUE_BYTES = 2**31 - 16
 
+# What the type of a file is told from.
+HEAD_BYTES = 4096
+
+# The message for a file that isn't there, the media type of workbooks.
+MSG_INVALID_FILE = "Invalid file provided to parser."
+SPREADSHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+
 
 def _decoder(mode: str, strip_bom: bool, delimiter: str | None = None, has_header: bool | None = None):
     import pyarrow as pa
@@ -150,6 +157,87 @@ def list_files(spark: SparkSession, paths: DataFrame) -> DataFrame:
     return found
 
 
+def _whole_files(spark: SparkSession, whole: DataFrame) -> DataFrame:
+    """(import_id, name, content) of listed files ``whole``; contents stay on the side that isn't moved."""
+    files = whole.filter("length = 0").select("import_id", "name", F.lit(b"").alias("content"))
+    paths = [_escaped(r[0]) for r in whole.filter("length > 0").select("path").distinct().toLocalIterator()]
+    if paths:
+        content = spark.read.format("binaryFile").load(paths).select("path", "content")
+        files = files.unionByName(join_small(content, whole.select("import_id", "name", "path"), "path", "inner").drop("path"))
+    return files
+
+
+def media_type(content):
+    """What a file's first 4096 bytes say it is, whatever its name.
+
+    A zip archive that names workbook parts is a spreadsheet; JSON begins with a bracket and
+    a value or a closing one; two lines with as many commas outside quotes are CSV."""
+    head = F.decode(F.substring(content, 1, HEAD_BYTES), "ISO-8859-1")
+    text = F.regexp_replace(head, "^\u00EF\u00BB\u00BF", "")
+    lines = F.split(F.regexp_replace(text, '"[^"]*"', "q"), "\r\n|\n|\r")
+    commas = lambda k: F.length(F.regexp_replace(F.get(lines, F.lit(k)), "[^,]", ""))
+    # a second line that the sample cuts off says nothing
+    whole = (F.size(lines) > 2) | (F.length(content) <= HEAD_BYTES)
+    return (F.when(F.length(content) == 0, "application/x-empty")
+            .when(head.startswith("\xD0\xCF\x11\xE0\xA1\xB1\x1A\xE1"), "application/vnd.ms-excel")
+            .when(head.startswith("PK\x03\x04") & head.rlike(r"xl/|\[Content_Types\]"), SPREADSHEET)
+            .when(head.startswith("PK\x03\x04"), "application/zip")
+            .when(head.contains("\x00"), "application/octet-stream")
+            .when(text.rlike(r'^\s*(\[\s*(["\[{\]]|-?[0-9]|true|false|null)|\{\s*["}])'), "application/json")
+            .when(whole & (commas(0) > 0) & (commas(0) == commas(1)), "text/csv")
+            .otherwise("text/plain"))
+
+
+def parse_files(spark: SparkSession, manifest: DataFrame, strip_bom: bool = True,
+                delimiter: str | None = None, has_header: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, one meta row per file) of files of any name, by the library's rules.
+
+    The parser is chosen by extension or by what the first bytes say: CSV (csv, txt), then
+    JSON, then workbooks; a file that is none of these is read as CSV and, if that gives no
+    record, as JSON. Values are trimmed, rows without any are dropped and the others numbered
+    from 0 again. ``meta``: import_id, name, extension, mime, parser, total_before_filter,
+    total_after_filter, error; a file that failed has an error and no rows, a missing one no
+    type either. ``manifest`` has one row per import: import_id, path and optionally file_name.
+    """
+    from ..functions.text import php_trim
+    from ..operators import batch as B
+    from ..operators.rows import has_content_trim_only
+
+    man = manifest if "file_name" in manifest.columns else manifest.withColumn("file_name", F.lit(None).cast("string"))
+    last = F.regexp_extract(F.coalesce(F.col("file_name"), F.col("path")), r"([^/]*)$", 1)
+    man = man.select("import_id", last.alias("name"), path_key(F.col("path")).alias("_key"))
+    known = B.materialize(man.join(list_files(spark, manifest), "_key", "left").withColumn(
+        "extension", F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))))
+    fits = F.col("length") <= MAX_VALUE_BYTES
+    ext, mime = F.col("extension"), F.col("mime")
+    parser = (F.when(ext.isin("csv", "txt") | mime.contains("csv"), "csv")
+              .when((ext == "json") | mime.contains("json"), "json")
+              .when(mime == "application/vnd.ms-excel", "xls")
+              .when(ext.isin("xlsx", "xls") | mime.contains("spreadsheet"), "xlsx"))
+    files = join_small(_whole_files(spark, known.filter(fits)), known.select("import_id", "extension"), "import_id", "inner")
+    # the type travels in the name that the decoder goes by
+    routed = files.withColumn("mime", media_type(F.col("content"))).withColumn(
+        "name", F.concat("mime", F.lit("/f"), F.coalesce(F.concat(F.lit("."), parser), F.lit(""))))
+    recs, outcome = split_decoded(B.materialize(decode_contents(routed, "lib", strip_bom, delimiter, has_header)))
+    recs = recs.drop("name").withColumn("cells", F.transform(
+        "cells", lambda c: c.withField("value", php_trim(c["value"])))).filter(has_content_trim_only(F.col("cells")))
+    kept = recs.groupBy("import_id").agg(F.count("*").alias("n"))
+    # a number per record over the batch, less that of its file's first
+    numbered, _ = B.assign_ids(recs, base=0)
+    first = numbered.groupBy("import_id").agg(F.min("question_id").alias("_first"))
+    recs = join_small(numbered, first, "import_id", "inner").select(
+        "import_id", (F.col("question_id") - F.col("_first")).alias("rec_no"), "orig_row", "cells")
+    missing = F.col("length").isNull()
+    meta = known.join(outcome.select("import_id", F.col("name").alias("_routed"), "n_records", F.col("error").alias("_e")),
+                      "import_id", "left").join(kept, "import_id", "left").select(
+        "import_id", "name", "extension", F.regexp_extract("_routed", "^(.*)/f[^/]*$", 1).alias("mime"),
+        F.nullif(F.regexp_extract("_routed", r"/f\.([^/]*)$", 1), F.lit("")).alias("parser"),
+        F.when(F.col("_e").isNull(), F.coalesce("n_records", F.lit(0))).otherwise(0).cast("long").alias("total_before_filter"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("total_after_filter"),
+        F.when(missing, MSG_INVALID_FILE).when(~fits, "File too large for one task.").otherwise(F.col("_e")).alias("error"))
+    return recs, meta
+
+
 def read_manifest_files(spark: SparkSession, manifest: DataFrame, mode: str = "live", strip_bom: bool = True,
                         delimiter: str | None = None, has_header: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, per-file outcome) of every manifest path, each file decoded once.
@@ -166,17 +254,12 @@ def read_manifest_files(spark: SparkSession, manifest: DataFrame, mode: str = "l
     known = materialize(man.join(list_files(spark, manifest), "_key", "left"))
     by_line = F.lower(F.col("name")).endswith(".csv") if mode == "live" and delimiter is None else F.lit(False)
     fits = F.col("length") <= MAX_VALUE_BYTES
-    # whole files: the contents stay on the side that isn't moved
     whole = known.filter(fits & ~by_line)
-    paths = [_escaped(r[0]) for r in whole.filter("length > 0").select("path").distinct().toLocalIterator()]
     recs = spark.createDataFrame([], "import_id long, name string, rec_no long, orig_row long, "
                                      "cells array<struct<pos:int,key:string,value:string>>")
     outcome = spark.createDataFrame([], "import_id long, name string, has_header boolean, n_records long, error string")
     if not whole.isEmpty():
-        files = whole.filter("length = 0").select("import_id", "name", F.lit(b"").alias("content"))
-        if paths:
-            content = spark.read.format("binaryFile").load(paths).select("path", "content")
-            files = files.unionByName(join_small(content, whole.select("import_id", "name", "path"), "path", "inner").drop("path"))
+        files = _whole_files(spark, whole)
         recs, outcome = split_decoded(materialize(decode_contents(files, mode, strip_bom, delimiter, has_header)))
     lines = known.filter(F.col("length").isNotNull() & by_line)
     if not lines.isEmpty():
