@@ -92,3 +92,34 @@ def test_xlsx_library_mode_headers():
     data = xlsx_bytes([["Question Text", "", "Option 1"], ["q", "mid", "a"]])
     recs, hh, err = D.decode_xlsx(data, mode="lib")
     assert err is None and cells(recs[0]) == [("question-text", "q"), ("B", "mid"), ("option-1", "a")]
+
+
+def test_csv_rows_come_one_by_one():
+    """A file's records are never all held: the decoder hands them over as it reads."""
+    import tracemalloc
+
+    from quarry.sources.decode import decode_file
+
+    content = b"question,option1\n" + b"".join(b"q%d,\"a \xc3\xa9\"\n" % i for i in range(60_000))
+    tracemalloc.start()
+    recs, header, err = decode_file("x.csv", content)
+    n = sum(1 for _ in recs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n, header, err) == (60_000, True, None)
+    assert peak < 2 * len(content)
+
+
+def test_decoder_hands_over_bounded_batches():
+    import pyarrow as pa
+
+    from quarry.sources.files import ROWS_PER_BATCH, _decoder
+
+    n = 2 * ROWS_PER_BATCH + 5
+    content = b"question,option1\n" + b"q,a\n" * n
+    files = pa.RecordBatch.from_pydict({"import_id": [1, 2, 3], "name": ["a.csv", "b.csv", "c.csv"], "content": [content, b"", b"h\n"]})
+    got = list(_decoder("live", True)([files]))
+    assert max(b.num_rows for b in got) == ROWS_PER_BATCH
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [(r["import_id"], r["has_header"], r["n_records"]) for r in rows if r["kind"] == "file"] == [(1, True, n), (2, False, 0), (3, True, 0)]
+    assert [r["rec_no"] for r in rows if r["kind"] == "record"] == list(range(n))
