@@ -19,7 +19,8 @@ phrases of the next length are enumerated exactly. Counts are then summed across
 counted first, by hash: a shard deals its pairs to buckets as sorted 32-bit hashes with
 counts clipped at ``min_count``, a bucket adds them up and answers each shard with one bit
 a pair. Shards then extend intervals only where the new pair's bit is set, and return
-phrases as text, which are summed exactly. Equal hashes only let a rare pair through. The
+phrases as text, packed and compressed by bucket, which are summed exactly. Equal hashes only
+let a rare pair through. The
 number of buckets follows the size of the texts, so a bucket is bounded and a shard's rows to
 buckets are never more than its pairs. A phrase that is in every text costs one row a shard.
 What follows works on phrases of at least ``min_count``, with every part they need among
@@ -51,6 +52,7 @@ END = b"."
 #: Text whose pairs share a bucket.
 BUCKET_BYTES = 16 << 20
 GRAMS = "lang string, phrase string, words int, count long"
+PACKED = "bucket int, grams binary"
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -133,10 +135,14 @@ def grams_of(ids: np.ndarray, size: int, depth: int, alive=None):
         yield words, count
 
 
+def word_hashes(lang: str, names: list[bytes]) -> np.ndarray:
+    seed = lang.encode() + b"\0"
+    return np.array([0, *(xxhash.xxh64_intdigest(seed + w) for w in names[1:])], np.uint64)
+
+
 def pair_hashes(lang: str, names: list[bytes], left: np.ndarray, right: np.ndarray, buckets: int):
     """(bucket, 32-bit hash) of pairs of words, the same in every shard of a language."""
-    seed = lang.encode() + b"\0"
-    h = np.array([0, *(xxhash.xxh64_intdigest(seed + w) for w in names[1:])], np.uint64)
+    h = word_hashes(lang, names)
     mixed = (h[left] * np.uint64(0x9E3779B97F4A7C15) + (h[right] << np.uint64(31) | h[right] >> np.uint64(33)))
     mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
@@ -239,9 +245,10 @@ def frequent_pairs(table: DataFrame, min_count: int) -> DataFrame:
 
 
 def shard_grams(shard: dict, bits: dict, depth: int, buckets: int) -> pa.Table:
-    """Phrases (GRAMS) of one shard; phrase '' counts the words."""
+    """Phrases (GRAMS) of one shard, packed by bucket; phrase '' counts the words."""
     names, lang, sign = shard["names"], shard["lang"], shard["sign"]
     ids = unpack(shard["ids"]).astype(np.int32)
+    hashes = word_hashes(lang, names)
 
     def alive(left, right):
         bucket, low = pair_hashes(lang, names, left, right, buckets)
@@ -253,11 +260,55 @@ def shard_grams(shard: dict, bits: dict, depth: int, buckets: int) -> pa.Table:
 
     column = pa.array(names, pa.binary())
     tables = [gram_table(lang, pa.array([""]), 0, np.array([np.count_nonzero(ids)]), sign)]
+    dealt = [np.zeros(1, np.int64)]
     for got, count in grams_of(ids, len(names), depth, alive if depth > 2 else None):
         parts = [column.take(pa.array(w)) for w in got]
         phrase = pc.binary_join_element_wise(*parts, b" ") if len(parts) > 1 else parts[0]
         tables.append(gram_table(lang, phrase.cast(pa.string()), len(got), count, sign))
-    return pa.concat_tables(tables)
+        dealt.append(phrase_buckets(hashes, got, buckets))
+    return packed(pa.concat_tables(tables), np.concatenate(dealt))
+
+
+def phrase_buckets(hashes: np.ndarray, words: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Bucket of each phrase, the same in every shard of a language."""
+    mixed = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        mixed = (mixed ^ hashes[w]) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+def packed(grams: pa.Table, bucket: np.ndarray) -> pa.Table:
+    """One row (PACKED) per bucket: its phrases as a compressed Arrow stream."""
+    order = np.argsort(bucket, kind="stable")
+    grams, bucket = grams.take(pa.array(order)).combine_chunks(), bucket[order]
+    ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
+    blobs = []
+    for i, j in zip([0, *ends[:-1]], ends, strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, grams.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(grams.slice(i, j - i))
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.table([pa.array(bucket[ends - 1], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "grams"])
+
+
+def summed(group: pa.Table, min_count: int) -> pa.Table:
+    """The phrases (GRAMS) of a bucket that reach ``min_count`` in all, and the counts of words."""
+    streams = (pa.ipc.open_stream(blob.as_buffer()).read_all() for blob in group.column("grams"))
+    # a few streams are added up at a time, so that memory is a bucket's different phrases
+    total, held = None, []
+    for stream in streams:
+        held.append(stream)
+        if sum(x.num_rows for x in held) > 1_000_000:
+            total, held = added([total, *held]), []
+    total = added([total, *held])
+    return total.filter(pc.or_(pc.greater_equal(total["count"], min_count), pc.equal(total["words"], 0)))
+
+
+def added(tables: list[pa.Table | None]) -> pa.Table:
+    keys = ["lang", "phrase", "words"]
+    total = pa.concat_tables([t for t in tables if t is not None]).group_by(keys).aggregate([("count", "sum")])
+    return total.select([*keys, "count_sum"]).rename_columns([*keys, "count"])
 
 
 def gram_table(lang: str, phrase: pa.Array, words: int, count: np.ndarray, sign: int) -> pa.Table:
@@ -270,7 +321,7 @@ def gram_counts(docs: DataFrame, depth: int = 3, min_count: int = 10, shard_byte
                 text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, phrase, words, count) of phrases of up to ``depth`` words; '' counts words.
 
-    All phrases of ``min_count`` are there with their exact counts, and some rarer ones.
+    All phrases of ``min_count`` are there with their exact counts, and none that is rarer.
     """
     ship_package(docs.sparkSession)
     plain = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -282,13 +333,12 @@ def gram_counts(docs: DataFrame, depth: int = 3, min_count: int = 10, shard_byte
 
     def run(shard: pa.Table, bits: pa.Table) -> pa.Table:
         if not shard.num_rows:
-            return pa.table([[], [], [], []], schema=pa.schema(
-                [("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64())]))
+            return pa.table([[], []], schema=pa.schema([("bucket", pa.int32()), ("grams", pa.binary())]))
         found = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
         return shard_grams(shard.to_pylist()[0], found, depth, buckets)
 
-    grams = whole.groupBy("shard").cogroup(frequent_pairs(table, min_count).groupBy("shard")).applyInArrow(run, GRAMS)
-    return grams.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
+    grams = whole.groupBy("shard").cogroup(frequent_pairs(table, min_count).groupBy("shard")).applyInArrow(run, PACKED)
+    return grams.groupBy("bucket").applyInArrow(lambda group: summed(group, min_count), GRAMS)
 
 
 def part(first: int, n: int) -> Column:

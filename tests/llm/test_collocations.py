@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quarry.llm import collocations as C
@@ -116,3 +119,16 @@ def test_query_matches_its_sql(spark, sf_small):
     assert sorted(cols) == sorted(got.columns)
     rows = [tuple(r) for r in got.collect()]
     assert rows and digest(got.columns, rows) == digest(cols, rel.fetchall())
+
+
+def test_phrases_travel_packed_by_bucket():
+    names = [b"", b"a", b"bb", b"c"]
+    shard = {"ids": C.pack(np.array([1, 2, 3, 0, 1, 2, 1, 2])), "names": names, "lang": "en", "sign": 1}
+
+    got = C.shard_grams(shard, {k: np.packbits(np.ones(16, bool)).tobytes() for k in range(4)}, 3, 4)
+    assert got.column_names == ["bucket", "grams"] and len(set(got["bucket"].to_pylist())) == got.num_rows <= 4
+    both = [C.summed(pa.concat_tables([got, got]).filter(pc.equal(pa.concat_tables([got, got])["bucket"], k)), 4)
+            for k in set(got["bucket"].to_pylist())]
+    found = {(r["phrase"], r["words"]): r["count"] for t in both for r in t.to_pylist()}
+    # every phrase was counted twice; those under four are gone, the number of words stays
+    assert found == {("", 0): 14, ("a", 1): 6, ("bb", 1): 6, ("a bb", 2): 6}
